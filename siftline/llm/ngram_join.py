@@ -71,7 +71,7 @@ def _candidates(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
             yield np.repeat(one, size), np.concatenate(sets), np.zeros(sum(size), np.int32)
 
     found = shared_keys(docs.select("text"), keys_of, fragments_for(docs), places=False)
-    total = found.groupBy(F.col("owner").alias("a")).agg(F.sum("n").alias("shared"))
+    total = found.select(F.col("owner").alias("a"), F.col("n").alias("shared"))
     return staged(classes.join(total, "a").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "n", "a", "b"))
 
 

@@ -2,7 +2,7 @@
 
 The order of all keys is cut into fragments. A task packs its texts' keys into one row per fragment, having met
 repetitions among its own texts first, so a key that a third of all documents hold costs each task one entry. A
-fragment is then looked at alone, and its findings are summed per owner.
+fragment is then looked at alone, and its findings, packed by bucket of owners, are summed per owner.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from siftline.llm.staging import shuffle_width, text_bytes
+from siftline.llm.wordkeys import mix
 
 #: Keys that a task gathers before it packs them; bytes of text for each fragment.
 PACK_KEYS, FRAGMENT_BYTES = 1 << 20, 16 << 20
@@ -32,7 +32,7 @@ KeysOf = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.nd
 
 def fragments_for(docs: DataFrame, column: str = "text") -> int:
     """As many fragments as keep one within a task's memory, whatever the width of shuffles is set to."""
-    return max(4 * shuffle_width(docs.sparkSession), -(-text_bytes(docs, column) // FRAGMENT_BYTES))
+    return max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, column) // FRAGMENT_BYTES))
 
 
 def _by_owner(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,11 +90,32 @@ def _unpack(rows: list[dict], key_type) -> tuple:
     return own, key, place, flag
 
 
+#: Findings of one fragment about the owners of one bucket, packed.
+_FINDING = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("flags", pa.binary())])
 _FOUND = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("flags", pa.binary())])
 
 
+def _sum_per_owner(table: pa.Table) -> pa.Table:
+    """One row per owner of all fragments' findings about a bucket."""
+    rows = table.to_pylist()
+    own = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
+    count = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
+    who, at = np.unique(own, return_inverse=True)
+    total = np.bincount(at, count, len(who)).astype(np.int64)
+    if any(r["places"] for r in rows):
+        order = np.argsort(np.repeat(at, count), kind="stable")
+        place = np.concatenate([np.frombuffer(r["places"], np.int32) for r in rows])[order]
+        flag = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])[order]
+        end = np.cumsum(total)
+        places = [place[e - n : e].tobytes() for e, n in zip(end, total, strict=True)]
+        flags = [flag[e - n : e].tobytes() for e, n in zip(end, total, strict=True)]
+    else:
+        places = flags = [b""] * len(who)
+    return pa.table([pa.array(who), pa.array(total), pa.array(places, pa.binary()), pa.array(flags, pa.binary())], schema=_FOUND)
+
+
 def shared_keys(docs: DataFrame, keys_of: KeysOf, fragments: int, places: bool) -> DataFrame:
-    """(owner, n, places, flags): a row per owner and fragment with the places whose key has another owner too.
+    """(owner, n, places, flags): for each owner the packed places whose key has another owner too, and how many.
 
     Flags hold SHARED, and LATER where a smaller owner has the key. With ``places`` false only the count n is
     kept and 32 bits of a key within its fragment are compared: a rare collision then counts a key as shared
@@ -118,48 +139,40 @@ def shared_keys(docs: DataFrame, keys_of: KeysOf, fragments: int, places: bool)
 
     def look(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = []
-        fresh = [r for r in rows if not r["found"]]
         if not places:
             for r in rows:
-                n = int(np.frombuffer(r["counts"], np.int32).sum())
-                r["places"] = bytes(4 * n)
+                r["places"] = bytes(4 * int(np.frombuffer(r["counts"], np.int32).sum()))
+        parts = []
+        fresh = [r for r in rows if not r["found"]]
         if fresh:
             own, key, place, several = _unpack(fresh, key_type)
             order, least, many = _groups(own, key)
-            known = several[order].astype(bool)
             begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
             size = np.diff(np.r_[begin, len(key)])
-            known = np.repeat(np.maximum.reduceat(known, begin), size)
-            hit = many | known
+            hit = many | np.repeat(np.maximum.reduceat(several[order], begin), size).astype(bool)
             flag = SHARED + LATER * (own[order] != least)
             parts.append((own[order][hit], place[order][hit], flag[hit].astype(np.uint8)))
         for r in rows:
             if r["found"]:
                 own = np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.int32))
                 parts.append((own, np.frombuffer(r["places"], np.int32), np.full(len(own), SHARED | LATER, np.uint8)))
-        own, place, flag = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint8))
-        order, who, count = _by_owner(own)
-        end = np.cumsum(count)
-        place, flag = place[order], flag[order]
-        return pa.table(
-            [
-                pa.array(who.astype(np.int64)),
-                pa.array(count.astype(np.int64)),
-                pa.array([place[e - c : e].tobytes() if places else b"" for e, c in zip(end, count, strict=True)], pa.binary()),
-                pa.array([flag[e - c : e].tobytes() if places else b"" for e, c in zip(end, count, strict=True)], pa.binary()),
-            ],
-            schema=_FOUND,
-        )
+        own, place, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (mix(own.view(np.uint64)) % np.uint64(fragments)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        bound = np.searchsorted(bucket[order], np.arange(fragments + 1))
+        out = []
+        for k in np.flatnonzero(np.diff(bound)):
+            some = order[bound[k] : bound[k + 1]]
+            inner, who, count = _by_owner(own[some])
+            some = some[inner]
+            out.append((k, who.tobytes(), count.tobytes(), place[some].tobytes() if places else b"", flag[some].tobytes() if places else b""))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FINDING, strict=True)], schema=_FINDING)
 
     packed = docs.mapInArrow(pack, _PACKED_DDL)
-    return packed.groupBy("fragment").applyInArrow(look, "owner long, n long, places binary, flags binary")
+    findings = packed.groupBy("fragment").applyInArrow(look, "bucket int, owners binary, counts binary, places binary, flags binary")
+    return findings.groupBy("bucket").applyInArrow(_sum_per_owner, "owner long, n long, places binary, flags binary")
 
 
 def _slim(row: tuple, places: bool) -> tuple:
     return row if places else (*row[:5], b"", row[6])
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    """One row per owner: n, and the lists of packed places and flags of all fragments."""
-    return found.groupBy("owner").agg(F.sum("n").alias("n"), F.collect_list("places").alias("places"), F.collect_list("flags").alias("flags"))

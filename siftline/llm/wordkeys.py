@@ -85,10 +85,10 @@ class Words:
     ``first[i]:first[i + 1]`` are the words of row i.
     """
 
-    def __init__(self, column: pa.Array):
+    def __init__(self, column: pa.Array, separator: np.ndarray = SEPARATOR):
         self.raw, self.offsets = column_bytes(column)
         self.rows = len(self.offsets) - 1
-        inside = ~SEPARATOR[self.raw]
+        inside = ~separator[self.raw]
         edge = np.zeros(len(self.raw) + 1, bool)
         edge[self.offsets] = True
         begins = inside.copy()
@@ -100,8 +100,8 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets, "left")
         self.row = np.repeat(np.arange(self.rows), np.diff(self.first))
 
-    def hashes(self, lower: bool = True) -> np.ndarray:
-        """A 64-bit hash of each word; long slices go in spans, so memory stays bounded."""
+    def hashes(self, lower: bool = True, first_bytes: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word, or of its ``first_bytes``; long slices go in spans, so memory stays bounded."""
         out = np.empty(len(self.start), np.uint64)
         i = 0
         while i < len(self.start):
@@ -114,6 +114,7 @@ class Words:
             total = np.zeros(n + 1, np.uint64)
             np.cumsum(_BYTE[part] * powers(_BASE, n), out=total[1:])
             s, e = self.start[i:j] - base, self.end[i:j] - base
+            e = e if first_bytes is None else np.minimum(e, s + first_bytes)
             out[i:j] = mix((total[e] - total[s]) * powers(_INVERSE, n)[s] + (e - s).astype(np.uint64))
             i = j
         return out
