@@ -3,9 +3,28 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from siftline.llm.fingerprints import edited_fingerprints
+from siftline.llm.html_text import extract_text
+from siftline.llm.mixing import MIX_SQL, mix
 from siftline.llm.ngram_join import jaccard_components
+from siftline.llm.packing import pack_documents
+from siftline.llm.quality import quality_scores
 from siftline.llm.staging import documents
+from siftline.llm.suffix_dedup import repeated_passages
+from siftline.llm.topk import top_inner_products
+from siftline.llm.toxicity import toxicity_scores
+from siftline.llm.url_filter import filter_urls
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand in several documents: a row per document and span."""
+    return repeated_passages(documents(spark, sf_dir), min_words=50)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -13,5 +32,91 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op2_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality_scores(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return toxicity_scores(docs, _table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_exact_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
+def op8_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
+#: The block list that the query applies: kind, pattern, action, date.
+BLOCK_LIST = (
+    ("domain", "example.org", "watch", "2023-06-01"),
+    ("domain", "spam-farm.example.org", "block", "2023-11-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-01-15"),
+    ("domain", "cheap-pills.example.com", "remove", "2024-06-01"),
+    ("domain", "cheap-pills.example.com", "block", "2024-09-01"),
+    ("host", "www.casino-win.example.org", "block", "2024-02-01"),
+    ("domain", "casino-win.example.org", "watch", "2024-05-01"),
+    ("domain", "free-bets.example.com", "block", "2024-03-10"),
+    ("host", "m.free-bets.example.com", "allow", "2024-07-01"),
+    ("domain", "ads-track.example.org", "block", "2023-01-01"),
+    ("prefix", "ads-track.example.org/en", "allow", "2024-04-01"),
+    ("prefix", "ads-track.example.org/en", "remove", "2024-10-01"),
+    ("domain", "example.org", "remove", "2024-11-01"),
+)
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch time, so page n counts as fetched n mod 366 days after 2024-01-01."""
+    entries = spark.createDataFrame(list(BLOCK_LIST), "kind string, pattern string, action string, day string")
+    entries = entries.select("kind", "pattern", "action", F.to_date("day").alias("listed_at"))
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("page_id") % 366).cast("int"))
+    captures = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched_at"))
+    return filter_urls(captures, entries).withColumnRenamed("capture_id", "page_id")
+
+
+_LISTED = ", ".join(f"('{k}', '{p}', '{a}', DATE '{d}')" for k, p, a, d in BLOCK_LIST)
+URL_SQL = rf"""
+WITH entries(kind, pattern, action, listed_at) AS (VALUES {_LISTED}),
+intervals AS (
+  SELECT kind || ':' || pattern AS pattern, action, listed_at AS valid_from,
+         lead(listed_at) OVER (PARTITION BY kind, pattern ORDER BY listed_at, action) AS valid_to FROM entries
+), active AS (SELECT * FROM intervals WHERE action <> 'remove'),
+captures AS (
+  SELECT page_id, url, (DATE '2024-01-01' + (page_id % 366)::INTEGER)::DATE AS fetched_at,
+         lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^[a-z]+://[^/?#]*/*([^?#]*)', 1)) AS path
+  FROM pages
+), matched AS (
+  SELECT c.page_id, a.pattern, a.action,
+         CASE WHEN a.pattern LIKE 'domain:%' THEN len(string_split(a.pattern, '.')) WHEN a.pattern LIKE 'host:%' THEN 100 ELSE 200 + len(string_split(a.pattern, '/')) - 1 END AS rank
+  FROM captures c JOIN active a ON c.fetched_at >= a.valid_from AND (a.valid_to IS NULL OR c.fetched_at < a.valid_to) AND (
+    (a.pattern LIKE 'domain:%' AND ('.' || c.host) LIKE '%.' || substr(a.pattern, 8)) OR a.pattern = 'host:' || c.host
+    OR (a.pattern LIKE 'prefix:%' AND (c.host || '/' || c.path || '/') LIKE substr(a.pattern, 8) || '/%'))
+)
+SELECT c.page_id, c.url, c.fetched_at, c.host, count(m.pattern)::BIGINT AS n_active, arg_max(m.pattern, m.rank) AS pattern,
+       coalesce(arg_max(m.action, m.rank), 'allow') AS action
+FROM captures c LEFT JOIN matched m USING (page_id) GROUP BY ALL
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_document_fingerprints,
+        op6_toxicity, op7_exact_topk_search, op8_mixing_sources, op9_packing, op10_url_filters,
+    )
+}
+ORACLES = {"op8_mixing_sources": MIX_SQL, "op10_url_filters": URL_SQL}
