@@ -40,3 +40,14 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFram
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
     return docs.mapInArrow(run, schema)
+
+
+def kept(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], cut: float = CUT) -> DataFrame:
+    """``docs``' rows whose text scores ``cut`` or more, unchanged."""
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(score(batch.column("text")) >= cut))
+
+    return docs.mapInArrow(run, docs.schema)

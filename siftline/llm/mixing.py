@@ -96,12 +96,13 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows are range-sorted by finish time over the whole result. Documents are served whole here: one is in if
     half of it or more lies before its source's time runs out. Documents without words are left out.
     """
-    at = F.explode(F.array(F.struct(F.col("before").alias("start")), F.struct((F.col("before") + F.col("source_size")).alias("start")))).alias("turn")
-    served = queued(docs.select("doc_id", "source", F.col("text"), F.xxhash64("text").alias("_text")), "_text").select("doc_id", "_text", "size", "whole", "target", "source_size", at)
-    served = served.where((F.col("size") > 0) & (2 * F.col("turn.start") + F.col("size") <= 2 * F.col("whole")))
-    times = served.groupBy(F.col("doc_id").alias("_doc"), "_text").agg(F.sort_array(F.collect_set((F.col("turn.start") + F.col("size")) / F.col("target"))).alias("_finish"))
-    joined = docs.withColumn("_text", F.xxhash64("text")).join(times, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_text") == times["_text"])).select(*(docs[c] for c in docs.columns), F.explode("_finish").alias("_finish"))
-    return joined.repartitionByRange(F.col("_finish"), F.col("doc_id")).sortWithinPartitions("_finish", "doc_id").select(*docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns))
+    turns = F.array(F.col("before"), F.col("before") + F.col("source_size"))
+    served = queued(docs.select("doc_id", "text", "source", row.alias("row")), "row").select("row", "doc_id", "size", "whole", "target", F.explode(turns).alias("start"))
+    served = served.where((F.col("size") > 0) & (2 * F.col("start") + F.col("size") <= 2 * F.col("whole")))
+    finish = ((F.col("start") + F.col("size")) / F.col("target")).alias("finish")
+    timed = served.select("row", "doc_id", finish)
+    return timed.repartitionByRange(F.col("finish"), F.col("doc_id")).sortWithinPartitions("finish", "doc_id").select("row.*")
 
 
 #: The same in DuckDB's SQL.

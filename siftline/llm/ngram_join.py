@@ -209,3 +209,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     found = classes.join(members, "node", "left").select("n", "a", "b", F.coalesce("component", "node").alias("component"))
     joined = sets.where("n > 0 and doc_id is not null").join(found, ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return joined.union(sets.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs``' rows without those that links connect with a document of smaller doc_id.
+
+    Documents without shingles and rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    """
+    found = jaccard_components(docs.select("doc_id", "text"), k, percent).where("component_id <> doc_id")
+    gone = staged(found.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id == F.col("__gone"), "left_anti")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.labelled import CUT, held_out, scored, training_sample
+from siftline.llm.labelled import CUT, held_out, kept, scored, training_sample
 from siftline.llm.wordkeys import Words, mix, slices
 
 #: Labelled rows learnt from at most; trees, their depth, bins per statistic, step and the leaves' penalty.
@@ -161,3 +161,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
     model = learn_quality(docs, labels, most)
     out = scored(docs, lambda text: model.probability(statistics(text)))
     return out.withColumns({"held_out": held_out(4, 2), "predicted": (F.col("score") >= CUT).cast("int")})
+
+
+def accepted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
+    """``docs``' rows that the classifier predicts to be of quality 1, unchanged."""
+    model = learn_quality(docs, labels, most)
+    return kept(docs, lambda text: model.probability(statistics(text)))

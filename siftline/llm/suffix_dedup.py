@@ -135,7 +135,7 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             out = text.to_pylist()
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                for i, (places, flags) in enumerate(zip(batch.column("_places").to_pylist()[a:b], batch.column("_flags").to_pylist()[a:b], strict=True)):
+                for i, (places, flags) in enumerate(zip(batch.column("__repeat_places").to_pylist()[a:b], batch.column("__repeat_flags").to_pylist()[a:b], strict=True)):
                     if not places:
                         continue
                     place, flag = _places(places), np.frombuffer(flags, np.uint8)
@@ -151,11 +151,11 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
                         keep.append(raw[begin : words.offsets[i + 1]].tobytes())
                         out[a + i] = b"".join(keep).decode() if lost < last - first else None
             gone = np.array([x is None and y for x, y in zip(out, text.is_valid().to_pylist(), strict=True)], bool)
-            done = batch.drop_columns(["_places", "_flags"])
+            done = batch.drop_columns(["__repeat_places", "__repeat_flags"])
             done = done.set_column(done.schema.get_field_index("text"), "text", pa.array(out, text.type))
             yield done.filter(pa.array(~gone))
 
-    windows = staged(repeated_windows(docs, min_words)).select(F.col("doc_id").alias("_doc"), F.col("places").alias("_places"), F.col("flags").alias("_flags"))
-    joined = docs.join(windows, docs.doc_id == windows._doc, "left").drop("_doc")
+    windows = staged(repeated_windows(docs, min_words)).select(F.col("doc_id").alias("__repeat_doc"), F.col("places").alias("__repeat_places"), F.col("flags").alias("__repeat_flags"))
+    joined = docs.join(windows, docs.doc_id == windows["__repeat_doc"], "left").drop("__repeat_doc")
     cut_docs = joined.mapInArrow(cut, docs.schema)
     return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_docs

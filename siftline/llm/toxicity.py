@@ -21,8 +21,8 @@ from siftline.llm.wordkeys import Words, mix, slices
 MOST_LABELLED, TABLE, SIZE, WIDTHS, FILTERS = 10_000, 1 << 17, 8, (1, 2, 3), 16
 #: Bytes of a word's beginning that have an embedding of their own.
 BEGINNING = 5
-#: Rounds, documents a step, step size; documents that must hold a hashed word before it is learnt.
-ROUNDS, STEP_DOCS, RATE, LEAST_DOCS = 12, 32, 0.05, 3
+#: Rounds (more where documents are few), documents a step, step size; documents that must hold a hashed word before it is learnt.
+ROUNDS, STEP_DOCS, RATE, LEAST_DOCS = 4, 32, 0.05, 3
 #: Each language's function words; fixed values.
 LANGUAGES = {
     "en": "the of and to in is that for it with as was on be by this are",
@@ -68,17 +68,23 @@ class Network:
     cuts: dict[int, float] = field(default_factory=dict)
     slope: float = 1.0
 
-    def responses(self, ids: np.ndarray, w: int) -> np.ndarray:
-        """Filter w's responses at every position; the last ones see zeros beyond the end."""
-        e = np.concatenate([self.words[ids[:, 0]] + self.words[ids[:, 1]], np.zeros((WIDTHS[w] - 1, SIZE), np.float32)])
-        n = len(ids)
-        r = self.shifts[w] + np.zeros((n, FILTERS), np.float32)
-        for o in range(WIDTHS[w]):
-            r += e[o : o + n] @ self.filters[w][o]
-        return r
+    def responses(self, ids: np.ndarray) -> list[np.ndarray]:
+        """Each width's filter responses at every position; the last ones see zeros beyond the end."""
+        n, most = len(ids), max(WIDTHS)
+        e = np.zeros((n + most - 1, SIZE), np.float32)
+        np.add(self.words[ids[:, 0]], self.words[ids[:, 1]], out=e[:n])
+        parts = e @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], 1)
+        out, column = [], 0
+        for width, shift in zip(WIDTHS, self.shifts, strict=True):
+            r = parts[:n, column : column + FILTERS] + shift
+            for o in range(1, width):
+                r += parts[o : o + n, column + o * FILTERS : column + (o + 1) * FILTERS]
+            column += width * FILTERS
+            out.append(r)
+        return out
 
     def pooled(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(np.maximum.reduceat(self.responses(ids, w), begins[:-1], axis=0), 0) for w in range(len(WIDTHS))], 1)
+        return np.concatenate([np.maximum(np.maximum.reduceat(r, begins[:-1], axis=0), 0) for r in self.responses(ids)], 1)
 
     def raw(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         z, lang = np.zeros(len(text)), np.zeros(len(text), np.int64)
@@ -117,7 +123,7 @@ def _train(texts: list[str], y: np.ndarray, seed: int = 7) -> Network:
     sums = {"words": np.full((TABLE, 1), 1e-3, np.float32)}
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3))
     state = {k: np.zeros_like(v) for k, v in _parameters(net).items()}
-    for _ in range(max(ROUNDS, min(60, 3000 * ROUNDS // max(1, len(docs)) // 8))):
+    for _ in range(max(ROUNDS, min(15 * ROUNDS, 8000 * ROUNDS // max(1, len(docs))))):
         order = rng.permutation(len(docs))
         for s in range(0, len(docs), STEP_DOCS):
             some = order[s : s + STEP_DOCS]
@@ -135,8 +141,7 @@ def _step(net: Network, ids, begins, y, weight, state, sums) -> None:
     """One step of gradient descent scaled by past gradients; only largest responses pass gradients back."""
     n = len(y)
     tops, at = [], []
-    for w in range(len(WIDTHS)):
-        r = net.responses(ids, w)
+    for r in net.responses(ids):
         place = np.stack([r[begins[i] : begins[i + 1]].argmax(0) + begins[i] for i in range(n)])
         tops.append(np.maximum(np.take_along_axis(r, place, 0), 0))
         at.append(place)
