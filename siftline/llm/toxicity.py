@@ -68,12 +68,12 @@ class Network:
     cuts: dict[int, float] = field(default_factory=dict)
     slope: float = 1.0
 
-    def responses(self, ids: np.ndarray) -> list[np.ndarray]:
+    def responses(self, ids: np.ndarray, kind=np.float32) -> list[np.ndarray]:
         """Each width's filter responses at every position; the last ones see zeros beyond the end."""
         n, most = len(ids), max(WIDTHS)
-        e = np.zeros((n + most - 1, SIZE), np.float32)
+        e = np.zeros((n + most - 1, SIZE), kind)
         np.add(self.words[ids[:, 0]], self.words[ids[:, 1]], out=e[:n])
-        parts = e @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], 1)
+        parts = e @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], 1).astype(kind)
         out, column = [], 0
         for width, shift in zip(WIDTHS, self.shifts, strict=True):
             r = parts[:n, column : column + FILTERS] + shift
@@ -84,13 +84,14 @@ class Network:
         return out
 
     def pooled(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(np.maximum.reduceat(r, begins[:-1], axis=0), 0) for r in self.responses(ids)], 1)
+        return np.concatenate([np.maximum(np.maximum.reduceat(r, begins[:-1], axis=0), 0) for r in self.responses(ids, np.float64)], 1)
 
     def raw(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         z, lang = np.zeros(len(text)), np.zeros(len(text), np.int64)
         for a, b in slices(text, 1 << 20):
             ids, begins, own = _tokens(text.slice(a, b - a))
-            z[a:b], lang[a:b] = self.pooled(ids, begins) @ self.out + self.bias, own
+            # in doubles and rounded, so that a text's neighbours in a batch leave no trace
+            z[a:b], lang[a:b] = np.round(self.pooled(ids, begins) @ self.out + self.bias, 6), own
         return z, lang
 
     def probability(self, text: pa.Array) -> np.ndarray:
