@@ -145,3 +145,32 @@ def donut_svg(title: str, arcs: list, size: int = 320) -> str:
         x1, y1, x2, y2 = c + r * math.sin(start), c - r * math.cos(start), c + r * math.sin(end), c - r * math.cos(end)
         body += f"<path d='M {x1:.2f} {y1:.2f} A {r:.2f} {r:.2f} 0 {int(end - start > math.pi)} 1 {x2:.2f} {y2:.2f}' fill='none' stroke='{PALETTE[i % len(PALETTE)]}' stroke-width='28'><title>{html.escape(str(a['label']))}</title></path>"
     return _frame(size, size, body)
+
+
+def dashboard_page(profile, job_id: int = 1, points: int = PREVIEW) -> str:
+    """A job's profile as one page: counters, coverages, charts and statistics, each from a small preview."""
+    own = lambda df, n=64: [r.asDict() for r in df.where(F.col("job_id") == job_id).limit(n).collect()]
+    bars = lambda df: [(r["label"], r["value"]) for r in sorted(own(df), key=lambda r: r["pos"])]
+    head = own(profile.counters)
+    parts = [f"<p>{html.escape(' · '.join(f'{k} {v}' for k, v in (head[0] if head else {}).items() if k != 'job_id'))}</p>"]
+    parts += [bars_svg(title, bars(df)) for title, df in (("Categories", profile.severity), ("Fields", profile.field_coverage), ("Shapes", profile.shape_coverage), ("Formats", profile.format_coverage), ("Null rate", profile.null_ratios))]
+    for what, draw in ((profile.series, line_svg), (profile.text_lengths, line_svg)):
+        groups: dict = {}
+        for r in sorted(own(what.where(F.col("line_index") < points), 8 * points), key=lambda r: r["line_index"]):
+            groups.setdefault((r["key"], r["color"]), []).append(r["value"])
+        parts += [draw(key, values, color) for (key, color), values in groups.items() if len(values) > 1]
+    pairs: dict = {}
+    for r in own(profile.scatter.where(F.col("line_index") < points), 3 * points):
+        pairs.setdefault((r["key"], r["color"]), []).append((r["x"], r["y"]))
+    parts += [scatter_svg(key, *map(list, zip(*xy, strict=True)), color) for (key, color), xy in pairs.items() if len(xy) > 1]
+    cells = own(heat_cells(profile.correlations, profile.numeric_keys), 1024)
+    parts += [heat_svg(cells)] if len({c["x"] for c in cells}) > 1 else []
+    arcs: dict = {}
+    for r in sorted(own(donut_angles(profile.donuts)), key=lambda r: r["pos"]):
+        arcs.setdefault(r["key"], []).append(r)
+    parts += [donut_svg(key, a) for key, a in arcs.items()]
+    parts += [boolean_svg(r["key"], r["true_count"], r["false_count"]) for r in own(profile.booleans)]
+    for r in sorted(own(profile.stats_grid), key=lambda r: r["pos"]):
+        range_ = f"{r['min']:.2f} / {r['max']:.2f} / {r['mean']:.2f}" if r["min"] is not None else f"{compact_number(r['distinct_strings'])} different"
+        parts.append(f"<article><code>{html.escape(r['key'])}</code> {r['dominant_type']} {range_} null {r['null_rate']:.1f}%</article>")
+    return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Profile {job_id}</title></head><body>{''.join(parts)}</body></html>"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from siftline.operators.report import donut_angles, heat_cells, svg_points
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.plans.analysis import Profile, result_json, status_json
 from siftline.sources.lines import engine_lines, json_lines, profiler_lines
+from siftline.streaming.jobs import payload_source, stream, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -404,3 +407,18 @@ def result_documents(spark, d):
     r = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("row_count"))
     one = {"status": F.lit("ready"), "error": F.lit(None).cast("string"), "algorithm": F.lit("gmm"), "cluster_count": F.lit(3), "entropy": F.lit(0.5), "slope": F.lit(0.25), "outlier_ratio": F.lit(0.0)}
     return result_json(r.withColumns(one))
+
+
+@query("SELECT user_id AS job_id, 'ready' AS status, (2 * count(*) - 1)::BIGINT AS row_count FROM events GROUP BY 1")
+def stream_results(spark, d):
+    """One job per user through a stream of files, four files in a batch."""
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
+    _payloads(spark, d).select("job_id", "algorithm", "payload").repartition(8, "job_id").write.parquet(f"{folder}/in")
+    stream(payload_source(spark, f"{folder}/in", 4), f"{folder}/out", f"{folder}/state", CONFIG, once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("job_id", "status", "row_count")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::TIMESTAMP AS start, upper(event_type) AS severity, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def windowed_severity(spark, d):
+    rows_ = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.upper("event_type").alias("severity"))
+    return windowed_counts(rows_, "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -6,9 +6,9 @@ import pytest
 from siftline.config import Config, algorithm, load
 from siftline.operators.clustering import assign, closest_pair, cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors, features_by_key
-from siftline.operators.report import bars_svg, boolean_svg, compact_number, donut_angles, donut_svg, heat_cells, heat_svg, line_svg, scatter_svg
+from siftline.operators.report import bars_svg, boolean_svg, compact_number, dashboard_page, donut_angles, donut_svg, heat_cells, heat_svg, line_svg, scatter_svg
 from siftline.operators.summary import summary
-from siftline.plans.analysis import analyze, result_json, status_json
+from siftline.plans.analysis import Profile, analyze, result_json, status_json
 from siftline.sources.lines import SAMPLE, engine_lines, jobs
 from siftline.streaming.jobs import Engine, payload_source, results_of, stream, windowed_counts
 
@@ -125,6 +125,14 @@ def test_charts(spark):
     assert [compact_number(x) for x in (1234, 2_000_000, 12)] == ["1.2K", "2M", "12"]
 
 
+def test_dashboard(spark):
+    lines = "\n".join(f'{{"level":"L{i % 2}","a":{i},"b":{i * i},"ok":{"true" if i % 3 else "false"},"note":null}}' for i in range(12))
+    got = Profile.of(jobs(spark, [lines]))
+    page = dashboard_page(got)
+    assert page.count("<svg") == page.count("</svg>") >= 9 and "a vs b" in page and "null 100.0%" in page
+    got.close()
+
+
 def test_config():
     c = load('[x]\n; note\ndbscan_eps = 0.5\nnumeric_keys = ["a","b"]\ndefault_algorithm = "GMM"\nenable_shannon_entropy = false\nunknown = 1\n')
     assert (c.dbscan_eps, c.numeric_keys, c.default_algorithm, c.enable_shannon_entropy, c.dims) == (0.5, ("a", "b"), "gmm", False, 2)
