@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.config import Config
@@ -311,19 +311,20 @@ def feature_summary(spark, d):
     return s.select("row_count", *(r(F.col(c)[0]).alias(c) for c in ("mean", "min", "max", "stddev")), r("entropy").alias("entropy"), (r("slope") + 0.0).alias("slope"), r("outlier_ratio").alias("outlier_ratio"), "trend")
 
 
-def _embedding_features(spark, d, width=4, most=400):
-    """The first components of embeddings, scaled, as one job; clusterers of the reference kind work on small matrices."""
-    e = table(spark, d, "embeddings").where(F.col("vec_id") < most)
-    return e.select(F.lit(1).cast("long").alias("job_id"), F.col("vec_id").alias("row_id"), F.transform(F.slice("embedding", 1, width), lambda x: (x * 3).cast("float")).alias("v"))
+def _embedding_features(spark, d):
+    """The first four components of all embeddings, scaled; each label's vectors are a job."""
+    number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: (x * 3).cast("float"))
+    return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("job_id"), number.cast("long").alias("row_id"), v.alias("v"))
 
 
-_POINTS = "p AS (SELECT vec_id AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings WHERE vec_id < 400)"
+_POINTS = "p AS MATERIALIZED (SELECT label::BIGINT AS job, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings)"
 _SQ = "list_sum([(a.v[i] - b.v[i]) ^ 2 FOR i IN [1, 2, 3, 4]])"
 
 
 def _named(name):
     def run(spark, d):
-        return cluster(_embedding_features(spark, d), name, Config(dbscan_min_samples=3)).select("row_id", "label", "cluster_count")
+        return cluster(_embedding_features(spark, d), name, Config(dbscan_min_samples=3))
 
     run.__name__ = f"cluster_{name.replace('++', '')}"
     return run
@@ -335,35 +336,37 @@ for _name in ("kmeans++", "birch", "mean_shift", "gmm", "optics"):
 
 # seeds: dense rows with no earlier seed in reach; a row belongs to its first seed, if that isn't later than it
 query(
-    f"""WITH RECURSIVE {_POINTS}, n AS (SELECT a.r AS i, b.r AS j FROM p a, p b WHERE {_SQ} <= 0.2025),
-  core AS (SELECT i FROM n GROUP BY i HAVING count(*) >= 3), s(seeds, last) AS (
-    SELECT [min(i)], min(i) FROM core UNION ALL
-    SELECT list_append(s.seeds, x.i), x.i FROM s, LATERAL (SELECT min(c.i) AS i FROM core c WHERE c.i > s.last AND NOT EXISTS (SELECT 1 FROM n WHERE n.i = c.i AND list_contains(s.seeds, n.j))) x WHERE x.i IS NOT NULL),
-  final AS (SELECT seeds FROM s ORDER BY last DESC LIMIT 1), seed AS (SELECT unnest(seeds) AS i, unnest(range(len(seeds))) AS k FROM final)
-  SELECT p.r AS row_id, coalesce((SELECT min(k) FROM seed JOIN n ON n.i = seed.i WHERE n.j = p.r AND (seed.i <= p.r OR NOT EXISTS (SELECT 1 FROM n c WHERE FALSE)) AND seed.i <= p.r), -1)::BIGINT AS label,
-         (SELECT count(*) FROM seed)::BIGINT AS cluster_count FROM p"""
+    f"""WITH RECURSIVE {_POINTS}, n AS (SELECT a.job, a.r AS i, b.r AS j FROM p a JOIN p b USING (job) WHERE {_SQ} <= 0.2025),
+  core AS (SELECT job, i FROM n GROUP BY ALL HAVING count(*) >= 3), s(job, seeds, last) AS (
+    SELECT job, [min(i)], min(i) FROM core GROUP BY job UNION ALL
+    SELECT s.job, list_append(s.seeds, x.i), x.i FROM s, LATERAL (SELECT min(c.i) AS i FROM core c WHERE c.job = s.job AND c.i > s.last AND NOT EXISTS (SELECT 1 FROM n WHERE n.job = c.job AND n.i = c.i AND list_contains(s.seeds, n.j))) x WHERE x.i IS NOT NULL),
+  final AS (SELECT job, arg_max(seeds, last) AS seeds FROM s GROUP BY job), seed AS (SELECT job, unnest(seeds) AS i, unnest(range(len(seeds))) AS k FROM final)
+  SELECT p.job AS job_id, p.r AS row_id, coalesce((SELECT min(k) FROM seed JOIN n ON n.job = seed.job AND n.i = seed.i WHERE seed.job = p.job AND n.j = p.r AND seed.i <= p.r), -1)::BIGINT AS label,
+         (SELECT count(*) FROM seed WHERE seed.job = p.job)::BIGINT AS cluster_count FROM p"""
 )(_named("dbscan"))
 
 query(
-    f"""WITH {_POINTS}, c AS (SELECT a.r AS i, b.r AS j FROM p a JOIN p b ON a.r < b.r ORDER BY {_SQ}, a.r, b.r LIMIT 1)
-  SELECT p.r AS row_id, (CASE WHEN p.r = c.j THEN c.i WHEN p.r > c.j THEN p.r - 1 ELSE p.r END)::BIGINT AS label, ((SELECT count(*) FROM p) - 1)::BIGINT AS cluster_count FROM p, c"""
+    f"""WITH {_POINTS}, f AS (SELECT * FROM p WHERE r < 1024), n AS (SELECT job, count(*) AS n FROM f GROUP BY job),
+  c AS (SELECT a.job, a.r AS i, b.r AS j FROM f a JOIN f b ON a.job = b.job AND a.r < b.r QUALIFY row_number() OVER (PARTITION BY a.job ORDER BY {_SQ}, a.r, b.r) = 1)
+  SELECT p.job AS job_id, p.r AS row_id, (CASE WHEN p.r >= 1024 THEN 0 WHEN n.n <= 3 THEN p.r WHEN p.r = c.j THEN c.i WHEN p.r > c.j THEN p.r - 1 ELSE p.r END)::BIGINT AS label, (n.n - (n.n > 3)::INT)::BIGINT AS cluster_count
+  FROM p JOIN n USING (job) LEFT JOIN c USING (job)"""
 )(_named("agglomerative"))
 
 
-@query(f"WITH {_POINTS}, n AS (SELECT a.r, count(*) AS c FROM p a, p b WHERE sqrt({_SQ}) <= 0.54 GROUP BY a.r) SELECT r AS row_id, ((row_number() OVER (ORDER BY c DESC, r) - 1) // 3)::BIGINT AS label FROM n")
+@query(f"WITH {_POINTS}, n AS (SELECT a.job, a.r, count(*) AS c FROM p a JOIN p b USING (job) WHERE a.r < 4096 AND b.r < 4096 AND sqrt({_SQ}) <= 0.54 GROUP BY a.job, a.r) SELECT job AS job_id, r AS row_id, ((row_number() OVER (PARTITION BY job ORDER BY c DESC, r) - 1) // 3)::BIGINT AS label FROM n")
 def cluster_density_bands(spark, d):
-    return density_bands(_embedding_features(spark, d), 0.54, 3).select("row_id", "label")
+    return density_bands(_embedding_features(spark, d), 0.54, 3)
 
 
 @query()
 def cluster_kmeans_spread(spark, d):
-    return spread_kmeans(_embedding_features(spark, d, 4, 1 << 60)).select("row_id", "label")
+    return spread_kmeans(_embedding_features(spark, d).persist())
 
 
-@query(f"WITH {_POINTS} SELECT a.r AS row_id, round({_SQ}, 6) AS d FROM p a, p b WHERE b.r = 0")
+@query(f"WITH {_POINTS} SELECT a.job AS job_id, a.r AS row_id, round({_SQ}, 6) AS d FROM p a JOIN p b USING (job) WHERE b.r = 0")
 def distance_to_first(spark, d):
     f = _embedding_features(spark, d)
-    return f.crossJoin(F.broadcast(f.where("row_id = 0").select(F.col("v").alias("o")))).select("row_id", distance_sq(F.col("v"), F.col("o")).alias("d"))
+    return f.join(f.where("row_id = 0").select("job_id", F.col("v").alias("o")), "job_id").select("job_id", "row_id", distance_sq(F.col("v"), F.col("o")).alias("d"))
 
 
 def _told(spark, d):
