@@ -13,6 +13,7 @@ def insights(summaries: DataFrame, balances: DataFrame) -> DataFrame:
     s = summaries.join(balances, "job_id", "left")
     c, text = F.col, F.format_string
     percent = c("outlier_ratio") * 100
+    # titles and sentences are fixed values
     found = [
         (F.lit(True), "Segmentation", text("%d rows were compressed into %d cluster bands with %d numeric dimensions.", c("row_count"), c("cluster_count"), c("dimensions")), F.when(c("cluster_count") > 1, "warm").otherwise("calm")),
         (F.lit(True), "Distribution", text("Entropy landed at %.3f, which suggests a %s categorical spread in the payload.", c("entropy"), F.when(c("entropy") >= BROAD, "broad").otherwise("narrow")), F.when(c("entropy") >= BROAD, "hot").otherwise("calm")),
