@@ -11,13 +11,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from siftline.llm.staging import shuffle_width, text_bytes
 from siftline.llm.wordkeys import mix
 
 #: Keys that a task gathers before it packs them; bytes of text for each fragment.
-PACK_KEYS, FRAGMENT_BYTES = 1 << 20, 16 << 20
+PACK_KEYS, FRAGMENT_BYTES = 1 << 19, 8 << 20
 #: Bits of a finding's flag.
 SHARED, LATER = 1, 2
 
@@ -124,14 +125,15 @@ def shared_keys(docs: DataFrame, keys_of: KeysOf, fragments: int, places: bool)
     key_type = np.uint64 if places else np.uint32
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size, turn = [], 0, 0
+        # findings made here go to other fragments from task to task
+        parts, size, turn = [], 0, 7919 * TaskContext.get().partitionId()
         for batch in batches:
             for part in keys_of(batch):
                 parts.append(part if places else (part[0], part[1], np.zeros(len(part[1]), np.int8)))
                 size += len(part[1])
                 if size >= PACK_KEYS:
                     turn += 1
-                    if rows := list(_pack(parts, fragments, places, turn * 7919)):
+                    if rows := list(_pack(parts, fragments, places, turn)):
                         yield _batch([_slim(r, places) for r in rows])
                     parts, size = [], 0
         if parts and (rows := list(_pack(parts, fragments, places, turn))):
