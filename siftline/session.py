@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -11,4 +14,13 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return reachable(builder.getOrCreate())
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package wherever the driver was started; on a cluster it must be installed or shipped."""
+    root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return spark
