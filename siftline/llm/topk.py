@@ -85,9 +85,11 @@ def top_inner_products(vectors: DataFrame, query: F.Column, k: int = 5, scale: i
     size = valid.agg(F.max(F.size("x")), F.count(F.when(F.col("asks"), 1))).first()
     dims, many = size[0] or 0, size[1]
     chunks = -(-many // CHUNK)
-    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(2 * chunks))
+    # hashed to twice as many chunks as there must be, so that none is over CHUNK
+    chunks = 2 * chunks if chunks > 1 else chunks
+    chunk = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, chunks)))
     best = None
-    for c in range(2 * chunks):
+    for c in range(chunks):
         asked = valid.where("asks").where(chunk == c).orderBy("vec_id").select("vec_id", "x").toPandas()
         if len(asked):
             part = _top_of_chunk(valid.select("vec_id", "x"), asked["vec_id"].to_numpy(np.int64), _matrix(asked["x"], dims), dims, k)
