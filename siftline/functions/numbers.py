@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,17 +74,19 @@ def _fnv(data: bytes):
     return Decimal(h)
 
 
-@F.pandas_udf(T.DoubleType())
-def line_hash_feature(lines: pd.Series) -> pd.Series:
-    """A line's hash modulo a million, in thousandths; all lines of a batch go byte by byte together."""
-    raw = [x.encode() for x in lines]
+@F.arrow_udf(T.DoubleType())
+def line_hash_feature(lines: pa.Array) -> pa.Array:
+    """A line's hash modulo a million, in thousandths, null for null; all lines of a batch go byte by byte together."""
+    texts = lines.to_pylist()
+    raw = [x.encode() for x in texts if x is not None]
     h = np.full(len(raw), 1469598103934665603, np.uint64)
     size = np.array([len(x) for x in raw])
     order = np.argsort(-size, kind="stable")
     for i in range(int(size.max(initial=0))):
         some = order[: int(np.searchsorted(-size[order], -i, "left"))]
         h[some] = (h[some] ^ np.array([raw[k][i] for k in some], np.uint64)) * np.uint64(1099511628211)
-    return pd.Series((h % np.uint64(1_000_000)).astype(float) / 1000.0)
+    values = iter(((h % np.uint64(1_000_000)).astype(float) / 1000.0).tolist())
+    return pa.array([None if x is None else next(values) for x in texts], pa.float64())
 
 
 def distance_sq(a: F.Column, b: F.Column) -> F.Column:

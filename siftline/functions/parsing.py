@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,6 +20,7 @@ MESSAGE_KEYS = ("msg", "message", "text", "event", "detail", "description", "err
 
 FIELD = "struct<key:string,type:string,num:double,str:string,bool:boolean,json:string>"
 _FIELDS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("type", T.StringType()), ("num", T.DoubleType()), ("str", T.StringType()), ("bool", T.BooleanType()), ("json", T.StringType()))]))
+_KINDS = {"key": pa.string(), "type": pa.string(), "num": pa.float64(), "str": pa.string(), "bool": pa.bool_(), "json": pa.string()}
 #: Objects nested deeper stay as they are.
 DEPTH = 5
 #: Marks around keys while pairs are cut out; private-use characters that lines don't hold.
@@ -27,27 +30,29 @@ ISO = r"^[+-]?\d{4,6}(?:-\d\d(?:-\d\d)?)?(?:[T ]\d\d:\d\d(?::\d\d(?:[.,]\d{1,9})
 MAIL = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\s+\d{1,2}:\d\d(?::\d\d)?\s*(?:GMT|UTC|Z|[+-]\d{4})?$"
 
 
+_SURROGATE = re.compile("[\ud800-\udfff]")
+
+
 def _no_constant(name: str):
     raise ValueError(name)
 
 
 def _sound(text: str) -> str:
-    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+    return text if text.isascii() or not _SURROGATE.search(text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def _field(key: str, value) -> dict:
-    out = {"key": _sound(key), "type": "string", "num": None, "str": None, "bool": None, "json": None}
+def _typed(key: str, value) -> tuple:
+    """A field as (key, type, num, str, bool, json)."""
+    key = _sound(key)
     if value is None:
-        out["type"] = "null"
-    elif isinstance(value, bool):
-        out |= {"type": "boolean", "bool": value}
-    elif isinstance(value, (int, float)):
-        out |= {"type": "number", "num": float(value) if abs(value) < 1e308 else float("inf") * (1 if value > 0 else -1)}
-    elif isinstance(value, str):
-        out["str"] = _sound(value)
-    else:
-        out |= {"type": "array" if isinstance(value, list) else "object", "json": _sound(json.dumps(value, separators=(",", ":"), ensure_ascii=False))}
-    return out
+        return key, "null", None, None, None, None
+    if isinstance(value, bool):
+        return key, "boolean", None, None, value, None
+    if isinstance(value, (int, float)):
+        return key, "number", float(value) if abs(value) < 1e308 else float("inf") * (1 if value > 0 else -1), None, None, None
+    if isinstance(value, str):
+        return key, "string", None, _sound(value), None, None
+    return key, "array" if isinstance(value, list) else "object", None, None, None, _sound(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
 
 
 def flatten(value: dict) -> dict:
@@ -66,7 +71,7 @@ def flatten(value: dict) -> dict:
     return out
 
 
-def parse_object(line: str | None) -> list[dict] | None:
+def parse_object(line: str | None) -> list[tuple] | None:
     """The flattened fields of a line that is a JSON object; None for anything else."""
     if not line or not line.startswith("{"):
         return None
@@ -74,12 +79,19 @@ def parse_object(line: str | None) -> list[dict] | None:
         value = json.loads(line, parse_constant=_no_constant)
     except (ValueError, RecursionError):
         return None
-    return [_field(k, v) for k, v in flatten(value).items()] if isinstance(value, dict) else None
-
-
-@F.pandas_udf(_FIELDS)
-def json_fields(lines: pd.Series) -> pd.Series:
-    return lines.map(parse_object)
+    return [_typed(k, v) for k, v in flatten(value).items()] if isinstance(value, dict) else None
+
+
+@F.arrow_udf(_FIELDS)
+def json_fields(lines: pa.Array) -> pa.Array:
+    """``parse_object`` of each line, put together column by column."""
+    found = [parse_object(x) for x in lines.to_pylist()]
+    sizes = np.array([0 if f is None else len(f) for f in found], np.int32)
+    every = [x for f in found if f is not None for x in f]
+    columns = list(zip(*every, strict=True)) if every else [[]] * len(_KINDS)
+    children = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values(), strict=True)], list(_KINDS))
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, children, mask=pa.array([f is None for f in found]))
 
 
 def let(value: F.Column, f) -> F.Column:
