@@ -62,7 +62,7 @@ def _near(table: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, n, a, b) of the classes so much of whose set occurs elsewhere that a link is possible."""
+    """(node, n, a, b) of the classes (with copies, their number of rows) so much of whose set occurs elsewhere that a link is possible."""
 
     def keys_of(batch):
         for _, sets in _sets(batch, k):
@@ -70,9 +70,11 @@ def _candidates(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
             size = [len(s) for s in sets]
             yield np.repeat(one, size), np.concatenate(sets), np.zeros(sum(size), np.int32)
 
-    found = shared_keys(docs.select("text"), keys_of, fragments_for(docs), places=False)
+    found = shared_keys(docs.where("doc_id is not null").select("text"), keys_of, fragments_for(docs), places=False)
     total = found.select(F.col("owner").alias("a"), F.col("n").alias("shared"))
-    return staged(classes.join(total, "a").where(100 * F.col("shared") >= percent * F.col("n")).select("node", "n", "a", "b"))
+    # each copy has counted its shingles
+    enough = 100 * F.col("shared") >= percent * F.col("n") * F.col("copies")
+    return staged(classes.join(total, "a").where(enough).select("node", "n", "a", "b"))
 
 
 def _ordered_sets(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -188,7 +190,7 @@ def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFra
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = staged(shingle_sets(docs, k))
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     nodes = _candidates(docs, classes, k, percent)
     ordered = _ordered_sets(docs, nodes, k, percent)
     lists = staged(ordered.select("node", "n", "shared", F.explode("firsts").alias("key")))
