@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -415,7 +417,11 @@ def result_documents(spark, d):
 @query("SELECT user_id AS job_id, 'ready' AS status, (2 * count(*) - 1)::BIGINT AS row_count FROM events GROUP BY 1")
 def stream_results(spark, d):
     """One job per user through a stream of files, four files in a batch."""
-    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()).rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:  # as in tests, on one machine
+        shared = tempfile.mkdtemp(prefix="siftline-")
+        atexit.register(shutil.rmtree, shared, ignore_errors=True)
+    folder = f"{shared.rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
     _payloads(spark, d).select("job_id", "algorithm", "payload").repartition(8, "job_id").write.parquet(f"{folder}/in")
     stream(payload_source(spark, f"{folder}/in", 4), f"{folder}/out", f"{folder}/state", CONFIG, once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("job_id", "status", "row_count")
