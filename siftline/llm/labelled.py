@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftline.llm.staging import small_batches
+
 #: A score from which a document is predicted to be of label 1.
 CUT = 0.7
 
@@ -27,7 +29,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int,
     rows = rows.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = rows.orderBy(F.xxhash64("_id"), "_id").limit(most).groupBy("_id").agg(F.max("_label").alias("_label"))
     # bounded by ``most``, so it can go to every executor
-    return docs.join(F.broadcast(chosen), docs.doc_id == F.col("_id")).select(F.col("text").cast("string").alias("text"), F.col("_label").alias("label"))
+    return small_batches(docs).join(F.broadcast(chosen), docs.doc_id == F.col("_id")).select(F.col("text").cast("string").alias("text"), F.col("_label").alias("label"))
 
 
 def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:
@@ -39,7 +41,7 @@ def scored(docs: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFram
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], names=[*batch.schema.names, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double"
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)
 
 
 def kept(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], cut: float = CUT) -> DataFrame:
@@ -50,4 +52,4 @@ def kept(docs: DataFrame, score: Callable[[pa.Array], np.ndarray], cut: float =
             if batch.num_rows:
                 yield batch.filter(pa.array(score(batch.column("text")) >= cut))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.components import components
 from siftline.llm.sharedkeys import fragments_for, shared_keys
-from siftline.llm.staging import staged
+from siftline.llm.staging import small_batches, staged
 from siftline.llm.wordkeys import Words, mix, shingles, slices
 
 #: Members of an n-gram's list that are compared inside one row; buckets of the overlap bound; fragments of a pair's sets.
@@ -53,7 +53,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
                 one, two = _digests(sets)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(one), pa.array(two)], names=["doc_id", "n", "a", "b"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, a long, b long")
+    return small_batches(docs).mapInArrow(run, "doc_id long, n long, a long, b long")
 
 
 def _near(table: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from siftline.llm.staging import shuffle_width, text_bytes
+from siftline.llm.staging import shuffle_width, small_batches, text_bytes
 from siftline.llm.wordkeys import mix
 
 #: Keys that a task gathers before it packs them; bytes of text for each fragment.
@@ -171,7 +171,7 @@ def shared_keys(docs: DataFrame, keys_of: KeysOf, fragments: int, places: bool)
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FINDING, strict=True)], schema=_FINDING)
 
-    packed = docs.mapInArrow(pack, _PACKED_DDL)
+    packed = small_batches(docs).mapInArrow(pack, _PACKED_DDL)
     findings = packed.groupBy("fragment").applyInArrow(look, "bucket int, owners binary, counts binary, places binary, flags binary")
     return findings.groupBy("bucket").applyInArrow(_sum_per_owner, "owner long, n long, places binary, flags binary")
 

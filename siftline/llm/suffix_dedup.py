@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.sharedkeys import LATER, fragments_for, shared_keys
-from siftline.llm.staging import staged
+from siftline.llm.staging import small_batches, staged
 from siftline.llm.wordkeys import Words, runs, slices
 
 #: Words of a suffix that are compared first; bits of a position in the minimisers' order.
@@ -156,6 +156,6 @@ def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             yield done.filter(pa.array(~gone))
 
     windows = staged(repeated_windows(docs, min_words)).select(F.col("doc_id").alias("__repeat_doc"), F.col("places").alias("__repeat_places"), F.col("flags").alias("__repeat_flags"))
-    joined = docs.join(windows, docs.doc_id == windows["__repeat_doc"], "left").drop("__repeat_doc")
+    joined = small_batches(docs).join(windows, docs.doc_id == windows["__repeat_doc"], "left").drop("__repeat_doc")
     cut_docs = joined.mapInArrow(cut, docs.schema)
     return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_docs
