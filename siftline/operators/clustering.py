@@ -1,7 +1,7 @@
 """Seven ways to segment a job's feature vectors, with their observed semantics.
 
-A job's matrix is bounded (MAX_ROWS rows of eight floats, 64 MB), so a job is one group; jobs spread over the
-cluster. k-means also has a form that spreads one job's rows, ``spread_kmeans``.
+Jobs of up to GROUP_ROWS rows are a group each. Larger ones are spread over tasks (``spread``), but for optics and
+agglomerative, which look at a job's first rows only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from siftline.config import algorithm as named
 K, KMEANS_ROUNDS, GMM_ROUNDS = 3, 12, 8
 LEADERS, MODES, SHIFTS, MODE_REACH = 8, 16, 6, 0.04
 BAND_ROWS, PAIR_ROWS = 4096, 1024
+#: Rows of the largest job that goes into one group.
+GROUP_ROWS = 4096
 # Mixture weights to begin with; fixed values.
 WEIGHTS = (0.34, 0.33, 0.33)
 
@@ -76,7 +78,14 @@ def dbscan(x: np.ndarray, eps: float, least: int) -> tuple[np.ndarray, int]:
 
 def birch(x: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
     """Rows in order join the nearest of eight leaders or open one; when all are taken the last is moved."""
-    leader, held, n = np.zeros((LEADERS, x.shape[1])), np.zeros(LEADERS), 0
+    label, state = birch_fold(x, threshold)
+    return label, state[2]
+
+
+def birch_fold(x: np.ndarray, threshold: float, state: tuple | None = None) -> tuple[np.ndarray, tuple]:
+    """The rows' labels and the state after them: leaders, rows held by each, leaders in use."""
+    leader, held, n = state or (np.zeros((LEADERS, x.shape[1])), np.zeros(LEADERS), 0)
+    leader, held = leader.copy(), held.copy()
     label = np.zeros(len(x), int)
     for r, row in enumerate(x):
         far = ((leader[:n] - row) ** 2).sum(1)
@@ -88,7 +97,7 @@ def birch(x: np.ndarray, threshold: float) -> tuple[np.ndarray, int]:
         label[r] = best
         held[best] += 1
         leader[best] = ((leader[best] * (held[best] - 1) + row) / held[best]).astype(np.float32)
-    return label, n
+    return label, (leader, held, n)
 
 
 def mean_shift(x: np.ndarray, bandwidth: float) -> tuple[np.ndarray, int]:
@@ -184,16 +193,44 @@ def assign(x: np.ndarray, name: str, config: Config) -> tuple[np.ndarray, int]:
     return dbscan(x, eps, least)
 
 
-def cluster(features: DataFrame, name: str | None = None, config: Config = Config()) -> DataFrame:
-    """(job_id, row_id, label, cluster_count); the algorithm is ``name`` or the features' column ``algorithm``."""
-    marked = features if name is None else features.withColumn("algorithm", F.lit(name))
+def cluster(features: DataFrame, name: str | None = None, config: Config = Config(), most: int = GROUP_ROWS) -> DataFrame:
+    """(job_id, row_id, label, cluster_count); the algorithm is ``name`` or the features' column ``algorithm``.
+
+    Jobs are counted at once; those of more than ``most`` rows are written once and spread over tasks.
+    """
+    from siftline.llm.staging import staged
+    from siftline.operators import spread
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id", kind="stable")
         label, n = assign(np.stack(pdf["v"].to_list()), pdf["algorithm"].iloc[0], config)
         return pd.DataFrame({"job_id": pdf["job_id"], "row_id": pdf["row_id"], "label": label.astype("int32"), "cluster_count": np.int64(n)})
 
-    return marked.select("job_id", "row_id", "v", "algorithm").groupBy("job_id").applyInPandas(run, "job_id long, row_id long, label int, cluster_count long")
+    def grouped(some: DataFrame) -> DataFrame:
+        return some.groupBy("job_id").applyInPandas(run, "job_id long, row_id long, label int, cluster_count long")
+
+    marked = (features if name is None else features.withColumn("algorithm", F.lit(name))).select("job_id", "row_id", "v", "algorithm")
+    counted = marked.groupBy("job_id").agg(F.count("*").alias("n"), F.first("algorithm").alias("algorithm"), F.max(F.size("v")).alias("dims"))
+    large = counted.where(F.col("n") > most).collect()
+    if not large:
+        return grouped(marked)
+    table = marked.sparkSession.createDataFrame([(r["job_id"],) for r in large], "job_id long")
+    rows = staged(marked.join(F.broadcast(table), "job_id"))
+    out = grouped(marked.join(F.broadcast(table), "job_id", "left_anti"))
+    jobs: dict[str, list] = {}
+    for r in large:
+        jobs.setdefault(named(r["algorithm"]), []).append(r)
+    for kind, some in jobs.items():
+        own = rows.join(F.broadcast(marked.sparkSession.createDataFrame([(r["job_id"],) for r in some], "job_id long")), "job_id")
+        if kind in spread.FORMS:
+            labels = spread.FORMS[kind](own.drop("algorithm"), max(r["dims"] for r in some), config)
+        else:
+            first = BAND_ROWS if kind == "optics" else PAIR_ROWS
+            head = staged(grouped(own.where(F.col("row_id") < first)))
+            rest = own.where(F.col("row_id") >= first).select("job_id", "row_id", F.lit(0).alias("label"))
+            labels = head.unionByName(rest.join(F.broadcast(head.select("job_id", "cluster_count").distinct()), "job_id"))
+        out = out.unionByName(labels.select("job_id", "row_id", "label", "cluster_count"))
+    return out
 
 
 def spread_kmeans(features: DataFrame, k: int = K) -> DataFrame:

@@ -11,14 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftline.config import Config
+from siftline.config import MAX_DIMENSIONS, Config
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number
+from siftline.llm.staging import staged
 from siftline.operators import profile as p
 from siftline.operators.clustering import cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors
 from siftline.operators.fields import fields, parsed, rows
 from siftline.operators.insights import insights
 from siftline.operators.report import donut_angles, heat_cells, svg_points
+from siftline.operators.spread import numbered
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.plans.analysis import Profile, result_json, status_json
 from siftline.sources.lines import engine_lines, json_lines, profiler_lines
@@ -313,20 +315,22 @@ def feature_summary(spark, d):
     return s.select("row_count", *(r(F.col(c)[0]).alias(c) for c in ("mean", "min", "max", "stddev")), r("entropy").alias("entropy"), (r("slope") + 0.0).alias("slope"), r("outlier_ratio").alias("outlier_ratio"), "trend")
 
 
-def _embedding_features(spark, d):
-    """The first four components of all embeddings, scaled; each label's vectors are a job."""
-    number = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    v = F.transform(F.slice("embedding", 1, 4), lambda x: (x * 3).cast("float"))
-    return table(spark, d, "embeddings").select(F.col("label").cast("long").alias("job_id"), number.cast("long").alias("row_id"), v.alias("v"))
+def _embedding_features(spark, d, components: int = MAX_DIMENSIONS):
+    """The first components of all embeddings, scaled; each label's vectors are a job."""
+    v = F.transform(F.slice("embedding", 1, components), lambda x: (x * 3).cast("float"))
+    rows_ = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("job_id"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return numbered(rows_, "job_id", ["vec_id", "v"], "row_id").select("job_id", "row_id", "v")
 
 
+#: Components of the queries with SQL, which says four.
+SQL_COMPONENTS = 4
 _POINTS = "p AS MATERIALIZED (SELECT label::BIGINT AS job, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings)"
 _SQ = "list_sum([(a.v[i] - b.v[i]) ^ 2 FOR i IN [1, 2, 3, 4]])"
 
 
-def _named(name):
+def _named(name, components: int = MAX_DIMENSIONS):
     def run(spark, d):
-        return cluster(_embedding_features(spark, d), name, Config(dbscan_min_samples=3))
+        return cluster(_embedding_features(spark, d, components), name, Config(dbscan_min_samples=3))
 
     run.__name__ = f"cluster_{name.replace('++', '')}"
     return run
@@ -345,19 +349,19 @@ query(
   final AS (SELECT job, arg_max(seeds, last) AS seeds FROM s GROUP BY job), seed AS (SELECT job, unnest(seeds) AS i, unnest(range(len(seeds))) AS k FROM final)
   SELECT p.job AS job_id, p.r AS row_id, coalesce((SELECT min(k) FROM seed JOIN n ON n.job = seed.job AND n.i = seed.i WHERE seed.job = p.job AND n.j = p.r AND seed.i <= p.r), -1)::BIGINT AS label,
          (SELECT count(*) FROM seed WHERE seed.job = p.job)::BIGINT AS cluster_count FROM p"""
-)(_named("dbscan"))
+)(_named("dbscan", SQL_COMPONENTS))
 
 query(
     f"""WITH {_POINTS}, f AS (SELECT * FROM p WHERE r < 1024), n AS (SELECT job, count(*) AS n FROM f GROUP BY job),
   c AS (SELECT a.job, a.r AS i, b.r AS j FROM f a JOIN f b ON a.job = b.job AND a.r < b.r QUALIFY row_number() OVER (PARTITION BY a.job ORDER BY {_SQ}, a.r, b.r) = 1)
   SELECT p.job AS job_id, p.r AS row_id, (CASE WHEN p.r >= 1024 THEN 0 WHEN n.n <= 3 THEN p.r WHEN p.r = c.j THEN c.i WHEN p.r > c.j THEN p.r - 1 ELSE p.r END)::BIGINT AS label, (n.n - (n.n > 3)::INT)::BIGINT AS cluster_count
   FROM p JOIN n USING (job) LEFT JOIN c USING (job)"""
-)(_named("agglomerative"))
+)(_named("agglomerative", SQL_COMPONENTS))
 
 
 @query(f"WITH {_POINTS}, n AS (SELECT a.job, a.r, count(*) AS c FROM p a JOIN p b USING (job) WHERE a.r < 4096 AND b.r < 4096 AND sqrt({_SQ}) <= 0.54 GROUP BY a.job, a.r) SELECT job AS job_id, r AS row_id, ((row_number() OVER (PARTITION BY job ORDER BY c DESC, r) - 1) // 3)::BIGINT AS label FROM n")
 def cluster_density_bands(spark, d):
-    return density_bands(_embedding_features(spark, d), 0.54, 3)
+    return density_bands(_embedding_features(spark, d, SQL_COMPONENTS), 0.54, 3)
 
 
 @query()
@@ -367,15 +371,15 @@ def cluster_kmeans_spread(spark, d):
 
 @query(f"WITH {_POINTS} SELECT a.job AS job_id, a.r AS row_id, round({_SQ}, 6) AS d FROM p a JOIN p b USING (job) WHERE b.r = 0")
 def distance_to_first(spark, d):
-    f = _embedding_features(spark, d)
+    f = _embedding_features(spark, d, SQL_COMPONENTS)
     return f.join(f.where("row_id = 0").select("job_id", F.col("v").alias("o")), "job_id").select("job_id", "row_id", distance_sq(F.col("v"), F.col("o")).alias("d"))
 
 
 def _told(spark, d):
-    f = _embedding_features(spark, d)
-    labels = cluster(f, "kmeans++", CONFIG)
+    f = staged(_embedding_features(spark, d))
+    labels = staged(cluster(f, "kmeans++", CONFIG))
     counts = labels.groupBy("job_id").agg(F.max("cluster_count").alias("cluster_count"))
-    return f, labels, counts, summary(f, 4).join(counts, "job_id")
+    return f, labels, counts, summary(f, MAX_DIMENSIONS).join(counts, "job_id")
 
 
 @query()

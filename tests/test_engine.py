@@ -140,3 +140,34 @@ def test_config():
     assert [algorithm(x) for x in ("KMeans", "optics", None, "zzz")] == ["kmeans++", "optics", "dbscan", "dbscan"]
     with pytest.raises(ValueError):
         Config(dbscan_min_samples=0)
+
+
+@pytest.mark.parametrize("name", WANT)
+def test_large_jobs_are_spread_with_the_same_labels(spark, monkeypatch, name):
+    from siftline.operators import clustering, spread
+
+    rng, config = np.random.default_rng(5), Config(dbscan_min_samples=4)
+    made = {1: rng.normal(size=(150, 3)) * 0.6, 2: rng.normal(size=(110, 3)) * 2, 3: rng.normal(size=(20, 3))}
+    made = {j: x.astype(np.float32) for j, x in made.items()}
+    made[1][40:60] = made[1][7]
+    made[2][5] = np.nan if name in ("dbscan", "mean_shift") else 0
+    for module, most in ((spread, {"CELL_ROWS": 16, "FOLD_ROWS": 40}), (clustering, {"BAND_ROWS": 64, "PAIR_ROWS": 32})):
+        for k, v in most.items():
+            monkeypatch.setattr(module, k, v)
+    df = spark.createDataFrame([(j, i, [float(a) for a in v]) for j, x in made.items() for i, v in enumerate(x)], "job_id long, row_id long, v array<float>").repartition(3)
+    got = {(r["job_id"], r["row_id"]): (r["label"], r["cluster_count"]) for r in cluster(df, name, config, most=64).collect()}
+    want = {}
+    for j, x in made.items():
+        label, n = assign(x, name, config)
+        want |= {(j, i): (int(k), n) for i, k in enumerate(label)}
+    assert got == want
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    from siftline.operators.spread import numbered
+
+    rows = [(i % 3 if i % 2 else 7, i * 37 % 1000, i) for i in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "part long, at long, x long").repartition(5), "part", ["at"], "n").collect()
+    for part in {r[0] for r in rows}:
+        own = sorted((r["at"], r["n"]) for r in got if r["part"] == part)
+        assert [n for _, n in own] == list(range(len(own))) and len(own) == sum(r[0] == part for r in rows)
