@@ -273,7 +273,7 @@ def closest_pair(features: DataFrame) -> DataFrame:
 
 
 def density_bands(features: DataFrame, eps: float, least: int) -> DataFrame:
-    """(job_id, row_id, label): optics with equal counts in row order, in columns only."""
+    """(job_id, row_id, label): optics with equal counts in row order, in columns only; rows from BAND_ROWS on have label 0."""
     from siftline.functions.numbers import distance_sq
 
     some = features.where(F.col("row_id") < BAND_ROWS)
@@ -282,5 +282,8 @@ def density_bands(features: DataFrame, eps: float, least: int) -> DataFrame:
     right = some.select("job_id", F.col("v").alias("b"), cell.alias("cell"))
     near = left.join(right, ["job_id", "cell"]).where(F.sqrt(distance_sq(F.col("a"), F.col("b"))) <= eps)
     counts = near.groupBy("job_id", "row_id").agg(F.count("*").alias("n"))
+    # a row near to none, not even to itself, has a band too
+    counts = some.select("job_id", "row_id").join(counts, ["job_id", "row_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("n"), "row_id")) - 1
-    return counts.select("job_id", "row_id", F.floor(rank / least).cast("int").alias("label"))
+    bands = counts.select("job_id", "row_id", F.floor(rank / least).cast("int").alias("label"))
+    return bands.unionByName(features.where(F.col("row_id") >= BAND_ROWS).select("job_id", "row_id", F.lit(0).alias("label")))

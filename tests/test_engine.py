@@ -171,3 +171,14 @@ def test_rows_are_numbered_over_ranges(spark):
     for part in {r[0] for r in rows}:
         own = sorted((r["at"], r["n"]) for r in got if r["part"] == part)
         assert [n for _, n in own] == list(range(len(own))) and len(own) == sum(r[0] == part for r in rows)
+
+
+def test_rows_beyond_the_bands_have_label_0(spark, monkeypatch):
+    from siftline.operators import clustering
+
+    monkeypatch.setattr(clustering, "BAND_ROWS", 7)
+    points = [*TOY.tolist(), [float("nan"), 0.0]]
+    points[3] = [float("nan"), 1.0]
+    df = spark.createDataFrame([(1, i, p) for i, p in enumerate(points)], "job_id long, row_id long, v array<float>")
+    got = [r["label"] for r in density_bands(df, 0.54, 3).orderBy("row_id").collect()]
+    assert got == clustering.optics(np.array(points), 0.54, 3, stable=True)[0].tolist() and got[7:] == [0] * 4
