@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Lists of up to this many intervals go to every executor (some 20 MB); longer ones are joined by a shuffle.
 BROADCAST_ENTRIES = 200_000
-#: Labels of a host and parts of a path that patterns are looked up for.
-MOST_LABELS, MOST_PARTS = 8, 8
+#: How specific a host entry and a prefix entry are at least; a domain entry has its number of labels.
+HOST_RANK, PREFIX_RANK = 1_000_000, 2_000_000
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -35,16 +35,16 @@ def host_of(url: F.Column) -> F.Column:
     return F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1)), r"\.$", "")
 
 
-def _keys(host: F.Column, url: F.Column) -> F.Column:
-    """(pattern, how specific) of everything that can match, broad patterns first."""
+def _keys(host: F.Column, url: F.Column, most_labels: int, most_parts: int) -> F.Column:
+    """(pattern, how specific) of everything that can match a list whose entries are that deep, broad patterns first."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    above = F.sequence(F.lit(1), F.least(n, F.lit(MOST_LABELS)))
+    above = F.slice(F.sequence(F.lit(1), n), 1, most_labels)
     domains = F.transform(above, lambda i: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - i + 1, i), ".")).alias("pattern"), i.alias("rank")))
     path = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/*([^?#]*)", 1)
-    parts = F.slice(F.filter(F.split(F.lower(path), "/+"), lambda p: p != ""), 1, MOST_PARTS)
-    prefixes = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")).alias("pattern"), (i + 200).cast("int").alias("rank")))
-    return F.concat(domains, F.array(F.struct(F.concat(F.lit("host:"), host).alias("pattern"), F.lit(100).alias("rank"))), prefixes)
+    parts = F.slice(F.filter(F.split(F.lower(path), "/+"), lambda p: p != ""), 1, most_parts)
+    prefixes = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")).alias("pattern"), (i + PREFIX_RANK).cast("int").alias("rank")))
+    return F.concat(domains, F.array(F.struct(F.concat(F.lit("host:"), host).alias("pattern"), F.lit(HOST_RANK).alias("rank"))), prefixes)
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
@@ -56,9 +56,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     back. An empty list allows all; an empty table gives an empty table.
     """
     listed = validity(entries)
-    listed = F.broadcast(listed) if listed.count() <= BROADCAST_ENTRIES else listed
+    # hosts and paths are looked up as deep as the list's deepest entries
+    deep = lambda kind, mark: F.coalesce(F.max(F.when(F.col("pattern").startswith(f"{kind}:"), F.size(F.split("pattern", mark)))), F.lit(0))
+    entries_, labels, parts = listed.agg(F.count("*"), deep("domain", r"\."), deep("prefix", "/")).first()
+    listed = F.broadcast(listed) if entries_ <= BROADCAST_ENTRIES else listed
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
-    keyed = captures.select("capture_id", "url", "fetched_at", host.alias("host")).withColumn("keys", _keys(F.col("host"), F.coalesce("url", F.lit(""))))
+    keyed = captures.select("capture_id", "url", "fetched_at", host.alias("host")).withColumn("keys", _keys(F.col("host"), F.coalesce("url", F.lit("")), labels, parts))
     each = keyed.select("capture_id", "url", "fetched_at", "host", F.size("keys").alias("n_keys"), F.explode("keys").alias("key"))
     each = each.select("capture_id", "url", "fetched_at", "host", "n_keys", F.col("key.pattern").alias("looked_up"), F.col("key.rank").alias("rank"))
     active = (each["looked_up"] == listed["pattern"]) & (each["host"] != "") & (each["fetched_at"] >= listed["valid_from"]) & (listed["valid_to"].isNull() | (each["fetched_at"] < listed["valid_to"]))

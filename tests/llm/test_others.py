@@ -287,3 +287,15 @@ def test_hosts(spark):
     urls = {"HTTP://A.b:80/c": "a.b", "ftp://u@h/": "h", "//x": "", "http://[::1]/": "["}
     got = {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", host_of(F.col("u")).alias("h")).collect()}
     assert {u: got[u] for u in list(urls)[:3]} == {u: urls[u] for u in list(urls)[:3]}
+
+
+def test_url_filter_of_deep_entries(spark):
+    host, path = ".".join("abcdefghij") + ".com", "/".join("klmnopqrstu")
+    long = ".".join("x" for _ in range(120)) + ".org"
+    entries = [("domain", host, "block"), ("prefix", f"{host}/{path}", "allow"), ("domain", long, "watch"), ("host", long, "block")]
+    entries = spark.createDataFrame([(*e, 1) for e in entries], "kind string, pattern string, action string, listed_at int")
+    urls = [f"http://w.{host}/", f"http://{host}/{path}/v", f"http://{host}/k", f"http://{host[2:]}/{path}", f"http://{long}/"]
+    rows = spark.createDataFrame([(i, u, 5) for i, u in enumerate(urls)], "capture_id long, url string, fetched_at int")
+    told = lambda listed: [(r["n_active"], r["action"]) for r in filter_urls(rows, listed).orderBy("capture_id").collect()]
+    assert told(entries) == [(1, "block"), (2, "allow"), (1, "block"), (0, "allow"), (2, "block")]
+    assert told(entries.where("kind = 'host'")) == [(0, "allow")] * 4 + [(1, "block")]
