@@ -2,7 +2,8 @@
 
 A text's words are hashed, every GRAM consecutive ones to a rolling hash; of each WINDOW consecutive hashes the
 least is kept, the rightmost of equal ones, with its position. So two texts that share GRAM + WINDOW - 1 words in
-a row share a fingerprint. Words longer than PIECE characters count as several.
+a row share a fingerprint. A word longer than PIECE characters counts as all pieces of PIECE characters in it, one
+from each position, so unspaced texts that share PIECE + GRAM + WINDOW - 2 characters in a row share one too.
 
 Hash and position are one number: hash in the upper bits, the position counted down in the lower ones. The least
 number is then the least hash with the rightmost position.
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.staging import shuffle_width
 
-#: Words of a gram (a power of two) and hashes of a window (a power of two); characters of a word's piece.
+#: Words of a gram (a power of two) and hashes of a window (a power of two); characters of a long word's pieces.
 GRAM, WINDOW, PIECE = 4, 8, 16
 #: Bits of the position; the hash has the 35 others below the sign.
 PLACE_BITS = 28
@@ -39,8 +40,11 @@ def with_fingerprint(df: DataFrame, text: str, name: str) -> DataFrame:
     Each step has a column of its own, so that none is computed twice.
     """
     c = F.col
-    words = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(rf"[^\x20\x09-\x0D]{{1,{PIECE}}}"), F.lit(0))
-    out = df.withColumn("_h", F.transform(words, lambda w: F.xxhash64(w)))
+    words = F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    pieces = lambda w: F.regexp_extract_all(w, F.lit(rf"(?s)(?=(.{{{PIECE}}}))."), F.lit(1))
+    each = F.flatten(F.transform("_h", lambda w: F.when(F.length(w) > PIECE, pieces(w)).otherwise(F.array(w))))
+    out = df.withColumn("_h", words).withColumn("_h", F.when(F.exists("_h", lambda w: F.length(w) > PIECE), each).otherwise(c("_h")))
+    out = out.withColumn("_h", F.transform("_h", lambda w: F.xxhash64(w)))
     step = 1
     while step < GRAM:
         folded = _folded(c("_h"), step, lambda a, b: F.xxhash64(a, b))

@@ -62,6 +62,16 @@ def test_winnowing_picks_rightmost_minima_and_keeps_its_guarantee(spark, docs):
     assert [(1 << 28) - 1 - (x & (1 << 28) - 1) for x in ties] == list(range(WINDOW - 1, 11))
 
 
+def test_a_shift_in_an_unspaced_text_keeps_its_fingerprints(spark, docs):
+    r = random.Random(4)
+    text = "".join(r.choice("的一是不了人我在有他这中大来上😀") for _ in range(800))
+    shared = text[300:326]
+    rows = [(1, text), (2, "x" + text), (3, text[:400] + "y" + text[400:]), (4, "a" * 21 + shared + "b" * 40), (5, "p" * 34 + shared + "q" * 40)]
+    got = {r["doc_id"]: set(r["hashes"]) for r in fingerprints(docs(rows)).collect()}
+    like = lambda a, b: len(got[a] & got[b]) / len(got[a] | got[b])
+    assert like(1, 2) > 0.9 and like(1, 3) > 0.8 and got[4] & got[5]
+
+
 # mixing
 
 
