@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.staging import staged
+from siftline.llm.staging import staged, unstage
 
 
 def _hooked(pairs: DataFrame, within: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         large = _hooked(both, both).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
         low = large.where("u > v")
         small = _hooked(low, low)
+        last = now
         now = staged(
             small.select(F.col("v").alias("u"), F.col("least").alias("v"))
             .union(small.select("u", F.col("least").alias("v")))
@@ -35,6 +36,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             .distinct()
         )
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        unstage(last)
         if state == before:
             break
         before = state

@@ -12,12 +12,16 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from siftline.llm.staging import byte_batches, fresh
 
 # HTML's own vocabulary; fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title noscript".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes title meta link base audio video canvas object datalist map area param source track svg math".split())
+UNSEEN = frozenset(
+    "head script style template noscript iframe noembed noframes title meta link base audio video canvas object datalist map area param source track "  # the rest is what SVG and MathML hold unseen
+    "metadata desc defs symbol clippath mask annotation annotation-xml".split()
+)
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre search section summary table caption tr ul xmp".split()
@@ -40,18 +44,21 @@ IMPLIED |= {f"h{n}": IMPLIED["h1"] for n in range(2, 7)}
 SCOPE = frozenset("table td th caption html template button".split())
 IN_HEAD = frozenset("base link meta script style title noscript template head html".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?:!|\?)[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_STRAY = re.compile(r"<(?:!|\?|/?[a-zA-Z])")
-_HIDDEN = re.compile(r"(?:^|[;\s])(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_HIDDEN = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"(?:^|[;\s])visibility\s*:\s*(visible|hidden|collapse)", re.I)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "name", "open", "span", "start")
+    """``shown``: what the element's own visibility says, None where it says nothing and the parent's holds."""
+
+    __slots__ = ("children", "hidden", "name", "open", "shown", "span", "start")
 
     def __init__(self, name: str):
-        self.name, self.children, self.hidden, self.open, self.start, self.span = name, [], False, False, 1, 1
+        self.name, self.children, self.hidden, self.open, self.shown, self.start, self.span = name, [], False, False, None, 1, 1
 
 
 def _number(value: str | None, default: int) -> int:
@@ -62,6 +69,8 @@ def _described(node: Node, source: str) -> None:
     """What a tag's attributes say about visibility, list numbers and spans."""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(source)))}
     node.hidden = "hidden" in found or bool(_HIDDEN.search(found.get("style", ""))) or (node.name == "input" and found.get("type", "").lower() == "hidden")
+    seen = _VISIBILITY.findall(found.get("style", ""))
+    node.shown = seen[-1].lower() == "visible" if seen else None
     node.open = "open" in found
     node.start = _number(found.get("start") or found.get("value"), 1)
     node.span = max(1, min(100, _number(found.get("colspan"), 1)))
@@ -72,25 +81,39 @@ def _described(node: Node, source: str) -> None:
 
 
 class _Builder:
+    """Open elements, and for each name where in the stack it is open, so that no tag has to walk the stack."""
+
     def __init__(self):
         self.root = Node("html")
         self.stack = [self.root]
+        self.places: dict[str, list[int]] = {"html": [0]}
+
+    def is_open(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def _nearest(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def pop(self) -> None:
+        self.places[self.stack.pop().name].pop()
 
     def close(self, names, barrier=frozenset()) -> None:
         """Close the nearest open element of ``names``, with all inside it, unless the barrier is nearer."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].name in names:
-                del self.stack[i:]
-                return
-            if self.stack[i].name in barrier:
-                return
+        at = self._nearest(names)
+        if at and at >= self._nearest(barrier):
+            while len(self.stack) > at:
+                self.pop()
 
     def leave_head(self) -> None:
         if self.stack[-1].name == "head":
-            self.stack.pop()
+            self.pop()
 
     def open(self, name: str, source: str) -> None:
-        if name in ("html", "body") and any(n.name == name for n in self.stack):
+        if name in ("html", "body") and self.is_open(name):
             return
         if name not in IN_HEAD:
             self.leave_head()
@@ -105,14 +128,14 @@ class _Builder:
             _described(node, source)
         self.stack[-1].children.append(node)
         if name not in VOID:
-            self.stack.append(node)
+            self.push(node)
 
     def end(self, name: str) -> None:
         if name == "br":
             self.open("br", "")
-        elif name == "p" and not any(n.name == "p" for n in self.stack):
+        elif name == "p" and not self.is_open("p"):
             self.open("p", "")
-            self.stack.pop()
+            self.pop()
         elif name not in ("html", "body") and name not in VOID:
             self.close({name}, SCOPE - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot") else {"table"} - {name})
 
@@ -125,30 +148,65 @@ class _Builder:
             self.stack[-1].children.append(data)
 
 
+class _Source:
+    """A page read from left to right. What isn't found once isn't looked for again, so reading takes linear time."""
+
+    def __init__(self, text: str):
+        self.text, self.absent = text, set()
+
+    def find(self, what: str, at: int) -> int:
+        """Where ``what`` stands next, or the text's length."""
+        if what in self.absent:
+            return len(self.text)
+        found = self.text.find(what, at)
+        if found < 0:
+            self.absent.add(what)
+            return len(self.text)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends the tag begun before ``at``, quoted ones not counting; a quote that never ends is none."""
+        n = len(self.text)
+        while True:
+            at = _PLAIN.match(self.text, at).end()
+            if at >= n or self.text[at] == ">":
+                return at
+            end = self.find(self.text[at], at + 1)
+            at = end + 1 if end < n else at + 1
+
+
 def tree(source: str) -> Node:
-    """The document's tree; end tags without a start and unknown tags do no harm."""
-    build, at, n = _Builder(), 0, len(source)
+    """The document's tree; end tags without a start and unknown tags do no harm. A tag that the text's end cuts off is left out."""
+    build, page, at, n = _Builder(), _Source(source), 0, len(source)
     while at < n:
-        m = _TOKEN.search(source, at)
-        if m is None:
-            cut = _STRAY.search(source, at)  # a tag that the text's end cuts off
-            build.text(html.unescape(source[at : cut.start() if cut else n]))
-            break
-        build.text(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
+        begin = page.find("<", at)
+        follow = source[begin + 1 : begin + 2]
+        if follow not in ("!", "?", "/") and not (follow.isascii() and follow.isalpha()):  # a sign of its own
+            build.text(html.unescape(source[at : begin + 1]))
+            at = begin + 1
+            continue
+        build.text(html.unescape(source[at:begin]))
+        if source.startswith("<!--", begin):
+            at = page.find("-->", begin + 4) + 3
+            continue
+        tag = _TAG_NAME.match(source, begin)
+        if tag is None:  # a declaration, an instruction, or an end tag without a name
+            at = page.find(">", begin) + 1
             continue
-        name = m[2].lower()
-        if m[1]:
+        end = page.tag_end(tag.end())
+        if end >= n:
+            break
+        name, at = tag[1].lower(), end + 1
+        if follow == "/":
             build.end(name)
             continue
-        build.open(name, m[3].strip())
+        build.open(name, source[tag.end() : end].strip())
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
-            body = source[at : end.start() if end else n]
+            last = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)", re.I).search(source, at)
+            body = source[at : last.start() if last else n]
             build.text(html.unescape(body) if name in ("textarea", "title") else body)
             build.close({name})
-            at = end.end() if end else n
+            at = page.find(">", last.end()) + 1 if last else n
     return build.root
 
 
@@ -242,8 +300,12 @@ def _strays(table: Node) -> list:
     return out
 
 
-def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Cells' lines side by side, each column as wide as its widest one-column cell."""
+#: Blanks that aligning a table's columns may add: so many, and so many for each character of its cells.
+PADDING, PADDING_PER_CHARACTER = 400, 4
+
+
+def _widths(rows: list[list[tuple[list[str], int]]]) -> dict[int, int]:
+    """Each column's width: that of its widest one-column cell."""
     width: dict[int, int] = {}
     for row in rows:
         c = 0
@@ -251,25 +313,47 @@ def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
             if span == 1:
                 width[c] = max([width.get(c, 0), *map(len, lines)])
             c += span
+    return width
+
+
+def _rooms(row: list[tuple[list[str], int]], width: dict[int, int]) -> list[int]:
+    out, c = [], 0
+    for _, span in row:
+        out.append(sum(width.get(i, 0) for i in range(c, c + span)) + 3 * (span - 1))
+        c += span
+    return out
+
+
+def _aligned(rows: list[list[tuple[list[str], int]]]) -> list[str]:
+    """Cells' lines side by side in columns of one width.
+
+    Where that would take far more blanks than the cells have characters (one long or tall cell among many short
+    ones), each row's cells follow one another as lines of their own instead; no text is lost either way.
+    """
+    width = _widths(rows)
+    characters = sum(len(line) - line.count(" ") for row in rows for lines, _ in row for line in lines)
+    blanks = 0
+    for row in rows:
+        tall = max([len(lines) for lines, _ in row], default=0)
+        blanks += sum(room * tall - sum(map(len, lines)) for (lines, _), room in zip(row, _rooms(row, width), strict=True)) + 3 * tall * (len(row) - 1)
+        if blanks > PADDING + PADDING_PER_CHARACTER * characters:
+            return [line for row in rows for lines, _ in row for line in lines if line]
     out = []
     for row in rows:
+        rooms = _rooms(row, width)
         for k in range(max([len(lines) for lines, _ in row], default=0)):
-            c, parts = 0, []
-            for lines, span in row:
-                room = sum(width.get(i, 0) for i in range(c, c + span)) + 3 * (span - 1)
-                parts.append((lines[k] if k < len(lines) else "").ljust(room))
-                c += span
-            out.append(" | ".join(parts).rstrip())
+            out.append(" | ".join((lines[k] if k < len(lines) else "").ljust(room) for (lines, _), room in zip(row, rooms, strict=True)).rstrip())
     return out
 
 
 _MOST_NESTED_TABLES = 20
 
 
-def render(node: Node, nested: int = 0) -> str:
+def render(node: Node, nested: int = 0, shown: bool = True) -> str:
     """The visible text below ``node``. Tables nested deeper than twenty times are laid out like plain blocks."""
     page = _Page()
     lists: list[list] = []
+    seen = [shown]
     todo: list = [("see", node)]
     while todo:
         what, x = todo.pop()
@@ -277,22 +361,27 @@ def render(node: Node, nested: int = 0) -> str:
             x()
             continue
         if isinstance(x, str):
-            page.word(x)
+            if seen[-1]:
+                page.word(x)
             continue
         name = x.name
         if x.hidden or name in UNSEEN or (name == "dialog" and not x.open):
             continue
+        after = []
+        if x.shown is not None and x.shown != seen[-1]:
+            seen.append(x.shown)
+            after.append(seen.pop)
         if name == "br":
+            if x.shown is not None and after:
+                seen.pop()
             page.line()
             continue
         gap = 2 if name in SPACED and not (name in LISTS and lists) else 1 if name in BLOCK else 0
         if gap:
             page.block(gap)
-        after = []
-        if gap:
             after.append(lambda g=gap: page.block(g))
         children = x.children
-        if name == "hr":
+        if name == "hr" and seen[-1]:
             page.put("----")
         elif name in ("pre", "xmp", "textarea"):
             page.kept += 1
@@ -316,12 +405,13 @@ def render(node: Node, nested: int = 0) -> str:
             children = [c for c in children if isinstance(c, Node) and c.name == "summary"][:1]
         elif name in ("td", "th"):
             page.block(1)
-        elif name == "q":
+        elif name == "q" and seen[-1]:
             page.word('"')
             after.append(lambda: page.word('"'))
         elif name == "table" and nested < _MOST_NESTED_TABLES:
             captions, rows = _table_rows(x)
-            cells = [[(render_children(c, nested + 1).split("\n"), c.span) for c in row] for row in rows]
+            inherited = seen[-1]
+            cells = [[(render_children(c, nested + 1, inherited if c.shown is None else c.shown).split("\n"), c.span) for c in row] for row in rows]
             lines = _aligned(cells)
 
             def show(lines=lines):
@@ -341,10 +431,10 @@ def render(node: Node, nested: int = 0) -> str:
     return page.text()
 
 
-def render_children(cell: Node, nested: int) -> str:
+def render_children(cell: Node, nested: int, shown: bool) -> str:
     inner = Node("div")
     inner.children = cell.children
-    return render(inner, nested)
+    return render(inner, nested, shown)
 
 
 def visible_text(source: str | None) -> str:
@@ -355,15 +445,18 @@ def extract_text(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages``' columns but ``column``, and ``text``, what a reader of the page would see.
 
     Null and empty pages give empty text; broken markup is read as far as it goes, and text without tags is text.
-    Repeated rows each come back; a column ``text`` that pages have already is replaced. An empty table gives an
-    empty table.
+    Very long pages are read whole, in linear time; a table whose columns can't be aligned without far more blanks
+    than text has its cells on lines of their own. Repeated rows each come back; a column ``text`` that pages have
+    already is replaced, all others are carried. An empty table gives an empty table.
     """
-    kept = [c for c in pages.columns if c not in (column, "text")]
+    source = fresh("html", pages)
+    kept = [c for c in pages.columns if c.lower() not in (column.lower(), "text")]
 
     def run(batches):
         for batch in batches:
-            text = [visible_text(x) for x in batch.column("_html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(text, pa.string())], names=[*kept, "text"])
+            for part in byte_batches(batch, source):
+                text = [visible_text(x) for x in part.column(source).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(text, pa.string())], names=[*kept, "text"])
 
-    source = pages.select(*kept, F.col(column).cast("string").alias("_html"))
-    return source.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "_html") + ", text string")
+    table = pages.select(*(pages[c] for c in kept), pages[column].cast("string").alias(source))
+    return table.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in table.schema if f.name != source) + ", text string")

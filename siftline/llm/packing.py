@@ -21,7 +21,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.staging import small_batches, staged
+from siftline.llm.staging import staged
 from siftline.llm.wordkeys import slices
 
 CAPACITY, END_ID = 1024, 0
@@ -33,6 +33,9 @@ RANK_BUCKETS = 256
 GAP, ROUNDS = 2e-4, 4000
 #: Texts for which both tokenizer libraries read the same letter classes; others go the slower way.
 _COMMON = re.compile("[^\x00-ɏ‐-‧]|<\\|endoftext\\|>")
+#: A run of white space from which the quick library's pattern might overflow its stack.
+LONG_BLANK = 1 << 15
+_BLANK_RUN = re.compile(r"\s{%d}" % LONG_BLANK)
 
 
 @functools.lru_cache(maxsize=2)
@@ -50,7 +53,7 @@ def _tokenizers(path: str):
 def token_ids(text: str, path: str) -> list[int]:
     """The ids of the tokenizer file at ``path``; the same vocabulary's rank file beside it is read faster."""
     full, quick = _tokenizers(path)
-    if _COMMON.search(text):
+    if _COMMON.search(text) or (len(text) > LONG_BLANK and _BLANK_RUN.search(text)):
         return full.encode(text, add_special_tokens=False).ids
     return quick.encode_ordinary(text)
 
@@ -83,7 +86,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
                     rows += [(doc, *piece) for piece in known[t]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_pattern(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from siftline.llm.labelled import CUT, held_out, kept, scored, training_sample
 from siftline.llm.wordkeys import Words, mix, slices
 
+#: Bytes of labelled texts learnt from at most.
+MOST_BYTES = 256 << 20
 #: Labelled rows learnt from at most; trees, their depth, bins per statistic, step and the leaves' penalty.
 MOST_LABELLED, TREES, DEPTH, BINS, STEP, PENALTY = 20_000, 80, 4, 64, 0.15, 2.0
 #: Function words of several languages; fixed values.
@@ -138,7 +140,7 @@ def boost(x: np.ndarray, y: np.ndarray) -> Boosted:
 
 def learn_quality(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Boosted:
     """Trees learnt from at most ``most`` labelled rows' statistics; the texts stay on the executors."""
-    sample = training_sample(docs, labels, "quality", 4, 2, most)
+    sample = training_sample(docs, labels, "quality", 4, 2, most, MOST_BYTES)
 
     def run(batches):
         for batch in batches:
@@ -156,14 +158,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED
 
     Only the text enters a score: equal texts score alike; null and empty texts score by statistics of zeros.
     Labels are learnt from rows whose crc32(doc_id as text) mod 4 is not 2. Without labels, or with one kind
-    only, every document has the same score. Repeated rows, null ids and an empty table are scored like others.
+    only, every document has the same score. Repeated rows, null ids and an empty table are scored like others;
+    very long texts count whole. Columns named score, held_out or predicted are replaced, others are carried.
     """
     model = learn_quality(docs, labels, most)
-    out = scored(docs, lambda text: model.probability(statistics(text)))
-    return out.withColumns({"held_out": held_out(4, 2), "predicted": (F.col("score") >= CUT).cast("int")})
+    return scored(docs, lambda text: model.probability(statistics(text)), held_out=held_out(4, 2), predicted=(F.col("score") >= CUT).cast("int"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """``docs``' rows that the classifier predicts to be of quality 1, unchanged."""
+    """``docs``' rows that the classifier predicts to be of quality 1, unchanged.
+
+    Null and empty texts go or stay by the score of statistics of zeros; repeated rows and rows with a null doc_id
+    by their texts. Columns of any other name are carried. An empty table gives an empty table.
+    """
     model = learn_quality(docs, labels, most)
     return kept(docs, lambda text: model.probability(statistics(text)))

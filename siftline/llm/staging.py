@@ -5,22 +5,35 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.llm.wordkeys import slices
+
 _own_dirs: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``, or else the one set on the context.
+
+    A folder of our own takes its place only on a local master, where all tasks see the driver's disk; on a
+    cluster without a shared folder this refuses.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="siftline-")
-    return _own_dirs[app]
+    context = spark.sparkContext
+    on_context = context.getCheckpointDir()
+    if on_context:
+        return on_context
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _own_dirs:
+        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="siftline-")
+    return _own_dirs[context.applicationId]
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -36,26 +49,38 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet below the shared folder and read back.
 
     It cuts the lineage: a lost executor costs a read of files and no recomputation. Files go when the
-    interpreter ends.
+    interpreter ends, or earlier by ``unstage``.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/siftline/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
 
+def unstage(df: DataFrame) -> None:
+    """Removes the files of a table from ``staged`` that nothing will read again, such as a round of an iteration."""
+    _remove(df.sparkSession, df._staged_at)
 
-#: Texts of one Arrow batch; the default of 10 000 long texts fills an executor with batches alone.
-BATCH_ROWS = 1000
 
+#: Bytes of texts that Python works on at once; Spark's own limit of a batch is 64 MB.
+BATCH_BYTES = 8 << 20
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, its session sending texts to Python in batches of BATCH_ROWS at most."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(docs.sparkSession.conf.get(name))
-    if not 0 < now <= BATCH_ROWS:
-        docs.sparkSession.conf.set(name, str(BATCH_ROWS))
-    return docs
+
+def byte_batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose texts hold BATCH_BYTES at most, or one row where a single text is longer."""
+    for a, b in slices(batch.column(column), BATCH_BYTES):
+        yield batch.slice(a, b - a)
+
+
+def fresh(name: str, *tables: DataFrame) -> str:
+    """A column name that none of the tables has, for columns of our own beside theirs."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while (name := f"_{name}").lower() in taken:
+        pass
+    return name
 
 
 def shuffle_width(spark: SparkSession) -> int:

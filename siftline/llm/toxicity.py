@@ -19,6 +19,8 @@ from siftline.llm.wordkeys import Words, mix, slices
 
 #: Labelled rows learnt from at most; hashed words, their dimensions, filter widths and filters of each.
 MOST_LABELLED, TABLE, SIZE, WIDTHS, FILTERS = 10_000, 1 << 17, 8, (1, 2, 3), 16
+#: Bytes of labelled texts learnt from at most; words whose responses are held at once.
+MOST_BYTES, SPAN = 32 << 20, 1 << 15
 #: Bytes of a word's beginning that have an embedding of their own.
 BEGINNING = 5
 #: Rounds (more where documents are few), documents a step, step size; documents that must hold a hashed word before it is learnt.
@@ -68,11 +70,12 @@ class Network:
     cuts: dict[int, float] = field(default_factory=dict)
     slope: float = 1.0
 
-    def responses(self, ids: np.ndarray, kind=np.float32) -> list[np.ndarray]:
-        """Each width's filter responses at every position; the last ones see zeros beyond the end."""
-        n, most = len(ids), max(WIDTHS)
+    def responses(self, ids: np.ndarray, kind=np.float32, n: int | None = None) -> list[np.ndarray]:
+        """Each width's filter responses at the first ``n`` positions, or all; the last ones see zeros beyond the end."""
+        n, most = len(ids) if n is None else n, max(WIDTHS)
         e = np.zeros((n + most - 1, SIZE), kind)
-        np.add(self.words[ids[:, 0]], self.words[ids[:, 1]], out=e[:n])
+        seen = ids[: n + most - 1]
+        np.add(self.words[seen[:, 0]], self.words[seen[:, 1]], out=e[: len(seen)])
         parts = e @ np.concatenate([f[o] for f in self.filters for o in range(len(f))], 1).astype(kind)
         out, column = [], 0
         for width, shift in zip(WIDTHS, self.shifts, strict=True):
@@ -84,7 +87,15 @@ class Network:
         return out
 
     def pooled(self, ids: np.ndarray, begins: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.maximum(np.maximum.reduceat(r, begins[:-1], axis=0), 0) for r in self.responses(ids, np.float64)], 1)
+        """The largest response of each filter in each text, 0 at least; long texts go in spans."""
+        out = np.zeros((len(begins) - 1, FILTERS * len(WIDTHS)))
+        for a in range(0, len(ids), SPAN):
+            b = min(a + SPAN, len(ids))
+            first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
+            cuts = np.maximum(begins[first:last], a) - a
+            found = np.concatenate([np.maximum.reduceat(r, cuts, axis=0) for r in self.responses(ids[a : b + max(WIDTHS) - 1], np.float64, b - a)], 1)
+            np.maximum(out[first:last], found, out=out[first:last])
+        return out
 
     def raw(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         z, lang = np.zeros(len(text)), np.zeros(len(text), np.int64)
@@ -138,14 +149,30 @@ def _parameters(net: Network) -> dict[str, np.ndarray]:
     return {"out": net.out} | {f"f{i}": f for i, f in enumerate(net.filters)} | {f"s{i}": f for i, f in enumerate(net.shifts)}
 
 
+def _largest(net: Network, ids: np.ndarray, begins: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each width, every text's largest response of each filter (0 at least) and its place, the first of equal ones."""
+    n = len(begins) - 1
+    tops = [np.full((n, FILTERS), -np.inf, np.float32) for _ in WIDTHS]
+    at = [np.zeros((n, FILTERS), np.int64) for _ in WIDTHS]
+    for a in range(0, len(ids), SPAN):
+        b = min(a + SPAN, len(ids))
+        first, last = np.searchsorted(begins, a, "right") - 1, np.searchsorted(begins, b, "left")
+        cuts = np.r_[np.maximum(begins[first:last], a), b] - a
+        for r, top, place in zip(net.responses(ids[a : b + max(WIDTHS) - 1], np.float32, b - a), tops, at, strict=True):
+            for i in range(last - first):
+                part = r[cuts[i] : cuts[i + 1]]
+                where = part.argmax(0)
+                value = part[where, np.arange(FILTERS)]
+                better = value > top[first + i]
+                top[first + i, better] = value[better]
+                place[first + i, better] = (where + a + cuts[i])[better]
+    return [np.maximum(t, 0) for t in tops], at
+
+
 def _step(net: Network, ids, begins, y, weight, state, sums) -> None:
     """One step of gradient descent scaled by past gradients; only largest responses pass gradients back."""
     n = len(y)
-    tops, at = [], []
-    for r in net.responses(ids):
-        place = np.stack([r[begins[i] : begins[i + 1]].argmax(0) + begins[i] for i in range(n)])
-        tops.append(np.maximum(np.take_along_axis(r, place, 0), 0))
-        at.append(place)
+    tops, at = _largest(net, ids, begins)
     pooled = np.concatenate(tops, 1)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30)))
     d = ((p - y) * weight / n).astype(np.float32)
@@ -189,9 +216,8 @@ def _threshold(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Network:
-    """The network learnt from at most ``most`` labelled rows, a fifth of them for the thresholds."""
-    rows = training_sample(docs, labels, "toxic", 3, 1, most).toPandas()
-    rows["text"] = rows["text"].fillna("")
+    """The network learnt from at most ``most`` labelled rows of MOST_BYTES together, a fifth of them for the thresholds."""
+    rows = training_sample(docs, labels, "toxic", 3, 1, most, MOST_BYTES).toPandas()
     rows = rows.sort_values(["text", "label"]).sample(frac=1, random_state=3)
     texts, y = rows["text"].to_list(), rows["label"].to_numpy(float)
     if not len(y) or y.min() == y.max():
@@ -218,8 +244,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLE
 
     Only the text enters a score: equal texts score alike, null and empty ones as texts without words. Labels
     are learnt from rows whose crc32(doc_id as text) mod 3 is not 1. Without labels, or with one kind only, every
-    document has the same score. Repeated rows, null ids and an empty table are scored like others.
+    document has the same score. Repeated rows, null ids and an empty table are scored like others; very long texts
+    count whole, in spans of bounded memory. Columns named score, held_out or predicted are replaced, others are
+    carried.
     """
     net = learn_toxicity(docs, labels, most)
-    out = scored(docs, net.probability)
-    return out.withColumns({"held_out": held_out(3, 1), "predicted": (F.col("score") >= CUT).cast("int")})
+    return scored(docs, net.probability, held_out=held_out(3, 1), predicted=(F.col("score") >= CUT).cast("int"))

@@ -31,19 +31,24 @@ def validity(entries: DataFrame) -> DataFrame:
 
 
 def host_of(url: F.Column) -> F.Column:
-    """The host in lower case, without user, port or a final dot; empty where there is none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:\s]+)", 1)), r"\.$", "")
+    """The host in lower case, without user, port or a final dot, an IPv6 address with its brackets; empty where there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]\s]+)", 1)), r"\.$", "")
 
 
-def _keys(host: F.Column, url: F.Column, most_labels: int, most_parts: int) -> F.Column:
-    """(pattern, how specific) of everything that can match a list whose entries are that deep, broad patterns first."""
-    labels = F.split(host, r"\.")
+def _of_depths(depths: list[int], most: F.Column) -> F.Column:
+    """Those of the depths that are at most ``most``."""
+    return F.filter(F.array(*map(F.lit, sorted(depths))).cast("array<int>"), lambda i: i <= most)
+
+
+def _keys(host: F.Column, url: F.Column, label_depths: list[int], part_depths: list[int]) -> F.Column:
+    """(pattern, how specific) of everything that can match a list whose entries have those depths, broad patterns first."""
+    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
-    above = F.slice(F.sequence(F.lit(1), n), 1, most_labels)
+    above = _of_depths(label_depths, n)
     domains = F.transform(above, lambda i: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - i + 1, i), ".")).alias("pattern"), i.alias("rank")))
     path = F.regexp_extract(url, r"^\s*[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/*([^?#]*)", 1)
-    parts = F.slice(F.filter(F.split(F.lower(path), "/+"), lambda p: p != ""), 1, most_parts)
-    prefixes = F.transform(parts, lambda p, i: F.struct(F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i + 1), "/")).alias("pattern"), (i + PREFIX_RANK).cast("int").alias("rank")))
+    parts = F.filter(F.split(F.lower(path), "/+"), lambda p: p != "")
+    prefixes = F.transform(_of_depths(part_depths, F.size(parts)), lambda i: F.struct(F.concat(F.lit("prefix:"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")).alias("pattern"), (i + PREFIX_RANK).cast("int").alias("rank")))
     return F.concat(domains, F.array(F.struct(F.concat(F.lit("host:"), host).alias("pattern"), F.lit(HOST_RANK).alias("rank"))), prefixes)
 
 
@@ -56,9 +61,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     back. An empty list allows all; an empty table gives an empty table.
     """
     listed = validity(entries)
-    # hosts and paths are looked up as deep as the list's deepest entries
-    deep = lambda kind, mark: F.coalesce(F.max(F.when(F.col("pattern").startswith(f"{kind}:"), F.size(F.split("pattern", mark)))), F.lit(0))
-    entries_, labels, parts = listed.agg(F.count("*"), deep("domain", r"\."), deep("prefix", "/")).first()
+    # the depths of the list's entries, a few dozen numbers, say what to look up
+    deep = lambda kind, mark: F.collect_set(F.when(F.col("pattern").startswith(f"{kind}:"), mark))
+    labels = F.when(F.col("pattern").startswith("domain:["), 1).otherwise(F.size(F.split("pattern", r"\.")))
+    entries_, labels, parts = listed.agg(F.count("*"), deep("domain", labels), deep("prefix", F.size(F.split("pattern", "/")) - 1)).first()
     listed = F.broadcast(listed) if entries_ <= BROADCAST_ENTRIES else listed
     host = F.coalesce(host_of(F.col("url")), F.lit(""))
     keyed = captures.select("capture_id", "url", "fetched_at", host.alias("host")).withColumn("keys", _keys(F.col("host"), F.coalesce("url", F.lit("")), labels, parts))
