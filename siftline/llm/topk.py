@@ -1,11 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation.
 
-Each block of candidates has its components in sorted lists, one per dimension. The lists are read side by side,
-from the end that a query's sign makes best. What is read gives every candidate a lower and an upper score
-bound; reading stops when no candidate outside the k best can reach the kth lower bound, and the remaining
-candidates' scores are resolved from their last entries.
+Each block of candidates has its components in sorted lists, one per dimension, sorted once. For a query the lists
+are read side by side, each from the end that the query's sign makes best and down to one common contribution, in
+a few steps. What is read so far gives every candidate a lower and an upper score bound, and each step adds only
+what it reads. Reading stops when no candidate outside a few can reach the kth lower bound; the scores of those few
+are resolved from their components.
 
-The bounds of all queries of a group are kept as matrices, so a reading step is a few matrix products.
+A first search over a slice of the candidates gives each query a floor, which all tasks start from.
 """
 
 from __future__ import annotations
@@ -17,119 +18,161 @@ from pyspark.sql import functions as F
 
 from siftline.llm.staging import staged
 
-#: Candidates of a block, queries of a group, and queries sent to the executors at once (64 dimensions: 16 MB).
-BLOCK, GROUP, CHUNK = 4096, 256, 32_768
-#: Parts of the lists that are read before the bounds are looked at.
-DEPTHS = (0.125, 0.25, 0.5, 0.75)
+#: Candidates of a block, queries whose reading depths are looked up together, queries sent to the executors at once
+#: (64 dimensions: 16 MB), candidates of the first slice, about.
+BLOCK, GROUP, CHUNK, SLICE = 8192, 256, 32_768, 4096
+#: Shares of all entries that have been read, about, after each step.
+STEPS = (0.125, 0.25, 0.375, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 1.0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's k best columns, ties to the smaller id."""
-    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-    return np.take_along_axis(scores, order, 1), np.take_along_axis(np.broadcast_to(ids, scores.shape), order, 1)
+class Lists:
+    """A block's sorted lists: ``order[d]`` names the candidates by falling component d, ``value[d]`` holds these.
 
+    ``entries`` counts what has been read of them, of ``n * dims`` for each query.
+    """
 
-def read_lists(x: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, own: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (candidates, scores) that may be among its k best and reach ``floor``.
+    def __init__(self, x: np.ndarray):
+        self.n, self.dims = x.shape
+        self.x = x
+        self.order = np.argsort(-x, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.value = np.take_along_axis(x.T, self.order, 1)
+        self.rising = self.value[:, ::-1].copy()
+        self.entries = 0
+
+    def depths(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(thresholds, depths): for each query and step the common contribution, and how many entries of each list reach it."""
+        some = self.x[:: max(1, self.n // 32)]
+        sample = (queries[:, None, :] * some[None]).reshape(len(queries), -1)
+        theta = np.floor(np.quantile(sample, 1 - np.array(STEPS), axis=1).T)
+        depth = np.empty((len(queries), len(STEPS), self.dims), np.int64)
+        for d in range(self.dims):
+            q = queries[:, d, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                at_least = self.n - np.searchsorted(self.rising[d], theta / q, "left")
+                at_most = np.searchsorted(self.rising[d], theta / q, "right")
+            depth[:, :, d] = np.where(q > 0, at_least, np.where(q < 0, at_most, np.where(theta <= 0, self.n, 0)))
+        depth[:, -1] = self.n
+        return theta, np.maximum.accumulate(depth, axis=1)
+
+    def read(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the entries from depth a to depth b of each list add: (sum of contributions, number of entries) by candidate."""
+        ids, parts = [], []
+        for d in np.flatnonzero(b > a):
+            s = slice(a[d], b[d]) if q[d] > 0 else slice(self.n - b[d], self.n - a[d])
+            ids.append(self.order[d, s])
+            parts.append(self.value[d, s] * q[d])
+        if not ids:
+            return np.zeros(self.n), np.zeros(self.n, np.int64)
+        ids, parts = np.concatenate(ids), np.concatenate(parts)
+        self.entries += len(ids)
+        return np.bincount(ids, parts, self.n), np.bincount(ids, minlength=self.n)
+
+    def search(self, q: np.ndarray, theta: np.ndarray, depth: np.ndarray, floor: float, k: int, own: np.ndarray) -> np.ndarray:
+        """Candidates that may be among the k best and reach ``floor``; ``own`` ones take no part."""
+        seen, count, before = np.zeros(self.n), np.zeros(self.n, np.int64), np.zeros(self.dims, np.int64)
+        worst = np.minimum(self.value[:, 0] * q, self.value[:, -1] * q).min()
+        # sums of whole numbers are exact below 2**53; beyond, bounds give way by their rounding
+        slack = 1e-12 * float(np.abs(q) @ np.maximum(np.abs(self.value[:, 0]), np.abs(self.value[:, -1])))
+        for step in range(len(theta)):
+            more, entries = self.read(q, before, depth[step])
+            seen += more
+            count += entries
+            before = depth[step]
+            hidden = self.dims - count
+            lower = seen + hidden * worst
+            lower[own] = -np.inf
+            if self.n > k:
+                floor = max(floor, float(np.partition(lower, self.n - k)[self.n - k]))
+            # a hidden entry of any list contributes no more than the threshold that all lists have been read down to
+            qualified = seen + hidden * theta[step] >= floor - slack
+            qualified[own] = False
+            able = np.flatnonzero(qualified)
+            left = depth[step + 1].sum() - before.sum() if step + 1 < len(theta) else 0
+            if len(able) <= k or len(able) * self.dims <= left:
+                break
+        return able
+
+
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Integer inner products; in Python's integers where 64 bits might not hold them."""
+    if np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < 2.0**62 and max(np.abs(x).max(initial=0), np.abs(q).max(initial=0)) < 2.0**53:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    return np.array([sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x], object)
 
-    x: candidates by dimension; own[q]: the candidate that is the query itself, or -1. Integers held in floats.
-    """
-    n, dims = x.shape
-    rank = np.empty((n, dims), np.int64)
-    order = np.argsort(x, axis=0, kind="stable")
-    np.put_along_axis(rank, order, np.broadcast_to(np.arange(n)[:, None], (n, dims)), 0)
-    low, high = x.min(0), x.max(0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    rows = np.arange(len(queries))
-    live = own >= 0
-    for depth in (*DEPTHS, None):
-        d = n if depth is None else max(min(n, k + 1), int(n * depth))
-        from_top, from_bottom = rank >= n - d, rank < d
-        seen = up @ (x * from_top).T + down @ (x * from_bottom).T
-        if d == n:
-            upper = lower = seen
-        else:
-            last_top, last_bottom = np.take_along_axis(x, order[n - d : n - d + 1], 0)[0], np.take_along_axis(x, order[d - 1 : d], 0)[0]
-            hidden_top, hidden_bottom = (~from_top).T.astype(x.dtype), (~from_bottom).T.astype(x.dtype)
-            upper = seen + (up * last_top) @ hidden_top + (down * last_bottom) @ hidden_bottom
-            lower = seen + (up * low) @ hidden_top + (down * high) @ hidden_bottom
-        lower = lower.copy()
-        lower[rows[live], own[live]] = -np.inf
-        kth = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(queries), -np.inf)
-        kth = np.maximum(kth, floor)
-        open_ = upper >= kth[:, None]
-        open_[rows[live], own[live]] = False
-        if d == n or open_.sum() <= 4 * k * len(queries):
-            break
-    out = []
-    for q in range(len(queries)):
-        c = np.flatnonzero(open_[q])
-        out.append((c, x[c] @ queries[q]))
+
+def _matrix(lists, dims: int) -> np.ndarray:
+    out = np.zeros((len(lists), dims))
+    for i, v in enumerate(lists):
+        out[i, : len(v)] = v
     return out
 
 
+def _top_of_chunk(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> DataFrame:
+    """Each task's k best candidates that reach the query's floor; the queries are at most CHUNK or so."""
+    dims = queries.shape[1]
+
+    def run(batches):
+        floor, best = floors.copy(), [[] for _ in ids]
+        for batch in batches:
+            for s in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(s, BLOCK)
+                names = part.column("vec_id").to_numpy()
+                lists = Lists(_matrix(part.column("x").to_pylist(), dims))
+                for g in range(0, len(ids), GROUP):
+                    theta, depth = lists.depths(queries[g : g + GROUP])
+                    for q in range(g, min(g + GROUP, len(ids))):
+                        found = lists.search(queries[q], theta[q - g], depth[q - g], floor[q], k, np.flatnonzero(names == ids[q]))
+                        if len(found):
+                            score = _exact(lists.x[found], queries[q])
+                            best[q] = sorted([*best[q], *((-int(v), int(c)) for v, c in zip(score, names[found], strict=True))])[:k]
+                            if len(best[q]) == k:
+                                floor[q] = max(floor[q], float(-best[q][-1][0]))
+        rows = [(q, int(ids[q]), c, -s) for q, kept in enumerate(best) for s, c in kept]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["asked", "query_id", "vec_id", "score"])
+
+    return candidates.mapInArrow(run, "asked long, query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def top_inner_products(vectors: DataFrame, query: F.Column, k: int = 5, scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``vectors(vec_id, embedding)`` where ``query`` holds, its k best other rows.
 
-    Components count as floor(scale * x); score is their integer inner product; ties go to the smaller vec_id;
-    fewer rows than k give all. Vectors that are null or hold null, NaN or infinite components, and rows with a
-    null vec_id, take no part. A shorter vector counts as followed by zeros. Of rows with the same vec_id and
-    vector one counts; different vectors under one vec_id are different candidates, none of them for a query of
-    that vec_id. An empty table, or no query, gives an empty table.
+    Components count as floor(scale * x); score is their integer inner product, exact at any size (one over 64 bits
+    is an error); ties go to the smaller vec_id; fewer rows than k give all. Vectors that are null or hold null, NaN
+    or infinite components, and rows with a null vec_id, take no part. A shorter vector counts as followed by
+    zeros, an empty one as zeros. Of rows with the same vec_id and vector one counts; different vectors under one
+    vec_id are different candidates, none of them for a query of that vec_id. Other columns are ignored. An empty
+    table, or no query, gives an empty table.
     """
     spark = vectors.sparkSession
     x = F.transform("embedding", lambda v: F.floor(scale * v.cast("double")).cast("double"))
     fine = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     valid = vectors.where(fine).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("x"), query.alias("asks"))
     valid = staged(valid.dropDuplicates(["vec_id", "x"]))
-    size = valid.agg(F.max(F.size("x")), F.count(F.when(F.col("asks"), 1))).first()
-    dims, many = size[0] or 0, size[1]
+    size = valid.agg(F.max(F.size("x")), F.count(F.when(F.col("asks"), 1)), F.count("*")).first()
+    dims, many, rows = size[0] or 0, size[1], size[2]
     chunks = -(-many // CHUNK)
     # hashed to twice as many chunks as there must be, so that none is over CHUNK
     chunks = 2 * chunks if chunks > 1 else chunks
     chunk = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, chunks)))
-    best = None
+    candidates = valid.select("vec_id", "x")
+    slice_ = candidates.where(F.pmod(F.xxhash64(F.col("vec_id"), F.lit(1)), F.lit(max(1, rows // SLICE))) == 0)
+    parts = []
     for c in range(chunks):
         asked = valid.where("asks").where(chunk == c).orderBy("vec_id").select("vec_id", "x").toPandas()
         if len(asked):
-            part = _top_of_chunk(valid.select("vec_id", "x"), asked["vec_id"].to_numpy(np.int64), _matrix(asked["x"], dims), dims, k)
-            best = part if best is None else best.union(part)
-    if best is None:
+            ids, queries = asked["vec_id"].to_numpy(np.int64), _matrix(asked["x"], dims)
+            floors = np.full(len(ids), -np.inf)
+            if rows > 2 * SLICE:  # one number for each query of the chunk
+                first = _ranked(_top_of_chunk(slice_, ids, queries, floors, k), k).where(F.col("rank") == k).select("asked", "score").toPandas()
+                floors[first["asked"].to_numpy(np.int64)] = first["score"].to_numpy(float)
+            part = _ranked(_top_of_chunk(candidates, ids, queries, floors, k), k).select("query_id", "rank", "vec_id", "score")
+            parts.append(staged(part) if chunks > 1 else part)
+    if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id")
-    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
-
-
-def _matrix(lists, dims: int) -> np.ndarray:
-    out = np.zeros((len(lists), dims))
-    for i, v in enumerate(lists):
-        out[i, : len(v)] = v
-    return out
-
-
-def _top_of_chunk(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, dims: int, k: int) -> DataFrame:
-    """Each task's k best candidates of every query; the queries are at most CHUNK or so."""
-
-    def run(batches):
-        score = np.full((len(ids), k), -np.inf)
-        found = np.full((len(ids), k), np.iinfo(np.int64).max)
-        for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(s, BLOCK)
-                names = part.column("vec_id").to_numpy()
-                x = _matrix(part.column("x").to_pylist(), dims)
-                for g in range(0, len(ids), GROUP):
-                    some = slice(g, g + GROUP)
-                    same = ids[some, None] == names[None, :]
-                    own = np.where(same.any(1), same.argmax(1), -1)
-                    for q, (c, value) in enumerate(read_lists(x, queries[some], score[some, -1], k, own), g):
-                        c, value = c[names[c] != ids[q]], value[names[c] != ids[q]]
-                        both, who = np.r_[score[q], value], np.r_[found[q], names[c]]
-                        keep = np.lexsort((who, -both))[:k]
-                        score[q], found[q] = both[keep], who[keep]
-        q, r = np.nonzero(np.isfinite(score))
-        if len(q):
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(ids[q]), pa.array(found[q, r]), pa.array(score[q, r].astype(np.int64))], names=["asked", "query_id", "vec_id", "score"])
-
-    return candidates.mapInArrow(run, "asked long, query_id long, vec_id long, score long")
+    return parts[0] if len(parts) == 1 else spark.read.schema(parts[0].schema).parquet(*(p._staged_at for p in parts))

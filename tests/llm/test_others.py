@@ -12,7 +12,7 @@ from siftline.llm.fingerprints import GRAM, WINDOW, edited_fingerprints, fingerp
 from siftline.llm.html_text import extract_text, visible_text
 from siftline.llm.mixing import mix, mixed_documents
 from siftline.llm.packing import cutting_stock, pack_documents, placement, token_ids
-from siftline.llm.topk import read_lists, top_inner_products
+from siftline.llm.topk import Lists, top_inner_products
 from siftline.llm.url_filter import filter_urls, host_of, validity
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -210,18 +210,33 @@ def test_topk_edges(spark):
     assert [tuple(r) for r in top_inner_products(few, ask).orderBy("rank").collect()] == [(50, 1, 1, 131072), (50, 2, 2, -65536)]
 
 
-def test_lists_stop_early_and_lose_nothing():
+@pytest.mark.parametrize(("dims", "share"), [(3, 0.5), (64, 0.9)])
+def test_lists_stop_early_and_lose_nothing(dims, share):
+    """Unit vectors in 64 dimensions, like embeddings: with a floor well under all entries are read."""
     r = np.random.default_rng(4)
-    x = np.floor(256 * r.normal(size=(900, 3)))
-    q = np.floor(256 * r.normal(size=(7, 3)))
-    for own in (np.full(7, -1), np.arange(7)):
-        found = read_lists(x, q, np.full(7, -np.inf), 5, own)
-        for i, (c, s) in enumerate(found):
-            want = x @ q[i]
-            if own[i] >= 0:
-                want[own[i]] = -np.inf
-            assert set(np.sort(want)[-5:]) <= set(s) and (x[c] @ q[i] == s).all()
-    assert np.mean([len(c) for c, _ in found]) < 300
+    x = r.normal(size=(3000, dims))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True))
+    lists, queries = Lists(x), x[:12]
+    theta, depth = lists.depths(queries)
+    for i, q in enumerate(queries):
+        score = x @ q
+        score[i] = -np.inf
+        for floor in (-np.inf, np.sort(score[:1500])[-5]):
+            lists.entries = 0
+            found = lists.search(q, theta[i], depth[i], floor, 5, np.array([i]))
+            assert set(np.argsort(-score, kind="stable")[:5]) <= set(found) | set(np.flatnonzero(score == np.sort(score)[-5])) and i not in found
+        assert lists.entries < share * x.size
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    """Products of over 2**53, and two different vectors under the query's own id."""
+    big = [3.0e7 + 1 / 256, 1.0, 2.0]
+    rows = [(0, big), (0, [4.0e7, 0.0, 0.0]), (1, big), (2, [3.0e7, 5.0, 0.0]), (3, [-1.0, 0.0, 0.0])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = top_inner_products(table, F.col("vec_id") == 0).collect()
+    scaled = [[int(256 * c // 1) for c in v] for _, v in rows]
+    want = {s for q in (0, 1) for s in [sum(a * b for a, b in zip(scaled[q], scaled[c], strict=True)) for c in (2, 3, 4)]}
+    assert {r["score"] for r in got} == want and max(want) > 2**53 and {r["vec_id"] for r in got} == {1, 2, 3}
 
 
 # HTML
