@@ -230,8 +230,8 @@ def test_lists_stop_early_and_lose_nothing(dims, share):
 
 def test_scores_beyond_doubles_are_exact(spark):
     """Products of over 2**53, and two different vectors under the query's own id."""
-    big = [3.0e7 + 1 / 256, 1.0, 2.0]
-    rows = [(0, big), (0, [4.0e7, 0.0, 0.0]), (1, big), (2, [3.0e7, 5.0, 0.0]), (3, [-1.0, 0.0, 0.0])]
+    big = [1.0e6 + 1 / 256, 1.0, 2.0]
+    rows = [(0, big), (0, [1.5e6, 0.0, 0.0]), (1, big), (2, [1.0e6, 5.0, 0.0]), (3, [-1.0, 0.0, 0.0])]
     table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
     got = top_inner_products(table, F.col("vec_id") == 0).collect()
     scaled = [[int(256 * c // 1) for c in v] for _, v in rows]
