@@ -170,8 +170,60 @@ def test_cutting_stock_holds_the_demand():
         demand = r.integers(1, 300, len(lengths))
         plan = cutting_stock(lengths, demand, 1024)
         assert (sum(c * n for c, n in plan) == demand).all() and all((c * lengths).sum() <= 1024 for c, _ in plan)
-    where = placement({3: 10, 600: 4, 424: 4})
-    assert sum(len(v) for v in where.values()) >= 3 and placement({}) == {}
+    lengths, demand = np.array([3, 424, 600]), np.array([10, 4, 4])
+    where = placement(lengths, cutting_stock(lengths, demand, 1024))
+    assert sum(len(v) for v in where.values()) >= 3 and placement(np.zeros(0, np.int64), []) == {}
+
+
+def test_column_generation_comes_near_the_bound():
+    """All lengths from 1 to 1023: sequences in use against all ids over the capacity."""
+    r = np.random.default_rng(5)
+    lengths = np.arange(1, 1024)
+    for demand in (r.integers(20, 60, 1023), (6000 / (1 + lengths / 60)).astype(int)):
+        plan = cutting_stock(lengths, demand, 1024)
+        assert (sum(c * n for c, n in plan) == demand).all()
+        assert sum(n for _, n in plan) <= 1.01 * (lengths @ demand) / 1024 + 1
+
+
+def test_small_instances_are_packed_as_well_as_by_search():
+    """The linear program's value is at most the best whole packing, found by trying all; rounding adds few sequences."""
+    r = np.random.default_rng(9)
+
+    def least(items, capacity):
+        best = [len(items)]
+
+        def fill(k, rooms):
+            if len(rooms) >= best[0]:
+                return
+            if k == len(items):
+                best[0] = len(rooms)
+                return
+            for i in range(len(rooms)):
+                if rooms[i] >= items[k] and rooms[i] not in rooms[:i]:
+                    fill(k + 1, [*rooms[:i], rooms[i] - items[k], *rooms[i + 1 :]])
+            fill(k + 1, [*rooms, capacity - items[k]])
+
+        fill(0, [])
+        return best[0]
+
+    for _ in range(25):
+        items = sorted(r.integers(1, 40, 9).tolist(), reverse=True)
+        lengths, demand = np.unique(items, return_counts=True)
+        got = sum(n for _, n in cutting_stock(lengths, demand, 40))
+        assert least(items, 40) <= got <= least(items, 40) + 1
+
+
+def test_lengths_that_do_not_go_together_are_cut(spark, docs):
+    rows = [(i, "a b c d " * 175) for i in range(40)]
+    got = pack_documents(docs(rows)).collect()
+    used, sequences = sum(r["length"] for r in got), len({r["sequence_id"] for r in got})
+    assert len(got) > 40 and sequences - used / 1024 < 2
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\x1c", "\x1f", " \n"])
+def test_long_white_space_is_read(blank):
+    for t in (blank * 1_000_000, "a" + blank * 1_000_000 + "b"):
+        assert token_ids(t, PATH) == Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids
 
 
 # exact top-k
