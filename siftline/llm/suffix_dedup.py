@@ -1,10 +1,13 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only at content-selected positions: the minimiser of every window of ``min_words`` words, so a
-passage of that length has the same suffixes kept wherever it stands. The kept suffixes are sorted, in fragments
-of the order of their first words, and neighbours that agree come from a passage that may repeat. Such matches are
-extended to the left and right inside their documents: each way to reach ``min_words`` words around the kept
-position is compared with its sorted neighbours in turn, and what agrees is merged to the longest spans.
+passage of that length has the same suffixes kept wherever it stands. A suffix whose first words (its head) stand in
+one document only can't match and goes. The others are dealt by their heads and sorted by their words; neighbours are
+compared for the words they have in common. Matches are extended to the left inside their documents by comparing the
+words before the kept positions, as far as the windows of that minimiser reach, and longer passages are the unions
+of their windows.
+
+Hashes choose positions and deal records; what matches is decided on the words themselves.
 """
 
 from __future__ import annotations
@@ -13,15 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.sharedkeys import LATER, fragments_for, shared_keys
-from siftline.llm.staging import staged
-from siftline.llm.wordkeys import Words, runs, slices
+from siftline.llm.staging import fresh, shuffle_width, staged
+from siftline.llm.wordkeys import LOWER, SEPARATOR, Words, runs, slices
 
-#: Words of a suffix that are compared first; bits of a position in the minimisers' order.
-ANCHOR_WORDS, PLACE_BITS = 16, 26
+#: Words of a suffix's head; words of a text in which places are told apart at once; records compared at once.
+ANCHOR_WORDS, SPAN, CHUNK = 16, 1 << 25, 1 << 15
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -38,15 +41,16 @@ def anchors(words: Words, hashes: np.ndarray, min_words: int) -> tuple[np.ndarra
     anchor = min(ANCHOR_WORDS, min_words)
     grams = runs(hashes, anchor)
     width = min_words - anchor + 1
-    if len(hashes) < min_words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
-    low = np.uint64((1 << PLACE_BITS) - 1)
-    inside = (np.arange(len(grams)) - words.first[words.row[: len(grams)]]).astype(np.uint64)
-    ordered = (grams & ~low) | (low - (inside & low))
-    least = _window_minimum(ordered, width)
-    starts = np.flatnonzero(words.row[: len(least)] == words.row[min_words - 1 :][: len(least)])
-    place = (low - (least[starts] & low)).astype(np.int64)
-    return starts, place + words.first[words.row[starts]], grams
+    all_starts, all_anchors = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    low = np.uint64((1 << 26) - 1)
+    for begin in range(0, len(hashes) - min_words + 1, SPAN):
+        part = grams[begin : begin + SPAN + width - 1]
+        place = np.arange(len(part), dtype=np.uint64)
+        least = _window_minimum((part & ~low) | (low - place), width)
+        starts = np.flatnonzero(words.row[begin : begin + len(least)] == words.row[begin + min_words - 1 :][: len(least)])
+        all_starts.append(starts + begin)
+        all_anchors.append((low - (least[starts] & low)).astype(np.int64) + begin)
+    return np.concatenate(all_starts), np.concatenate(all_anchors), grams
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.ndarray]]:
@@ -56,47 +60,271 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, Words, np.nda
         yield batch.slice(a, b - a), words, words.hashes()
 
 
-def _spans(places: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """The union of [p, p + width) of all places, as sorted separate spans."""
-    p = np.unique(places)
-    new = np.flatnonzero(np.r_[True, p[1:] > p[:-1] + width])
-    return list(zip(p[new].tolist(), (p[np.r_[new[1:] - 1, len(p) - 1]] + width).tolist(), strict=True))
+def _heads(docs: DataFrame, min_words: int) -> DataFrame:
+    """(head, doc, place, known): the kept suffixes. Of those with one head in a task's texts only the documents of least
+    id are not known to be shared; so a head that all documents have costs each task one row to look up.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part, words, hashes in _rows(batch):
+                _, anchor, grams = anchors(words, hashes, min_words)
+                kept = np.unique(anchor)
+                if not len(kept):
+                    continue
+                row = words.row[kept]
+                doc, head, place = part.column("doc").to_numpy()[row], grams[kept].view(np.int64), kept - words.first[row]
+                order = np.argsort(head, kind="stable")
+                doc, head, place = doc[order], head[order], place[order]
+                begin = np.flatnonzero(np.r_[True, head[1:] != head[:-1]])
+                least = np.repeat(np.minimum.reduceat(doc, begin), np.diff(np.r_[begin, len(head)]))
+                yield pa.RecordBatch.from_arrays([pa.array(head), pa.array(doc), pa.array(place), pa.array(doc != least)], names=["head", "doc", "place", "known"])
+
+    return docs.mapInArrow(run, "head long, doc long, place long, known boolean")
+
+
+def _matched(docs: DataFrame, min_words: int) -> DataFrame:
+    """(doc, places): each document's kept positions whose head another document has too."""
+    heads = staged(_heads(docs, min_words))
+    # known rows have a lesser document in their task, so the others and one of them tell who shares a head
+    shared = heads.groupBy("head").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("head")
+    looked_up = heads.where("not known").join(shared, "head").select("doc", "place")
+    return heads.where("known").select("doc", "place").union(looked_up).groupBy("doc").agg(F.collect_set("place").alias("places"))
+
+
+def _joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(text, begins, ends) of all words one after another in lower case, one blank between them."""
+    size = words.end - words.start
+    begin = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 32, np.uint8)
+    letters = LOWER[words.raw[~SEPARATOR[words.raw]]]
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    return out.tobytes(), begin, begin + size
+
+
+_RECORD = "head long, after string, before string, doc long, place long, fewest long, most long, several boolean"
+_RUN = "doc long, start long, many long, later boolean"
+
+
+def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
+    """A record for each matched position: the words after it and before it that its windows reach.
+
+    Windows begin ``fewest`` to ``most`` words before the position. Records that agree in all of this inside a task
+    become one, that of the least document, with ``several`` set; the others' windows are settled (``head`` null).
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part, words, hashes in _rows(batch):
+                starts, anchor, grams = anchors(words, hashes, min_words)
+                wanted = np.zeros(len(hashes) + 1, bool)
+                for i, places in enumerate(part.column("places").to_pylist()):
+                    at = np.asarray(places, np.int64) + words.first[i]
+                    wanted[at[at < words.first[i + 1]]] = True
+                begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+                end = np.r_[begin[1:], len(anchor)] - 1 if len(begin) else begin
+                own = wanted[anchor[begin]]
+                begin, end = begin[own], end[own]
+                if not len(begin):
+                    continue
+                kept = anchor[begin]
+                row = words.row[kept]
+                doc, place, most, fewest = part.column("doc").to_numpy()[row], kept - words.first[row], kept - starts[begin], kept - starts[end]
+                text, first, last = _joined(words)
+                first, last = first.tolist(), last.tolist()
+                groups: dict[tuple, list[int]] = {}
+                for i, (p, m, f) in enumerate(zip(kept.tolist(), most.tolist(), fewest.tolist(), strict=True)):
+                    context = (text[first[p - m] : last[p + min_words - f - 1]], m, f)
+                    groups.setdefault(context, []).append(i)
+                rows = []
+                head = grams[kept].view(np.int64)
+                for (context, m, f), members in groups.items():
+                    least = min(doc[i] for i in members)
+                    several = any(doc[i] != least for i in members)
+                    i = members[0]
+                    cut = first[kept[i]] - first[kept[i] - m]
+                    before, after = context[: max(0, cut - 1)].decode(), context[cut:].decode()
+                    for i in members:
+                        mine = doc[i] == least
+                        rows.append((head[i] if mine else None, after if mine else None, before if mine else None, doc[i], place[i], f, m, several))
+                names = [c.split()[0] for c in _RECORD.split(", ")]
+                kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return docs.mapInArrow(run, _RECORD)
+
+
+def _words_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begins, ends): equal ids are equal words; where each record's words after its position begin, and where those before it end."""
+    after, before = (pc.split_pattern(chunk.column(c).combine_chunks(), " ") for c in ("after", "before"))
+    ids = pa.concat_arrays([after.values, before.values]).dictionary_encode().indices.to_numpy()
+    return ids, after.offsets.to_numpy()[:-1].astype(np.int64), before.offsets.to_numpy()[1:].astype(np.int64) + len(after.values)
 
 
-def _places(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, np.int32)
+def _in_common(ids: np.ndarray, begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """How many first words each record has in common with the one before it."""
+    table = np.full((len(count), int(count.max())), -1, np.int32)
+    for j in range(table.shape[1]):
+        has = count > j
+        table[has, j] = ids[begin[has] + j]
+    same = (table[1:] == table[:-1]) & (table[1:] >= 0)
+    return np.r_[0, np.where(same.all(1), table.shape[1], same.argmin(1))]
 
 
-def repeated_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, places, flags): packed starts of the windows of ``min_words`` words that another document has too."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fragments = fragments_for(docs)
+def compared(chunk: pa.Table, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(in several documents, in a lesser document too): for each record and each number of words before its position,
+    up to the most, whether the window that begins there is known to stand elsewhere.
 
-    def suffixes(batch):
-        for part, words, hashes in _rows(batch):
-            _, anchor, grams = anchors(words, hashes, min_words)
-            kept = np.unique(anchor)
-            row = words.row[kept]
-            yield part.column("doc_id").to_numpy()[row], grams[kept], (kept - words.first[row]).astype(np.int32)
+    The chunk holds all records of some heads, sorted by the words after the position.
+    """
+    doc, fewest, most = (chunk.column(c).to_numpy() for c in ("doc", "fewest", "most"))
+    several = chunk.column("several").to_numpy()
+    ids, begin, end = _words_of(chunk)
+    order = np.arange(len(doc))
+    letters = chunk.column("after").combine_chunks().buffers()[2]
+    if (np.frombuffer(letters, np.uint8) < 32).any():  # control characters sort before the blank that ends a word
+        size = min_words - fewest
+        order = np.array(sorted(order, key=lambda i: ids[begin[i] : begin[i] + size[i]].tolist()))
+    doc, fewest, most, several, begin, end = (x[order] for x in (doc, fewest, most, several, begin, end))
+    common = _in_common(ids, begin, min_words - fewest)
+    found, later = (np.zeros((len(doc), int(most.max()) + 1), bool) for _ in range(2))
+    left = np.zeros(len(doc), np.int64)  # equal numbers: the same words before the position, as many as looked at
+    for n in range(found.shape[1]):
+        if n:
+            has = most >= n
+            pair = np.where(has, left * (len(ids) + 1) + ids[np.maximum(end - n, 0)] + 1, -1 - np.arange(len(doc)))
+            left = np.unique(pair, return_inverse=True)[1].astype(np.int64)
+        own = np.flatnonzero((fewest <= n) & (n <= most))
+        if not len(own):
+            continue
+        # neighbours with so many words in common, and the same words before: the same window
+        key = np.cumsum(common < min_words - n)[own] * (len(doc) + 1) + left[own]
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        edge = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[edge, len(key)])
+        least = np.minimum.reduceat(doc[own], edge)
+        shared = (np.maximum.reduceat(doc[own], edge) != least) | np.logical_or.reduceat(several[own], edge)
+        found[own, n] = np.repeat(shared, size)
+        later[own, n] = doc[own] != np.repeat(least, size)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return found[back], later[back]
+
+
+def _runs(doc: np.ndarray, place: np.ndarray, found: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+    """Rows (doc, start, many, later) of neighbouring windows of one kind; column n of the tables is the window n words before place."""
+    kind = (found.astype(np.int8) + (found & later))[:, ::-1]
+    edged = np.pad(kind, ((0, 0), (1, 1)))
+    row, begin = np.nonzero((edged[:, 1:] != edged[:, :-1])[:, :-1] & (kind > 0))
+    row_, end = np.nonzero((edged[:, 1:] != edged[:, :-1])[:, 1:] & (kind > 0))
+    start = place[row] - (kind.shape[1] - 1 - begin)
+    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start), pa.array(end - begin + 1), pa.array(kind[row, begin] > 1)], names=["doc", "start", "many", "later"])
+
+
+def _neighbours(records: DataFrame, min_words: int, chunk_rows: int) -> DataFrame:
+    """Runs of repeated windows, by comparing the sorted records of each head; a head of more records than a chunk
+    holds comes back as records (``after`` not null), to be grouped by its windows."""
+
+    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        found, later = compared(table, min_words)
+        runs_ = _runs(table.column("doc").to_numpy(), table.column("place").to_numpy(), found, later)
+        none = [pa.nulls(runs_.num_rows, t) for t in kinds]
+        yield pa.RecordBatch.from_arrays([*runs_.columns, *none], names=names)
+
+    def leave(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        for b in table.to_batches():
+            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("place"), pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.bool_()), *(b.column(c) for c in names[4:])], names=names)
+
+    names, kinds = ["doc", "start", "many", "later", "after", "before", "fewest", "most", "several"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+
+    def run(batches):
+        held, leaving = None, None  # records of heads not complete yet; the head whose records are left as they are
+        for batch in batches:
+            known = batch.filter(pc.is_null(batch.column("head")))
+            if known.num_rows:  # every window of theirs stands in a lesser document too
+                many = pc.add(pc.subtract(known.column("most"), known.column("fewest")), 1)
+                start = pc.subtract(known.column("place"), known.column("most"))
+                none = [pa.nulls(known.num_rows, t) for t in kinds]
+                yield pa.RecordBatch.from_arrays([known.column("doc"), start, many, pa.array(np.ones(known.num_rows, bool)), *none], names=names)
+                batch = batch.filter(pc.is_valid(batch.column("head")))
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < chunk_rows:
+                continue
+            head = held.column("head").to_numpy()
+            if leaving is not None:
+                n = int(np.searchsorted(head != leaving, True)) if (head != leaving).any() else len(head)
+                yield from leave(held.slice(0, n))
+                held, head = held.slice(n), head[n:]
+                leaving = leaving if not len(head) else None
+            while len(head) >= chunk_rows:
+                edge = np.flatnonzero(head[1:] != head[:-1]) + 1
+                fits = edge[edge <= chunk_rows]
+                if len(fits):
+                    yield from settle(held.slice(0, int(fits[-1])))
+                    held, head = held.slice(int(fits[-1])), head[int(fits[-1]) :]
+                else:
+                    n = int(edge[0]) if len(edge) else len(head)
+                    leaving = None if len(edge) else head[0]
+                    yield from leave(held.slice(0, n))
+                    held, head = held.slice(n), head[n:]
+            held = held if held.num_rows else None
+        if held is not None and held.num_rows:
+            head = held.column("head").to_numpy()
+            n = int((head == leaving).sum()) if leaving is not None else 0
+            if n:
+                yield from leave(held.slice(0, n))
+            if held.num_rows > n:
+                yield from settle(held.slice(n))
 
-    def extensions(batch):
-        for part, words, hashes in _rows(batch):
-            starts, anchor, _ = anchors(words, hashes, min_words)
-            some = np.zeros(len(hashes), bool)
-            for i, packed in enumerate(part.column("places").to_pylist()):
-                at = _places(packed) + words.first[i]
-                some[at[at < words.first[i + 1]]] = True
-            starts = starts[some[anchor]]
-            row = words.row[starts]
-            window = runs(hashes, min_words)[starts] if len(starts) else np.zeros(0, np.uint64)
-            yield part.column("doc_id").to_numpy()[row], window, (starts - words.first[row]).astype(np.int32)
+    return records.mapInArrow(run, f"{_RUN}, after string, before string, fewest long, most long, several boolean")
 
-    matched = shared_keys(docs, suffixes, fragments, places=True).select(F.col("owner").alias("doc_id"), "places")
-    found = shared_keys(docs.join(matched, "doc_id").select("doc_id", "text", "places"), extensions, fragments, places=True)
-    return found.select(F.col("owner").alias("doc_id"), "places", "flags")
 
+def _by_window(records: DataFrame, min_words: int) -> DataFrame:
+    """The same for heads of very many records: each window's words are a key, grouped and joined back."""
+    n = F.col("n")
+    right, left = F.slice(F.split("after", " "), F.lit(1), (F.lit(min_words) - n).cast("int")), F.split("before", " ")
+    words = F.when(n > 0, F.concat(F.slice(left, (-n).cast("int"), n.cast("int")), right)).otherwise(right)
+    window = records.withColumn("n", F.explode(F.sequence("fewest", "most"))).select("doc", (F.col("start") - n).alias("start"), n, "several", F.array_join(words, " ").alias("window"))
+    least = window.groupBy("n", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.max("several").alias("any")).where("least < greatest or any")
+    return window.join(least, ["n", "window"]).select("doc", "start", F.lit(1).cast("long").alias("many"), (F.col("doc") > F.col("least")).alias("later"))
 
-def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
+
+def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK) -> DataFrame:
+    """(doc, windows): the starts of the windows of ``min_words`` words that another document has too, as runs (start, many, later).
+
+    later: a document of smaller id has them.
+    """
+    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    records = _suffixes(docs.join(_matched(docs, min_words), "doc"), min_words)
+    dealt = F.coalesce("head", F.xxhash64("doc", "place"))
+    ordered = records.repartition(shuffle_width(docs.sparkSession), dealt).sortWithinPartitions("head", "after")
+    settled = staged(_neighbours(ordered, min_words, chunk_rows))
+    found, left = settled.where("after is null").select("doc", "start", "many", "later"), settled.where("after is not null")
+    if not left.isEmpty():
+        found = found.union(_by_window(left, min_words))
+    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "many", "later")).alias("windows"))
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    """The union of the spans [begin, end), as sorted separate spans."""
+    order = np.argsort(begin, kind="stable")
+    b, e = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.r_[True, b[1:] > e[:-1]])
+    return list(zip(b[new].tolist(), e[np.r_[new[1:] - 1, len(e) - 1]].tolist(), strict=True))
+
+
+def _window_runs(column: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(begins, ends, later) in words of each row's runs of windows; none for a null."""
+    begin, many, later = (column.values.field(c).to_numpy(zero_copy_only=False) for c in ("start", "many", "later"))
+    offsets = column.offsets.to_numpy()
+    for i, valid in enumerate(column.is_valid().to_pylist()):
+        s = slice(offsets[i], offsets[i + 1]) if valid else slice(0, 0)
+        yield begin[s], begin[s] + many[s] - 1 + min_words, later[s].astype(bool)
+
+
+def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CHUNK) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_holder): the passages of at least ``min_words`` words that stand in
     several documents of ``docs(doc_id, text)``, other columns being ignored.
 
@@ -104,58 +332,61 @@ def repeated_passages(docs: DataFrame, min_words: int = 50) -> DataFrame:
     longest union of such passages; first_holder tells that no part of it stands in a document with a smaller
     doc_id. Repetition within one document doesn't count, and rows that repeat a doc_id are one document whose
     spans are pooled. Null, empty and short texts, and rows with a null doc_id, have no spans; documents without
-    spans have no row. An empty table gives an empty table.
+    spans have no row. Texts of any length are read whole. An empty table gives an empty table. A head of more than
+    ``chunk_rows`` different records is grouped by its windows' words in columns, with the same result.
     """
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, places, flags in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "places", "flags")), strict=True):
-                place, flag = _places(places), np.frombuffer(flags, np.uint8)
-                later = np.unique(place[flag & LATER > 0])
-                for a, b in _spans(place, min_words):
-                    before = np.searchsorted(later, a)
-                    out.append((doc, a, b, b - a, not (before < len(later) and later[before] < b)))
+            for doc, (begin, end, later) in zip(batch.column("doc").to_pylist(), _window_runs(batch.column("windows"), min_words), strict=True):
+                spans, after = _spans(begin, end), np.sort(begin[later])
+                for a, b in spans:
+                    at = np.searchsorted(after, a)
+                    out.append((doc, a, b, b - a, not (at < len(after) and after[at] < b)))
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["doc_id", "start_word", "end_word", "n_words", "first_holder"])
 
-    return repeated_windows(docs, min_words).mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, first_holder boolean")
+    return repeated_windows(docs, min_words, chunk_rows).mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, first_holder boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with each repeated passage left in its holder of least doc_id and cut from all others.
 
-    Text around a cut stays as it is. A document that loses all its words goes; one that had none stays. n_chars,
-    where there is such a column, is made to fit.
+    Text around a cut stays as it is. A document that loses all its words goes; one that had none, a null or empty
+    text, stays, and so do rows with a null doc_id. Rows that repeat a doc_id each lose what any of them has to.
+    n_chars, where there is such a column, is made to fit; columns of any other name are carried. An empty table
+    gives an empty table.
     """
+    name, cuts = fresh("doc", docs), fresh("cuts", docs)
 
     def cut(batches):
         for batch in batches:
             text = batch.column("text")
             out = text.to_pylist()
+            runs_ = list(_window_runs(batch.column(cuts), min_words))
             for a, b in slices(text):
                 words = Words(text.slice(a, b - a))
-                for i, (places, flags) in enumerate(zip(batch.column("__repeat_places").to_pylist()[a:b], batch.column("__repeat_flags").to_pylist()[a:b], strict=True)):
-                    if not places:
-                        continue
-                    place, flag = _places(places), np.frombuffer(flags, np.uint8)
-                    place = place[flag & LATER > 0]
+                for i, (begin, end, later) in enumerate(runs_[a:b]):
                     first, last = words.first[i], words.first[i + 1]
-                    spans = [(x, min(y, last - first)) for x, y in _spans(place, min_words) if x < last - first] if len(place) else []
-                    if spans:
-                        raw, begin = words.raw, words.offsets[i]
-                        keep, lost = [], 0
-                        for x, y in spans:
-                            keep.append(raw[begin : words.start[first + x]].tobytes())
-                            begin, lost = words.end[first + y - 1], lost + y - x
-                        keep.append(raw[begin : words.offsets[i + 1]].tobytes())
-                        out[a + i] = b"".join(keep).decode() if lost < last - first else None
+                    begin, end = begin[later], np.minimum(end[later], last - first)
+                    inside = begin < last - first
+                    if not inside.any():
+                        continue
+                    raw, at, keep, lost = words.raw, words.offsets[i], [], 0
+                    for x, y in _spans(begin[inside], end[inside]):
+                        keep.append(raw[at : words.start[first + x]].tobytes())
+                        at, lost = words.end[first + y - 1], lost + y - x
+                    keep.append(raw[at : words.offsets[i + 1]].tobytes())
+                    out[a + i] = b"".join(keep).decode() if lost < last - first else None
             gone = np.array([x is None and y for x, y in zip(out, text.is_valid().to_pylist(), strict=True)], bool)
-            done = batch.drop_columns(["__repeat_places", "__repeat_flags"])
+            done = batch.drop_columns([cuts])
             done = done.set_column(done.schema.get_field_index("text"), "text", pa.array(out, text.type))
             yield done.filter(pa.array(~gone))
 
-    windows = staged(repeated_windows(docs, min_words)).select(F.col("doc_id").alias("__repeat_doc"), F.col("places").alias("__repeat_places"), F.col("flags").alias("__repeat_flags"))
-    joined = docs.join(windows, docs.doc_id == windows["__repeat_doc"], "left").drop("__repeat_doc")
+    windows = repeated_windows(docs, min_words)
+    # only what is cut travels with the texts
+    later = windows.select(F.col("doc").alias(name), F.filter("windows", lambda w: w["later"]).alias(cuts)).where(F.size(cuts) > 0)
+    joined = docs.join(staged(later), docs.doc_id == F.col(name), "left").drop(name)
     cut_docs = joined.mapInArrow(cut, docs.schema)
     return cut_docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut_docs

@@ -127,13 +127,40 @@ def spans(rows, least):
     return out
 
 
-@pytest.mark.parametrize(("seed", "least"), [(1, 50), (2, 20), (4, 9)])
-def test_passages_equal_brute_force(spark, docs, seed, least):
+@pytest.mark.parametrize(("seed", "least", "chunk"), [(1, 50, 1 << 15), (2, 20, 40), (4, 9, 5), (6, 90, 1 << 15), (3, 16, 1)])
+def test_passages_equal_brute_force(spark, docs, seed, least, chunk):
+    """Small chunks make heads come to an end inside a batch, and larger heads be grouped by their windows."""
     rows = sample(seed)
-    got = repeated_passages(docs(rows, extra=True).repartition(4), least).collect()
+    got = repeated_passages(docs(rows, extra=True).repartition(4), least, chunk).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["first_holder"]) for r in got} == spans(rows, least)
 
 
+def test_passages_with_control_characters_and_one_common_head(spark, docs):
+    """Words that begin with characters below the blank; hundreds of documents that share sixteen words and differ around them."""
+    r = random.Random(3)
+    head = [f"h{i}" for i in range(16)]
+    rows = []
+    for i in range(120):
+        w = [f"{r.choice('ab')}{r.randrange(4)}" for _ in range(12)]
+        rows.append((i, " ".join([*w[:6], *head, r.choice(["x", "x\x01", "\x02"]), *w[6:]])))
+    for chunk in (1 << 15, 7):
+        got = repeated_passages(docs(rows), 20, chunk).collect()
+        assert {(r["doc_id"], r["start_word"], r["end_word"], r["first_holder"]) for r in got} == spans(rows, 20)
+
+
+def test_only_equal_words_match():
+    """Records under one head whose hashes agree: only those match whose words do."""
+    import pyarrow as pa
+
+    from siftline.llm.suffix_dedup import compared
+
+    after = ["a b c d", "a b c e", "a b c e", "a b x"]
+    chunk = pa.table({"head": [7] * 4, "after": after, "before": ["u v", "u v", "w v", "u v"], "doc": [3, 1, 2, 4], "place": [9] * 4, "fewest": [1, 1, 1, 2], "most": [2] * 4, "several": [False] * 4})
+    found, later = compared(chunk, 5)
+    assert found.tolist() == [[False, False, True], [False, True, True], [False, True, False], [False, False, False]]
+    assert later.tolist() == [[False, False, True], [False, False, False], [False, True, False], [False, False, False]]
+
+
 def without(rows, least):
     """Each text's words that no window with a holder of smaller id covers."""
     least_holder, out = {}, {}
