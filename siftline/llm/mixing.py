@@ -16,7 +16,7 @@ from siftline.llm.staging import fresh, shuffle_width, staged
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 #: Documents of one bucket of the shuffle order, about; sums run over buckets first, then inside them.
-BUCKET_DOCS = 1 << 18
+BUCKET_DOCS = 1 << 11
 
 
 def _big(c) -> F.Column:

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.components import components
-from siftline.llm.sharedkeys import fragments_for, shared_keys
-from siftline.llm.staging import staged
+from siftline.llm.sharedkeys import shared_counts
+from siftline.llm.staging import fresh, shuffle_width, staged
 from siftline.llm.wordkeys import Words, mix, shingles, slices
 
 #: Members of an n-gram's list that are compared inside one row; buckets of the overlap bound; fragments of a pair's sets.
@@ -62,19 +62,23 @@ def _near(table: DataFrame, ids: DataFrame, on: list[str]) -> DataFrame:
 
 
 def _candidates(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, n, a, b) of the classes (with copies, their number of rows) so much of whose set occurs elsewhere that a link is possible."""
+    """(node, doc, n, a, b) of the classes (with copies, their number of rows) so much of whose set occurs elsewhere that a link is possible.
+
+    node is a number of the class's own: one doc_id may have several classes.
+    """
 
     def keys_of(batch):
         for _, sets in _sets(batch, k):
             one, _ = _digests(sets)
             size = [len(s) for s in sets]
-            yield np.repeat(one, size), np.concatenate(sets), np.zeros(sum(size), np.int32)
+            yield np.repeat(one, size), np.concatenate(sets)
 
-    found = shared_keys(docs.where("doc_id is not null").select("text"), keys_of, fragments_for(docs), places=False)
+    found = shared_counts(docs.where("doc_id is not null").select("text"), keys_of)
     total = found.select(F.col("owner").alias("a"), F.col("n").alias("shared"))
     # each copy has counted its shingles
     enough = 100 * F.col("shared") >= percent * F.col("n") * F.col("copies")
-    return staged(classes.join(total, "a").where(enough).select("node", "n", "a", "b"))
+    able = classes.join(total, "a").where(enough)
+    return staged(able.select(F.monotonically_increasing_id().alias("node"), "doc", "n", "a", "b"))
 
 
 def _ordered_sets(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -110,8 +114,9 @@ def _ordered_sets(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Da
                 names=["node", "n", "shared", "firsts", "bound", "segments"],
             )
 
-    text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("node"), "text")
-    sets = staged(_near(text, nodes, ["node"]).select("node", "n", "a", "b", "text").mapInArrow(keys, "node long, n long, keys array<long>").dropDuplicates(["node"]))
+    text = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), "text")
+    # rows that repeat a doc_id with other texts fall to the digests; those with the same text are one
+    sets = staged(_near(text, nodes, ["doc"]).select("node", "n", "a", "b", "text").mapInArrow(keys, "node long, n long, keys array<long>").dropDuplicates(["node"]))
     each = sets.select("node", "n", F.explode("keys").alias("key"))
     often = each.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     mine = each.join(often, "key").groupBy("node", "n").agg(F.collect_list("key").alias("key"), F.collect_list("df").alias("df"))
@@ -147,68 +152,83 @@ def _first_round(lists: DataFrame, percent: int) -> DataFrame:
 def _second_round(lists: DataFrame, sets: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Pairs within an n-gram's list that aren't connected yet and whose counts by hash range allow a link."""
 
+    fields = ("node", "n", "shared", "comp")
+
     def run(batches):
         for batch in batches:
             xs, ys = [], []
             for row in batch.to_pylist():
-                m = row["members"]
-                if len(m) < 2:
-                    continue
-                node, n, shared, comp, block = (np.array([x[c] for x in m], np.int64) for c in ("node", "n", "shared", "comp", "block"))
-                i, j = np.triu_indices(len(m), 1)
-                fit = (comp[i] != comp[j]) & _possible(percent, n[i], shared[i], n[j], shared[j])
-                if row["i"] != row["j"]:
-                    fit &= block[i] != block[j]
-                i, j = i[fit], j[fit]
+                left, right = row["left"], row["right"] or row["left"]
+                node, n, shared, comp = (np.array([x[c] for x in left], np.int64) for c in fields)
+                node_, n_, shared_, comp_ = (np.array([x[c] for x in right], np.int64) for c in fields)
+                fit = (comp[:, None] != comp_[None]) & _possible(percent, n[:, None], shared[:, None], n_[None], shared_[None])
+                i, j = np.nonzero(np.triu(fit, 1) if row["right"] is None else fit)
                 if len(i):
-                    bound = np.array([x["bound"] for x in m], np.int32)
-                    fit = np.concatenate([_possible(percent, n[i[s : s + 4096]], (most := np.minimum(bound[i[s : s + 4096]], bound[j[s : s + 4096]]).sum(1)), n[j[s : s + 4096]], most) for s in range(0, len(i), 4096)])
+                    bound, bound_ = np.array([x["bound"] for x in left], np.int32), np.array([x["bound"] for x in right], np.int32)
+                    most = np.concatenate([np.minimum(bound[i[s : s + 4096]], bound_[j[s : s + 4096]]).sum(1) for s in range(0, len(i), 4096)])
+                    fit = _possible(percent, n[i], most, n_[j], most)
                     i, j = i[fit], j[fit]
-                    xs.append(np.minimum(node[i], node[j]))
-                    ys.append(np.maximum(node[i], node[j]))
+                    xs.append(np.minimum(node[i], node_[j]))
+                    ys.append(np.maximum(node[i], node_[j]))
             if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                x, y = np.unique(np.stack([x, y]), axis=1)
+                x, y = np.unique(np.stack([np.concatenate(xs), np.concatenate(ys)]), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
     comp = sets.select("node", "bound").join(known, "node", "left").select("node", "bound", F.coalesce("component", "node").alias("comp"))
     member = lists.join(comp, "node")
-    open_lists = member.groupBy("key").agg(F.count("*").alias("members"), F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2")
-    blocks = open_lists.select("key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = member.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    groups = dealt.groupBy("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).agg(F.collect_list(F.struct("node", "n", "shared", "comp", "block", "bound")).alias("members"))
-    return groups.select("i", "j", "members").mapInArrow(run, "x long, y long").distinct()
+    open_lists = member.groupBy("key").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 < c2").select("key")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("comp", "node")) - 1
+    dealt = member.join(open_lists, "key").withColumn("block", F.floor(place / BLOCK))
+    packed = F.collect_list(F.struct("node", "n", "shared", "comp", "bound")).alias("members")
+    blocks = staged(dealt.groupBy("key", "block").agg(packed, F.min("comp").alias("least"), F.max("comp").alias("most")))
+    alone = blocks.where("least < most").select("key", F.col("block").alias("i"), F.col("block").alias("j"), F.col("members").alias("left"), F.lit(None).cast(blocks.schema["members"].dataType).alias("right"))
+    # members stand by component in their blocks: two blocks of one and the same component have nothing to compare
+    one, two = blocks.alias("one"), blocks.alias("two")
+    open_ = (F.col("one.key") == F.col("two.key")) & (F.col("one.block") < F.col("two.block")) & ~((F.col("one.least") == F.col("one.most")) & (F.col("two.least") == F.col("two.most")) & (F.col("one.least") == F.col("two.least")))
+    across = one.join(two, open_).select("one.key", F.col("one.block").alias("i"), F.col("two.block").alias("j"), F.col("one.members").alias("left"), F.col("two.members").alias("right"))
+    pairs = alone.union(across.repartition(shuffle_width(sets.sparkSession), "key", "i", "j"))
+    return pairs.select("left", "right").mapInArrow(run, "x long, y long").distinct()
+
+
+def _same_document(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): each doc_id that several classes have, and these classes' least doc_ids; all of them are linked."""
+    held = sets.where("n > 0 and doc_id is not null")
+    repeated = held.groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("one"), F.max(F.struct("n", "a", "b")).alias("two")).where("one < two").select("doc_id")
+    return held.join(repeated, "doc_id").join(classes, ["n", "a", "b"]).select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
 
 
 def ngram_links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, members) of a similarity self-join of ``docs(doc_id, text)``.
 
-    sets: (doc_id, n, a, b) for every row, a and b being the set's digest. classes: (node, n, a, b), node the
-    least doc_id of those with that set. members: (node, component) for the nodes with links to other classes.
+    sets: (doc_id, n, a, b) for every row, a and b being the set's digest. classes: (doc, n, a, b, copies), doc the
+    least doc_id of those with that set. members: (node, component) for the docs with links to other classes.
     Two documents link when 100 * |intersection| >= percent * |union| of their k-word shingle sets.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sets = staged(shingle_sets(docs, k))
-    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"))
     nodes = _candidates(docs, classes, k, percent)
     ordered = _ordered_sets(docs, nodes, k, percent)
     lists = staged(ordered.select("node", "n", "shared", F.explode("firsts").alias("key")))
     first = _links(_first_round(lists, percent), ordered, percent)
     rest = _links(_second_round(lists, ordered, components(first), percent), ordered, percent)
-    return sets, classes, components(first.union(rest))
+    named = nodes.select("node", "doc")
+    one, two = named.select(F.col("node").alias("a"), F.col("doc").alias("x")), named.select(F.col("node").alias("b"), F.col("doc").alias("y"))
+    links = first.union(rest).join(one, "a").join(two, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return sets, classes, components(links.union(_same_document(sets, classes)))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``, other columns being ignored.
 
     component_id is the least doc_id that links reach. A null or empty text has no shingles and links with
-    nothing; a text of fewer than k words has its whole sequence as one shingle. Rows with a null doc_id come
-    back with a null component and link with nothing. Rows that repeat a doc_id each come back; equal texts under
-    one id are one node. An empty table gives an empty table.
+    nothing; a text of fewer than k words has its whole sequence as one shingle; texts of any length count whole.
+    Rows with a null doc_id come back with a null component and link with nothing. Rows that repeat a doc_id each
+    come back and are one document: it links where the text of any of them does, so all that have shingles get one
+    component. An empty table gives an empty table.
     """
     sets, classes, members = ngram_links(docs, k, percent)
-    found = classes.join(members, "node", "left").select("n", "a", "b", F.coalesce("component", "node").alias("component"))
+    found = classes.join(members.withColumnRenamed("node", "doc"), "doc", "left").select("n", "a", "b", F.coalesce("component", "doc").alias("component"))
     joined = sets.where("n > 0 and doc_id is not null").join(found, ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return joined.union(sets.where("n = 0 or doc_id is null").select("doc_id", "n", "doc_id"))
 
@@ -216,8 +236,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs``' rows without those that links connect with a document of smaller doc_id.
 
-    Documents without shingles and rows with a null doc_id stay; rows that repeat a doc_id stay or go together.
+    Documents without shingles (null, empty and blank texts) and rows with a null doc_id stay; rows that repeat a
+    doc_id stay or go together. Columns of any name are carried. An empty table gives an empty table.
     """
+    name = fresh("gone", docs)
     found = jaccard_components(docs.select("doc_id", "text"), k, percent).where("component_id <> doc_id")
-    gone = staged(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id == F.col("__gone"), "left_anti")
+    gone = staged(found.select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, docs.doc_id == F.col(name), "left_anti")

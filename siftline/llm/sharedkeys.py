@@ -1,8 +1,10 @@
-"""Which keys (hashed n-grams) more than one owner (document) has, by vertical fragments.
+"""How many keys (hashed n-grams) of each owner (a set of them) another owner has too, by vertical fragments.
 
-The order of all keys is cut into fragments. A task packs its texts' keys into one row per fragment, having met
-repetitions among its own texts first, so a key that a third of all documents hold costs each task one entry. A
-fragment is then looked at alone, and its findings, packed by bucket of owners, are summed per owner.
+The order of all keys is cut into fragments, one for each shuffle partition. A task packs its texts' keys into one
+row for each fragment that occurs in them, having met repetitions among its own texts first, so a key that a third of
+all documents hold costs each task one entry. A fragment's task looks at its share in runs of bounded size, sorted by
+Spark, and its findings, packed by bucket of owners, are summed per owner. Rows out of each step are at most as many
+as the keys in it.
 """
 
 from __future__ import annotations
@@ -13,168 +15,181 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from siftline.llm.staging import shuffle_width, text_bytes
 from siftline.llm.wordkeys import mix
 
-#: Keys that a task gathers before it packs them; bytes of text for each fragment.
-PACK_KEYS, FRAGMENT_BYTES = 1 << 19, 8 << 20
-#: Bits of a finding's flag.
-SHARED, LATER = 1, 2
+#: Keys that a task gathers before it packs them, and of one fragment before it cuts them to runs; keys of each
+#: fragment that a pack has on average at least; bytes of text whose keys make a run.
+PACK_KEYS, CUT_KEYS, ROW_KEYS, RUN_BYTES = 1 << 19, 1 << 21, 64, 8 << 20
 
-_PACKED = pa.schema(
-    [("fragment", pa.int32()), ("found", pa.bool_()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("places", pa.binary()), ("flags", pa.binary())]
-)
-_PACKED_DDL = "fragment int, found boolean, owners binary, counts binary, keys binary, places binary, flags binary"
+#: run: part of a fragment, -1 for findings. counts: keys of each owner. several: whether several owners of one pack have the key.
+_PACKED = pa.schema([("fragment", pa.int32()), ("run", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("several", pa.binary())])
+_PACKED_DDL = "fragment int, run int, owners binary, counts binary, keys binary, several binary"
+_FINDING = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary())])
 
-#: Takes an Arrow batch; gives parts (owner of each key, key, place of each key).
-KeysOf = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
+#: Takes an Arrow batch; gives parts (owner of each key, key).
+KeysOf = Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]]
 
 
-def fragments_for(docs: DataFrame, column: str = "text") -> int:
-    """As many fragments as keep one within a task's memory, whatever the width of shuffles is set to."""
-    return max(shuffle_width(docs.sparkSession), -(-text_bytes(docs, column) // FRAGMENT_BYTES))
+def _least(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted by key: order, least owner of the key, whether the key has several owners."""
+    order = np.argsort(key, kind="stable")
+    k, o = key[order], owner[order]
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    size = np.diff(np.r_[begin, len(k)])
+    least = np.repeat(np.minimum.reduceat(o, begin), size)
+    return order, least, np.repeat(np.maximum.reduceat(o, begin), size) != least
 
 
-def _by_owner(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.argsort(owner, kind="stable")
-    own, count = np.unique(owner[order], return_counts=True)
-    return order, own, count.astype(np.int32)
+def _parts(number: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, places) of each number that occurs."""
+    order = np.argsort(number, kind="stable")
+    sorted_ = number[order]
+    edge = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
+        yield int(sorted_[a]), order[a:b]
 
 
-def _row(fragment: int, found: bool, owner, key, place, flag) -> tuple:
-    order, own, count = _by_owner(owner)
-    return (fragment, found, own.astype(np.int64).tobytes(), count.tobytes(), b"" if key is None else key[order].tobytes(), place[order].astype(np.int32).tobytes(), flag[order].astype(np.uint8).tobytes())
+def _row(fragment: int, run: int, owner: np.ndarray, key: np.ndarray, several: np.ndarray) -> tuple:
+    order = np.argsort(owner, kind="stable")
+    own, count = np.unique(owner[order], return_counts=True)
+    return fragment, run, own.tobytes(), count.astype(np.int32).tobytes(), key[order].tobytes(), several[order].tobytes()
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def _groups(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted by key: order, least owner of the key, whether the key has several owners."""
-    order = np.argsort(key, kind="stable")
-    k, o = key[order], owner[order]
-    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-    size = np.diff(np.r_[begin, len(k)])
-    least = np.repeat(np.minimum.reduceat(o, begin), size)
-    several = np.repeat(np.maximum.reduceat(o, begin), size) != least
-    return order, least, several
-
-
-def _pack(parts: list[tuple], fragments: int, places: bool, turn: int) -> Iterator[tuple]:
-    owner, key, place = (np.concatenate(x) for x in zip(*parts, strict=True))
-    if not len(key):
-        return
-    order, least, several = _groups(owner, key)
-    owner, key, place = owner[order], key[order], place[order]
-    later = several & (owner != least)
-    if later.any():  # known here: they are shared, and a smaller owner has the key
-        p = place[later] if places else np.zeros(int(later.sum()), np.int32)
-        yield _row(turn % fragments, True, owner[later], None, p, np.full(len(p), SHARED | LATER))
+def packed_rows(owner: np.ndarray, key: np.ndarray, fragments: int, turn: int) -> list[tuple]:
+    """A pack's rows: its keys by fragment, each key once with its least owner, and what is known already as a finding."""
+    order, least, several = _least(owner, key)
+    owner, key = owner[order], key[order]
+    later, rows = several & (owner != least), []
+    if later.any():  # findings go to other fragments' tasks from pack to pack
+        own, count = np.unique(owner[later], return_counts=True)
+        rows.append((turn % fragments, -1, own.tobytes(), count.astype(np.int32).tobytes(), b"", b""))
     keep = ~later
-    owner, key, place, several = owner[keep], key[keep], place[keep], several[keep]
+    owner, key, several = owner[keep], key[keep], several[keep]
     number = ((key >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
-    bound = np.searchsorted(number, np.arange(fragments + 1))
-    for f in range(fragments):
-        a, b = bound[f], bound[f + 1]
-        if a < b:
-            # the upper bits of a key say which fragment it is in; without places the lower 32 tell keys apart well enough
-            yield _row(f, False, owner[a:b], key[a:b] if places else key[a:b].astype(np.uint32), place[a:b], several[a:b])
+    # the upper bits of a key say which fragment it is in; the lower 32 tell keys apart well enough
+    return rows + [_row(f, 0, owner[at], key[at].astype(np.uint32), several[at]) for f, at in _parts(number)]
 
 
-def _unpack(rows: list[dict], key_type) -> tuple:
+def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.concatenate([np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.int32)) for r in rows])
-    key = np.concatenate([np.frombuffer(r["keys"], key_type) for r in rows])
-    place = np.concatenate([np.frombuffer(r["places"], np.int32) for r in rows])
-    flag = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])
-    return own, key, place, flag
-
-
-#: Findings of one fragment about the owners of one bucket, packed.
-_FINDING = pa.schema([("bucket", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("places", pa.binary()), ("flags", pa.binary())])
-_FOUND = pa.schema([("owner", pa.int64()), ("n", pa.int64()), ("places", pa.binary()), ("flags", pa.binary())])
-
-
-def _sum_per_owner(table: pa.Table) -> pa.Table:
-    """One row per owner of all fragments' findings about a bucket."""
-    rows = table.to_pylist()
-    own = np.concatenate([np.frombuffer(r["owners"], np.int64) for r in rows])
-    count = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in rows])
-    who, at = np.unique(own, return_inverse=True)
-    total = np.bincount(at, count, len(who)).astype(np.int64)
-    if any(r["places"] for r in rows):
-        order = np.argsort(np.repeat(at, count), kind="stable")
-        place = np.concatenate([np.frombuffer(r["places"], np.int32) for r in rows])[order]
-        flag = np.concatenate([np.frombuffer(r["flags"], np.uint8) for r in rows])[order]
-        end = np.cumsum(total)
-        places = [place[e - n : e].tobytes() for e, n in zip(end, total, strict=True)]
-        flags = [flag[e - n : e].tobytes() for e, n in zip(end, total, strict=True)]
-    else:
-        places = flags = [b""] * len(who)
-    return pa.table([pa.array(who), pa.array(total), pa.array(places, pa.binary()), pa.array(flags, pa.binary())], schema=_FOUND)
-
-
-def shared_keys(docs: DataFrame, keys_of: KeysOf, fragments: int, places: bool) -> DataFrame:
-    """(owner, n, places, flags): for each owner the packed places whose key has another owner too, and how many.
-
-    Flags hold SHARED, and LATER where a smaller owner has the key. With ``places`` false only the count n is
-    kept and 32 bits of a key within its fragment are compared: a rare collision then counts a key as shared
-    that is not, so n is an upper bound.
+    return own, np.concatenate([np.frombuffer(r["keys"], np.uint32) for r in rows]), np.concatenate([np.frombuffer(r["several"], bool) for r in rows])
+
+
+def cut_rows(rows: list[dict], runs: int) -> list[tuple]:
+    """Many packs' rows of one fragment, cut into its runs."""
+    own, key, several = _unpacked(rows)
+    number = (key.astype(np.uint64) * np.uint64(runs) >> np.uint64(32)).astype(np.int64)
+    return [_row(rows[0]["fragment"], r, own[at], key[at], several[at]) for r, at in _parts(number)]
+
+
+def _merged(owners: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate(owners), return_inverse=True)
+    return own, np.bincount(at, np.concatenate(counts), len(own)).astype(np.int64)
+
+
+def finding_rows(owner: np.ndarray, count: np.ndarray, buckets: int) -> list[tuple]:
+    bucket = (mix(owner.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    return [(b, owner[at].tobytes(), count[at].astype(np.int32).tobytes()) for b, at in _parts(bucket)]
+
+
+def shared_counts(docs: DataFrame, keys_of: KeysOf, column: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+    """(owner, n): for each owner how many of its keys, as ``keys_of`` gives them, another owner has too; none: no row.
+
+    An owner that stands in several rows counts for each. 32 bits of a key within its fragment are compared: a rare
+    collision then counts a key as shared that is not, so n is an upper bound.
     """
-    key_type = np.uint64 if places else np.uint32
+    fragments = shuffle_width(docs.sparkSession)
+    runs = max(1, -(-text_bytes(docs, column) // (fragments * run_bytes)))
+    pack_keys = max(PACK_KEYS, ROW_KEYS * fragments)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # findings made here go to other fragments from task to task
         parts, size, turn = [], 0, 7919 * TaskContext.get().partitionId()
         for batch in batches:
             for part in keys_of(batch):
-                parts.append(part if places else (part[0], part[1], np.zeros(len(part[1]), np.int8)))
+                parts.append(part)
                 size += len(part[1])
-                if size >= PACK_KEYS:
+                if size >= pack_keys:
                     turn += 1
-                    if rows := list(_pack(parts, fragments, places, turn)):
-                        yield _batch([_slim(r, places) for r in rows])
+                    yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn), _PACKED)
                     parts, size = [], 0
-        if parts and (rows := list(_pack(parts, fragments, places, turn))):
-            yield _batch([_slim(r, places) for r in rows])
-
-    def look(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        if not places:
-            for r in rows:
-                r["places"] = bytes(4 * int(np.frombuffer(r["counts"], np.int32).sum()))
-        parts = []
-        fresh = [r for r in rows if not r["found"]]
-        if fresh:
-            own, key, place, several = _unpack(fresh, key_type)
-            order, least, many = _groups(own, key)
-            begin = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-            size = np.diff(np.r_[begin, len(key)])
-            hit = many | np.repeat(np.maximum.reduceat(several[order], begin), size).astype(bool)
-            flag = SHARED + LATER * (own[order] != least)
-            parts.append((own[order][hit], place[order][hit], flag[hit].astype(np.uint8)))
-        for r in rows:
-            if r["found"]:
-                own = np.repeat(np.frombuffer(r["owners"], np.int64), np.frombuffer(r["counts"], np.int32))
-                parts.append((own, np.frombuffer(r["places"], np.int32), np.full(len(own), SHARED | LATER, np.uint8)))
-        own, place, flag = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = (mix(own.view(np.uint64)) % np.uint64(fragments)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        bound = np.searchsorted(bucket[order], np.arange(fragments + 1))
-        out = []
-        for k in np.flatnonzero(np.diff(bound)):
-            some = order[bound[k] : bound[k + 1]]
-            inner, who, count = _by_owner(own[some])
-            some = some[inner]
-            out.append((k, who.tobytes(), count.tobytes(), place[some].tobytes() if places else b"", flag[some].tobytes() if places else b""))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, _FINDING, strict=True)], schema=_FINDING)
-
-    packed = docs.mapInArrow(pack, _PACKED_DDL)
-    findings = packed.groupBy("fragment").applyInArrow(look, "bucket int, owners binary, counts binary, places binary, flags binary")
-    return findings.groupBy("bucket").applyInArrow(_sum_per_owner, "owner long, n long, places binary, flags binary")
-
-
-def _slim(row: tuple, places: bool) -> tuple:
-    return row if places else (*row[:5], b"", row[6])
+        if size:
+            yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn), _PACKED)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["run"] < 0:
+                    yield _batch([tuple(row.values())], _PACKED)
+                    continue
+                held.append(row)
+                size += len(row["several"])
+                if size >= CUT_KEYS:
+                    yield _batch(cut_rows(held, runs), _PACKED)
+                    held, size = [], 0
+        if held:
+            yield _batch(cut_rows(held, runs), _PACKED)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One run after another; rows of a run follow each other."""
+        held, owners, counts, size = [], [], [], 0
+
+        def settle():
+            own, key, several = _unpacked(held)
+            order, _, many = _least(own, key)
+            key, several = key[order], several[order]
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            hit = many | np.repeat(np.logical_or.reduceat(several, begin), np.diff(np.r_[begin, len(key)]))
+            return np.unique(own[order][hit], return_counts=True)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["run"] < 0:
+                    own, count = np.frombuffer(row["owners"], np.int64), np.frombuffer(row["counts"], np.int32)
+                else:
+                    if not held or held[-1]["run"] == row["run"]:
+                        held.append(row)
+                        continue
+                    own, count = settle()
+                    held = [row]
+                owners.append(own)
+                counts.append(count)
+                size += len(own)
+                if size >= PACK_KEYS:
+                    yield _batch(finding_rows(*_merged(owners, counts), fragments), _FINDING)
+                    owners, counts, size = [], [], 0
+        if held:
+            own, count = settle()
+            owners.append(own)
+            counts.append(count)
+            size += len(own)
+        if size:
+            yield _batch(finding_rows(*_merged(owners, counts), fragments), _FINDING)
+
+    def sum_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As much memory as the bucket has owners."""
+        owners, counts, size = [], [], 0
+        for batch in batches:
+            for o, c in zip(batch.column("owners").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                owners.append(np.frombuffer(o, np.int64))
+                counts.append(np.frombuffer(c, np.int32))
+                size += len(owners[-1])
+            if size >= 4 * PACK_KEYS:
+                own, count = _merged(owners, counts)
+                owners, counts, size = [own], [count], 0
+        if owners:
+            own, count = _merged(owners, counts)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count)], names=["owner", "n"])
+
+    packed = docs.mapInArrow(pack, _PACKED_DDL).repartitionById(fragments, F.col("fragment"))
+    if runs > 1:
+        packed = packed.mapInArrow(cut, _PACKED_DDL).sortWithinPartitions("run")
+    findings = packed.mapInArrow(look, "bucket int, owners binary, counts binary")
+    return findings.repartitionById(fragments, F.col("bucket")).mapInArrow(sum_, "owner long, n long")

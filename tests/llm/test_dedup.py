@@ -84,6 +84,56 @@ def test_join_edges(spark, docs):
     assert [r["component_id"] for r in jaccard_components(docs(long)).orderBy("doc_id").collect()] == [1, 2, 3]
 
 
+def test_rows_that_repeat_an_id_lose_no_link(spark, docs):
+    word = lambda s, n: " ".join(f"{s}{j}" for j in range(n))
+    a, b = word("a", 60), word("b", 60)
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (5, word("c", 40)), (5, word("d", 40)), (4, word("d", 40)), (9, word("c", 40) + " y"), (7, word("e", 9))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in jaccard_components(docs(rows).repartition(3)).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (5, 4), (7, 7), (9, 4)]
+    assert sorted({r["doc_id"] for r in one_of_each(docs(rows)).collect()}) == [1, 4, 7]
+
+
+@pytest.mark.parametrize("fragments", [64, 3750, 125_000])
+def test_rows_of_packed_keys_are_proportional_to_keys(fragments):
+    """However many fragments there are, each step gives at most a row for each key, or for each fragment that occurs."""
+    import numpy as np
+
+    from siftline.llm.sharedkeys import cut_rows, finding_rows, packed_rows
+
+    r = np.random.default_rng(1)
+    owner, key = r.integers(0, 900, 40_000), r.integers(0, 2**63, 40_000).astype(np.uint64) * np.uint64(2)
+    rows = packed_rows(owner, key, fragments, 3)
+    assert len(rows) <= min(fragments, 40_000) + 1 and sum(len(x[5]) for x in rows) == 40_000
+    names = ("fragment", "run", "owners", "counts", "keys", "several")
+    again = cut_rows([dict(zip(names, x, strict=True)) for x in rows], fragments)
+    assert len(again) <= min(fragments, 40_000) and sum(len(x[5]) for x in again) == 40_000
+    assert len(finding_rows(np.arange(900), np.ones(900, np.int64), fragments)) <= min(fragments, 900)
+
+
+@pytest.mark.parametrize("run_bytes", [1 << 23, 300])
+def test_shared_counts_equal_brute_force(spark, docs, run_bytes):
+    """The fragment as one run, and as many."""
+    import numpy as np
+
+    from siftline.llm.sharedkeys import shared_counts
+    from siftline.llm.wordkeys import Words
+
+    rows = sample(4)
+
+    def keys_of(batch):
+        words = Words(batch.column("text"))
+        at = np.unique(np.stack([batch.column("doc_id").to_numpy()[words.row], words.hashes().view(np.int64)]), axis=1)
+        yield at[0], at[1].view(np.uint64)
+
+    holders = defaultdict(set)
+    for i, t in rows:
+        for w in words(t):
+            holders[w].add(i)
+    want = {i: n for i, t in rows if (n := sum(len(holders[w]) > 1 for w in set(words(t))))}
+    got = {r["owner"]: r["n"] for r in shared_counts(docs(rows).select("doc_id", "text").repartition(3), keys_of, run_bytes=run_bytes).collect()}
+    assert got == want
+
+
 def test_one_of_each(spark, docs):
     rows = sample(2)
     table = docs(rows, extra=True)
