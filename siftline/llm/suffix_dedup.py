@@ -7,11 +7,14 @@ compared for the words they have in common. Matches are extended to the left ins
 words before the kept positions, as far as the windows of that minimiser reach, and longer passages are the unions
 of their windows.
 
-Hashes choose positions and deal records; what matches is decided on the words themselves.
+Hashes choose positions and deal records; what matches is decided on the words themselves. Where very many documents
+share a head, its suffixes would all fall to one task: those are compared window by window instead, windows being
+dealt by the SHA-256 of their words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +26,9 @@ from pyspark.sql import functions as F
 from siftline.llm.staging import fresh, shuffle_width, staged
 from siftline.llm.wordkeys import LOWER, SEPARATOR, Words, runs, slices
 
-#: Words of a suffix's head; words of a text in which places are told apart at once; records compared at once.
-ANCHOR_WORDS, SPAN, CHUNK = 16, 1 << 25, 1 << 15
+#: Words of a suffix's head; words of a text in which places are told apart at once; records compared at once; the
+#: records from which a head is frequent; frequent heads up to this number (8 MB) go to every executor.
+ANCHOR_WORDS, SPAN, CHUNK, FREQUENT, BROADCAST_HEADS = 16, 1 << 25, 1 << 15, 1 << 11, 1_000_000
 
 
 def _window_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,13 +87,23 @@ def _heads(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "head long, doc long, place long, known boolean")
 
 
-def _matched(docs: DataFrame, min_words: int) -> DataFrame:
-    """(doc, places): each document's kept positions whose head another document has too."""
+def _matched(docs: DataFrame, min_words: int, frequent: int) -> tuple[DataFrame, bool]:
+    """(doc, places, frequent_places), whether there are any of the latter: each document's kept positions whose head another
+    document has too, those apart whose head stands in more than ``frequent`` places."""
     heads = staged(_heads(docs, min_words))
-    # known rows have a lesser document in their task, so the others and one of them tell who shares a head
-    shared = heads.groupBy("head").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").select("head")
-    looked_up = heads.where("not known").join(shared, "head").select("doc", "place")
-    return heads.where("known").select("doc", "place").union(looked_up).groupBy("doc").agg(F.collect_set("place").alias("places"))
+    shared = staged(heads.groupBy("head").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("many")).where("least < most").select("head", (F.col("many") > frequent).alias("often")))
+    often = shared.where("often")
+    many = often.count()
+    # known rows have a lesser document in their task, so they are shared whatever the others say
+    known = heads.where("known")
+    if many:
+        known = known.join(F.broadcast(often) if many <= BROADCAST_HEADS else often, "head", "left")
+    else:
+        known = known.withColumn("often", F.lit(False))
+    looked_up = heads.where("not known").join(shared, "head").select("doc", "place", "often")
+    every = known.select("doc", "place", F.coalesce("often", F.lit(False)).alias("often")).union(looked_up)
+    found = every.groupBy("doc").agg(F.collect_set(F.when(~F.col("often"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("often"), F.col("place"))).alias("frequent_places"))
+    return found, many > 0
 
 
 def _joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -106,54 +120,85 @@ _RECORD = "head long, after string, before string, doc long, place long, fewest
 _RUN = "doc long, start long, many long, later boolean"
 
 
+def _contexts(batch: pa.RecordBatch, min_words: int, column: str) -> Iterator[tuple]:
+    """For each part of a batch (text, first, last, kept, doc, place, most, fewest, head): its words as one text with their
+    bounds there, and the positions of ``column``, whose windows begin ``fewest`` to ``most`` words before."""
+    for part, words, hashes in _rows(batch):
+        starts, anchor, grams = anchors(words, hashes, min_words)
+        wanted = np.zeros(len(hashes) + 1, bool)
+        for i, places in enumerate(part.column(column).to_pylist()):
+            at = np.asarray(places, np.int64) + words.first[i]
+            wanted[at[at < words.first[i + 1]]] = True
+        begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
+        end = np.r_[begin[1:], len(anchor)] - 1 if len(begin) else begin
+        own = wanted[anchor[begin]]
+        begin, end = begin[own], end[own]
+        if len(begin):
+            kept = anchor[begin]
+            row = words.row[kept]
+            text, first, last = _joined(words)
+            yield text, first.tolist(), last.tolist(), kept.tolist(), part.column("doc").to_numpy()[row].tolist(), (kept - words.first[row]).tolist(), (kept - starts[begin]).tolist(), (kept - starts[end]).tolist(), grams[kept].view(np.int64).tolist()
+
+
 def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
     """A record for each matched position: the words after it and before it that its windows reach.
 
-    Windows begin ``fewest`` to ``most`` words before the position. Records that agree in all of this inside a task
-    become one, that of the least document, with ``several`` set; the others' windows are settled (``head`` null).
+    Records that agree in all of this inside a task become one, that of the least document, with ``several`` set; the
+    others' windows are settled (``head`` null).
     """
+    names = [c.split()[0] for c in _RECORD.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
 
     def run(batches):
         for batch in batches:
-            for part, words, hashes in _rows(batch):
-                starts, anchor, grams = anchors(words, hashes, min_words)
-                wanted = np.zeros(len(hashes) + 1, bool)
-                for i, places in enumerate(part.column("places").to_pylist()):
-                    at = np.asarray(places, np.int64) + words.first[i]
-                    wanted[at[at < words.first[i + 1]]] = True
-                begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
-                end = np.r_[begin[1:], len(anchor)] - 1 if len(begin) else begin
-                own = wanted[anchor[begin]]
-                begin, end = begin[own], end[own]
-                if not len(begin):
-                    continue
-                kept = anchor[begin]
-                row = words.row[kept]
-                doc, place, most, fewest = part.column("doc").to_numpy()[row], kept - words.first[row], kept - starts[begin], kept - starts[end]
-                text, first, last = _joined(words)
-                first, last = first.tolist(), last.tolist()
+            for text, first, last, kept, doc, place, most, fewest, head in _contexts(batch, min_words, "places"):
                 groups: dict[tuple, list[int]] = {}
-                for i, (p, m, f) in enumerate(zip(kept.tolist(), most.tolist(), fewest.tolist(), strict=True)):
-                    context = (text[first[p - m] : last[p + min_words - f - 1]], m, f)
-                    groups.setdefault(context, []).append(i)
+                for i, (p, m, f) in enumerate(zip(kept, most, fewest, strict=True)):
+                    groups.setdefault((text[first[p - m] : last[p + min_words - f - 1]], m, f), []).append(i)
                 rows = []
-                head = grams[kept].view(np.int64)
                 for (context, m, f), members in groups.items():
                     least = min(doc[i] for i in members)
                     several = any(doc[i] != least for i in members)
-                    i = members[0]
-                    cut = first[kept[i]] - first[kept[i] - m]
+                    cut = first[kept[members[0]]] - first[kept[members[0]] - m]
                     before, after = context[: max(0, cut - 1)].decode(), context[cut:].decode()
                     for i in members:
                         mine = doc[i] == least
                         rows.append((head[i] if mine else None, after if mine else None, before if mine else None, doc[i], place[i], f, m, several))
-                names = [c.split()[0] for c in _RECORD.split(", ")]
-                kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, _RECORD)
 
 
+def _frequent_windows(docs: DataFrame, min_words: int) -> DataFrame:
+    """Runs of repeated windows around positions whose head is frequent.
+
+    Here a window's words, as their SHA-256, are what is dealt, so windows that differ go to different tasks; those
+    that agree inside a task become one, that of the least document, the others being settled (``window`` null).
+    """
+    names, kinds = ("window", "doc", "start", "several"), (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
+
+    def run(batches):
+        for batch in batches:
+            for text, first, last, kept, doc, place, most, fewest, _ in _contexts(batch, min_words, "frequent_places"):
+                groups: dict[bytes, list[tuple[int, int]]] = {}
+                for p, d, at, m, f in zip(kept, doc, place, most, fewest, strict=True):
+                    for n in range(f, m + 1):
+                        window = hashlib.sha256(text[first[p - n] : last[p - n + min_words - 1]]).digest()
+                        groups.setdefault(window, []).append((d, at - n))
+                rows = []
+                for window, members in groups.items():
+                    least = min(members)[0]
+                    several = any(d != least for d, _ in members)
+                    rows += [(window if d == least else None, d, start, several) for d, start in members]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    windows = staged(docs.mapInArrow(run, "window binary, doc long, start long, several boolean"))
+    least = windows.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.max("several").alias("any")).where("least < greatest or any").select("window", "least")
+    met = windows.join(least, "window").select("doc", "start", (F.col("doc") > F.col("least")).alias("later"))
+    every = met.union(windows.where("window is null").select("doc", "start", F.lit(True)))
+    return every.select("doc", "start", F.lit(1).cast("long").alias("many"), "later")
+
+
 def _words_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, begins, ends): equal ids are equal words; where each record's words after its position begin, and where those before it end."""
     after, before = (pc.split_pattern(chunk.column(c).combine_chunks(), " ") for c in ("after", "before"))
@@ -223,87 +268,51 @@ def _runs(doc: np.ndarray, place: np.ndarray, found: np.ndarray, later: np.ndarr
 
 
 def _neighbours(records: DataFrame, min_words: int, chunk_rows: int) -> DataFrame:
-    """Runs of repeated windows, by comparing the sorted records of each head; a head of more records than a chunk
-    holds comes back as records (``after`` not null), to be grouped by its windows."""
+    """Runs of repeated windows, by comparing the sorted records of each head, some heads at a time."""
 
-    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def settle(table: pa.Table) -> pa.RecordBatch:
         found, later = compared(table, min_words)
-        runs_ = _runs(table.column("doc").to_numpy(), table.column("place").to_numpy(), found, later)
-        none = [pa.nulls(runs_.num_rows, t) for t in kinds]
-        yield pa.RecordBatch.from_arrays([*runs_.columns, *none], names=names)
-
-    def leave(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        for b in table.to_batches():
-            yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("place"), pa.nulls(b.num_rows, pa.int64()), pa.nulls(b.num_rows, pa.bool_()), *(b.column(c) for c in names[4:])], names=names)
-
-    names, kinds = ["doc", "start", "many", "later", "after", "before", "fewest", "most", "several"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return _runs(table.column("doc").to_numpy(), table.column("place").to_numpy(), found, later)
 
     def run(batches):
-        held, leaving = None, None  # records of heads not complete yet; the head whose records are left as they are
+        held = None
         for batch in batches:
             known = batch.filter(pc.is_null(batch.column("head")))
             if known.num_rows:  # every window of theirs stands in a lesser document too
                 many = pc.add(pc.subtract(known.column("most"), known.column("fewest")), 1)
                 start = pc.subtract(known.column("place"), known.column("most"))
-                none = [pa.nulls(known.num_rows, t) for t in kinds]
-                yield pa.RecordBatch.from_arrays([known.column("doc"), start, many, pa.array(np.ones(known.num_rows, bool)), *none], names=names)
+                yield pa.RecordBatch.from_arrays([known.column("doc"), start, many, pa.array(np.ones(known.num_rows, bool))], names=["doc", "start", "many", "later"])
                 batch = batch.filter(pc.is_valid(batch.column("head")))
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            if held.num_rows < chunk_rows:
-                continue
-            head = held.column("head").to_numpy()
-            if leaving is not None:
-                n = int(np.searchsorted(head != leaving, True)) if (head != leaving).any() else len(head)
-                yield from leave(held.slice(0, n))
-                held, head = held.slice(n), head[n:]
-                leaving = leaving if not len(head) else None
-            while len(head) >= chunk_rows:
+            while held.num_rows > chunk_rows:
+                head = held.column("head").to_numpy()
                 edge = np.flatnonzero(head[1:] != head[:-1]) + 1
-                fits = edge[edge <= chunk_rows]
-                if len(fits):
-                    yield from settle(held.slice(0, int(fits[-1])))
-                    held, head = held.slice(int(fits[-1])), head[int(fits[-1]) :]
-                else:
-                    n = int(edge[0]) if len(edge) else len(head)
-                    leaving = None if len(edge) else head[0]
-                    yield from leave(held.slice(0, n))
-                    held, head = held.slice(n), head[n:]
-            held = held if held.num_rows else None
+                if not len(edge):
+                    break
+                at = int(edge[max(0, np.searchsorted(edge, chunk_rows, "right") - 1)])
+                yield settle(held.slice(0, at))
+                held = held.slice(at)
         if held is not None and held.num_rows:
-            head = held.column("head").to_numpy()
-            n = int((head == leaving).sum()) if leaving is not None else 0
-            if n:
-                yield from leave(held.slice(0, n))
-            if held.num_rows > n:
-                yield from settle(held.slice(n))
-
-    return records.mapInArrow(run, f"{_RUN}, after string, before string, fewest long, most long, several boolean")
-
+            yield settle(held)
 
-def _by_window(records: DataFrame, min_words: int) -> DataFrame:
-    """The same for heads of very many records: each window's words are a key, grouped and joined back."""
-    n = F.col("n")
-    right, left = F.slice(F.split("after", " "), F.lit(1), (F.lit(min_words) - n).cast("int")), F.split("before", " ")
-    words = F.when(n > 0, F.concat(F.slice(left, (-n).cast("int"), n.cast("int")), right)).otherwise(right)
-    window = records.withColumn("n", F.explode(F.sequence("fewest", "most"))).select("doc", (F.col("start") - n).alias("start"), n, "several", F.array_join(words, " ").alias("window"))
-    least = window.groupBy("n", "window").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.max("several").alias("any")).where("least < greatest or any")
-    return window.join(least, ["n", "window"]).select("doc", "start", F.lit(1).cast("long").alias("many"), (F.col("doc") > F.col("least")).alias("later"))
+    return records.mapInArrow(run, _RUN)
 
 
-def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK) -> DataFrame:
+def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
     """(doc, windows): the starts of the windows of ``min_words`` words that another document has too, as runs (start, many, later).
 
     later: a document of smaller id has them.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    records = _suffixes(docs.join(_matched(docs, min_words), "doc"), min_words)
+    matched, any_frequent = _matched(docs, min_words, frequent)
+    joined = docs.join(staged(matched) if any_frequent else matched, "doc")
+    records = _suffixes(joined.where(F.size("places") > 0).drop("frequent_places"), min_words)
     dealt = F.coalesce("head", F.xxhash64("doc", "place"))
     ordered = records.repartition(shuffle_width(docs.sparkSession), dealt).sortWithinPartitions("head", "after")
-    settled = staged(_neighbours(ordered, min_words, chunk_rows))
-    found, left = settled.where("after is null").select("doc", "start", "many", "later"), settled.where("after is not null")
-    if not left.isEmpty():
-        found = found.union(_by_window(left, min_words))
+    found = _neighbours(ordered, min_words, chunk_rows)
+    if any_frequent:
+        found = found.union(_frequent_windows(joined.where(F.size("frequent_places") > 0).drop("places"), min_words))
     return found.groupBy("doc").agg(F.collect_list(F.struct("start", "many", "later")).alias("windows"))
 
 
@@ -324,7 +333,7 @@ def _window_runs(column: pa.Array, min_words: int) -> Iterator[tuple[np.ndarray,
         yield begin[s], begin[s] + many[s] - 1 + min_words, later[s].astype(bool)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CHUNK) -> DataFrame:
+def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, first_holder): the passages of at least ``min_words`` words that stand in
     several documents of ``docs(doc_id, text)``, other columns being ignored.
 
@@ -332,8 +341,8 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CH
     longest union of such passages; first_holder tells that no part of it stands in a document with a smaller
     doc_id. Repetition within one document doesn't count, and rows that repeat a doc_id are one document whose
     spans are pooled. Null, empty and short texts, and rows with a null doc_id, have no spans; documents without
-    spans have no row. Texts of any length are read whole. An empty table gives an empty table. A head of more than
-    ``chunk_rows`` different records is grouped by its windows' words in columns, with the same result.
+    spans have no row. Texts of any length are read whole. An empty table gives an empty table. Suffixes whose head
+    stands in more than ``frequent`` places are looked up by their windows, with the same result.
     """
 
     def run(batches):
@@ -347,7 +356,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CH
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.bool_()), strict=True)], names=["doc_id", "start_word", "end_word", "n_words", "first_holder"])
 
-    return repeated_windows(docs, min_words, chunk_rows).mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, first_holder boolean")
+    return repeated_windows(docs, min_words, chunk_rows, frequent).mapInArrow(run, "doc_id long, start_word long, end_word long, n_words long, first_holder boolean")
 
 
 def without_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:

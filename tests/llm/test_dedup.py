@@ -177,11 +177,11 @@ def spans(rows, least):
     return out
 
 
-@pytest.mark.parametrize(("seed", "least", "chunk"), [(1, 50, 1 << 15), (2, 20, 40), (4, 9, 5), (6, 90, 1 << 15), (3, 16, 1)])
-def test_passages_equal_brute_force(spark, docs, seed, least, chunk):
-    """Small chunks make heads come to an end inside a batch, and larger heads be grouped by their windows."""
+@pytest.mark.parametrize(("seed", "least", "chunk", "frequent"), [(1, 50, 1 << 15, 1 << 11), (2, 20, 40, 10), (4, 9, 5, 5), (6, 90, 1 << 15, 1), (3, 16, 1, 1 << 11)])
+def test_passages_equal_brute_force(spark, docs, seed, least, chunk, frequent):
+    """Small chunks make heads come to an end inside a batch; frequent heads are looked up by their windows."""
     rows = sample(seed)
-    got = repeated_passages(docs(rows, extra=True).repartition(4), least, chunk).collect()
+    got = repeated_passages(docs(rows, extra=True).repartition(4), least, chunk, frequent).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"], r["first_holder"]) for r in got} == spans(rows, least)
 
 
@@ -193,8 +193,8 @@ def test_passages_with_control_characters_and_one_common_head(spark, docs):
     for i in range(120):
         w = [f"{r.choice('ab')}{r.randrange(4)}" for _ in range(12)]
         rows.append((i, " ".join([*w[:6], *head, r.choice(["x", "x\x01", "\x02"]), *w[6:]])))
-    for chunk in (1 << 15, 7):
-        got = repeated_passages(docs(rows), 20, chunk).collect()
+    for chunk, frequent in ((1 << 15, 1 << 11), (7, 7)):
+        got = repeated_passages(docs(rows), 20, chunk, frequent).collect()
         assert {(r["doc_id"], r["start_word"], r["end_word"], r["first_holder"]) for r in got} == spans(rows, 20)
 
 
