@@ -32,7 +32,7 @@ CAPACITY, END_ID = 1024, 0
 #: 1/8 of a sequence: 2 to the power of these.
 PADDING, CUTS = 0.01, (1, 2, 3)
 #: Ranks among equal lengths are counted by bucket first, then inside each: pieces of a bucket, about.
-BUCKET_PIECES = 1 << 18
+BUCKET_PIECES = 512
 #: The linear program's relative gap at which pricing ends, and its most rounds.
 GAP, ROUNDS = 2e-4, 200
 #: Texts for which both tokenizer libraries read the same letter classes; others go the slower way.
@@ -277,9 +277,11 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             batch = batch.drop_columns(["rank"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sequence), pa.array(offset)], names=[*batch.schema.names, "sequence_id", "offset"])
 
-    # as many buckets as the most frequent length needs
-    buckets = max(1, -(-int(demand.max(initial=0)) // BUCKET_PIECES))
-    rest = whole.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
+    # as many buckets for each length as its pieces need
+    buckets = np.ones(capacity, np.int64)
+    buckets[lengths] = -(-demand // BUCKET_PIECES)
+    many = F.get(F.split(F.lit(",".join(map(str, buckets.tolist()))), ",").cast("array<bigint>"), F.col("length").cast("int"))
+    rest = whole.where(F.col("length") < capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), many))
     counts = rest.groupBy("length", "bucket").agg(F.count("*").alias("held"))
     running = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = counts.select("length", "bucket", (F.sum("held").over(running) - F.col("held")).alias("ahead"))

@@ -169,14 +169,14 @@ def _largest(net: Network, ids: np.ndarray, begins: np.ndarray) -> tuple[list[np
     return [np.maximum(t, 0) for t in tops], at
 
 
-def _step(net: Network, ids, begins, y, weight, state, sums) -> None:
-    """One step of gradient descent scaled by past gradients; only largest responses pass gradients back."""
+def _gradients(net: Network, ids, begins, y, weight) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """(gradients of the weighted mean log loss by parameter, words touched, their gradients); only largest responses pass any back."""
     n = len(y)
     tops, at = _largest(net, ids, begins)
     pooled = np.concatenate(tops, 1)
     p = 1 / (1 + np.exp(-np.clip(pooled @ net.out + net.bias, -30, 30)))
     d = ((p - y) * weight / n).astype(np.float32)
-    grads = {"out": pooled.T @ d}
+    grads = {"out": pooled.T @ d, "bias": d.sum()}
     back = (d[:, None] * net.out) * (pooled > 0)
     touched, pushed = [], []
     padded = np.concatenate([ids, np.zeros((max(WIDTHS), 2), ids.dtype)])
@@ -191,15 +191,20 @@ def _step(net: Network, ids, begins, y, weight, state, sums) -> None:
             touched += [word[:, :, 0].ravel(), word[:, :, 1].ravel()]
             pushed += [push, push]
         grads[f"f{w}"] = gf
+    some, inverse = np.unique(np.concatenate(touched), return_inverse=True)
+    total = np.zeros((len(some), SIZE), np.float32)
+    np.add.at(total, inverse, np.concatenate(pushed))
+    total[some == 0] = 0
+    return grads, some, total
+
+
+def _step(net: Network, ids, begins, y, weight, state, sums) -> None:
+    """One step of gradient descent scaled by past gradients."""
+    grads, some, total = _gradients(net, ids, begins, y, weight)
     for k, v in _parameters(net).items():
         state[k] = 0.95 * state[k] + 0.05 * grads[k] ** 2
         v -= RATE * 0.2 * grads[k] / (np.sqrt(state[k]) + 1e-4)
-    net.bias -= RATE * float(d.sum())
-    word, push = np.concatenate(touched), np.concatenate(pushed)
-    some, inverse = np.unique(word, return_inverse=True)
-    total = np.zeros((len(some), SIZE), np.float32)
-    np.add.at(total, inverse, push)
-    total[some == 0] = 0
+    net.bias -= RATE * float(grads["bias"])
     sums["words"][some] += (total**2).mean(1, keepdims=True)
     net.words[some] -= RATE * total / np.sqrt(sums["words"][some])
 

@@ -62,6 +62,62 @@ def test_winnowing_picks_rightmost_minima_and_keeps_its_guarantee(spark, docs):
     assert [(1 << 28) - 1 - (x & (1 << 28) - 1) for x in ties] == list(range(WINDOW - 1, 11))
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def winnowed(text):
+    """The kept (position, hash) of a text, from the definition alone."""
+    import re
+
+    import xxhash
+
+    pieces = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        pieces += [w[i : i + 16] for i in range(len(w) - 15)] if len(w) > 16 else [w]
+    prime, base = 2**35 - 31, 8191
+    h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) % prime for p in pieces]
+    if len(h) >= GRAM:
+        grams = [sum(x * base ** (GRAM - 1 - j) for j, x in enumerate(h[i : i + GRAM])) % prime for i in range(len(h) - GRAM + 1)]
+    else:
+        grams = None  # fewer words than a gram: one value, whichever
+    if grams is None:
+        return None if h else []
+    windows = [range(i, i + WINDOW) for i in range(len(grams) - WINDOW + 1)] or [range(len(grams))]
+    return sorted({max(((-grams[p], p) for p in w))[1] for w in windows}), grams
+
+
+def test_fingerprints_by_definition(spark, docs):
+    """Every kept position and hash, and both likenesses, against a plain version."""
+    r = random.Random(12)
+    rows = [(i, t) for i, t in enumerate(texts(50, 13, 70))] + [(60, " ".join(r.choice("ab") for _ in range(60))), (61, "x" * 40 + " é" * 9), (62, "a b c d"), (63, "".join(r.choice("一是不了") for _ in range(60)))]
+    got = {x["doc_id"]: x for x in fingerprints(docs(rows)).collect()}
+    last = (1 << 28) - 1
+    for i, t in rows:
+        want = winnowed(t)
+        if want:
+            assert [(last - (x & last), x >> 28) for x in got[i]["fingerprint"]] == [(p, want[1][p]) for p in want[0]]
+    edited = {x["doc_id"]: x for x in edited_fingerprints(docs(rows).repartition(3)).collect()}
+    of = lambda t: None if winnowed(t) is None else {winnowed(t)[1][p] for p in winnowed(t)[0]} if winnowed(t) else set()
+    order, checked = sorted(rows, key=lambda x: -x[0]), 0
+    for k, (i, t) in enumerate(order):
+        following = order[(k + 1) % len(order)][1]
+        half = len(t) // 2
+        a, b, c = of(t), of(t[: len(t) - half] + following[:half]), of(following)
+        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
+        if None not in (a, b, c):
+            checked += 1
+            assert edited[i]["near_edited"] == pytest.approx(like(a, b)) and edited[i]["near_next"] == pytest.approx(like(a, c))
+    assert checked > 30
+
+
+def test_edited_texts_among_null_and_repeated_ids(spark, docs):
+    """A third of the rows without an id: they are dealt to groups of their own, and every row has one next."""
+    rows = [(i, t) for i, t in enumerate(texts(40, 17))] + [(None, t) for t in texts(60, 18)] + [(7, t) for t in texts(20, 19)]
+    got = edited_fingerprints(docs(rows, extra=True).repartition(5)).collect()
+    assert len(got) == len(rows) and sorted(r["n_chars"] for r in got) == sorted(len(t) for _, t in rows)
+
+
 def test_a_shift_in_an_unspaced_text_keeps_its_fingerprints(spark, docs):
     r = random.Random(4)
     text = "".join(r.choice("的一是不了人我在有他这中大来上😀") for _ in range(800))
@@ -316,12 +372,75 @@ def test_scores_beyond_doubles_are_exact(spark):
         ("</p></div>a</b>", "a"),
         ("<blockquote>q<p>r</blockquote>s", "  q\n\n  r\n\ns"),
         ("<h1>T</h1>text<hr>more", "T\n\ntext\n\n----\n\nmore"),
+        ("a <svg><title>t</title><text>Label</text></svg> <math>x=3</math> b", "a Label x=3 b"),
+        ("<div style='visibility:hidden'>no<p style='visibility: visible'>yes</p>no<hr></div>z", "yes\n\nz"),
+        ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "| yes"),
+        ("<a href='x>y' title=\"q\">z</a>", "z"),
+        ('<a href="x>text</a> b', "text b"),
     ],
 )
 def test_rendering(source, want):
     assert visible_text(source).strip() == want.strip()
 
 
+def page(r):
+    """(html, text) of random blocks, the text worked out from the blocks themselves."""
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randint(1, 7)))
+    words = lambda most: [word() for _ in range(r.randint(1, most))]
+    noise = lambda: r.choice(["", " ", "\n  ", "<!-- no -->", "<script>x<y</script>", "<span hidden>no</span>", "<i style='display:none'>no</i>"])
+    wrapped = lambda ws: r.choice([" ", "\n", "  "]).join(r.choice([w, f"<b>{w}</b>", f"<a href='x>y'>{w}</a>"]) for w in ws)
+    maybe = lambda tag: r.choice([tag, ""])
+    source, blocks = [], []
+    for _ in range(r.randint(1, 6)):
+        kind = r.choice(["p", "div", "ul", "ol", "table"])
+        if kind in ("p", "div"):
+            ws = words(6)
+            source.append(f"<{kind}>{noise()}{wrapped(ws)}" + ("</div>" if kind == "div" else maybe("</p>")))
+            blocks.append((kind == "p", [" ".join(ws)]))
+        elif kind in ("ul", "ol"):
+            items = [words(3) for _ in range(r.randint(1, 4))]
+            source.append(f"<{kind}>{noise()}" + "".join(f"<li>{wrapped(ws)}{maybe('</li>')}{noise()}" for ws in items) + f"</{kind}>")
+            blocks.append((True, [(f"{n}. " if kind == "ol" else "- ") + " ".join(ws) for n, ws in enumerate(items, 1)]))
+        else:
+            rows = [[words(2) for _ in range(r.randint(1, 3))] for _ in range(r.randint(1, 4))]
+            source.append(f"<table>{noise()}" + "".join("<tr>" + "".join(f"<td>{wrapped(ws)}{maybe('</td>')}" for ws in row) + maybe("</tr>") for row in rows) + "</table>")
+            cells = [[" ".join(ws) for ws in row] for row in rows]
+            wide = [max(len(row[c]) for row in cells if c < len(row)) for c in range(max(map(len, cells)))]
+            blocks.append((True, [" | ".join(x.ljust(wide[c]) for c, x in enumerate(row)).rstrip() for row in cells]))
+        source.append(noise())
+    text = "\n".join(blocks[0][1])
+    for (a, _), (b, lines) in zip(blocks, blocks[1:], strict=False):
+        text += ("\n\n" if a or b else "\n") + "\n".join(lines)
+    return "".join(source), text
+
+
+def test_rendering_against_a_plain_renderer():
+    r = random.Random(21)
+    for _ in range(300):
+        source, want = page(r)
+        assert visible_text(source) == want, source
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a " * 16_000, "<div>" * 16_000 + "</x>" * 16_000, "<b><table><td>" + "<div>" * 16_000 + "</b>" * 16_000, '<a b="' * 16_000, "<a b='\"" * 9000 + ">x", "<p>" * 16_000 + "</p>" * 16_000, "</" * 50_000, "<![" * 50_000, "<h1><div>" * 9000],
+)
+def test_broken_pages_are_read_in_linear_time(source):
+    import time
+
+    begin = time.perf_counter()
+    visible_text(source)
+    assert time.perf_counter() - begin < 5
+
+
+def test_unlike_tables_lose_no_text_and_add_few_blanks():
+    tall = "<table>" + "".join(f"<tr><td>{'x' * 8000 if i == 0 else 'a'}<td>b{i}" for i in range(3000)) + "</table>"
+    wide = "<table><tr>" + "".join(f"<td>c{i}" for i in range(900)) + "<td>" + "<br>".join("y" for _ in range(900)) + "<tr><td>" + "z" * 900 + "</table>"
+    for source, parts in ((tall, [f"b{i}" for i in range(3000)]), (wide, [f"c{i}" for i in range(900)])):
+        text = visible_text(source)
+        assert len(text) < 10 * len(source) and set(parts) <= set(text.replace("|", " ").split())
+
+
 def test_pages(spark):
     deep = "<div>" * 5000 + "x" + "<table><tr><td>" * 60 + "y"
     rows = [(1, "u", "<p>a"), (1, "u", "<p>a"), (2, None, None), (3, "v", ""), (4, "w", deep), (5, "w", "<p>word " * 50_000)]
@@ -362,9 +481,53 @@ def test_url_filter_as_of(spark):
 
 
 def test_hosts(spark):
-    urls = {"HTTP://A.b:80/c": "a.b", "ftp://u@h/": "h", "//x": "", "http://[::1]/": "["}
+    urls = {"HTTP://A.b:80/c": "a.b", "ftp://u@h/": "h", "//x": "", "http://[::1]/": "[::1]", "https://u:p@[2001:DB8::2]:8080/x?y": "[2001:db8::2]", "http://[::1": ""}
     got = {r["u"]: r["h"] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", host_of(F.col("u")).alias("h")).collect()}
-    assert {u: got[u] for u in list(urls)[:3]} == {u: urls[u] for u in list(urls)[:3]}
+    assert got == urls
+
+
+@pytest.mark.parametrize("most", [200_000, 10])
+def test_a_large_list_joins_alike_whether_sent_or_shuffled(spark, monkeypatch, most):
+    """Thousands of entries and a host that holds a third of the captures, against a lookup in plain Python."""
+    import siftline.llm.url_filter as module
+
+    monkeypatch.setattr(module, "BROADCAST_ENTRIES", most)
+    r = random.Random(4)
+    hosts = ["hot.example.com"] * 40 + [f"h{i}.{r.choice('abc')}.example.com" for i in range(60)] + ["[2001:db8::1]", "[2001:db8::2]", "10.0.0.1"]
+    entries = {("domain", r.choice(["example.com", "[2001:db8::1]", *(f"{c}.example.com" for c in "abc"), *hosts]), r.choice(["block", "allow", "watch", "remove"]), r.randrange(300)) for _ in range(900)}
+    entries |= {("prefix", f"{r.choice(hosts)}/{'/'.join(r.choice('xyz') for _ in range(r.randint(1, 11)))}", r.choice(["block", "remove"]), r.randrange(300)) for _ in range(2500)}
+    entries = sorted({(k, p, d): (k, p, a, d) for k, p, a, d in entries}.values())
+    rows = [(i, f"http://{r.choice(hosts)}/{'/'.join(r.choice('xyz') for _ in range(r.randint(0, 12)))}", r.randrange(320)) for i in range(600)]
+    listed = spark.createDataFrame(entries, "kind string, pattern string, action string, listed_at int")
+    captures = spark.createDataFrame([(*c, "x", "y") for c in rows], "capture_id long, url string, fetched_at int, pattern string, host string")
+    got = {x["capture_id"]: (x["n_active"], x["pattern"], x["action"]) for x in filter_urls(captures, listed).collect()}
+    dated = {}
+    for k, p, a, d in entries:
+        dated.setdefault(f"{k}:{p}", []).append((d, a))
+    for i, url, t in rows:
+        host, _, path = url[7:].partition("/")
+        labels, parts = [host] if host[0] == "[" else host.split("."), [x for x in path.split("/") if x]
+        keys = [f"domain:{'.'.join(labels[-n:])}" for n in range(1, len(labels) + 1)] + [f"host:{host}"] + [f"prefix:{host}/{'/'.join(parts[:n])}" for n in range(1, len(parts) + 1)]
+        active = [(k, a) for k in keys for d, a in [max(((d, a) for d, a in dated.get(k, []) if d <= t), default=(0, "remove"))] if a != "remove"]
+        assert got[i] == ((len(active), *active[-1]) if active else (0, None, "allow"))
+
+
+def test_the_query_and_its_sql_agree_on_deep_pages(spark, tmp_path):
+    import duckdb
+
+    from siftline.llm.queries import QUERIES, URL_SQL
+
+    deep = "a.b.c.d.e.f.g.h.i"
+    urls = [f"http://{deep}.{h}/{'/'.join('en' for _ in range(n))}" for h in ("spam-farm.example.org", "ads-track.example.org", "free-bets.example.com", "x.com") for n in (0, 1, 9)]
+    urls += [f"https://ads-track.example.org/{'/'.join(['en', *'abcdefgh'])}", "https://ADS-track.example.org/EN/x", "http://m.free-bets.example.com/"]
+    pages = [(i * 31 + k, u, "") for i in range(13) for k, u in enumerate(urls)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["op10_url_filters"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as db:
+        db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = db.sql(URL_SQL)
+        names = want.columns
+        assert sorted(tuple(str(r[c]) for c in names) for r in got) == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
 def test_url_filter_of_deep_entries(spark):
