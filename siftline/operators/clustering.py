@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import Config
 from siftline.config import algorithm as named
+from siftline.staging import staged
 
 K, KMEANS_ROUNDS, GMM_ROUNDS = 3, 12, 8
 LEADERS, MODES, SHIFTS, MODE_REACH = 8, 16, 6, 0.04
@@ -198,7 +199,6 @@ def cluster(features: DataFrame, name: str | None = None, config: Config = Confi
 
     Jobs are counted at once; those of more than ``most`` rows are written once and spread over tasks.
     """
-    from siftline.llm.staging import staged
     from siftline.operators import spread
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

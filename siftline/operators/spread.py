@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.llm.staging import shuffle_width, staged
+from siftline.staging import shuffle_width, staged
 from siftline.operators import clustering as one
 
 #: Dimensions of a cell; rows of one cell that meet in one key of the join; rows of a job in one fold of birch.

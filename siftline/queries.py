@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import MAX_DIMENSIONS, Config
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number
-from siftline.llm.staging import staged
+from siftline.staging import staged
 from siftline.operators import profile as p
 from siftline.operators.clustering import cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors
