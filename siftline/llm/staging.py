@@ -1,10 +1,7 @@
-"""Writing intermediate results where every executor can read them again."""
+"""What the corpus operators share in reading and writing tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,58 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.wordkeys import slices
+from siftline.staging import checkpoint_dir, shuffle_width, staged, unstage
 
-_own_dirs: dict[str, str] = {}
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``, or else the one set on the context.
-
-    A folder of our own takes its place only on a local master, where all tasks see the driver's disk; on a
-    cluster without a shared folder this refuses.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    on_context = context.getCheckpointDir()
-    if on_context:
-        return on_context
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in _own_dirs:
-        _own_dirs[context.applicationId] = tempfile.mkdtemp(prefix="siftline-")
-    return _own_dirs[context.applicationId]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session may have ended before the interpreter does
-        pass
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written once as Parquet below the shared folder and read back.
-
-    It cuts the lineage: a lost executor costs a read of files and no recomputation. Files go when the
-    interpreter ends, or earlier by ``unstage``.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/siftline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged_at = path
-    return out
-
-
-def unstage(df: DataFrame) -> None:
-    """Removes the files of a table from ``staged`` that nothing will read again, such as a round of an iteration."""
-    _remove(df.sparkSession, df._staged_at)
-
+__all__ = ["byte_batches", "checkpoint_dir", "documents", "fresh", "shuffle_width", "staged", "text_bytes", "unstage"]
 
 #: Bytes of texts that Python works on at once; Spark's own limit of a batch is 64 MB.
 BATCH_BYTES = 8 << 20
@@ -83,10 +31,6 @@ def fresh(name: str, *tables: DataFrame) -> str:
     return name
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, which set how many fragments a job is cut into."""
     return docs.select(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
