@@ -112,6 +112,44 @@ SELECT c.page_id, c.url, c.fetched_at, c.host, count(m.pattern)::BIGINT AS n_act
 FROM captures c LEFT JOIN matched m USING (page_id) GROUP BY ALL
 """
 
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"words AS (SELECT doc_id, regexp_extract_all({_FOLDED}, '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+#: Every window of 50 words compared with all others by its MD5; runs of repeated ones are spans.
+PASSAGE_SQL = f"""
+WITH {_WORDS}, windows AS (
+  SELECT doc_id, unnest([md5(array_to_string(w[i:i + 49], ' ')) FOR i IN range(1, len(w) - 48)]) AS t, unnest(range(0, len(w) - 49)) AS place FROM words WHERE len(w) >= 50
+), held AS (
+  SELECT doc_id, place, min(doc_id) OVER (PARTITION BY t) AS least, max(doc_id) OVER (PARTITION BY t) AS most FROM windows
+), marked AS (
+  SELECT *, coalesce(place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50, true) AS new FROM held WHERE least < most
+), numbered AS (SELECT *, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY place) AS span FROM marked)
+SELECT doc_id, min(place)::BIGINT AS start_word, (max(place) + 50)::BIGINT AS end_word, (max(place) + 50 - min(place))::BIGINT AS n_words, NOT bool_or(doc_id > least) AS first_holder
+FROM numbered GROUP BY doc_id, span
+"""
+
+#: All pairs that share a shingle, and what they reach.
+JACCARD_SQL = f"""
+WITH RECURSIVE {_WORDS}, shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM words
+), size AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared s JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(x, y) AS (SELECT a, b FROM sides UNION SELECT r.x, s.b FROM reach r JOIN sides s ON r.y = s.a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least(d.doc_id, (SELECT min(y) FROM reach WHERE x = d.doc_id)), d.doc_id) AS component_id
+FROM documents d LEFT JOIN size USING (doc_id)
+"""
+
+#: Every query against every row.
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id::BIGINT AS id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS x FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (SELECT q.id AS query_id, c.id AS vec_id, list_dot_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.id <> c.id WHERE q.id % 50 = 0)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 5
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -119,4 +157,10 @@ QUERIES = {
         op6_toxicity, op7_exact_topk_search, op8_mixing_sources, op9_packing, op10_url_filters,
     )
 }
-ORACLES = {"op8_mixing_sources": MIX_SQL, "op10_url_filters": URL_SQL}
+ORACLES = {
+    "op1_suffix_array_dedup": PASSAGE_SQL,
+    "op2_ngram_jaccard_join": JACCARD_SQL,
+    "op7_exact_topk_search": TOP_SQL,
+    "op8_mixing_sources": MIX_SQL,
+    "op10_url_filters": URL_SQL,
+}
