@@ -8,19 +8,34 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch that goes to Python, where the session leaves Spark's default: texts are long.
+BATCH_ROWS = 1000
+#: How Python workers hold memory: large pieces go back to the system when they are freed.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def session(master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName("siftline").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return reachable(builder.getOrCreate())
+    return prepared(builder.getOrCreate())
+
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """What an application sets once for its session; operators themselves change no settings.
 
-def reachable(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package wherever the driver was started; on a cluster it must be installed or shipped."""
+    Python workers find this package wherever the driver was started (on a cluster it must be installed or shipped)
+    and give memory back, and texts go to them in small batches unless the session says otherwise.
+    """
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for name, value in WORKER_MEMORY.items():
+        env.setdefault(name, value)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     return spark
