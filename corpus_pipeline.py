@@ -14,35 +14,36 @@ from siftline.llm.packing import pack_documents
 from siftline.llm.quality import accepted
 from siftline.llm.staging import documents, staged
 from siftline.llm.suffix_dedup import without_repeats
-from siftline.session import reachable
+from siftline.session import prepared
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts; it learns from the labelled ones among them."""
-    reachable(spark)
+    prepared(spark)
     return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, similarity of 0.8 or more)."""
-    reachable(spark)
+    prepared(spark)
     return one_of_each(docs, k=5, percent=80)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more stay in their first holder only."""
-    reachable(spark)
+    prepared(spark)
     return without_repeats(docs, min_words=50)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to their target weights, documents repeated as the mix asks."""
+    prepared(spark)
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens: a row per piece of a document."""
-    reachable(spark)
+    prepared(spark)
     return pack_documents(docs)
 
 
