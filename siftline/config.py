@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, fields, replace
+from pathlib import Path
 
 ALGORITHMS = ("kmeans++", "dbscan", "birch", "mean_shift", "optics", "gmm", "agglomerative")
 STATUSES = ("queued", "batching", "analyzing", "rendering", "ready", "failed")
 MAX_DIMENSIONS, MAX_KEYS, MAX_ROWS, MAX_BATCH_JOBS = 8, 16, 2_000_000, 256
+#: Jobs that wait at most, and jobs that are known at most.
+MAX_WAITING, MAX_JOBS = 2048, 4096
 
 
 @dataclass(frozen=True)
 class Config:
+    """Settings. Defaults are fixed values.
+
+    encoding, memory_pool_size_mb, worker_threads, async_render_threads and fuzzy_threshold are read and kept for
+    callers that show them; Spark's own settings take their place.
+    """
+
     case_sensitive: bool = False
     fuzzy_threshold: float = 0.85
     max_rows_per_analysis: int = MAX_ROWS
@@ -69,6 +79,12 @@ def _value(text: str, kind: type):
     return kind(text.strip('"')) if kind is str else kind(text)
 
 
+def from_environment() -> Config:
+    """Settings of the file that SIFTLINE_CONFIG names, ``collect.ini`` in the working folder without it; defaults where there is no file."""
+    path = Path(os.environ.get("SIFTLINE_CONFIG", "collect.ini"))
+    return load(path.read_text(encoding="utf-8")) if path.is_file() else Config()
+
+
 def load(text: str) -> Config:
     """Settings from ``key = value`` lines; sections, comments (; or #) and unknown keys are passed over."""
     known = {f.name: type(f.default) for f in fields(Config)}

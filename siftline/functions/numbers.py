@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,34 +59,35 @@ def count_marks(line: F.Column) -> F.Column:
     return F.length(line) - F.length(F.translate(line, "=:", ""))
 
 
-@F.pandas_udf(T.DecimalType(20, 0))
-def fnv1a64(lines: pd.Series) -> pd.Series:
-    """FNV-1a over UTF-8 bytes; the offset basis lacks the canonical one's last digit."""
-    return lines.map(lambda x: None if x is None else _fnv(x.encode()))
+#: The hash's start, which lacks the canonical one's last digit, and its multiplier; fixed values.
+HASH_START, HASH_STEP = 1469598103934665603, 1099511628211
 
 
-def _fnv(data: bytes):
-    from decimal import Decimal
+def _fnv(lines: pa.Array) -> np.ndarray:
+    """FNV-1a over each line's UTF-8 bytes, a byte position of all lines at a time; nulls as empty lines."""
+    lines = lines.cast(pa.large_string()).fill_null("")
+    _, offsets, data = lines.buffers()
+    at = np.frombuffer(offsets, np.int64, len(lines) + 1, lines.offset * 8) if len(lines) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    size, h = np.diff(at), np.full(len(lines), HASH_START, np.uint64)
+    order = np.argsort(-size, kind="stable")
+    held = np.searchsorted(-size[order], -np.arange(int(size.max(initial=0))), "left")
+    for i, n in enumerate(held.tolist()):
+        some = order[:n]
+        h[some] = (h[some] ^ raw[at[some] + i]) * np.uint64(HASH_STEP)
+    return h
+
 
-    h = 1469598103934665603
-    for b in data:
-        h = (h ^ b) * 1099511628211 & 0xFFFFFFFFFFFFFFFF
-    return Decimal(h)
+@F.arrow_udf(T.DecimalType(20, 0))
+def fnv1a64(lines: pa.Array) -> pa.Array:
+    """The whole hash of a line, null for null."""
+    return pc.if_else(lines.is_valid(), pa.array(_fnv(lines)).cast(pa.decimal128(20, 0)), None)
 
 
 @F.arrow_udf(T.DoubleType())
 def line_hash_feature(lines: pa.Array) -> pa.Array:
-    """A line's hash modulo a million, in thousandths, null for null; all lines of a batch go byte by byte together."""
-    texts = lines.to_pylist()
-    raw = [x.encode() for x in texts if x is not None]
-    h = np.full(len(raw), 1469598103934665603, np.uint64)
-    size = np.array([len(x) for x in raw])
-    order = np.argsort(-size, kind="stable")
-    for i in range(int(size.max(initial=0))):
-        some = order[: int(np.searchsorted(-size[order], -i, "left"))]
-        h[some] = (h[some] ^ np.array([raw[k][i] for k in some], np.uint64)) * np.uint64(1099511628211)
-    values = iter(((h % np.uint64(1_000_000)).astype(float) / 1000.0).tolist())
-    return pa.array([None if x is None else next(values) for x in texts], pa.float64())
+    """A line's hash modulo a million, in thousandths, null for null."""
+    return pa.array((_fnv(lines) % np.uint64(1_000_000)).astype(float) / 1000.0, mask=~lines.is_valid().to_numpy(zero_copy_only=False))
 
 
 def distance_sq(a: F.Column, b: F.Column) -> F.Column:

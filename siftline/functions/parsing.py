@@ -41,6 +41,13 @@ def _sound(text: str) -> str:
     return text if text.isascii() or not _SURROGATE.search(text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def _double(value: int | float) -> float:
+    try:
+        return float(value)
+    except OverflowError:  # a whole number beyond all doubles
+        return float("inf") if value > 0 else float("-inf")
+
+
 def _typed(key: str, value) -> tuple:
     """A field as (key, type, num, str, bool, json)."""
     key = _sound(key)
@@ -49,7 +56,7 @@ def _typed(key: str, value) -> tuple:
     if isinstance(value, bool):
         return key, "boolean", None, None, value, None
     if isinstance(value, (int, float)):
-        return key, "number", float(value) if abs(value) < 1e308 else float("inf") * (1 if value > 0 else -1), None, None, None
+        return key, "number", _double(value), None, None, None
     if isinstance(value, str):
         return key, "string", None, _sound(value), None, None
     return key, "array" if isinstance(value, list) else "object", None, None, None, _sound(json.dumps(value, separators=(",", ":"), ensure_ascii=False))

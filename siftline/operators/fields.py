@@ -37,15 +37,14 @@ def parsed(lines: DataFrame) -> DataFrame:
     return out.select("job_id", "line_index", "line", "format", fields.alias("fields"))
 
 
-def rows(parsed_lines: DataFrame) -> DataFrame:
-    """(job_id, line_index, raw, format, ts_ms, ts_label, severity, entity, message, shape_key)."""
-    texts = F.map_from_entries(F.transform(F.filter("fields", lambda f: f["type"] == "string"), lambda f: F.struct(f["key"], f["str"])))
-    numbers = F.map_from_entries(F.transform(F.filter("fields", lambda f: (f["type"] == "number") & (F.abs(f["num"]) <= _LAST_DATE)), lambda f: F.struct(f["key"], f["num"])))
-    out = parsed_lines.select("job_id", "line_index", F.col("line").alias("raw"), "format", "fields", texts.alias("texts"), numbers.alias("numbers"))
+def _texts() -> F.Column:
+    return F.map_from_entries(F.transform(F.filter("fields", lambda f: f["type"] == "string"), lambda f: F.struct(f["key"], f["str"])))
 
-    def first(keys):
-        texts_of = F.transform(F.array(*map(F.lit, keys)), lambda k: js_trim(F.try_element_at(F.col("texts"), k)))
-        return F.get(F.filter(texts_of, lambda x: x.isNotNull() & (x != "")), 0)
+
+def stamped(parsed_lines: DataFrame) -> DataFrame:
+    """``parsed`` lines with ts_ms and ts_label: the first field that is a time, else the line's number."""
+    numbers = F.map_from_entries(F.transform(F.filter("fields", lambda f: (f["type"] == "number") & (F.abs(f["num"]) <= _LAST_DATE)), lambda f: F.struct(f["key"], f["num"])))
+    out = parsed_lines.withColumns({"texts": _texts(), "numbers": numbers})
 
     def shown(ms):
         return F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
@@ -54,10 +53,22 @@ def rows(parsed_lines: DataFrame) -> DataFrame:
     timed = F.transform(found, lambda x: F.struct(F.coalesce(x["n"], instant(x["t"])).alias("ms"), F.when(x["n"].isNotNull(), shown(x["n"])).otherwise(js_trim(x["t"])).alias("label")))
     stamp = F.get(F.filter(timed, lambda x: x["ms"].isNotNull()), 0)
     order = F.struct(F.col("line_index").cast("double").alias("ms"), F.concat(F.lit("row "), F.col("line_index") + 1).alias("label"))
+    return out.withColumn("at", F.coalesce(stamp, order)).select(*parsed_lines.columns, F.col("at.ms").alias("ts_ms"), F.col("at.label").alias("ts_label"))
+
+
+def rows(parsed_lines: DataFrame) -> DataFrame:
+    """(job_id, line_index, raw, format, ts_ms, ts_label, severity, entity, message, shape_key) of ``parsed`` or ``stamped`` lines."""
+    out = parsed_lines if "ts_label" in parsed_lines.columns else stamped(parsed_lines)
+    out = out.select("job_id", "line_index", F.col("line").alias("raw"), "format", "fields", _texts().alias("texts"), "ts_ms", "ts_label")
+
+    def first(keys):
+        texts_of = F.transform(F.array(*map(F.lit, keys)), lambda k: js_trim(F.try_element_at(F.col("texts"), k)))
+        return F.get(F.filter(texts_of, lambda x: x.isNotNull() & (x != "")), 0)
+
     keys = F.array_sort(F.filter(F.transform("fields", lambda f: f["key"]), lambda k: ~k.startswith("__")))
     is_text = F.col("format") == "text"
-    return out.withColumn("at", F.coalesce(stamp, order)).select(
-        "job_id", "line_index", "raw", "format", F.col("at.ms").alias("ts_ms"), F.col("at.label").alias("ts_label"),
+    return out.select(
+        "job_id", "line_index", "raw", "format", "ts_ms", "ts_label",
         F.coalesce(F.upper(first(SEVERITY_KEYS)), F.when(is_text, "TEXT").otherwise("INFO")).alias("severity"),
         F.coalesce(first(ENTITY_KEYS), F.when(is_text, "unstructured").otherwise("unknown")).alias("entity"),
         F.coalesce(first(MESSAGE_KEYS), js_trim("raw")).alias("message"),
@@ -66,8 +77,9 @@ def rows(parsed_lines: DataFrame) -> DataFrame:
 
 
 def fields(parsed_lines: DataFrame) -> DataFrame:
-    """(job_id, line_index, field_pos, key, type, num, str, bool, json): one row per field."""
-    return parsed_lines.select("job_id", "line_index", F.posexplode("fields").alias("field_pos", "f")).select("job_id", "line_index", "field_pos", "f.*")
+    """(job_id, line_index, field_pos, key, type, num, str, bool, json): one row per field; ``stamped`` lines' have ts_label too."""
+    label = [c for c in ("ts_label",) if c in parsed_lines.columns]
+    return parsed_lines.select("job_id", "line_index", *label, F.posexplode("fields").alias("field_pos", "f")).select("job_id", "line_index", *label, "field_pos", "f.*")
 
 
 def numeric(field_rows: DataFrame) -> DataFrame:

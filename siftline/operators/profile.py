@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from siftline.functions.parsing import ENTITY_KEYS, MESSAGE_KEYS, SEVERITY_KEYS
 from siftline.operators.fields import numeric
+from siftline.staging import staged
 
 # Chart colours; fixed values.
 PALETTE = ("#ffda7b", "#ff8c6a", "#f45d96", "#7ad7ff", "#8ef0b5", "#c8a4ff", "#ffb3c1", "#a0c4ff")
+#: Jobs up to this number have their keys sent to every executor.
+MANY_JOBS = 100_000
 COUNTS = ("nulls", "numbers", "strings", "booleans", "arrays", "objects")
 
 
@@ -78,8 +81,8 @@ def dominant_keys(fields: DataFrame, rows: DataFrame) -> DataFrame:
     return both.select("job_id", F.coalesce("dominant_keys", F.array().cast("array<string>")).alias("dominant_keys"), F.coalesce("leading", F.lit("record")).alias("primary_key"))
 
 
-def schemas(fields: DataFrame) -> DataFrame:
-    """(job_id, pos, key, counts by type, min, max, mean, stddev, distinct_strings, first_seen), most filled keys first."""
+def key_counts(fields: DataFrame) -> DataFrame:
+    """(job_id, pos, key, counts by type, min, max, mean, stddev, first_seen), most filled keys first: one grouping."""
     number = F.when((F.col("type") == "number") & ~F.isnan("num") & (F.abs("num") < float("inf")), F.col("num"))
     kind = lambda t: F.count_if(F.col("type") == t)
     found = _own(fields).groupBy("job_id", "key").agg(
@@ -87,10 +90,14 @@ def schemas(fields: DataFrame) -> DataFrame:
         kind("array").alias("arrays"), kind("object").alias("objects"), kind("number").alias("number_types"), F.min(number).alias("min"), F.max(number).alias("max"),
         F.avg(number).alias("mean"), F.stddev_pop(number).alias("stddev"), _seen(),
     )
-    strings = _own(fields).where("type = 'string'").select("job_id", "key", "str").distinct().groupBy("job_id", "key").agg(F.count("*").alias("distinct_strings"))
-    both = found.join(strings, ["job_id", "key"], "left").withColumn("distinct_strings", F.coalesce("distinct_strings", F.lit(0).cast("long")))
     order = Window.partitionBy("job_id").orderBy(F.desc(F.col("numbers") + F.col("strings") + F.col("booleans")), "first_seen")
-    return both.withColumn("pos", F.row_number().over(order))
+    return found.withColumn("pos", F.row_number().over(order))
+
+
+def schemas(fields: DataFrame) -> DataFrame:
+    """``key_counts`` with distinct_strings."""
+    strings = _own(fields).where("type = 'string'").select("job_id", "key", "str").distinct().groupBy("job_id", "key").agg(F.count("*").alias("distinct_strings"))
+    return key_counts(fields).join(strings, ["job_id", "key"], "left").withColumn("distinct_strings", F.coalesce("distinct_strings", F.lit(0).cast("long")))
 
 
 def samples(fields: DataFrame, limit: int = 5) -> DataFrame:
@@ -103,35 +110,63 @@ def samples(fields: DataFrame, limit: int = 5) -> DataFrame:
 
 
 def numeric_keys(schema: DataFrame, rows: DataFrame) -> DataFrame:
-    """(job_id, key, rank): keys with a number in three tenths of the rows, in the schemas' order."""
+    """(job_id, key, rank, mean): keys with a number in three tenths of the rows, in the order of ``key_counts``."""
     enough = schema.join(totals(rows).select("job_id", "n_rows"), "job_id").where(F.col("numbers") >= F.greatest(F.lit(1.0), F.col("n_rows") * 0.3))
-    return enough.select("job_id", "key", (F.row_number().over(Window.partitionBy("job_id").orderBy("pos")) - 1).alias("rank"), "mean")
+    return enough.select("job_id", "key", (F.row_number().over(Window.partitionBy("job_id").orderBy("pos")) - 1).alias("rank"), "mean", "numbers")
+
+
+#: Numeric keys of a job up to which all pairs are sums of one grouping.
+PAIRED_KEYS = 8
 
 
 def correlations(parsed_lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(job_id, pos, x, y, value): Pearson's correlation of each pair of numeric keys.
 
     Means are over all rows that have the key, sums over rows that have both, so with missing values this isn't
-    ``corr``. Pairs are made inside each row; no row meets another.
+    ``corr``. Pairs are made inside each row; no row meets another. The keys, a row for each job, are looked up
+    first: where no job has more than PAIRED_KEYS, a row's deviations become columns and every pair's sums are
+    columns of one grouping; else pairs are rows.
     """
     wanted = keys.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "mean"))).alias("keys"))
-    numbers = F.map_from_entries(F.transform(F.filter("fields", lambda f: (f["type"] == "number") & ~F.isnan(f["num"]) & (F.abs(f["num"]) < float("inf"))), lambda f: F.struct(f["key"], f["num"])))
-    row = parsed_lines.select("job_id", numbers.alias("numbers")).join(wanted, "job_id")
-    moved = F.transform(F.filter("keys", lambda k: F.try_element_at("numbers", k["key"]).isNotNull()), lambda k: F.struct(k["rank"].alias("rank"), k["key"].alias("key"), (F.try_element_at("numbers", k["key"]) - k["mean"]).alias("d")))
-    moved = row.select("job_id", moved.alias("m"))
-    both = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["rank"] > a["rank"]), lambda b: F.struct(a["rank"].alias("i"), b["rank"].alias("j"), a["key"].alias("x"), b["key"].alias("y"), a["d"].alias("dx"), b["d"].alias("dy")))))
-    pair = moved.select("job_id", F.explode(both).alias("p")).select("job_id", "p.*")
-    sums = pair.groupBy("job_id", "i", "j", "x", "y").agg(F.sum(F.col("dx") * F.col("dy")).alias("xy"), F.sum(F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col("dy") * F.col("dy")).alias("yy"), F.count("*").alias("n"))
+    wanted = staged(wanted)
+    most, jobs = wanted.agg(F.coalesce(F.max(F.size("keys")), F.lit(0)), F.count("*")).first()
+    finite = F.filter("fields", lambda f: (f["type"] == "number") & ~F.isnan(f["num"]) & (F.abs(f["num"]) < float("inf")))
+    numbers = F.map_from_entries(F.transform(finite, lambda f: F.struct(f["key"], f["num"])))
+    row = parsed_lines.select("job_id", numbers.alias("numbers")).join(F.broadcast(wanted) if jobs <= MANY_JOBS else wanted, "job_id")
+    if most <= PAIRED_KEYS:
+        key = lambda i: F.get("keys", F.lit(i))
+        flat = row.select("job_id", *((F.try_element_at("numbers", key(i)["key"]) - key(i)["mean"]).alias(f"d{i}") for i in range(most)))
+        pairs = [(i, j) for i in range(most) for j in range(i + 1, most)]
+        both = {(i, j): F.col(f"d{i}").isNotNull() & F.col(f"d{j}").isNotNull() for i, j in pairs}
+        part = lambda i, j, a, b: F.sum(F.when(both[i, j], F.col(f"d{a}") * F.col(f"d{b}")))
+        sums = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), part(i, j, i, j).alias("xy"), part(i, j, i, i).alias("xx"), part(i, j, j, j).alias("yy"), F.count(F.when(both[i, j], 1)).alias("n")) for i, j in pairs]
+        if not sums:
+            return wanted.where("false").select("job_id", F.lit(0).alias("pos"), F.lit("").alias("x"), F.lit("").alias("y"), F.lit(0.0).alias("value"))
+        sums = flat.groupBy("job_id").agg(F.array(*sums).alias("sums")).select("job_id", F.explode("sums").alias("s")).select("job_id", "s.*").join(wanted, "job_id")
+        sums = sums.select("job_id", "i", "j", F.get("keys", "i")["key"].alias("x"), F.get("keys", "j")["key"].alias("y"), "xy", "xx", "yy", "n")
+    else:
+        moved = F.transform(F.filter("keys", lambda k: F.try_element_at("numbers", k["key"]).isNotNull()), lambda k: F.struct(k["rank"].alias("rank"), k["key"].alias("key"), (F.try_element_at("numbers", k["key"]) - k["mean"]).alias("d")))
+        moved = row.select("job_id", moved.alias("m"))
+        both = F.flatten(F.transform("m", lambda a: F.transform(F.filter("m", lambda b: b["rank"] > a["rank"]), lambda b: F.struct(a["rank"].alias("i"), b["rank"].alias("j"), a["key"].alias("x"), b["key"].alias("y"), a["d"].alias("dx"), b["d"].alias("dy")))))
+        pair = moved.select("job_id", F.explode(both).alias("p")).select("job_id", "p.*")
+        sums = pair.groupBy("job_id", "i", "j", "x", "y").agg(F.sum(F.col("dx") * F.col("dy")).alias("xy"), F.sum(F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col("dy") * F.col("dy")).alias("yy"), F.count("*").alias("n"))
     kept = sums.where("n > 1 and xx > 0 and yy > 0").withColumn("value", F.col("xy") / F.sqrt(F.col("xx") * F.col("yy")))
     return kept.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("i", "j")) - 1).alias("pos"), "x", "y", "value")
 
 
 def numeric_series(fields: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
-    """(job_id, key, color, line_index, label, value): points of the numeric keys with two or more, in row order."""
-    wanted = keys.select("job_id", "key", color(F.col("rank")).alias("color"))
-    points = numeric(fields).join(wanted, ["job_id", "key"])
-    many = points.groupBy("job_id", "key").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    return points.join(many, ["job_id", "key"]).join(rows.select("job_id", "line_index", F.col("ts_label").alias("label")), ["job_id", "line_index"]).select("job_id", "key", "color", "line_index", "label", F.col("num").alias("value"))
+    """(job_id, key, color, line_index, label, value): points of the numeric keys with two or more, in row order.
+
+    A row's label stands with its fields where ``fields`` has it (``ts_label``), and is joined where it doesn't.
+    """
+    wanted = keys.where("numbers >= 2").select("job_id", "key", color(F.col("rank")).alias("color"))
+    return _labelled(numeric(fields).join(wanted, ["job_id", "key"]), rows).select("job_id", "key", "color", "line_index", "label", F.col("num").alias("value"))
+
+
+def _labelled(points: DataFrame, rows: DataFrame) -> DataFrame:
+    if "ts_label" in points.columns:
+        return points.withColumnRenamed("ts_label", "label")
+    return points.join(rows.select("job_id", "line_index", F.col("ts_label").alias("label")), ["job_id", "line_index"])
 
 
 def series_range(points: DataFrame) -> DataFrame:
@@ -151,11 +186,15 @@ def scatter_pairs(correlated: DataFrame, keys: DataFrame) -> DataFrame:
 
 def scatter(fields: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(job_id, key, color, line_index, x, y, label): points that have both keys, where there are two or more."""
-    number = numeric(fields).select("job_id", "line_index", "key", "num")
-    left = pairs.join(number.select("job_id", F.col("key").alias("x"), "line_index", F.col("num").alias("vx")), ["job_id", "x"])
-    points = left.join(number.select("job_id", "line_index", F.col("key").alias("y"), F.col("num").alias("vy")), ["job_id", "line_index", "y"])
+    labelled = "ts_label" in fields.columns
+    number = numeric(fields).select("job_id", "line_index", "key", "num", *(["ts_label"] if labelled else []))
+    # one grouping by line brings a pair's two numbers together; pairs are few
+    sides = pairs.select("job_id", "pos", "x", "y", F.explode(F.array("x", "y")).alias("key"))
+    own = lambda c: F.max(F.when(F.col("key") == F.col(c), F.col("num")))
+    grouped = number.join(sides, ["job_id", "key"]).groupBy("job_id", "line_index", "pos", "x", "y")
+    points = grouped.agg(own("x").alias("vx"), own("y").alias("vy"), *([F.first("ts_label").alias("ts_label")] if labelled else [])).where("vx is not null and vy is not null")
     many = points.groupBy("job_id", "x", "y").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    named = points.join(many, ["job_id", "x", "y"]).join(rows.select("job_id", "line_index", F.col("ts_label").alias("label")), ["job_id", "line_index"])
+    named = _labelled(points.join(many, ["job_id", "x", "y"]), rows)
     return named.select("job_id", F.concat("x", F.lit(" vs "), "y").alias("key"), color(F.col("pos")).alias("color"), "line_index", F.col("vx").alias("x"), F.col("vy").alias("y"), "label")
 
 
@@ -167,10 +206,11 @@ def text_lengths(fields: DataFrame, rows: DataFrame, schema: DataFrame) -> DataF
     """(job_id, key, color, line_index, label, value): UTF-16 lengths of message-like strings, two or more and not all empty."""
     known = F.array_position(F.array(*map(F.lit, MESSAGE_KEYS)), F.col("key"))
     alike = schema.where("strings > 0 and (contains(key, 'message') or contains(key, 'msg') or contains(key, 'text'))").where(known == 0).select("job_id", "key", F.row_number().over(Window.partitionBy("job_id").orderBy("pos")).alias("late"))
-    text = _own(fields).where("type = 'string'").select("job_id", "line_index", "key", (F.octet_length(F.encode("str", "UTF-16BE")) / 2).cast("long").alias("value"))
+    label = ["ts_label"] if "ts_label" in fields.columns else []
+    text = _own(fields).where("type = 'string'").select("job_id", "line_index", "key", *label, (F.octet_length(F.encode("str", "UTF-16BE")) / 2).cast("long").alias("value"))
     placed = text.join(alike, ["job_id", "key"], "left").withColumn("place", F.when(known > 0, known - 1).otherwise(F.col("late") + len(MESSAGE_KEYS) - 1)).where("place is not null")
     many = placed.groupBy("job_id", "key").agg(F.count("*").alias("n"), F.max("value").alias("most")).where("n >= 2 and most > 0").select("job_id", "key")
-    named = placed.join(many, ["job_id", "key"]).join(rows.select("job_id", "line_index", F.col("ts_label").alias("label")), ["job_id", "line_index"])
+    named = _labelled(placed.join(many, ["job_id", "key"]), rows)
     return named.select("job_id", F.concat("key", F.lit(" length")).alias("key"), color(F.col("place") + 3).alias("color"), "line_index", "label", "value")
 
 
@@ -212,6 +252,19 @@ def category(fields: DataFrame, rows: DataFrame) -> DataFrame:
     return totals(rows).select("job_id").join(found, "job_id", "left").select("job_id", F.coalesce("category_key", F.lit("severity")).alias("category_key"))
 
 
+def category_histogram(severities: DataFrame, entities: DataFrame, few: DataFrame, formats: DataFrame) -> DataFrame:
+    """(job_id, label, value): the first of these histograms that has anything for the job: severities, entities, the
+    least key of low cardinality, formats."""
+    least = few.groupBy("job_id").agg(F.min("key").alias("key"))
+    choices = (severities, entities, few.join(least, ["job_id", "key"]), formats)
+    every = None
+    for place, bars in enumerate(choices):
+        part = bars.select("job_id", F.lit(place).alias("place"), "label", "value")
+        every = part if every is None else every.union(part)
+    chosen = every.groupBy("job_id").agg(F.min("place").alias("place"))
+    return every.join(chosen, ["job_id", "place"]).select("job_id", "label", "value")
+
+
 def entity_key(fields: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*map(F.lit, ENTITY_KEYS)), F.col("key"))
     return fields.where(F.col("key").isin(*ENTITY_KEYS)).where("type = 'string'").groupBy("job_id").agg(F.min_by("key", order).alias("entity_key"))

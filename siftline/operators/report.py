@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import json
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +81,29 @@ def report_page(result: dict, insights: list, svg: str) -> str:
     return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Job {html.escape(str(result['jobId']))}</title></head><body><p>status: {html.escape(result['status'])}</p>{report_fragment(result, insights, svg)}</body></html>"
 
 
+def rendered(results: DataFrame, told: DataFrame, drawn: DataFrame, config: Config = Config()) -> DataFrame:
+    """(job_id, body, svg, html): each job's chart and report fragment, made in the tasks from previews of bounded size.
+
+    results: rows of ``analyze``; told: its insights; drawn: rows of ``svg_points``. body is the result as JSON.
+    """
+    preview = drawn.where(F.col("row_id") < PREVIEW).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "cx", "cy", "r", "color"))).alias("points"))
+    notes = told.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("pos", "title", "detail", "tone"))).alias("notes"))
+    columns = ("job_id", "algorithm", "status", "error", "row_count", "cluster_count", "dimensions", "entropy", "slope", "trend", "outlier_ratio")
+    jobs = results.select(*columns).join(preview, "job_id", "left").join(notes, "job_id", "left")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                body = {"jobId": str(r["job_id"]), "status": r["status"], "algorithm": r["algorithm"], "rows": r["row_count"] or 0, "clusters": r["cluster_count"] or 0, "dimensions": r["dimensions"] or 0, "entropy": r["entropy"] or 0.0, "trendSlope": r["slope"] or 0.0, "trend": r["trend"] or "Stable", "outlierRatio": r["outlier_ratio"] or 0.0, "error": r["error"] or "", "insights": r["notes"] or []}
+                svg = cluster_svg(r["points"] or [], body, config)
+                out.append((r["job_id"], json.dumps(body), svg, report_fragment(body, body["insights"], svg)))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), *[pa.string()] * 3), strict=True)], names=["job_id", "body", "svg", "html"])
+
+    return jobs.mapInArrow(run, "job_id long, body string, svg string, html string")
+
+
 def bars_svg(title: str, bars: list, w: int = 640, h: int = 320) -> str:
     """A histogram of (label, value) bars."""
     most, wide = max([v for _, v in bars], default=0) or 1, (w - 80) / max(1, len(bars))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +11,19 @@ from siftline.config import Config
 from siftline.operators import profile as p
 from siftline.operators.clustering import cluster
 from siftline.operators.features import feature_vectors
-from siftline.operators.fields import fields, parsed, rows
+from siftline.operators.fields import fields, parsed, rows, stamped
 from siftline.operators.insights import insights
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.sources.lines import engine_lines, profiler_lines
+from siftline.staging import staged, unstage
 
 NO_ROWS = "no analyzable rows found"
 
 
 @dataclass
 class Analysis:
+    """Tables of one analysis; features and labels are staged, and ``close`` removes them when the others are written."""
+
     jobs: DataFrame
     features: DataFrame
     labels: DataFrame
@@ -29,18 +31,30 @@ class Analysis:
     insights: DataFrame
     density: DataFrame
 
+    def close(self) -> None:
+        unstage(self.features)
+        unstage(self.labels)
+
 
 def analyze(jobs: DataFrame, config: Config = Config()) -> Analysis:
     """Features, clusters, summaries and insights of jobs (job_id, algorithm, payload).
 
-    results: (job_id, algorithm, status, error, cluster_count, summary columns); a job without rows has failed.
+    results: (job_id, algorithm, status, error, cluster_count, summary columns); a job without rows has failed. What
+    the settings switch off is 0 or Stable.
     """
     features = feature_vectors(engine_lines(jobs, config.max_rows_per_analysis), config)
-    features = features.persist(StorageLevel.MEMORY_AND_DISK)
-    labels = cluster(features.join(jobs.select("job_id", "algorithm"), "job_id"), None, config).persist(StorageLevel.MEMORY_AND_DISK)
+    features = staged(features)
+    labels = staged(cluster(features.join(jobs.select("job_id", "algorithm"), "job_id"), None, config))
     counts = labels.groupBy("job_id").agg(F.max("cluster_count").alias("cluster_count"))
     summed = summary(features, config.dims).join(counts, "job_id")
     sizes = balance(cluster_sizes(labels, counts))
+    off = {
+        "entropy": None if config.enable_shannon_entropy else F.lit(0.0),
+        "slope": None if config.enable_linear_regression else F.lit(0.0),
+        "outlier_ratio": None if config.enable_outlier_detection else F.lit(0.0),
+        "trend": None if config.enable_time_series_trend and config.enable_linear_regression else F.lit("Stable"),
+    }
+    summed = summed.withColumns({c: v for c, v in off.items() if v is not None})
     told = insights(summed, sizes)
     density = cluster_density(labels.select("job_id", "label"), counts)
     done = jobs.select("job_id", "algorithm").join(summed, "job_id", "left")
@@ -68,10 +82,13 @@ def result_json(results: DataFrame, html_column: str | None = None, svg_column:
 
 
 class Profile:
-    """A profile of lines (job_id, line_index, line); each part is a DataFrame made when it is asked for."""
+    """A profile of lines (job_id, line_index, line); each part is a DataFrame made when it is asked for.
+
+    Lines are parsed once, into a staged table that all parts read; nothing stays cached.
+    """
 
     def __init__(self, lines: DataFrame):
-        self.parsed = parsed(lines).persist(StorageLevel.MEMORY_AND_DISK)
+        self.parsed = staged(stamped(parsed(lines)))
         self.rows = rows(self.parsed)
         self.fields = fields(self.parsed)
 
@@ -83,14 +100,15 @@ class Profile:
         made = {
             "schemas": lambda: p.schemas(self.fields),
             "samples": lambda: p.samples(self.fields),
-            "numeric_keys": lambda: p.numeric_keys(self.schemas, self.rows),
+            "key_counts": lambda: p.key_counts(self.fields),
+            "numeric_keys": lambda: p.numeric_keys(self.key_counts, self.rows),
             "correlations": lambda: p.correlations(self.parsed, self.numeric_keys),
             "series": lambda: p.numeric_series(self.fields, self.rows, self.numeric_keys),
             "scatter_pairs": lambda: p.scatter_pairs(self.correlations, self.numeric_keys),
             "scatter": lambda: p.scatter(self.fields, self.rows, self.scatter_pairs),
             "booleans": lambda: p.boolean_histogram(self.fields),
-            "text_lengths": lambda: p.text_lengths(self.fields, self.rows, self.schemas),
-            "null_ratios": lambda: p.null_ratios(self.schemas, self.rows),
+            "text_lengths": lambda: p.text_lengths(self.fields, self.rows, self.key_counts),
+            "null_ratios": lambda: p.null_ratios(self.key_counts, self.rows),
             "field_coverage": lambda: p.field_coverage(self.fields),
             "shape_coverage": lambda: p.shape_coverage(self.rows),
             "format_coverage": lambda: p.format_coverage(self.rows),
@@ -99,14 +117,16 @@ class Profile:
             "entity": lambda: p.entity_histogram(self.rows),
             "low_cardinality": lambda: p.low_cardinality(self.fields, self.schemas, self.rows),
             "category": lambda: p.category(self.fields, self.rows),
+            "category_histogram": lambda: p.category_histogram(self.severity, self.entity, self.low_cardinality, self.format_coverage),
             "totals": lambda: p.totals(self.rows),
             "donuts": lambda: p.donuts(self.fields, self.schemas),
             "stats_grid": lambda: p.stats_grid(self.schemas),
-            "counters": lambda: p.counters(self.rows, self.schemas, self.series, self.correlations),
+            "counters": lambda: p.counters(self.rows, self.key_counts, self.series, self.correlations),
         }.get(name)
         if made is None:
             raise AttributeError(name)
         return made()
 
     def close(self) -> None:
-        self.parsed.unpersist()
+        """Removes the staged lines; nothing may be read from the profile afterwards."""
+        unstage(self.parsed)

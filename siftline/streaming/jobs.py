@@ -1,48 +1,76 @@
 """Jobs: submitting payloads, micro-batches through Structured Streaming, and reading results.
 
 Queues, back-pressure and batch limits are the source's rate limits and the trigger; a batch's jobs are analysed
-in one plan and never mix. Results are tables; a job's status is written last.
+in one plan and never mix. Results and pages are tables; a job's status is written last.
 """
 
 from __future__ import annotations
 
+import json
+import logging
+import re
 import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.config import MAX_BATCH_JOBS, Config, algorithm
-from siftline.operators.report import PREVIEW, cluster_svg, report_fragment, report_page, svg_points
-from siftline.plans.analysis import analyze
+from siftline.config import MAX_BATCH_JOBS, MAX_JOBS, MAX_WAITING, Config, algorithm
+from siftline.operators.report import rendered, report_page, svg_points
+from siftline.plans.analysis import Analysis, analyze
+from siftline.staging import checkpoint_dir
 
+log = logging.getLogger("siftline")
+
+# What a failed job says; fixed values.
+SATURATED, UNSCHEDULED = "ingress queue is saturated", "failed to schedule analysis task"
 RESULT = "job_id long, algorithm string, status string, error string, cluster_count long, row_count long, dimensions long, mean array<double>, min array<double>, max array<double>, stddev array<double>, entropy double, slope double, outlier_ratio double, trend string, batch_id long, updated_ms long"
 _COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 _KINDS = dict(c.split() for c in RESULT.split(", "))
 
 
-def results_of(jobs: DataFrame, config: Config, batch_id: int = 0) -> DataFrame:
-    done = analyze(jobs, config).results.withColumns({"batch_id": F.lit(batch_id), "updated_ms": F.unix_millis(F.current_timestamp())})
+def _results(found: Analysis, batch_id: int) -> DataFrame:
+    done = found.results.withColumns({"batch_id": F.lit(batch_id), "updated_ms": F.unix_millis(F.current_timestamp())})
     return done.select(*(F.col(c).cast(_KINDS[c]).alias(c) for c in _COLUMNS))
 
 
-def stream(payloads: DataFrame, out: str, checkpoint: str, config: Config = Config(), once: bool = False) -> StreamingQuery:
-    """Analyse a stream of (job_id, algorithm, payload); each batch's results are one folder below ``out``.
+def results_of(jobs: DataFrame, config: Config, batch_id: int = 0) -> DataFrame:
+    return _results(analyze(jobs, config), batch_id)
+
+
+def pages_of(found: Analysis, config: Config) -> DataFrame:
+    """(job_id, body, svg, html) of an analysis' jobs, failed ones too."""
+    drawn = svg_points(found.features, found.labels, found.results.where("status = 'ready'"), found.density, config)
+    return rendered(found.results, found.insights, drawn, config)
+
+
+def stream(payloads: DataFrame, out: str, checkpoint: str, config: Config = Config(), once: bool = False, pages: str | None = None) -> StreamingQuery:
+    """Analyse a stream of (job_id, algorithm, payload); each batch's results are one folder below ``out``, and its
+    charts and report fragments one below ``pages``, where that is given.
 
-    A batch that is run again replaces its own folder, so results are there once.
+    A batch that is run again replaces its own folders, so results are there once. What a batch staged is removed.
     """
 
     def batch(df: DataFrame, number: int) -> None:
-        results_of(df, config, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        found = analyze(df, config)
+        try:
+            if pages:
+                pages_of(found, config).write.mode("overwrite").parquet(f"{pages}/batch={number}")
+            _results(found, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        finally:
+            found.close()
+        log.info("batch %d is written", number)
 
     writer = payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.aggregation_window_ms} milliseconds")).start()
 
 
-def payload_source(spark: SparkSession, path: str, most: int = MAX_BATCH_JOBS) -> DataFrame:
-    """A stream of Parquet files of jobs, ``most`` files in a batch."""
-    return spark.readStream.schema("job_id long, algorithm string, payload string").option("maxFilesPerTrigger", most).parquet(path)
+def payload_source(spark: SparkSession, path: str, most: int = MAX_BATCH_JOBS, most_bytes: int | None = None) -> DataFrame:
+    """A stream of Parquet files of jobs, ``most`` files in a batch, or files of ``most_bytes`` bytes together."""
+    reader = spark.readStream.schema("job_id long, algorithm string, payload string")
+    return (reader.option("maxBytesPerTrigger", most_bytes) if most_bytes else reader.option("maxFilesPerTrigger", most)).parquet(path)
 
 
 def windowed_counts(rows: DataFrame, width: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
@@ -51,58 +79,105 @@ def windowed_counts(rows: DataFrame, width: str = "5 minutes", late: str = "10 m
 
 
 class Engine:
-    """Submit payloads and read their status, result and report."""
+    """Submit payloads and read their status, result and report.
 
-    def __init__(self, spark: SparkSession, config: Config = Config()):
-        self.spark, self.config, self._next, self._jobs, self._results = spark, config, 1, {}, {}
+    What a job came to is in tables below ``folder``; the driver keeps each job's state and, while it waits, its
+    payload. MAX_WAITING jobs may wait; beyond MAX_JOBS the oldest finished job is forgotten.
+    """
+
+    def __init__(self, spark: SparkSession, config: Config = Config(), folder: str | None = None):
+        self.spark, self.config = spark, config
+        self.folder = folder or f"{checkpoint_dir(spark).rstrip('/')}/siftline-engine-{uuid.uuid4().hex}"
+        self._next, self._batch, self._open = 1, 0, True
+        self._jobs: dict[int, dict] = {}
+        log.info("engine is open, results are below %s", self.folder)
+
+    def _set(self, job: int, status: str, error: str = "") -> None:
+        self._jobs[job] |= {"status": status, "error": error, "updatedMs": int(time.time() * 1000)}
 
     def submit(self, payload: str, name: str | None = None) -> int:
+        if not self._open:
+            raise RuntimeError("the engine is closed")
         if not isinstance(payload, str) or not payload:
             raise ValueError("payload must be a non-empty string")
         job, self._next = self._next, self._next + 1
-        self._jobs[job] = (algorithm(name, self.config.default_algorithm), payload)
+        waiting = sum("payload" in j for j in self._jobs.values())
+        self._jobs[job] = {"algorithm": algorithm(name, self.config.default_algorithm), "updatedMs": 0}
+        if waiting < MAX_WAITING:
+            self._jobs[job] |= {"payload": payload, "status": "queued", "error": ""}
+        else:
+            self._set(job, "failed", SATURATED)
+        for old in list(self._jobs)[: max(0, len(self._jobs) - MAX_JOBS)]:
+            if self._jobs[old]["status"] in ("ready", "failed"):
+                del self._jobs[old]
         return job
 
+    def _batches(self) -> Iterator[list[int]]:
+        """Waiting jobs in order, MAX_BATCH_JOBS at a time or as many as reach the settings' batch size."""
+        some, size = [], 0
+        for job in [j for j, x in self._jobs.items() if "payload" in x]:
+            some.append(job)
+            size += len(self._jobs[job]["payload"].encode())
+            if len(some) == MAX_BATCH_JOBS or size >= self.config.min_batch_size_kb * 1024:
+                yield some
+                some, size = [], 0
+        if some:
+            yield some
+
     def run(self) -> None:
-        """Analyse what waits, MAX_BATCH_JOBS jobs at a time."""
-        waiting = [j for j in self._jobs if j not in self._results]
-        for i in range(0, len(waiting), MAX_BATCH_JOBS):
-            some = waiting[i : i + MAX_BATCH_JOBS]
-            jobs = self.spark.createDataFrame([(j, *self._jobs[j]) for j in some], "job_id long, algorithm string, payload string")
-            found = analyze(jobs, self.config)
-            told: dict[int, list] = {}
-            for r in found.insights.orderBy("job_id", "pos").collect():
-                told.setdefault(r["job_id"], []).append(r.asDict())
-            points: dict[int, list] = {}
-            drawn = svg_points(found.features, found.labels, found.results.where("status = 'ready'"), found.density, self.config)
-            for r in drawn.where(F.col("row_id") < PREVIEW).orderBy("job_id", "row_id").collect():
-                points.setdefault(r["job_id"], []).append(r.asDict())
-            for r in found.results.collect():
-                body = {"jobId": str(r["job_id"]), "algorithm": r["algorithm"], "rows": r["row_count"] or 0, "clusters": r["cluster_count"] or 0, "dimensions": r["dimensions"] or 0, "entropy": r["entropy"] or 0.0, "trendSlope": r["slope"] or 0.0, "trend": r["trend"] or "Stable", "outlierRatio": r["outlier_ratio"] or 0.0, "error": r["error"] or "", "insights": told.get(r["job_id"], [])}
-                body["svg"] = cluster_svg(points.get(r["job_id"], []), body, self.config)
-                body["html"] = report_fragment(body, body["insights"], body["svg"])
-                body |= {"status": r["status"], "updatedMs": int(time.time() * 1000)}
-                self._results[r["job_id"]] = body
-            found.features.unpersist()
-            found.labels.unpersist()
+        """Analyse what waits."""
+        for some in self._batches():
+            for job in some:
+                self._set(job, "batching")
+            rows = [(j, self._jobs[j]["algorithm"], self._jobs[j].pop("payload")) for j in some]
+            try:
+                self._analyse(some, rows)
+            except Exception:
+                log.exception("a batch of %d jobs failed", len(some))
+                for job in some:
+                    self._set(job, "failed", UNSCHEDULED)
+            self._batch += 1
+
+    def _analyse(self, some: list[int], rows: list[tuple]) -> None:
+        for job in some:
+            self._set(job, "analyzing")
+        found = analyze(self.spark.createDataFrame(rows, "job_id long, algorithm string, payload string"), self.config)
+        try:
+            for job in some:
+                self._set(job, "rendering")
+            at = f"{self.folder}/batch={self._batch}"
+            pages_of(found, self.config).write.mode("overwrite").parquet(at)
+            for r in self.spark.read.parquet(at).select("job_id", F.get_json_object("body", "$.status").alias("status"), F.get_json_object("body", "$.error").alias("error")).collect():
+                self._set(r["job_id"], r["status"], r["error"] or "")
+                self._jobs[r["job_id"]]["batch"] = self._batch
+        finally:
+            found.close()
 
     def _known(self, job: int | str) -> int:
-        number = int(job) if str(job).isdigit() else -1
-        if number not in self._jobs:
+        number = int(job) if re.fullmatch("[0-9]{1,20}", str(job)) else -1
+        if number not in self._jobs or number >= 1 << 64:
             raise KeyError(f"no job {job}")
         return number
 
+    def _read(self, job: int) -> dict | None:
+        if "batch" not in self._jobs[job]:
+            return None
+        r = self.spark.read.parquet(f"{self.folder}/batch={self._jobs[job]['batch']}").where(F.col("job_id") == job).first()
+        return json.loads(r["body"]) | {"svg": r["svg"], "html": r["html"]}
+
     def status(self, job: int | str) -> dict:
-        done = self._results.get(self._known(job))
-        return {"jobId": str(job), "status": done["status"] if done else "queued", "updatedMs": done["updatedMs"] if done else 0, "error": done["error"] if done else ""}
+        known = self._jobs[self._known(job)]
+        return {"jobId": str(job), "status": known["status"], "updatedMs": known["updatedMs"], "error": known["error"]}
 
     def result(self, job: int | str) -> dict:
-        done = self._results.get(self._known(job))
+        done = self._read(self._known(job))
         keys = ("jobId", "status", "algorithm", "rows", "clusters", "entropy", "trendSlope", "outlierRatio", "html", "svg", "error")
         return {k: done[k] for k in keys} if done else self.status(job)
 
     def report(self, job: int | str) -> str:
-        done = self._results[self._known(job)]
+        done = self._read(self._known(job))
+        if done is None:
+            raise KeyError(f"job {job} has no report")
         return report_page(done, done["insights"], done["svg"])
 
     def feed(self, job: int | str, wait: float = 0.5) -> Iterator[dict]:
@@ -113,3 +188,16 @@ class Engine:
             if now["status"] in ("ready", "failed"):
                 return
             time.sleep(wait)
+
+    def info(self) -> str:
+        """A page about the engine and how to ask it."""
+        calls = "".join(f"<li><code>{c}</code></li>" for c in ("submit(payload, algorithm)", "status(job)", "result(job)", "report(job)", "feed(job)"))
+        return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>siftline</title></head><body><h1>siftline</h1><p>{len(self._jobs)} jobs are known.</p><ul>{calls}</ul></body></html>"
+
+    def close(self) -> None:
+        """No more jobs are taken, and those that wait are dropped; results stay in their tables."""
+        self._open = False
+        for job, known in list(self._jobs.items()):
+            if known.pop("payload", None) is not None:
+                del self._jobs[job]
+        log.info("engine is closed")

@@ -94,6 +94,83 @@ def test_engine(spark):
     assert list(r) == ["jobId", "status", "algorithm", "rows", "clusters", "entropy", "trendSlope", "outlierRatio", "html", "svg", "error"]
     assert r["svg"].count("<circle") == 8 and r["svg"].endswith("</svg>") and "Balance" in r["html"]
     assert e.report(a).startswith("<!DOCTYPE html>") and [s["status"] for s in e.feed(b)] == ["failed"]
+    for wrong in ("²", "-1", "99", str(1 << 64), "1" * 30):
+        with pytest.raises(KeyError):
+            e.status(wrong)
+    assert "2 jobs" in e.info()
+
+
+def test_engine_limits_and_states(spark, monkeypatch):
+    from siftline.streaming import jobs as module
+
+    monkeypatch.setattr(module, "MAX_WAITING", 3)
+    monkeypatch.setattr(module, "MAX_JOBS", 5)
+    e = Engine(spark, Config(min_batch_size_kb=1))
+    seen = []
+    monkeypatch.setattr(e, "_set", lambda job, status, error="", set_=e._set: (seen.append((job, status)), set_(job, status, error))[1])
+    ids = [e.submit("a=1 b=2\n" * (150 if i == 0 else 1)) for i in range(4)]
+    assert e.status(ids[3])["error"] == "ingress queue is saturated"
+    assert [len(b) for b in e._batches()] == [1, 2]
+    e.run()
+    assert [s for j, s in seen if j == ids[0]] == ["batching", "analyzing", "rendering", "ready"] and e.result(ids[2])["rows"] == 1
+    last = [e.submit("x=1") for _ in range(3)]
+    with pytest.raises(KeyError):  # the oldest finished ones are forgotten
+        e.status(ids[0])
+    monkeypatch.setattr(module, "analyze", lambda *a: 1 / 0)
+    e.run()
+    assert e.status(last[0]) | {"updatedMs": 0} == {"jobId": str(last[0]), "status": "failed", "updatedMs": 0, "error": "failed to schedule analysis task"}
+    e.submit("y=1")
+    e.close()
+    with pytest.raises(RuntimeError):
+        e.submit("z=1")
+
+
+def test_nothing_stays_cached_and_settings_switch_off(spark):
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = analyze(jobs(spark, [SAMPLE]), Config(enable_shannon_entropy=False, enable_outlier_detection=False, enable_linear_regression=False)).results.first()
+    assert (got["entropy"], got["outlier_ratio"], got["slope"], got["trend"]) == (0.0, 0.0, 0.0, "Stable")
+    Profile.of(jobs(spark, [SAMPLE])).correlations.count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_stream_in_batches_of_bytes_with_pages(spark, tmp_path):
+    """Two files of over 64 KiB: each a batch of its own; pages are written beside results."""
+    import random
+
+    r = random.Random(2)
+    work = spark.createDataFrame([(i, "kmeans++", "\n".join(f"v={r.random()} w={r.random()}" for _ in range(4000))) for i in (1, 2)], "job_id long, algorithm string, payload string")
+    work.repartition(2, "job_id").write.option("maxRecordsPerFile", 1).parquet(str(tmp_path / "in"))
+    stream(payload_source(spark, str(tmp_path / "in"), most_bytes=64 << 10), str(tmp_path / "out"), str(tmp_path / "cp"), once=True, pages=str(tmp_path / "pages")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.select("batch").distinct().count() == 2 and got.agg({"row_count": "sum"}).first()[0] == 8000
+    assert spark.read.parquet(str(tmp_path / "pages")).where("svg like '<svg%' and html like '%Balance%'").count() == 2
+
+
+def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
+    """An event-time stream: a row later than the watermark allows changes nothing, one within it counts."""
+    import os
+
+    schema, source = "ts timestamp, severity string", str(tmp_path / "in")
+    rows = [["2024-01-01 00:01:00", "2024-01-01 00:02:00"], ["2024-01-01 01:00:00"], ["2024-01-01 01:01:00"], ["2024-01-01 00:03:00", "2024-01-01 00:55:00"], ["2024-01-01 03:00:00"], ["2024-01-01 05:00:00"]]
+    for i, some in enumerate(rows):
+        spark.createDataFrame([(t, "INFO") for t in some], "t string, severity string").selectExpr("cast(t as timestamp) ts", "severity").coalesce(1).write.mode("append").parquet(source)
+        for name in os.listdir(source):
+            os.utime(f"{source}/{name}", (1_700_000_000 + i, 1_700_000_000 + i)) if name.endswith(".parquet") and os.path.getmtime(f"{source}/{name}") > 1_700_100_000 else None
+    counted = windowed_counts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "5 minutes", "10 minutes")
+    found = []
+    counted.writeStream.outputMode("append").foreachBatch(lambda df, n: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    counts = {r["start"].strftime("%H:%M"): r["n"] for r in found}
+    assert counts["00:00"] == 2 and counts["00:55"] == 1
+
+
+def test_settings_of_the_environment(monkeypatch, tmp_path):
+    from siftline.config import from_environment
+
+    (tmp_path / "a.ini").write_text("dbscan_eps = 0.75\n")
+    monkeypatch.setenv("SIFTLINE_CONFIG", str(tmp_path / "a.ini"))
+    assert from_environment().dbscan_eps == 0.75
+    monkeypatch.setenv("SIFTLINE_CONFIG", str(tmp_path / "none.ini"))
+    assert from_environment() == Config()
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -111,6 +188,31 @@ def test_windowed_counts(spark):
     assert sorted(r["n"] for r in windowed_counts(rows).collect()) == [1, 2]
 
 
+def test_many_numeric_keys_correlate_alike(spark):
+    """More keys than become columns: pairs are rows, with the same values."""
+    from siftline.operators import profile
+
+    rng = np.random.default_rng(8)
+    lines = "\n".join("{" + ",".join(f'"k{k}":{v:.4f}' for k, v in enumerate(rng.normal(size=6)) if (i + k) % 5) + "}" for i in range(60))
+    got = {}
+    for most in (8, 2):
+        profile.PAIRED_KEYS = most
+        got[most] = {(r["x"], r["y"]): (r["pos"], round(r["value"], 9)) for r in Profile.of(jobs(spark, [lines])).correlations.collect()}
+    profile.PAIRED_KEYS = 8
+    assert len(got[8]) == 15 and got[8] == got[2]
+
+
+def test_the_category_histogram_falls_back(spark):
+    got = Profile.of(jobs(spark, ["{}"])).category_histogram.collect()
+    assert [(r["label"], r["value"]) for r in got] == [("INFO", 1)]
+
+
+def test_numbers_near_the_largest_double(spark):
+    from siftline.functions.parsing import parse_object
+
+    assert [f[2] for f in parse_object('{"a":1.5e308,"b":-1.7e308,"c":' + "9" * 400 + "}")] == [1.5e308, -1.7e308, math.inf]
+
+
 def test_charts(spark):
     for svg in (bars_svg("t", [("a<", 3), ("b", 0)]), bars_svg("t", []), boolean_svg("k", 1, 2), line_svg("l", [1.0, 1.0], "#fff"), scatter_svg("s", [1, 2], [2, 2], "#fff")):
         assert svg.startswith("<svg") and svg.endswith("</svg>") and "a<<" not in svg
