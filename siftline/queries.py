@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import MAX_DIMENSIONS, Config
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number
-from siftline.staging import staged
+from siftline.staging import checkpoint_dir, staged
 from siftline.operators import profile as p
 from siftline.operators.clustering import cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors
@@ -22,7 +19,7 @@ from siftline.operators.insights import insights
 from siftline.operators.report import donut_angles, heat_cells, svg_points
 from siftline.operators.spread import numbered
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
-from siftline.plans.analysis import Profile, result_json, status_json
+from siftline.plans.analysis import Profile, analyze, result_json, status_json
 from siftline.sources.lines import engine_lines, json_lines, profiler_lines
 from siftline.streaming.jobs import payload_source, stream, windowed_counts
 
@@ -166,7 +163,12 @@ def null_ratio(spark, d):
     return Profile(event_lines(spark, d)).null_ratios
 
 
-@query("SELECT 1::BIGINT AS job_id, unnest(['user_id', 'value', 'props.k']) AS key")
+#: Keys by how many rows have them, and numeric ones: those with a number in three tenths of the rows.
+_KEYS = """, c AS (SELECT key, count(*) AS present, count(num) AS numbers, count(*) FILTER (type = 'string') AS strings, count(b) AS booleans, min(line_index * 100 + field_pos) AS seen FROM f GROUP BY key),
+  n AS (SELECT count(*) AS n FROM e), k AS (SELECT key, row_number() OVER (ORDER BY numbers + strings + booleans DESC, seen) - 1 AS rank FROM c, n WHERE numbers >= greatest(1, n * 0.3))"""
+
+
+@query(_LONG + _KEYS + " SELECT 1::BIGINT AS job_id, key FROM k")
 def numeric_keys(spark, d):
     return Profile(event_lines(spark, d)).numeric_keys.select("job_id", "key")
 
@@ -186,16 +188,27 @@ def stats_grid(spark, d):
     return Profile(event_lines(spark, d)).stats_grid.select("job_id", "key", "dominant_type", F.when(F.col("null_rate") > 0, F.col("null_rate")).alias("null_rate"))
 
 
-@query("SELECT 1::BIGINT AS job_id, 'timestamp,level,service,user_id,value,ok' AS dominant_keys, 'timestamp' AS primary_key")
+@query(
+    _LONG + _KEYS + """, t AS (SELECT key, present, row_number() OVER (ORDER BY present DESC, seen) AS pos FROM c QUALIFY pos <= 8)
+  SELECT 1::BIGINT AS job_id, array_to_string(list(key ORDER BY pos) FILTER (present / n >= 0.5)[1:6], ',') AS dominant_keys, arg_min(key, pos) AS primary_key FROM t, n"""
+)
 def dominant_keys(spark, d):
     return Profile(event_lines(spark, d)).dominant_keys.withColumn("dominant_keys", F.array_join("dominant_keys", ","))
 
 
-@query("SELECT 1::BIGINT AS job_id, 'level' AS category_key")
+_SEVERITY_KEYS = "['level', 'lvl', 'severity', 'priority', 'log_level']"
+
+
+@query(_LONG + f" SELECT 1::BIGINT AS job_id, arg_min(key, list_position({_SEVERITY_KEYS}, key)) AS category_key FROM f WHERE type = 'string' AND list_contains({_SEVERITY_KEYS}, key)")
 def category_key(spark, d):
     return Profile(event_lines(spark, d)).category
 
 
+@query("SELECT 1::BIGINT AS job_id, upper(event_type) AS label, count(*)::BIGINT AS value FROM events GROUP BY 2")
+def category_histogram(spark, d):
+    return Profile(event_lines(spark, d)).category_histogram
+
+
 def _line_items(spark, d):
     """Line items as JSON lines; discounts are left out where the tax is high, prices where quantities are."""
     item = table(spark, d, "lineitem").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
@@ -231,11 +244,13 @@ def numeric_series(spark, d):
     return p.series_range(Profile(event_lines(spark, d)).series).drop("color")
 
 
-@query("SELECT 1::BIGINT AS job_id, 'user_id vs value' AS key, event_id AS line_index, user_id::DOUBLE AS x, round(value, 6) AS y FROM events")
+@query(
+    _LONG + _KEYS + """ SELECT 1::BIGINT AS job_id, x.key || ' vs ' || y.key AS key, a.line_index, round(a.num, 6) AS x, round(b.num, 6) AS y
+  FROM k x JOIN k y ON x.rank < y.rank JOIN f a ON a.key = x.key JOIN f b ON b.key = y.key AND b.line_index = a.line_index"""
+)
 def scatter_points(spark, d):
-    got = Profile(event_lines(spark, d))
-    pairs = got.numeric_keys.groupBy("job_id").agg(F.lit(0).alias("pos"), F.lit("user_id").alias("x"), F.lit("value").alias("y"))
-    return p.scatter(got.fields, got.rows, pairs).select("job_id", "key", "line_index", "x", "y")
+    """Three numeric keys: all three pairs are among the strongest three."""
+    return Profile(event_lines(spark, d)).scatter.select("job_id", "key", "line_index", "x", "y")
 
 
 @query("SELECT 1::BIGINT AS job_id, 'text length' AS key, conv_id * 1000 + turn AS line_index, len(text)::BIGINT AS value FROM conversations")
@@ -254,11 +269,15 @@ def donut_values(spark, d):
   SELECT label, value, round((sum(value) OVER (ORDER BY value DESC, label) - value) / sum(value) OVER () * 2 * pi(), 6) AS start, round(sum(value) OVER (ORDER BY value DESC, label) / sum(value) OVER () * 2 * pi(), 6) AS "end" FROM c"""
 )
 def donut_arcs(spark, d):
-    bars = table(spark, d, "customer").groupBy(F.lit(1).alias("job_id"), F.lit("segment").alias("key"), F.col("c_mktsegment").alias("label")).agg(F.count("*").alias("value"))
-    return donut_angles(bars).select("label", "value", "start", "end")
+    lines = json_lines(table(spark, d, "customer"), "c_custkey", {"name": F.col("c_name"), "segment": F.col("c_mktsegment")})
+    return donut_angles(Profile(lines).donuts).select("label", "value", "start", "end")
 
 
-@query("SELECT 1::BIGINT AS job_id, count(*)::BIGINT AS rows, 8::BIGINT AS fields, 3::BIGINT AS series, 3::BIGINT AS correlations FROM events")
+@query(
+    _LONG + _KEYS + """, d AS (SELECT f.line_index, k.key, k.rank, f.num - avg(f.num) OVER (PARTITION BY f.key) AS d FROM f JOIN k USING (key) WHERE f.num IS NOT NULL),
+  p AS (SELECT a.key AS x, b.key AS y FROM d a JOIN d b ON a.line_index = b.line_index AND a.rank < b.rank GROUP BY ALL HAVING count(*) > 1 AND sum(a.d ^ 2) > 0 AND sum(b.d ^ 2) > 0)
+  SELECT 1::BIGINT AS job_id, n::BIGINT AS rows, (SELECT count(*) FROM c)::BIGINT AS fields, (SELECT count(*) FROM k JOIN c USING (key) WHERE numbers >= 2)::BIGINT AS series, (SELECT count(*) FROM p)::BIGINT AS correlations FROM n"""
+)
 def dashboard_counters(spark, d):
     return Profile(event_lines(spark, d)).counters
 
@@ -288,7 +307,10 @@ def line_measures(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("line_index"), line.alias("line")).select("line_index", F.octet_length("line").alias("bytes"), count_marks(F.col("line")).alias("marks"))
 
 
-@query()
+_FNV = "list_reduce(list_prepend(1469598103934665603::HUGEINT, [ord(c)::HUGEINT FOR c IN string_split({}, '')]), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
+
+
+@query(f"SELECT event_id, {_FNV.format("event_type || ' ' || event_id")}::DECIMAL(20, 0) AS hash FROM events")
 def line_hash(spark, d):
     return table(spark, d, "events").select("event_id", fnv1a64(F.concat_ws(" ", "event_type", "event_id")).alias("hash"))
 
@@ -297,9 +319,21 @@ def _features(spark, d):
     return feature_vectors(event_lines(spark, d).withColumnRenamed("line_index", "row_id"), CONFIG)
 
 
-@query(f"WITH {_EVENTS} SELECT line_index AS row_id, round(value::FLOAT::DOUBLE, 6) AS f0, k::DOUBLE AS f1, user_id::DOUBLE AS f2 FROM e")
+#: A third of the lines has all numbers, a third one only (padded), a third none (hashed).
+_TURN_LINES = "SELECT event_id AS row_id, event_id % 3 AS turn, CASE event_id % 3 WHEN 1 THEN 'user=' || user_id WHEN 2 THEN event_type || ' at: night=day ' || event_type END AS line, value, user_id, regexp_extract(props, '([0-9]+)', 1)::BIGINT AS k FROM events"
+
+
+@query(
+    f"""WITH t AS ({_TURN_LINES}) SELECT row_id,
+  round(CASE turn WHEN 0 THEN value::FLOAT::DOUBLE WHEN 1 THEN user_id ELSE ({_FNV.format("coalesce(line, '')")} % 1000000 / 1000.0)::FLOAT::DOUBLE END, 6) AS f0,
+  CASE turn WHEN 0 THEN k WHEN 1 THEN user_id ELSE len(line) END::DOUBLE AS f1, CASE turn WHEN 0 THEN user_id WHEN 1 THEN user_id ELSE 2 END::DOUBLE AS f2 FROM t"""
+)
 def feature_columns(spark, d):
-    return _features(spark, d).select("row_id", *(F.col("v")[i].alias(f"f{i}") for i in range(3)))
+    e = table(spark, d, "events")
+    turn = F.col("event_id") % 3
+    other = e.select(F.col("event_id").alias("line_index"), F.when(turn == 1, F.concat(F.lit("user="), "user_id")).when(turn == 2, F.concat("event_type", F.lit(" at: night=day "), "event_type")).alias("other"))
+    lines = event_lines(spark, d).join(other, "line_index").select("job_id", F.col("line_index").alias("row_id"), F.coalesce("other", "line").alias("line"))
+    return feature_vectors(lines, CONFIG).select("row_id", *(F.col("v")[i].alias(f"f{i}") for i in range(3)))
 
 
 _SUMMARY = f"""WITH {_EVENTS}, v AS (SELECT line_index, value::FLOAT::DOUBLE AS x, k::DOUBLE AS y, user_id::DOUBLE AS z FROM e),
@@ -308,11 +342,20 @@ o AS (SELECT avg(CASE WHEN ((x - mx) / sx) ^ 2 + ((y - my) / sy) ^ 2 + ((z - mz)
 h AS (SELECT -sum(c / n * log2(c / n)) AS entropy FROM (SELECT count(*) AS c FROM v GROUP BY least(31, floor(abs(x)))), s)"""
 
 
-@query(_SUMMARY + " SELECT n::BIGINT AS row_count, round(mx, 5) AS mean, round(lx, 5) AS min, round(hx, 5) AS max, round(sx, 5) AS stddev, round(entropy, 5) AS entropy, round(slope, 5) + 0.0 AS slope, round(ratio, 5) AS outlier_ratio, CASE WHEN slope > 0.05 THEN 'Rising' WHEN slope < -0.05 THEN 'Falling' ELSE 'Stable' END AS trend FROM s, o, h")
+_EACH = ", ".join(f"[round({f}x{a}, 5), round({f}y{a}, 5), round({f}z{a}, 5)] AS {n}" for f, a, n in (("avg(", ")", "mean"), ("min(", ")", "min"), ("max(", ")", "max"), ("stddev_pop(", ")", "stddev")))
+
+
+@query(
+    _SUMMARY + f""", m AS (SELECT {_EACH} FROM v)
+  SELECT n::BIGINT AS row_count, array_to_string(mean, ' ') AS mean, array_to_string(min, ' ') AS min, array_to_string(max, ' ') AS max, array_to_string(stddev, ' ') AS stddev, round(entropy, 5) AS entropy,
+  round(slope, 5) + 0.0 AS slope, round(ratio, 5) AS outlier_ratio, CASE WHEN slope > 0.05 THEN 'Rising' WHEN slope < -0.05 THEN 'Falling' ELSE 'Stable' END AS trend FROM s, o, h, m""".replace("array_to_string(", "list_sum(").replace(", ' ') AS", ") AS")
+)
 def feature_summary(spark, d):
+    """The three dimensions' statistics, added up."""
     s = summary(_features(spark, d), 3)
     r = lambda c: F.round(c, 5)
-    return s.select("row_count", *(r(F.col(c)[0]).alias(c) for c in ("mean", "min", "max", "stddev")), r("entropy").alias("entropy"), (r("slope") + 0.0).alias("slope"), r("outlier_ratio").alias("outlier_ratio"), "trend")
+    added = lambda c: F.aggregate(F.transform(c, r), F.lit(0.0), lambda a, x: a + x)
+    return s.select("row_count", *(added(c).alias(c) for c in ("mean", "min", "max", "stddev")), r("entropy").alias("entropy"), (r("slope") + 0.0).alias("slope"), r("outlier_ratio").alias("outlier_ratio"), "trend")
 
 
 def _embedding_features(spark, d, components: int = MAX_DIMENSIONS):
@@ -336,8 +379,72 @@ def _named(name, components: int = MAX_DIMENSIONS):
     return run
 
 
-for _name in ("kmeans++", "birch", "mean_shift", "gmm", "optics"):
-    query()(_named(_name))
+_EIGHT = "p AS MATERIALIZED (SELECT label::BIGINT AS job, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:8]] AS v FROM embeddings), sizes AS (SELECT job, count(*) AS n FROM p GROUP BY job)"
+_AXES = range(1, MAX_DIMENSIONS + 1)
+_APART = "list_sum([({a}[i] - {b}[i]) ^ 2 FOR i IN [1, 2, 3, 4, 5, 6, 7, 8]])"
+_MEAN = "[" + ", ".join(f"avg(v[{i}])::FLOAT::DOUBLE" for i in _AXES) + "]"
+
+
+def _kmeans_sql() -> str:
+    """Tables up to ``labels`` (job, r, v, c): three farthest-first centres, then twelve rounds, a table for each."""
+    out = [_EIGHT, "k0 AS MATERIALIZED (SELECT job, 0 AS c, v FROM p WHERE r = 0)"]
+    far = f"SELECT p.job, p.r, any_value(p.v) AS v, min({_APART.format(a='p.v', b='k.v')}) AS d FROM p JOIN {{0}} k USING (job) GROUP BY p.job, p.r"
+    for c in (1, 2):
+        out.append(f"k{c} AS MATERIALIZED (SELECT * FROM k{c - 1} UNION ALL SELECT job, {c}, v FROM ({far.format(f'k{c - 1}')}) JOIN sizes USING (job) WHERE n > {c} QUALIFY row_number() OVER (PARTITION BY job ORDER BY d DESC, r) = 1)")
+    for i in range(12):
+        out.append(f"a{i} AS MATERIALIZED (SELECT p.job, p.r, p.v, k.c FROM p JOIN k{i + 2} k USING (job) QUALIFY row_number() OVER (PARTITION BY p.job, p.r ORDER BY {_APART.format(a='p.v', b='k.v')}, k.c) = 1)")
+        out.append(f"m{i} AS (SELECT job, c, {_MEAN} AS m FROM a{i} GROUP BY job, c), k{i + 3} AS MATERIALIZED (SELECT job, c, coalesce(m, v) AS v FROM k{i + 2} LEFT JOIN m{i} USING (job, c))")
+    return ", ".join([*out, "labels AS (SELECT * FROM a11)"])
+
+
+def _gmm_sql() -> str:
+    """Eight rounds over unit variances: the parts of a row are columns, the means and weights of a job one row."""
+    start = ", ".join(f"max(v) FILTER (r = {c} % n) AS m{c}" for c in range(3))
+    out = [_EIGHT, f"s0 AS MATERIALIZED (SELECT job, {start}, 0.34::DOUBLE AS w0, 0.33::DOUBLE AS w1, 0.33::DOUBLE AS w2 FROM p JOIN sizes USING (job) GROUP BY job)"]
+    for i in range(8):
+        parts = ", ".join(f"w{c} * exp(-0.5 * {_APART.format(a='v', b=f'm{c}')}) AS q{c}" for c in range(3))
+        out.append(f"g{i} AS (SELECT p.job, r, v, {parts} FROM p JOIN s{i} USING (job)), e{i} AS MATERIALIZED (SELECT job, r, v, " + ", ".join(f"q{c} / CASE WHEN q0 + q1 + q2 = 0 THEN 1 ELSE q0 + q1 + q2 END AS p{c}" for c in range(3)) + f" FROM g{i})")
+        means = ", ".join("[" + ", ".join(f"(sum(p{c} * v[{d}]) / CASE WHEN sum(p{c}) > 0 THEN sum(p{c}) ELSE 1 END)::FLOAT::DOUBLE" for d in _AXES) + f"] AS m{c}" for c in range(3))
+        out.append(f"s{i + 1} AS MATERIALIZED (SELECT job, {means}, " + ", ".join(f"sum(p{c}) / count(*) AS w{c}" for c in range(3)) + f" FROM e{i} GROUP BY job)")
+    return "WITH " + ", ".join(out) + " SELECT job AS job_id, r AS row_id, (CASE WHEN p0 >= p1 AND p0 >= p2 THEN 0 WHEN p1 >= p2 THEN 1 ELSE 2 END)::BIGINT AS label, 3::BIGINT AS cluster_count FROM e7"
+
+
+def _birch_sql() -> str:
+    """One row after the other joins the nearest of eight leaders in reach or opens one, in the last one's place when all are taken."""
+    near = "list_aggregate([{d} FOR j IN range(1, n + 1)], 'min')".format(d=_APART.format(a="leaders[j]", b="v"))
+    first = "list_position([{d} FOR j IN range(1, n + 1)], least_far)".format(d=_APART.format(a="leaders[j]", b="v"))
+    moved = "[CASE WHEN j = spot THEN [((base[i] * held[spot] + v[i]) / (held[spot] + 1))::FLOAT::DOUBLE FOR i IN [1, 2, 3, 4, 5, 6, 7, 8]] ELSE leaders[j] END FOR j IN range(1, 9)]"
+    return f"""WITH RECURSIVE {_EIGHT}, s AS (
+  SELECT job, -1::BIGINT AS r, [[0.0::DOUBLE FOR i IN range(8)] FOR j IN range(8)] AS leaders, [0.0::DOUBLE FOR j IN range(8)] AS held, 0::BIGINT AS n, -1::BIGINT AS label FROM sizes
+  UNION ALL
+  SELECT job, r, {moved}, [held[j] + (j = spot)::INT FOR j IN range(1, 9)], new_n, spot - 1 FROM (
+    SELECT *, CASE WHEN near THEN leaders[spot] ELSE v END AS base FROM (
+      SELECT *, CASE WHEN near THEN nearest ELSE least(n + 1, 8) END AS spot, CASE WHEN near THEN n ELSE least(n + 1, 8) END AS new_n FROM (
+        SELECT *, {first} AS nearest, coalesce(least_far <= 0.2025, false) AS near FROM (
+          SELECT s.job, p.r, p.v, leaders, held, n, {near} AS least_far FROM s JOIN p ON p.job = s.job AND p.r = s.r + 1)))))
+SELECT job AS job_id, r AS row_id, label::BIGINT AS label, (max(n) OVER (PARTITION BY job))::BIGINT AS cluster_count FROM s WHERE r >= 0"""
+
+
+def _mean_shift_sql() -> str:
+    """Six averages over a flat kernel, a table for each; then rows in order take the first mode in reach or open one."""
+    out = [_EIGHT.replace("p AS", "p AS", 1), "x0 AS MATERIALIZED (SELECT job, r, v AS spot FROM p)"]
+    for i in range(6):
+        mean = "[" + ", ".join(f"avg(p.v[{d}])::FLOAT::DOUBLE" for d in _AXES) + "]"
+        out.append(f"y{i} AS (SELECT x.job, x.r, {mean} AS m FROM x{i} x JOIN p ON p.job = x.job AND {_APART.format(a='x.spot', b='p.v')} <= 0.81 GROUP BY x.job, x.r), x{i + 1} AS MATERIALIZED (SELECT job, r, coalesce(m, spot) AS spot FROM x{i} LEFT JOIN y{i} USING (job, r))")
+    hit = "list_position([{d} < 0.04 FOR m IN modes], true)".format(d=_APART.format(a="m", b="x6.spot"))
+    return f"""WITH RECURSIVE {', '.join(out)}, s AS (
+  SELECT job, -1::BIGINT AS r, []::DOUBLE[][] AS modes, -1::BIGINT AS label FROM sizes
+  UNION ALL
+  SELECT job, r, CASE WHEN hit IS NULL AND len(modes) < 16 THEN list_append(modes, spot) ELSE modes END, coalesce(hit - 1, len(modes)) FROM (
+    SELECT s.job, x6.r, x6.spot, modes, nullif({hit}, 0) AS hit FROM s JOIN x6 ON x6.job = s.job AND x6.r = s.r + 1))
+SELECT job AS job_id, r AS row_id, label::BIGINT AS label, (max(len(modes)) OVER (PARTITION BY job))::BIGINT AS cluster_count FROM s WHERE r >= 0"""
+
+
+query(f"WITH {_kmeans_sql()} SELECT job AS job_id, r AS row_id, c::BIGINT AS label, least(3, n)::BIGINT AS cluster_count FROM labels JOIN sizes USING (job)")(_named("kmeans++"))
+query(_gmm_sql())(_named("gmm"))
+query(_birch_sql())(_named("birch"))
+query(_mean_shift_sql())(_named("mean_shift"))
+query()(_named("optics"))
 
 
 # seeds: dense rows with no earlier seed in reach; a row belongs to its first seed, if that isn't later than it
@@ -364,9 +471,9 @@ def cluster_density_bands(spark, d):
     return density_bands(_embedding_features(spark, d, SQL_COMPONENTS), 0.54, 3)
 
 
-@query()
+@query(f"WITH {_kmeans_sql()} SELECT job AS job_id, r AS row_id, c::BIGINT AS label FROM labels")
 def cluster_kmeans_spread(spark, d):
-    return spread_kmeans(_embedding_features(spark, d).persist())
+    return spread_kmeans(staged(_embedding_features(spark, d)))
 
 
 @query(f"WITH {_POINTS} SELECT a.job AS job_id, a.r AS row_id, round({_SQ}, 6) AS d FROM p a JOIN p b USING (job) WHERE b.r = 0")
@@ -382,50 +489,78 @@ def _told(spark, d):
     return f, labels, counts, summary(f, MAX_DIMENSIONS).join(counts, "job_id")
 
 
-@query()
+_SHARES = f"""WITH {_kmeans_sql()}, share AS (SELECT job, c, count(*) AS n, count(*) / any_value(sizes.n) AS density FROM labels JOIN sizes USING (job) GROUP BY job, c),
+spread AS (SELECT job, min(n) AS smallest, max(n) AS largest FROM (SELECT k.job, k.c, count(l.r) AS n FROM k14 k LEFT JOIN labels l ON l.job = k.job AND l.c = k.c GROUP BY k.job, k.c) GROUP BY job)"""
+
+
+@query(_SHARES + " SELECT job AS job_id, smallest::BIGINT AS smallest, largest::BIGINT AS largest, round(smallest / largest, 6) AS balance FROM spread")
 def cluster_balance(spark, d):
     _, labels, counts, _ = _told(spark, d)
     return balance(cluster_sizes(labels, counts))
 
 
-@query()
+@query(_SHARES + " SELECT job AS job_id, c::BIGINT AS slot, n::BIGINT AS n, round(density, 6) AS density FROM share")
 def cluster_share(spark, d):
     _, labels, counts, _ = _told(spark, d)
     return cluster_density(labels.select("job_id", "label"), counts)
 
 
-@query()
+_NUMBERS = ", ".join(f"v[{i}] AS x{i}" for i in _AXES)
+_DEVIATION = " + ".join(f"((v[{i}] - avg(v[{i}]) OVER w) / CASE WHEN stddev_pop(v[{i}]) OVER w > 0.0001 THEN stddev_pop(v[{i}]) OVER w ELSE 1 END) ^ 2" for i in _AXES)
+_STATS = _SHARES + f""", o AS (SELECT job, {_DEVIATION} AS score, least(31, floor(abs(v[1]))) AS bucket, r, v FROM p WINDOW w AS (PARTITION BY job)),
+h AS (SELECT job, 0 - sum(c / n * log2(c / n)) AS entropy FROM (SELECT job, bucket, count(*) AS c FROM o GROUP BY ALL) JOIN sizes USING (job) GROUP BY job),
+st AS (SELECT job, count(*) AS n, avg((score > 9)::INT) AS ratio, coalesce(regr_slope(v[1], r), 0) AS slope, min(v[1]) AS l0, max(v[1]) AS h0, min(v[2]) AS l1, max(v[2]) AS h1 FROM o GROUP BY job),
+t AS (SELECT *, smallest / largest AS balance, least(3, n) AS clusters, CASE WHEN slope > 0.05 THEN 'Rising' WHEN slope < -0.05 THEN 'Falling' ELSE 'Stable' END AS trend FROM st JOIN h USING (job) JOIN spread USING (job))"""
+
+
+@query(
+    _STATS + """, i AS (SELECT job, unnest([
+  {'keep': true, 'title': 'Segmentation', 'detail': printf('%d rows were compressed into %d cluster bands with 8 numeric dimensions.', n, clusters), 'tone': CASE WHEN clusters > 1 THEN 'warm' ELSE 'calm' END},
+  {'keep': true, 'title': 'Distribution', 'detail': printf('Entropy landed at %.3f, which suggests a %s categorical spread in the payload.', entropy, CASE WHEN entropy >= 1.25 THEN 'broad' ELSE 'narrow' END), 'tone': CASE WHEN entropy >= 1.25 THEN 'hot' ELSE 'calm' END},
+  {'keep': true, 'title': 'Trend', 'detail': printf('The dominant trend is %s with slope %.4f across the primary timeline.', trend, slope), 'tone': CASE WHEN abs(slope) >= 0.05 THEN 'warm' ELSE 'calm' END},
+  {'keep': true, 'title': 'Anomaly pressure', 'detail': printf('Outliers account for %.2f%% of the observed rows.', ratio * 100), 'tone': CASE WHEN ratio >= 0.08 THEN 'hot' ELSE 'calm' END},
+  {'keep': true, 'title': 'Projection', 'detail': printf('A 2D projection of dim 0 and dim 1 is rendered. Range: [%.2f, %.2f] x [%.2f, %.2f].', l0, h0, l1, h1), 'tone': 'calm'},
+  {'keep': ratio >= 0.15, 'title': 'Noise signal', 'detail': printf('High outlier ratio (%.1f%%) indicates noisy or multi-modal data. Consider tuning epsilon or switching to OPTICS/GMM.', ratio * 100), 'tone': 'hot'},
+  {'keep': clusters > 1, 'title': 'Balance', 'detail': printf('Cluster balance is %.0f%% (largest %d vs smallest %d). %s', balance * 100, largest, smallest, CASE WHEN balance < 0.3 THEN 'Highly imbalanced — review feature scaling.' ELSE 'Reasonably balanced.' END), 'tone': CASE WHEN balance < 0.3 THEN 'warm' ELSE 'calm' END}
+  ]) AS i, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS place FROM t)
+SELECT job AS job_id, (row_number() OVER (PARTITION BY job ORDER BY place) - 1)::BIGINT AS pos, i.title AS title, i.detail AS detail, i.tone AS tone FROM i WHERE i.keep"""
+)
 def insight_list(spark, d):
     _, labels, counts, s = _told(spark, d)
     return insights(s, balance(cluster_sizes(labels, counts)))
 
 
-@query()
+@query(
+    _STATS + """ SELECT l.job AS job_id, l.r AS row_id, l.c::BIGINT AS label, round(72 + (v[1] - l0) / CASE WHEN h0 - l0 > 0.0001 THEN h0 - l0 ELSE 1 END * 1296, 6) AS cx, round(444 - (v[2] - l1) / CASE WHEN h1 - l1 > 0.0001 THEN h1 - l1 ELSE 1 END * 388, 6) AS cy,
+  round(greatest(2.5, least(7.0, 3.0 + (1.0 - density) * 3.5)), 6) AS r, ['#00FF41', '#00E5FF', '#FF0055'][l.c + 1] AS color FROM labels l JOIN t ON t.job = l.job JOIN share s ON s.job = l.job AND s.c = l.c"""
+)
 def svg_geometry(spark, d):
     f, labels, counts, s = _told(spark, d)
     return svg_points(f, labels, s, cluster_density(labels.select("job_id", "label"), counts))
 
 
-@query("SELECT user_id AS job_id, '{\"jobId\":\"' || user_id || '\",\"status\":\"ready\",\"updatedMs\":0,\"error\":\"\"}' AS json FROM (SELECT DISTINCT user_id FROM events)")
+def _analysed(spark, d):
+    """One job per user, every seventh with blank lines only."""
+    blank = F.col("job_id") % 7 == 0
+    return analyze(_payloads(spark, d).select("job_id", "algorithm", F.when(blank, F.lit("\n\n")).otherwise(F.col("payload")).alias("payload")), CONFIG).results
+
+
+@query("SELECT user_id AS job_id, CASE WHEN user_id % 7 = 0 THEN '{\"jobId\":\"' || user_id || '\",\"status\":\"failed\",\"updatedMs\":0,\"error\":\"no analyzable rows found\"}' ELSE '{\"jobId\":\"' || user_id || '\",\"status\":\"ready\",\"updatedMs\":0,\"error\":\"\"}' END AS json FROM (SELECT DISTINCT user_id FROM events)")
 def status_documents(spark, d):
-    return status_json(table(spark, d, "events").select(F.col("user_id").alias("job_id")).distinct().select("job_id", F.lit("ready").alias("status"), F.lit(None).cast("string").alias("error")))
+    return status_json(_analysed(spark, d))
 
 
-@query("SELECT user_id AS job_id, '{\"jobId\":\"' || user_id || '\",\"status\":\"ready\",\"algorithm\":\"gmm\",\"rows\":' || count(*) || ',\"clusters\":3,\"entropy\":0.5,\"trendSlope\":0.25,\"outlierRatio\":0.0,\"html\":\"\",\"svg\":\"\",\"error\":\"\"}' AS json FROM events GROUP BY 1")
+@query("SELECT user_id AS job_id, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'ready' END AS status, 'dbscan' AS algorithm, (CASE WHEN user_id % 7 = 0 THEN 0 ELSE 2 * count(*) - 1 END)::BIGINT AS rows, CASE WHEN user_id % 7 = 0 THEN 'no analyzable rows found' ELSE '' END AS error, 11::BIGINT AS keys FROM events GROUP BY 1")
 def result_documents(spark, d):
-    r = table(spark, d, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.count("*").alias("row_count"))
-    one = {"status": F.lit("ready"), "error": F.lit(None).cast("string"), "algorithm": F.lit("gmm"), "cluster_count": F.lit(3), "entropy": F.lit(0.5), "slope": F.lit(0.25), "outlier_ratio": F.lit(0.0)}
-    return result_json(r.withColumns(one))
+    shown = F.from_json("json", "jobId string, status string, algorithm string, rows long, error string")
+    keys = F.size(F.json_object_keys("json"))
+    return result_json(_analysed(spark, d)).select("job_id", shown.alias("r"), keys.alias("keys")).select("job_id", "r.status", "r.algorithm", "r.rows", "r.error", "keys")
 
 
 @query("SELECT user_id AS job_id, 'ready' AS status, (2 * count(*) - 1)::BIGINT AS row_count FROM events GROUP BY 1")
 def stream_results(spark, d):
     """One job per user through a stream of files, four files in a batch."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:  # as in tests, on one machine
-        shared = tempfile.mkdtemp(prefix="siftline-")
-        atexit.register(shutil.rmtree, shared, ignore_errors=True)
-    folder = f"{shared.rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/siftline-stream-{uuid.uuid4().hex}"
     _payloads(spark, d).select("job_id", "algorithm", "payload").repartition(8, "job_id").write.parquet(f"{folder}/in")
     stream(payload_source(spark, f"{folder}/in", 4), f"{folder}/out", f"{folder}/state", CONFIG, once=True).awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("job_id", "status", "row_count")
