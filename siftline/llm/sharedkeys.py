@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from siftline.llm.staging import shuffle_width, text_bytes
 from siftline.llm.wordkeys import mix
 
-#: Keys that a task gathers before it packs them, and of one fragment before it cuts them to runs; keys of each
-#: fragment that a pack has on average at least; bytes of text whose keys make a run.
-PACK_KEYS, CUT_KEYS, ROW_KEYS, RUN_BYTES = 1 << 19, 1 << 21, 64, 8 << 20
+#: Keys that a task gathers before it packs them, at least and at most, and of one fragment before it cuts them to
+#: runs; keys that a packed row has on average at least; bytes of text whose keys make a run.
+PACK_KEYS, MOST_KEYS, CUT_KEYS, ROW_KEYS, RUN_BYTES = 1 << 19, 1 << 21, 1 << 21, 64, 8 << 20
 
 #: run: part of a fragment, -1 for findings. counts: keys of each owner. several: whether several owners of one pack have the key.
 _PACKED = pa.schema([("fragment", pa.int32()), ("run", pa.int32()), ("owners", pa.binary()), ("counts", pa.binary()), ("keys", pa.binary()), ("several", pa.binary())])
@@ -62,8 +62,12 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
-def packed_rows(owner: np.ndarray, key: np.ndarray, fragments: int, turn: int) -> list[tuple]:
-    """A pack's rows: its keys by fragment, each key once with its least owner, and what is known already as a finding."""
+def _run_of(key: np.ndarray, runs: int) -> np.ndarray:
+    return ((key & np.uint64(0xFFFFFFFF)) * np.uint64(runs) >> np.uint64(32)).astype(np.int64)
+
+
+def packed_rows(owner: np.ndarray, key: np.ndarray, fragments: int, turn: int, runs: int = 1) -> list[tuple]:
+    """A pack's rows: its keys by fragment and run, each key once with its least owner, and what is known already as a finding."""
     order, least, several = _least(owner, key)
     owner, key = owner[order], key[order]
     later, rows = several & (owner != least), []
@@ -74,7 +78,7 @@ def packed_rows(owner: np.ndarray, key: np.ndarray, fragments: int, turn: int) -
     owner, key, several = owner[keep], key[keep], several[keep]
     number = ((key >> np.uint64(32)) * np.uint64(fragments) >> np.uint64(32)).astype(np.int64)
     # the upper bits of a key say which fragment it is in; the lower 32 tell keys apart well enough
-    return rows + [_row(f, 0, owner[at], key[at].astype(np.uint32), several[at]) for f, at in _parts(number)]
+    return rows + [_row(f // runs, f % runs, owner[at], key[at].astype(np.uint32), several[at]) for f, at in _parts(number * runs + _run_of(key, runs))]
 
 
 def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -85,8 +89,7 @@ def _unpacked(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def cut_rows(rows: list[dict], runs: int) -> list[tuple]:
     """Many packs' rows of one fragment, cut into its runs."""
     own, key, several = _unpacked(rows)
-    number = (key.astype(np.uint64) * np.uint64(runs) >> np.uint64(32)).astype(np.int64)
-    return [_row(rows[0]["fragment"], r, own[at], key[at], several[at]) for r, at in _parts(number)]
+    return [_row(rows[0]["fragment"], r, own[at], key[at], several[at]) for r, at in _parts(_run_of(key.astype(np.uint64), runs))]
 
 
 def _merged(owners: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +110,10 @@ def shared_counts(docs: DataFrame, keys_of: KeysOf, column: str = "text", run_by
     """
     fragments = shuffle_width(docs.sparkSession)
     runs = max(1, -(-text_bytes(docs, column) // (fragments * run_bytes)))
-    pack_keys = max(PACK_KEYS, ROW_KEYS * fragments)
+    # packs are cut to runs at once where their rows are long enough then, and else where many packs have met
+    at_once = ROW_KEYS * fragments * runs <= MOST_KEYS
+    first_runs = runs if at_once else 1
+    pack_keys = min(max(PACK_KEYS, ROW_KEYS * fragments * first_runs), MOST_KEYS)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size, turn = [], 0, 7919 * TaskContext.get().partitionId()
@@ -117,10 +123,10 @@ def shared_counts(docs: DataFrame, keys_of: KeysOf, column: str = "text", run_by
                 size += len(part[1])
                 if size >= pack_keys:
                     turn += 1
-                    yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn), _PACKED)
+                    yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn, first_runs), _PACKED)
                     parts, size = [], 0
         if size:
-            yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn), _PACKED)
+            yield _batch(packed_rows(*map(np.concatenate, zip(*parts, strict=True)), fragments, turn, first_runs), _PACKED)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -189,7 +195,9 @@ def shared_counts(docs: DataFrame, keys_of: KeysOf, column: str = "text", run_by
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count)], names=["owner", "n"])
 
     packed = docs.mapInArrow(pack, _PACKED_DDL).repartitionById(fragments, F.col("fragment"))
+    if not at_once:
+        packed = packed.mapInArrow(cut, _PACKED_DDL)
     if runs > 1:
-        packed = packed.mapInArrow(cut, _PACKED_DDL).sortWithinPartitions("run")
+        packed = packed.sortWithinPartitions("run")
     findings = packed.mapInArrow(look, "bucket int, owners binary, counts binary")
     return findings.repartitionById(fragments, F.col("bucket")).mapInArrow(sum_, "owner long, n long")

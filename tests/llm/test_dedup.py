@@ -105,19 +105,23 @@ def test_rows_of_packed_keys_are_proportional_to_keys(fragments):
     rows = packed_rows(owner, key, fragments, 3)
     assert len(rows) <= min(fragments, 40_000) + 1 and sum(len(x[5]) for x in rows) == 40_000
     names = ("fragment", "run", "owners", "counts", "keys", "several")
+    direct = packed_rows(owner, key, fragments, 3, 7)
+    assert len(direct) <= min(7 * fragments, 40_000) + 1 and sum(len(x[5]) for x in direct) == 40_000
     again = cut_rows([dict(zip(names, x, strict=True)) for x in rows], fragments)
     assert len(again) <= min(fragments, 40_000) and sum(len(x[5]) for x in again) == 40_000
     assert len(finding_rows(np.arange(900), np.ones(900, np.int64), fragments)) <= min(fragments, 900)
 
 
-@pytest.mark.parametrize("run_bytes", [1 << 23, 300])
-def test_shared_counts_equal_brute_force(spark, docs, run_bytes):
-    """The fragment as one run, and as many."""
+@pytest.mark.parametrize(("run_bytes", "most"), [(1 << 23, 1 << 21), (300, 1 << 21), (300, 100)])
+def test_shared_counts_equal_brute_force(spark, docs, monkeypatch, run_bytes, most):
+    """The fragment as one run, and as many, which packs are cut to at once or later."""
     import numpy as np
 
+    from siftline.llm import sharedkeys
     from siftline.llm.sharedkeys import shared_counts
     from siftline.llm.wordkeys import Words
 
+    monkeypatch.setattr(sharedkeys, "MOST_KEYS", most)
     rows = sample(4)
 
     def keys_of(batch):
