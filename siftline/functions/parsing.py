@@ -122,9 +122,30 @@ def _mail(text: F.Column) -> F.Column:
     return F.unix_millis(F.try_to_timestamp(F.initcap(full), F.lit("d MMM yyyy H:mm:ss"))) - minutes * 60000
 
 
+#: Day forms that people write: 2024/01/02, 1/2/2024 (month first) and Jan 2, 2024, each with a time or without.
+_CLOCK = r"(?:,?\s+(\d{1,2}:\d\d)(:\d\d)?)?"
+SLASHED, AMERICAN = rf"^(\d{{4}})/(\d{{1,2}})/(\d{{1,2}}){_CLOCK}$", rf"^(\d{{1,2}})/(\d{{1,2}})/(\d{{4}}){_CLOCK}$"
+WRITTEN = rf"(?i)^(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{{1,2}}),?\s+(\d{{4}}){_CLOCK}$"
+
+
+def _civil(text: F.Column, pattern: str, order: tuple[int, int, int], form: str) -> F.Column:
+    """The time of a text of one of the forms above; ``order`` has the places of year, month and day in the pattern."""
+    part = lambda k: F.regexp_extract(text, pattern, k)
+    clock = F.concat(F.when(part(4) == "", "0:00").otherwise(part(4)), F.when(part(5) == "", ":00").otherwise(part(5)))
+    return F.unix_millis(F.try_to_timestamp(F.concat_ws(" ", part(order[0]), F.initcap(part(order[1])), part(order[2]), clock), F.lit(form)))
+
+
 def instant(c: F.Column) -> F.Column:
-    """Milliseconds since 1970 of an ISO-8601 or mail-style time, UTC where no zone is given; null for others."""
-    return let(js_trim(c), lambda text: F.when(text.rlike(ISO), _iso(text).cast("double")).when(text.rlike(MAIL), _mail(text).cast("double")))
+    """Milliseconds since 1970 of a time in ISO-8601, mail style or one of the written day forms, UTC where no zone is
+    given; null for others."""
+    return let(
+        js_trim(c),
+        lambda text: F.when(text.rlike(ISO), _iso(text).cast("double"))
+        .when(text.rlike(MAIL), _mail(text).cast("double"))
+        .when(text.rlike(SLASHED), _civil(text, SLASHED, (1, 2, 3), "y M d H:mm:ss").cast("double"))
+        .when(text.rlike(AMERICAN), _civil(text, AMERICAN, (3, 1, 2), "y M d H:mm:ss").cast("double"))
+        .when(text.rlike(WRITTEN), _civil(text, WRITTEN, (3, 1, 2), "y MMM d H:mm:ss").cast("double")),
+    )
 
 
 NUMERIC = r"(?i)^-?(?:\d+(?:\.\d+)?|\.\d+)(?:e[+-]?\d+)?$"

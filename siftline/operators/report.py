@@ -56,15 +56,14 @@ def cluster_svg(points: list, result: dict, config: Config = Config()) -> str:
     w, h = config.canvas_width, config.canvas_height
     if not points:
         return _frame(w, h, _text(w // 2, h // 2, "No data", 20, more=" text-anchor='middle'"))
-    grid = "".join(f"<line x1='{x}' y1='48' x2='{x}' y2='{h - 48}' stroke='{GRID}'/>" for x in range(80, w, 80))
-    grid += "".join(f"<line x1='56' y1='{y}' x2='{w - 56}' y2='{y}' stroke='{GRID}'/>" for y in range(60, h - 40, 60))
-    axes = _text(w // 2, h - 14, "dim 0", 13, more=" text-anchor='middle'") + _text(18, h // 2, "dim 1", 13, more=f" text-anchor='middle' transform='rotate(-90 18 {h // 2})'")
+    wide, tall = w - 2 * SIDE, h - 2 * EDGE
+    grid = "".join(f"<path d='M{SIDE + wide * k / 10:.1f} {EDGE}v{tall}'/>" for k in range(11)) + "".join(f"<path d='M{SIDE} {EDGE + tall * k / 6:.1f}h{wide}'/>" for k in range(7))
+    names = _text(SIDE + wide, h - EDGE + 22, "first dimension", 12, more=" text-anchor='end'") + _text(SIDE, EDGE - 10, "second dimension", 12)
     dots = "".join(f"<circle cx='{p['cx']:.2f}' cy='{p['cy']:.2f}' r='{p['r']:.2f}' fill='{p['color']}' opacity='0.88'/>" for p in points[:PREVIEW])
-    left, top, legend = w - SIDE - 140, EDGE + 10, ""
-    for c in range(min(result["clusters"], len(config.color_palette))):
-        legend += f"<circle cx='{left}' cy='{top + 20 * c}' r='5' fill='{config.color_palette[c]}'/>" + _text(left + 14, top + 4 + 20 * c, f"cluster {c}", 12, INK)
-    foot = f"rows={result['rows']} dims={result['dimensions']} algorithm={result['algorithm']} clusters={result['clusters']} outliers={result['outlierRatio'] * 100:.1f}%"
-    return _frame(w, h, f"<g opacity='0.10'>{grid}</g>{axes}<g>{dots}</g><g>{legend}</g>" + _text(56, 36, "Clustered Stream Preview", 24, INK) + _text(56, h - 20, foot, 16))
+    bands = range(min(result["clusters"], len(config.color_palette)))
+    legend = "".join(f"<circle cx='{SIDE + 90 * c}' cy='{h - 20}' r='5' fill='{config.color_palette[c]}'/>" + _text(SIDE + 10 + 90 * c, h - 16, f"band {c}", 12, INK) for c in bands)
+    title = _text(SIDE, 28, f"{result['rows']} rows in {result['clusters']} bands by {result['algorithm']}, {result['outlierRatio'] * 100:.1f} % outliers", 16, INK)
+    return _frame(w, h, f"<g stroke='{GRID}' opacity='0.15'>{grid}</g>{title}{names}<g>{dots}</g><g>{legend}</g>")
 
 
 def report_fragment(result: dict, insights: list, svg: str) -> str:

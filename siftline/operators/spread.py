@@ -21,16 +21,24 @@ from siftline.operators import clustering as one
 CELL_DIMS, CELL_ROWS, FOLD_ROWS = 2, 1024, 100_000
 
 
+def range_number(value: F.Column, cuts: list[int]) -> F.Column:
+    """How many of the rising ``cuts`` are below the value: a binary search in one literal."""
+    if not cuts:
+        return F.lit(0)
+    listed, steps = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>"), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    below = lambda at, step: F.coalesce(F.get(listed, at + step - 1) < value, F.lit(False))
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda at, step: F.when(below(at, step), at + step).otherwise(at))
+
+
 def numbered(df: DataFrame, part: str, order: list[str], name: str) -> DataFrame:
     """``df`` and a column ``name``: a row's number from 0 on among those with its ``part``, by ``order``.
 
-    The first column of ``order``, a number, cuts the table into ranges; rows are numbered within a range, after the
+    The first column of ``order``, a whole number, cuts the table into ranges; rows are numbered within a range, after the
     rows of the ranges before. So no task has all rows of a part.
     """
     n = 4 * shuffle_width(df.sparkSession)
     cuts = df.select(F.percentile_approx(F.col(order[0]), [i / n for i in range(1, n)], 100 * n).alias("c")).first()["c"] or []
-    cuts = F.array(*(F.lit(x) for x in sorted(set(cuts))))
-    dealt = df.withColumn("_range", F.aggregate(cuts, F.lit(0), lambda s, x: s + F.coalesce(F.col(order[0]) > x, F.lit(False)).cast("int")))
+    dealt = df.withColumn("_range", range_number(F.coalesce(F.col(order[0]), F.lit(min(cuts, default=0))), sorted(set(cuts))))
     held = dealt.groupBy(part, "_range").agg(F.count("*").alias("_n"))
     # one row per part and range
     before = held.select(part, "_range", (F.sum("_n").over(Window.partitionBy(part).orderBy("_range")) - F.col("_n")).alias("_before"))

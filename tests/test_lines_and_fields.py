@@ -106,3 +106,16 @@ def test_numbers(spark):
 def test_array_extension(spark):
     got = array_extras(fields(parsed(table(spark, ['{"a":[1,"x",3,4]}'])))).collect()
     assert sorted((r["key"], r["value"]) for r in got) == [("a._length", "4"), ("a[0]", "1"), ("a[1]", "x"), ("a[2]", "3")]
+
+
+def test_written_days(spark):
+    from datetime import datetime, timezone
+
+    from siftline.functions.parsing import instant
+
+    want = {
+        "2024/01/02 10:00": (2024, 1, 2, 10, 0), "2024/1/2": (2024, 1, 2), "1/2/2024": (2024, 1, 2), "12/31/2023 23:59:58": (2023, 12, 31, 23, 59, 58), "Jan 2, 2024": (2024, 1, 2),
+        "december 31 2023, 7:05": (2023, 12, 31, 7, 5), "MAR 3, 2024 01:02:03": (2024, 3, 3, 1, 2, 3), "13/1/2024": None, "2024/13/01": None, "Jan 32, 2024": None, "Janus 2": None, "1/2/24": None,
+    }
+    got = {r["t"]: r["ms"] for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", instant(F.col("t")).alias("ms")).collect()}
+    assert got == {t: x and datetime(*x, tzinfo=timezone.utc).timestamp() * 1000 for t, x in want.items()}
