@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm.fingerprints import edited_fingerprints
 from siftline.llm.html_text import extract_text
+from siftline.llm.importance import importance_resample
 from siftline.llm.mixing import MIX_SQL, mix
 from siftline.llm.ngram_join import jaccard_components
 from siftline.llm.packing import pack_documents
@@ -16,6 +18,8 @@ from siftline.llm.suffix_dedup import repeated_passages
 from siftline.llm.topk import top_inner_products
 from siftline.llm.toxicity import toxicity_scores
 from siftline.llm.url_filter import filter_urls
+from siftline.llm.vector_codes import vector_codes
+from siftline.llm.word_bpe import encoded_digests
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,6 +93,18 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(captures, entries).withColumnRenamed("capture_id", "page_id")
 
 
+def op11_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
 _LISTED = ", ".join(f"('{k}', '{p}', '{a}', DATE '{d}')" for k, p, a, d in BLOCK_LIST)
 URL_SQL = rf"""
 WITH entries(kind, pattern, action, listed_at) AS (VALUES {_LISTED}),
@@ -155,6 +171,7 @@ QUERIES = {
     for f in (
         op1_suffix_array_dedup, op2_ngram_jaccard_join, op3_quality_classifier, op4_html_extraction, op5_document_fingerprints,
         op6_toxicity, op7_exact_topk_search, op8_mixing_sources, op9_packing, op10_url_filters,
+        op11_bpe_encoding, op12_vector_codes, op13_importance_resampling,
     )
 }
 ORACLES = {
