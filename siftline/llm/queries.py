@@ -166,6 +166,55 @@ WITH v AS (
 SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score FROM scored QUALIFY rank <= 5
 """
 
+def _codes_sql(rounds: int = 4, width: int = 16) -> str:
+    """A table of codebooks and one of assignments for each round; a distance and its entry are one number, the lesser the better."""
+    out = [
+        """k AS MATERIALIZED (SELECT vec_id::BIGINT AS id, label::BIGINT AS label, [floor(1024 * x::DOUBLE) FOR x IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)""",
+        "v AS MATERIALIZED (SELECT id, label, p, x[p * len(x) // 4 + 1:(p + 1) * len(x) // 4] AS v FROM k, range(4) t(p))",
+        "b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY id) - 1 AS e, v FROM v QUALIFY e < 256)",
+    ]
+    far = "(list_dot_product(v.v, v.v) - 2 * list_dot_product(v.v, b.v) + list_dot_product(b.v, b.v))::BIGINT"
+    mean = "[" + ", ".join(f"floor(sum(v[{i}]) / count(*))" for i in range(1, width + 1)) + "]"
+    for r in range(rounds + 1):
+        out.append(f"a{r} AS MATERIALIZED (SELECT id, label, v.p, any_value(v.v) AS v, min({far} * 256 + e) AS m FROM v JOIN b{r} b ON b.p = v.p GROUP BY id, label, v.p)")
+        if r < rounds:
+            out.append(f"b{r + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{r} b LEFT JOIN (SELECT p, m % 256 AS e, {mean} AS v FROM a{r} GROUP BY ALL) n ON n.p = b.p AND n.e = b.e)")
+    return f"""WITH {", ".join(out)}, c AS (SELECT id, label, string_agg(printf('%02x', m % 256), '' ORDER BY p) AS code, sum(m // 256)::BIGINT AS error FROM a{rounds} GROUP BY id, label)
+SELECT id AS vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string([x::BIGINT FOR x IN v], ','), ',' ORDER BY p, e)) FROM b{rounds}) AS codebooks_sha256 FROM c"""
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8, half a byte at a time, the lower half first."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = (c >> 1) ^ 0xEDB88320 if c & 1 else c >> 1
+        table.append(c)
+    halves = f"[strpos('0123456789ABCDEF', n) - 1 FOR n IN string_split(regexp_replace(hex({text}), '(.)(.)', '\\2\\1', 'g'), '')]"
+    return f"xor(list_reduce(list_prepend(4294967295, {halves}), lambda c, n: xor(c >> 4, {table}[(xor(c, n) & 15) + 1])), 4294967295)"
+
+
+def _features_sql(table: str, name: str) -> str:
+    runs = "w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]"
+    return f"SELECT {name} AS id, unnest({runs}) AS f FROM (SELECT {name}, regexp_extract_all({_FOLDED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {table})"
+
+
+#: Twenty words have 57 features.
+RESAMPLING_SQL = f"""
+WITH d AS MATERIALIZED ({_features_sql("documents", "doc_id")}), b AS MATERIALIZED ({_features_sql("benchmark", "item_id")}),
+crc AS MATERIALIZED (SELECT f, ({_crc_sql("f")})::BIGINT % 10000 AS k FROM (SELECT f FROM d UNION SELECT f FROM b)),
+s AS (SELECT k, count(*) AS s FROM d JOIN crc USING (f) GROUP BY k), t AS (SELECT k, count(*) AS t FROM b JOIN crc USING (f) GROUP BY k),
+g AS MATERIALIZED (
+  SELECT k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM d) + 10000) / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000))))::BIGINT AS gain FROM s LEFT JOIN t USING (k)
+), w AS (SELECT id AS doc_id, count(*) AS n, sum(gain) AS weight FROM d JOIN crc USING (f) JOIN g USING (k) GROUP BY id),
+e AS (SELECT doc_id, coalesce(n, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight, ('0x' || sha256('42:' || doc_id)[1:8])::BIGINT AS h FROM documents LEFT JOIN w USING (doc_id)),
+o AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 57 QUALIFY rank <= 5 * count(*) OVER () // 100)
+SELECT doc_id, n_features, weight, score, rank::BIGINT AS rank FROM o LEFT JOIN r USING (doc_id)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -180,4 +229,6 @@ ORACLES = {
     "op7_exact_topk_search": TOP_SQL,
     "op8_mixing_sources": MIX_SQL,
     "op10_url_filters": URL_SQL,
+    "op12_vector_codes": _codes_sql(),
+    "op13_importance_resampling": RESAMPLING_SQL,
 }
