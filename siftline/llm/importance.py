@@ -26,7 +26,7 @@ from siftline.llm.wordkeys import LOWER, Words, column_bytes, slices
 from siftline.operators.spread import numbered
 
 #: Words of a feature at most, buckets, bytes of a text from which it is cut, words that tables know the lengths of.
-ORDERS, BUCKETS, CHUNK_BYTES, SHORT = 3, 10_000, 1 << 18, 32
+ORDERS, BUCKETS, CHUNK_BYTES, SHORT = 3, 10_000, 1 << 15, 32
 #: Bytes that separate words: all of ASCII but digits and letters.
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
