@@ -2,13 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siftline.sources.lines import JS_SPACE, js_trim
 
@@ -19,8 +13,6 @@ ENTITY_KEYS = ("service", "svc", "source", "app", "module", "component", "host",
 MESSAGE_KEYS = ("msg", "message", "text", "event", "detail", "description", "error", "reason", "log")
 
 FIELD = "struct<key:string,type:string,num:double,str:string,bool:boolean,json:string>"
-_FIELDS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("key", T.StringType()), ("type", T.StringType()), ("num", T.DoubleType()), ("str", T.StringType()), ("bool", T.BooleanType()), ("json", T.StringType()))]))
-_KINDS = {"key": pa.string(), "type": pa.string(), "num": pa.float64(), "str": pa.string(), "bool": pa.bool_(), "json": pa.string()}
 #: Objects nested deeper stay as they are.
 DEPTH = 5
 #: Marks around keys while pairs are cut out; private-use characters that lines don't hold.
@@ -30,80 +22,73 @@ ISO = r"^[+-]?\d{4,6}(?:-\d\d(?:-\d\d)?)?(?:[T ]\d\d:\d\d(?::\d\d(?:[.,]\d{1,9})
 MAIL = r"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*,?\s+)?\d{1,2}\s+(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{4}\s+\d{1,2}:\d\d(?::\d\d)?\s*(?:GMT|UTC|Z|[+-]\d{4})?$"
 
 
-_SURROGATE = re.compile("[\ud800-\udfff]")
+#: Half of a surrogate pair, after an even number of backslashes.
+_HALF = r"(?i)((?:^|[^\\])(?:\\\\)*)(?:\\ud[89ab][0-9a-f]{2}(?!\\ud[c-f][0-9a-f]{2})|(?<!\\ud[89ab][0-9a-f]{2})\\ud[c-f][0-9a-f]{2})"
 
 
-def _no_constant(name: str):
-    raise ValueError(name)
+def let(value: F.Column, f) -> F.Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
-def _sound(text: str) -> str:
-    return text if text.isascii() or not _SURROGATE.search(text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with ``value`` under a name, computed once, in SQL."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def _double(value: int | float) -> float:
-    try:
-        return float(value)
-    except OverflowError:  # a whole number beyond all doubles
-        return float("inf") if value > 0 else float("-inf")
+def _last(found: str) -> str:
+    """``last_of_each`` of an array of structs with keys, in SQL, where keys repeat at all."""
+    keys = "array_distinct(transform(all_, x -> x.key))"
+    return _bound(found, "all_", f"CASE WHEN size({keys}) < size(all_) THEN transform({keys}, k -> element_at(filter(all_, x -> x.key = k), -1)) ELSE all_ END")
 
 
-def _typed(key: str, value) -> tuple:
-    """A field as (key, type, num, str, bool, json)."""
-    key = _sound(key)
-    if value is None:
-        return key, "null", None, None, None, None
-    if isinstance(value, bool):
-        return key, "boolean", None, None, value, None
-    if isinstance(value, (int, float)):
-        return key, "number", _double(value), None, None, None
-    if isinstance(value, str):
-        return key, "string", None, _sound(value), None, None
-    return key, "array" if isinstance(value, list) else "object", None, None, None, _sound(json.dumps(value, separators=(",", ":"), ensure_ascii=False))
+def _read(text: str, values: str) -> str:
+    """An object's members as a map, null for other texts; JSON as it is written, without other quotes or NaN."""
+    return f"from_json({text}, 'map<string,{values}>', map('allowNonNumericNumbers', 'false', 'allowSingleQuotes', 'false'))"
 
 
-def flatten(value: dict) -> dict:
-    """Dotted keys for nested objects; arrays, and objects below ``DEPTH`` keys, stay whole."""
-    out, todo = {}, [(iter(value.items()), "", 1)]
-    while todo:
-        items, prefix, depth = todo[-1]
-        for key, item in items:
-            name = f"{prefix}{key}"
-            if isinstance(item, dict) and depth < DEPTH:
-                todo.append((iter(item.items()), f"{name}.", depth + 1))
-                break
-            out[name] = item
-        else:
-            todo.pop()
-    return out
+def _members(text: str, level: int, whole: bool) -> str:
+    """(key, kind, value as a variant, text of what is no scalar) of an object's text, in order."""
+    e, i, s = (f"{c}{level}" for c in "eis")
+    kind = f"CASE substring(schema_of_variant({e}.value), 1, 2) WHEN 'ST' THEN 'string' WHEN 'BO' THEN 'boolean' WHEN 'AR' THEN 'array' WHEN 'OB' THEN 'object' WHEN 'VO' THEN 'null' ELSE 'number' END"
+    each = lambda more: f"transform(map_entries({_read(text, 'variant')}), ({e}, {i}) -> named_struct('key', {e}.key, 'kind', {kind}, 'v', {e}.value, 's', {more}))"
+    return _last(_bound(f"map_values({_read(text, 'string')})", s, each(f"get({s}, {i})")) if whole else each("cast(NULL AS string)"))
 
 
-def parse_object(line: str | None) -> list[tuple] | None:
-    """The flattened fields of a line that is a JSON object; None for anything else."""
-    if not line or not line.startswith("{"):
-        return None
-    try:
-        value = json.loads(line, parse_constant=_no_constant)
-    except (ValueError, RecursionError):
-        return None
-    return [_typed(k, v) for k, v in flatten(value).items()] if isinstance(value, dict) else None
+def _typed(e: str) -> str:
+    """A member as a FIELD."""
+    only = lambda kinds, value: f"CASE WHEN {e}.kind IN ({kinds}) THEN {value} END"
+    return f"""named_struct('key', {e}.key, 'type', {e}.kind, 'num', {only("'number'", f"cast({e}.v AS double)")}, 'str', {only("'string'", f"cast({e}.v AS string)")},
+        'bool', {only("'boolean'", f"cast({e}.v AS boolean)")}, 'json', {only("'array', 'object'", f"{e}.s")})"""
 
 
-@F.arrow_udf(_FIELDS)
-def json_fields(lines: pa.Array) -> pa.Array:
-    """``parse_object`` of each line, put together column by column."""
-    found = [parse_object(x) for x in lines.to_pylist()]
-    sizes = np.array([0 if f is None else len(f) for f in found], np.int32)
-    every = [x for f in found if f is not None for x in f]
-    columns = list(zip(*every, strict=True)) if every else [[]] * len(_KINDS)
-    children = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values(), strict=True)], list(_KINDS))
-    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
-    return pa.ListArray.from_arrays(offsets, children, mask=pa.array([f is None for f in found]))
+def _flattened(text: str, level: int = 1) -> str:
+    """The fields of an object's text, those of objects inside it under dotted keys down to DEPTH."""
+    e, f = f"m{level}", f"f{level}"
+    if level == DEPTH:
+        return f"transform({_members(text, level, True)}, {e} -> {_typed(e)})"
+    inner = f"transform({_flattened(f'{e}.s', level + 1)}, {f} -> named_struct('key', concat({e}.key, '.', {f}.key), 'type', {f}.type, 'num', {f}.num, 'str', {f}.str, 'bool', {f}.bool, 'json', {f}.json))"
+    return f"flatten(transform({_members(text, level, True)}, {e} -> CASE WHEN {e}.kind = 'object' THEN {inner} ELSE array({_typed(e)}) END))"
 
 
-def let(value: F.Column, f) -> F.Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def whole_pairs(line: F.Column) -> F.Column:
+    """The line with U+FFFD for each escaped half of a surrogate pair."""
+    mended = F.regexp_replace(F.regexp_replace(line, _HALF, r"$1\\ufffd"), _HALF, r"$1\\ufffd")
+    return F.when(line.contains("\\") & F.lower(line).contains("\\ud"), mended).otherwise(line)
+
+
+def json_fields(line: str) -> F.Column:
+    """The fields of a column of lines that are JSON objects, null for anything else: variants tell the values' types.
+
+    Nested objects have dotted keys; arrays, and objects below DEPTH keys, stay whole, as Spark writes their text. Of
+    equal keys the last value counts, in the first one's place, where the session lets variants have them, as
+    ``session.prepared`` does. A number beyond all doubles is infinite, inside other values the string Infinity.
+    """
+    # what follows an object can't close both an array and an object around it; mostly the object's first brace closes it
+    ends = f"(locate('}}', {line}) = length({line}) OR (json_array_length(concat('[', {line}, ']')) = 1 AND size(json_object_keys(concat('{{\"x\":', {line}, '}}'))) = 1))"
+    plain = lambda whole: f"transform({_members(line, 0, whole)}, m -> {_typed('m')})"
+    found = f"CASE WHEN locate('{{', {line}, 2) > 0 THEN {_last(_flattened(line))} WHEN contains({line}, '[') THEN {plain(True)} ELSE {plain(False)} END"
+    return F.expr(f"CASE WHEN startswith({line}, '{{') AND endswith({line}, '}}') AND {ends} THEN {found} END")
 
 
 def _iso(text: F.Column) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.functions.parsing import ENTITY_KEYS, FIELD, MESSAGE_KEYS, SEVERITY_KEYS, TIMESTAMP_KEYS, instant, js_trim, json_fields, kv_fields
+from siftline.functions.parsing import ENTITY_KEYS, FIELD, MESSAGE_KEYS, SEVERITY_KEYS, TIMESTAMP_KEYS, instant, js_trim, json_fields, kv_fields, let, whole_pairs
 
 #: Times in milliseconds beyond this have no calendar date.
 _LAST_DATE = 8.64e15
@@ -19,47 +19,49 @@ def _field(key: str, kind: str, num=None, text=None) -> F.Column:
     )
 
 
+def _once(value: F.Column) -> F.Column:
+    """A column that the optimizer can't copy into filters and other columns: a generator's only row."""
+    return F.explode(F.array(value))
+
+
 def parsed(lines: DataFrame) -> DataFrame:
     """(job_id, line_index, line, format, fields) of trimmed lines (job_id, line_index, line).
 
     format is json for objects, kv for lines with a pair, text for others. fields has the line's own fields, then
     ``raw`` and ``line_index``, and ``message`` where the line has no field; own ones of those names give way.
     """
-    out = lines.select("job_id", "line_index", "line", json_fields("line").alias("object"))
-    kv = F.when(F.col("object").isNull(), kv_fields(F.col("line")))
-    out = out.withColumn("pairs", kv)
-    own = F.coalesce("object", "pairs", F.expr(f"cast(array() as array<{FIELD}>)"))
-    form = F.when(F.col("object").isNotNull(), "json").when(F.size("pairs") > 0, "kv").otherwise("text")
-    out = out.select("job_id", "line_index", "line", form.alias("format"), own.alias("own"))
+    out = lines.select("job_id", "line_index", "line", whole_pairs(F.col("line")).alias("_text"))
+    either = let(json_fields("_text"), lambda o: F.struct(o.isNotNull().alias("object"), F.coalesce(o, kv_fields(F.col("line"))).alias("own")))
+    out = out.select("job_id", "line_index", "line", _once(either).alias("_read"))
+    form = F.when(F.col("_read.object"), "json").when(F.size("_read.own") > 0, "kv").otherwise("text")
+    out = out.select("job_id", "line_index", "line", form.alias("format"), F.col("_read.own").alias("own"))
     raw, index, message = _field("raw", "string", text=F.col("line")), _field("line_index", "number", num=F.col("line_index")), _field("message", "string", text=F.col("line"))
     added = F.when(F.size("own") == 0, F.array(raw, index, message)).otherwise(F.array(raw, index))
     fields = F.concat(F.filter("own", lambda f: ~f["key"].isin("raw", "line_index")), added).cast(f"array<{FIELD}>")
     return out.select("job_id", "line_index", "line", "format", fields.alias("fields"))
 
 
-def _texts() -> F.Column:
-    return F.map_from_entries(F.transform(F.filter("fields", lambda f: f["type"] == "string"), lambda f: F.struct(f["key"], f["str"])))
-
-
 def stamped(parsed_lines: DataFrame) -> DataFrame:
-    """``parsed`` lines with ts_ms and ts_label: the first field that is a time, else the line's number."""
-    numbers = F.map_from_entries(F.transform(F.filter("fields", lambda f: (f["type"] == "number") & (F.abs(f["num"]) <= _LAST_DATE)), lambda f: F.struct(f["key"], f["num"])))
-    out = parsed_lines.withColumns({"texts": _texts(), "numbers": numbers})
-
-    def shown(ms):
-        return F.date_format(F.timestamp_millis(ms.cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """``parsed`` lines with ts_ms and ts_label: the first of the time keys whose field is a time, else the line's number.
 
-    found = F.transform(F.array(*map(F.lit, TIMESTAMP_KEYS)), lambda k: F.struct(F.try_element_at(F.col("numbers"), k).alias("n"), F.try_element_at(F.col("texts"), k).alias("t")))
-    timed = F.transform(found, lambda x: F.struct(F.coalesce(x["n"], instant(x["t"])).alias("ms"), F.when(x["n"].isNotNull(), shown(x["n"])).otherwise(js_trim(x["t"])).alias("label")))
-    stamp = F.get(F.filter(timed, lambda x: x["ms"].isNotNull()), 0)
-    order = F.struct(F.col("line_index").cast("double").alias("ms"), F.concat(F.lit("row "), F.col("line_index") + 1).alias("label"))
-    return out.withColumn("at", F.coalesce(stamp, order)).select(*parsed_lines.columns, F.col("at.ms").alias("ts_ms"), F.col("at.label").alias("ts_label"))
+    Only fields of those names are looked at, mostly one of a line, so a text is read as a time once.
+    """
+    order = F.array(*map(F.lit, TIMESTAMP_KEYS))
+    own = F.filter("fields", lambda f: f["key"].isin(*TIMESTAMP_KEYS) & ((f["type"] == "string") | ((f["type"] == "number") & (F.abs(f["num"]) <= _LAST_DATE))))
+    timed = F.transform(own, lambda f: F.struct(F.array_position(order, f["key"]).alias("at"), F.coalesce(f["num"], instant(f["str"])).alias("ms"), f["str"].alias("text")))
+    first = F.array_min(F.filter(timed, lambda x: x["ms"].isNotNull()))
+    shown = F.date_format(F.timestamp_millis(F.col("_first.ms").cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    label = F.coalesce(js_trim(F.col("_first.text")), F.when(F.col("_first.ms").isNotNull(), shown), F.concat(F.lit("row "), F.col("line_index") + 1))
+    out = parsed_lines.withColumn("_first", first)
+    return out.select(*parsed_lines.columns, F.coalesce("_first.ms", F.col("line_index").cast("double")).alias("ts_ms"), label.alias("ts_label"))
 
 
 def rows(parsed_lines: DataFrame) -> DataFrame:
     """(job_id, line_index, raw, format, ts_ms, ts_label, severity, entity, message, shape_key) of ``parsed`` or ``stamped`` lines."""
     out = parsed_lines if "ts_label" in parsed_lines.columns else stamped(parsed_lines)
-    out = out.select("job_id", "line_index", F.col("line").alias("raw"), "format", "fields", _texts().alias("texts"), "ts_ms", "ts_label")
+    named = F.filter("fields", lambda f: (f["type"] == "string") & f["key"].isin(*SEVERITY_KEYS, *ENTITY_KEYS, *MESSAGE_KEYS))
+    texts = F.map_from_entries(F.transform(named, lambda f: F.struct(f["key"], f["str"])))
+    out = out.select("job_id", "line_index", F.col("line").alias("raw"), "format", "fields", texts.alias("texts"), "ts_ms", "ts_label")
 
     def first(keys):
         texts_of = F.transform(F.array(*map(F.lit, keys)), lambda k: js_trim(F.try_element_at(F.col("texts"), k)))

@@ -10,13 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.parsing import ENTITY_KEYS, MESSAGE_KEYS, SEVERITY_KEYS
-from siftline.operators.fields import numeric
+from siftline.operators.fields import stamped
 from siftline.staging import staged
 
 # Chart colours; fixed values.
 PALETTE = ("#ffda7b", "#ff8c6a", "#f45d96", "#7ad7ff", "#8ef0b5", "#c8a4ff", "#ffb3c1", "#a0c4ff")
-#: Jobs up to this number have their keys sent to every executor.
-MANY_JOBS = 100_000
 COUNTS = ("nulls", "numbers", "strings", "booleans", "arrays", "objects")
 
 
@@ -94,10 +92,10 @@ def key_counts(fields: DataFrame) -> DataFrame:
     return found.withColumn("pos", F.row_number().over(order))
 
 
-def schemas(fields: DataFrame) -> DataFrame:
-    """``key_counts`` with distinct_strings."""
+def schemas(fields: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """``key_counts``, which ``counted`` may be, with distinct_strings."""
     strings = _own(fields).where("type = 'string'").select("job_id", "key", "str").distinct().groupBy("job_id", "key").agg(F.count("*").alias("distinct_strings"))
-    return key_counts(fields).join(strings, ["job_id", "key"], "left").withColumn("distinct_strings", F.coalesce("distinct_strings", F.lit(0).cast("long")))
+    return (counted or key_counts(fields)).join(strings, ["job_id", "key"], "left").withColumn("distinct_strings", F.coalesce("distinct_strings", F.lit(0).cast("long")))
 
 
 def samples(fields: DataFrame, limit: int = 5) -> DataFrame:
@@ -124,15 +122,13 @@ def correlations(parsed_lines: DataFrame, keys: DataFrame) -> DataFrame:
 
     Means are over all rows that have the key, sums over rows that have both, so with missing values this isn't
     ``corr``. Pairs are made inside each row; no row meets another. The keys, a row for each job, are looked up
-    first: where no job has more than PAIRED_KEYS, a row's deviations become columns and every pair's sums are
-    columns of one grouping; else pairs are rows.
+    first, while the frame is built: where no job has more than PAIRED_KEYS, a row's deviations become columns and every
+    pair's sums are columns of one grouping; else pairs are rows. ``keys`` should be cheap to read again.
     """
     wanted = keys.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("rank", "key", "mean"))).alias("keys"))
-    wanted = staged(wanted)
-    most, jobs = wanted.agg(F.coalesce(F.max(F.size("keys")), F.lit(0)), F.count("*")).first()
-    finite = F.filter("fields", lambda f: (f["type"] == "number") & ~F.isnan(f["num"]) & (F.abs(f["num"]) < float("inf")))
-    numbers = F.map_from_entries(F.transform(finite, lambda f: F.struct(f["key"], f["num"])))
-    row = parsed_lines.select("job_id", numbers.alias("numbers")).join(F.broadcast(wanted) if jobs <= MANY_JOBS else wanted, "job_id")
+    most = wanted.agg(F.coalesce(F.max(F.size("keys")), F.lit(0))).first()[0]
+    numbers = F.map_from_entries(F.transform(finite_numbers(), lambda f: F.struct(f["key"], f["num"])))
+    row = parsed_lines.select("job_id", numbers.alias("numbers")).join(wanted, "job_id")
     if most <= PAIRED_KEYS:
         key = lambda i: F.get("keys", F.lit(i))
         flat = row.select("job_id", *((F.try_element_at("numbers", key(i)["key"]) - key(i)["mean"]).alias(f"d{i}") for i in range(most)))
@@ -154,13 +150,20 @@ def correlations(parsed_lines: DataFrame, keys: DataFrame) -> DataFrame:
     return kept.select("job_id", (F.row_number().over(Window.partitionBy("job_id").orderBy("i", "j")) - 1).alias("pos"), "x", "y", "value")
 
 
-def numeric_series(fields: DataFrame, rows: DataFrame, keys: DataFrame) -> DataFrame:
+def finite_numbers() -> F.Column:
+    """The finite numbers of a parsed line's fields."""
+    return F.filter("fields", lambda f: (f["type"] == "number") & ~F.isnan(f["num"]) & (F.abs(f["num"]) < float("inf")))
+
+
+def numeric_series(parsed_lines: DataFrame, keys: DataFrame) -> DataFrame:
     """(job_id, key, color, line_index, label, value): points of the numeric keys with two or more, in row order.
 
-    A row's label stands with its fields where ``fields`` has it (``ts_label``), and is joined where it doesn't.
+    The fields of other keys go inside their row; lines get their label here, where it is read.
     """
-    wanted = keys.where("numbers >= 2").select("job_id", "key", color(F.col("rank")).alias("color"))
-    return _labelled(numeric(fields).join(wanted, ["job_id", "key"]), rows).select("job_id", "key", "color", "line_index", "label", F.col("num").alias("value"))
+    wanted = keys.where("numbers >= 2").groupBy("job_id").agg(F.map_from_entries(F.collect_list(F.struct("key", color(F.col("rank"))))).alias("colors"))
+    own = F.filter(finite_numbers(), lambda f: F.map_contains_key("colors", f["key"]))
+    points = stamped(parsed_lines.join(wanted, "job_id")).select("job_id", "line_index", F.col("ts_label").alias("label"), "colors", F.explode(own).alias("f"))
+    return points.select("job_id", F.col("f.key").alias("key"), F.element_at("colors", F.col("f.key")).alias("color"), "line_index", "label", F.col("f.num").alias("value"))
 
 
 def _labelled(points: DataFrame, rows: DataFrame) -> DataFrame:
@@ -184,18 +187,25 @@ def scatter_pairs(correlated: DataFrame, keys: DataFrame) -> DataFrame:
     return every.withColumn("n", F.row_number().over(Window.partitionBy("job_id", "pair").orderBy("pos"))).where("n = 1").select("job_id", "pos", "x", "y")
 
 
-def scatter(fields: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(job_id, key, color, line_index, x, y, label): points that have both keys, where there are two or more."""
-    labelled = "ts_label" in fields.columns
-    number = numeric(fields).select("job_id", "line_index", "key", "num", *(["ts_label"] if labelled else []))
-    # one grouping by line brings a pair's two numbers together; pairs are few
-    sides = pairs.select("job_id", "pos", "x", "y", F.explode(F.array("x", "y")).alias("key"))
-    own = lambda c: F.max(F.when(F.col("key") == F.col(c), F.col("num")))
-    grouped = number.join(sides, ["job_id", "key"]).groupBy("job_id", "line_index", "pos", "x", "y")
-    points = grouped.agg(own("x").alias("vx"), own("y").alias("vy"), *([F.first("ts_label").alias("ts_label")] if labelled else [])).where("vx is not null and vy is not null")
-    many = points.groupBy("job_id", "x", "y").agg(F.count("*").alias("n")).where("n >= 2").drop("n")
-    named = _labelled(points.join(many, ["job_id", "x", "y"]), rows)
-    return named.select("job_id", F.concat("x", F.lit(" vs "), "y").alias("key"), color(F.col("pos")).alias("color"), "line_index", F.col("vx").alias("x"), F.col("vy").alias("y"), "label")
+def scatter(parsed_lines: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(job_id, key, color, line_index, x, y, label): points that have both keys, where there are two or more.
+
+    A pair's two numbers stand in one row, so points are made there and none is shuffled; a count of each pair's points,
+    a few rows for each job, says which pairs have two.
+    """
+    number = F.map_from_entries(F.transform(finite_numbers(), lambda f: F.struct(f["key"], f["num"])))
+    value = lambda c: F.try_element_at("number", F.col(f"p.{c}"))
+
+    def made(pairs: DataFrame, *more: str) -> DataFrame:
+        wanted = pairs.groupBy("job_id").agg(F.collect_list(F.struct("pos", "x", "y")).alias("pairs"))
+        lines = parsed_lines.join(wanted, "job_id")
+        lines = (stamped(lines) if more else lines).select("job_id", "line_index", *more, number.alias("number"), F.explode("pairs").alias("p"))
+        return lines.select("job_id", "line_index", *more, "p.pos", F.col("p.x").alias("kx"), F.col("p.y").alias("ky"), value("x").alias("x"), value("y").alias("y")).where("x is not null and y is not null")
+
+    held = made(pairs).groupBy("job_id", "pos").agg(F.count("*").alias("n")).where("n >= 2").select("job_id", "pos")
+    # written, so that its size is known and it is broadcast where it is small
+    points = made(staged(pairs.join(held, ["job_id", "pos"])), "ts_label")
+    return points.select("job_id", F.concat("kx", F.lit(" vs "), "ky").alias("key"), color(F.col("pos")).alias("color"), "line_index", "x", "y", F.col("ts_label").alias("label"))
 
 
 def boolean_histogram(fields: DataFrame) -> DataFrame:
@@ -270,9 +280,8 @@ def entity_key(fields: DataFrame) -> DataFrame:
     return fields.where(F.col("key").isin(*ENTITY_KEYS)).where("type = 'string'").groupBy("job_id").agg(F.min_by("key", order).alias("entity_key"))
 
 
-def counters(rows: DataFrame, schema: DataFrame, series: DataFrame, correlated: DataFrame) -> DataFrame:
-    """(job_id, rows, fields, series, correlations)."""
+def counters(rows: DataFrame, schema: DataFrame, keys: DataFrame, correlated: DataFrame) -> DataFrame:
+    """(job_id, rows, fields, series, correlations); a numeric key with two numbers or more is a series."""
     count = lambda df, name: df.groupBy("job_id").agg(F.count("*").alias(name))
-    lines = series.select("job_id", "key").distinct()
-    out = count(rows, "rows").join(count(schema, "fields"), "job_id", "left").join(count(lines, "series"), "job_id", "left").join(count(correlated, "correlations"), "job_id", "left")
+    out = count(rows, "rows").join(count(schema, "fields"), "job_id", "left").join(count(keys.where("numbers >= 2"), "series"), "job_id", "left").join(count(correlated, "correlations"), "job_id", "left")
     return out.select("job_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("rows", "fields", "series", "correlations")))

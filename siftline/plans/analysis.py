@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from siftline.operators.fields import fields, parsed, rows, stamped
 from siftline.operators.insights import insights
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.sources.lines import engine_lines, profiler_lines
-from siftline.staging import staged, unstage
+from siftline.staging import keeping, staged, unstage
 
 NO_ROWS = "no analyzable rows found"
 
@@ -82,51 +83,69 @@ def result_json(results: DataFrame, html_column: str | None = None, svg_column:
 
 
 class Profile:
-    """A profile of lines (job_id, line_index, line); each part is a DataFrame made when it is asked for.
+    """A profile of lines (job_id, line_index, line); each part is a DataFrame, made once, when it is asked for.
 
-    Lines are parsed once, into a staged table that all parts read; nothing stays cached.
+    Lines are parsed once, into a staged table that all parts read; times are read from it by the parts that show them.
+    Key counts and numeric keys, a row for each job and key, are staged by the first part that needs them. Nothing stays
+    cached; ``close``, or the end of a ``with`` block, removes all of it.
     """
 
     def __init__(self, lines: DataFrame):
-        self.parsed = staged(stamped(parsed(lines)))
+        self._own: list[DataFrame] = []
+        self.parsed = self._staged(parsed(lines))
         self.rows = rows(self.parsed)
-        self.fields = fields(self.parsed)
+        self.fields = fields(stamped(self.parsed))
+
+    def _staged(self, df: DataFrame) -> DataFrame:
+        with keeping(self._own):
+            return staged(df)
 
     @classmethod
     def of(cls, jobs: DataFrame) -> Profile:
         return cls(profiler_lines(jobs))
 
-    def __getattr__(self, name: str):
-        made = {
-            "schemas": lambda: p.schemas(self.fields),
-            "samples": lambda: p.samples(self.fields),
-            "key_counts": lambda: p.key_counts(self.fields),
-            "numeric_keys": lambda: p.numeric_keys(self.key_counts, self.rows),
-            "correlations": lambda: p.correlations(self.parsed, self.numeric_keys),
-            "series": lambda: p.numeric_series(self.fields, self.rows, self.numeric_keys),
-            "scatter_pairs": lambda: p.scatter_pairs(self.correlations, self.numeric_keys),
-            "scatter": lambda: p.scatter(self.fields, self.rows, self.scatter_pairs),
-            "booleans": lambda: p.boolean_histogram(self.fields),
-            "text_lengths": lambda: p.text_lengths(self.fields, self.rows, self.key_counts),
-            "null_ratios": lambda: p.null_ratios(self.key_counts, self.rows),
-            "field_coverage": lambda: p.field_coverage(self.fields),
-            "shape_coverage": lambda: p.shape_coverage(self.rows),
-            "format_coverage": lambda: p.format_coverage(self.rows),
-            "dominant_keys": lambda: p.dominant_keys(self.fields, self.rows),
-            "severity": lambda: p.severity_histogram(self.rows),
-            "entity": lambda: p.entity_histogram(self.rows),
-            "low_cardinality": lambda: p.low_cardinality(self.fields, self.schemas, self.rows),
-            "category": lambda: p.category(self.fields, self.rows),
-            "category_histogram": lambda: p.category_histogram(self.severity, self.entity, self.low_cardinality, self.format_coverage),
-            "totals": lambda: p.totals(self.rows),
-            "donuts": lambda: p.donuts(self.fields, self.schemas),
-            "stats_grid": lambda: p.stats_grid(self.schemas),
-            "counters": lambda: p.counters(self.rows, self.key_counts, self.series, self.correlations),
-        }.get(name)
-        if made is None:
-            raise AttributeError(name)
-        return made()
+    def __enter__(self) -> Profile:
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.close()
 
     def close(self) -> None:
-        """Removes the staged lines; nothing may be read from the profile afterwards."""
-        unstage(self.parsed)
+        """Removes the staged tables; nothing may be read from the profile afterwards."""
+        for df in self._own:
+            unstage(df)
+
+    @cached_property
+    def key_counts(self) -> DataFrame:
+        return self._staged(p.key_counts(self.fields))
+
+    @cached_property
+    def numeric_keys(self) -> DataFrame:
+        return self._staged(p.numeric_keys(self.key_counts, self.rows))
+
+    @cached_property
+    def scatter(self) -> DataFrame:
+        with keeping(self._own):
+            return p.scatter(self.parsed, self._staged(self.scatter_pairs))
+
+    schemas = cached_property(lambda self: p.schemas(self.fields, self.key_counts))
+    samples = cached_property(lambda self: p.samples(self.fields))
+    correlations = cached_property(lambda self: p.correlations(self.parsed, self.numeric_keys))
+    series = cached_property(lambda self: p.numeric_series(self.parsed, self.numeric_keys))
+    scatter_pairs = cached_property(lambda self: p.scatter_pairs(self.correlations, self.numeric_keys))
+    booleans = cached_property(lambda self: p.boolean_histogram(self.fields))
+    text_lengths = cached_property(lambda self: p.text_lengths(self.fields, self.rows, self.key_counts))
+    null_ratios = cached_property(lambda self: p.null_ratios(self.key_counts, self.rows))
+    field_coverage = cached_property(lambda self: p.field_coverage(self.fields))
+    shape_coverage = cached_property(lambda self: p.shape_coverage(self.rows))
+    format_coverage = cached_property(lambda self: p.format_coverage(self.rows))
+    dominant_keys = cached_property(lambda self: p.dominant_keys(self.fields, self.rows))
+    severity = cached_property(lambda self: p.severity_histogram(self.rows))
+    entity = cached_property(lambda self: p.entity_histogram(self.rows))
+    low_cardinality = cached_property(lambda self: p.low_cardinality(self.fields, self.schemas, self.rows))
+    category = cached_property(lambda self: p.category(self.fields, self.rows))
+    category_histogram = cached_property(lambda self: p.category_histogram(self.severity, self.entity, self.low_cardinality, self.format_coverage))
+    totals = cached_property(lambda self: p.totals(self.rows))
+    donuts = cached_property(lambda self: p.donuts(self.fields, self.schemas))
+    stats_grid = cached_property(lambda self: p.stats_grid(self.schemas))
+    counters = cached_property(lambda self: p.counters(self.rows, self.key_counts, self.numeric_keys, self.correlations))

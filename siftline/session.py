@@ -27,7 +27,8 @@ def prepared(spark: SparkSession) -> SparkSession:
     """What an application sets once for its session; operators themselves change no settings.
 
     Python workers find this package wherever the driver was started (on a cluster it must be installed or shipped)
-    and give memory back, and texts go to them in small batches unless the session says otherwise.
+    and give memory back, and texts go to them in small batches unless the session says otherwise. Of equal keys in a
+    JSON object the last one counts.
     """
     root, env = str(Path(__file__).resolve().parents[1]), spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -35,6 +36,7 @@ def prepared(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     for name, value in WORKER_MEMORY.items():
         env.setdefault(name, value)
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(rows) == "10000":
         spark.conf.set(rows, str(BATCH_ROWS))

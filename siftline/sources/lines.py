@@ -63,6 +63,12 @@ def json_lines(table: DataFrame, index: str, columns: dict, job_id: int = 1) ->
     return table.select(F.lit(job_id).cast("long").alias("job_id"), F.col(index).cast("long").alias("line_index"), body.alias("line"))
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A stored table over all cores, where its files give fewer tasks than there are: a small one may be a single task."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def text_payloads(spark: SparkSession, path: str, name: str = "dbscan") -> DataFrame:
     """Each file below ``path`` as one job; ids follow the file names."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))

@@ -12,6 +12,8 @@ from siftline.plans.analysis import Profile, analyze, result_json, status_json
 from siftline.sources.lines import SAMPLE, engine_lines, jobs
 from siftline.streaming.jobs import Engine, payload_source, results_of, stream, windowed_counts
 
+from plain import parse_object
+
 TOY = np.array([(0, 0), (0.1, 0), (0, 0.1), (0.4, 0), (0.8, 0), (3, 3), (3.1, 3), (3, 3.1), (6, 0), (3.2, 3.2)], np.float32)
 WANT = {
     "kmeans++": ([0, 0, 0, 0, 0, 2, 2, 2, 1, 2], 3), "dbscan": ([0, 0, 0, 0, -1, 1, 1, 1, -1, 1], 2), "birch": ([0, 0, 0, 0, 1, 2, 2, 2, 3, 2], 4),
@@ -208,8 +210,7 @@ def test_the_category_histogram_falls_back(spark):
 
 
 def test_numbers_near_the_largest_double(spark):
-    from siftline.functions.parsing import parse_object
-
+    
     assert [f[2] for f in parse_object('{"a":1.5e308,"b":-1.7e308,"c":' + "9" * 400 + "}")] == [1.5e308, -1.7e308, math.inf]
 
 

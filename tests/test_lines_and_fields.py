@@ -2,11 +2,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number, token_number
-from siftline.functions.parsing import parse_object
 from siftline.operators.fields import array_extras, fields, parsed, rows
 from siftline.plans.analysis import Profile
 from siftline.sources.lines import SAMPLE, accepted, engine_lines, jobs, profiler_lines
 
+from plain import parse_object
+
 
 def table(spark, lines):
     return spark.createDataFrame([(1, i, x) for i, x in enumerate(lines)], "job_id long, line_index long, line string")
@@ -119,3 +120,49 @@ def test_written_days(spark):
     }
     got = {r["t"]: r["ms"] for r in spark.createDataFrame([(t,) for t in want], "t string").select("t", instant(F.col("t")).alias("ms")).collect()}
     assert got == {t: x and datetime(*x, tzinfo=timezone.utc).timestamp() * 1000 for t, x in want.items()}
+
+
+def test_objects_against_a_plain_reader(spark):
+    """Generated objects, and lines that are nearly objects, through variants and through Python's reader."""
+    import json
+    import random
+
+    from siftline.functions.parsing import json_fields, whole_pairs
+
+    r, names = random.Random(1), ["a", "b", "a.b", "é", "x y", 'q"t', "__p", "\\"]
+
+    def value(depth):
+        kind = r.random()
+        if depth < 7 and kind < 0.25:
+            return {r.choice(names): value(depth + 1) for _ in range(r.randint(0, 3))}
+        if depth < 7 and kind < 0.35:
+            return [value(depth + 1) for _ in range(r.randint(0, 3))]
+        return r.choice([None, True, False, 0, -5, 1.5, 1e300, -2.25e-7, 10**25, "", "true", "null", "1.5", "Infinity", "{", "}", "[1]", "\n\t", "\\", "🙂", "ü\u2028", '"', 0.1])
+
+    lines = [json.dumps({r.choice(names): value(1) for _ in range(r.randint(0, 4))}, ensure_ascii=r.random() < 0.5) for _ in range(400)]
+    lines += ['{"a":1} x}', '{"a":1}}', '{"a":1}]}', '{"a":1},{"b":2}', '{"a":{"b":1}},"y":{}', '{"a":{"b":1}}}', '{"a":{"b":1}}]}', '{"a":{"b":1},"c":"}"}', '{"a":"}"}', '{"a":1,"a":2}', '{"a":1e999,"b":-1e999,"c":"Infinity"}']
+    lines += ['{"a":{"b":1,"c":0,"b":{"d":1}},"e":1,"a":{"z":1}}', '{"a.b":1,"a":{"b":2}}', '{"x":"\\ud800"}', '{"x":"\\udc00\\ud83d\\ude42"}', '{"x":"\\\\ud800"}', '{"x":"\\ud83d\\ude42"}', '{"a":NaN}', "{'a':1}", '{"a":01}', '{"a":+1}', '{"a":.5}', "{a:1}", "{}", "{ }", '{"a":{"":{"":2}}}']
+    got = {x["i"]: x["f"] for x in spark.createDataFrame(list(enumerate(lines)), "i int, line string").withColumn("t", whole_pairs(F.col("line"))).select("i", json_fields("t").alias("f")).collect()}
+    loaded = lambda f: (*f[:5], f[5] and json.loads(f[5]))
+    for i, line in enumerate(lines):
+        want = parse_object(line)
+        assert (got[i] is None) == (want is None), line
+        assert want is None or [loaded(tuple(f)) for f in got[i]] == [loaded(f) for f in want], line
+
+
+def test_objects_are_read_without_python(spark):
+    from siftline.operators.fields import parsed
+
+    plan = parsed(table(spark, ['{"a":{"b":1}}', "x=1"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_staged_tables_go_with_their_scope(spark):
+    from siftline.staging import scratch, staged_files, sweep
+
+    before = set(staged_files(spark))
+    with scratch(), Profile.of(jobs(spark, [SAMPLE])) as profile:
+        profile.correlations.count()
+        profile.counters.count()
+        assert set(staged_files(spark)) > before
+    assert set(staged_files(spark)) == before and sweep(spark) == 0

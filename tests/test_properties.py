@@ -6,11 +6,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from siftline.config import Config
-from siftline.functions.parsing import flatten, parse_object
 from siftline.operators.features import feature_vectors
 from siftline.operators.fields import fields, parsed, rows
 from siftline.operators.summary import summary
 
+from plain import flatten, parse_object
+
 JSON = st.recursive(st.none() | st.booleans() | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5), lambda x: st.lists(x, max_size=3) | st.dictionaries(st.text(max_size=3), x, max_size=3), max_leaves=12)
 
 
