@@ -1,8 +1,8 @@
 """Clusterings of jobs too large for one group: a job's rows stay spread over tasks, with ``clustering``'s semantics.
 
 Each function takes features (job_id, row_id, v) that are cheap to read again and gives (job_id, row_id, label,
-cluster_count). The driver holds a job's centres, modes or leaders only. Neighbours come from a join on cells as
-wide as the reach; the pairs of dense places are all compared, so their cost grows with the square of a place's rows.
+cluster_count). The driver holds a job's centres, modes or leaders, and the trees of ``neighbours``, only. Neighbours come
+from a join over k-d leaves within reach; pairs that are in reach are all made, so a dense place costs the square of its rows.
 """
 
 from __future__ import annotations
@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from siftline.staging import shuffle_width, staged
 from siftline.operators import clustering as one
+from siftline.operators.neighbours import Leaves, near
 
-#: Dimensions of a cell; rows of one cell that meet in one key of the join; rows of a job in one fold of birch.
-CELL_DIMS, CELL_ROWS, FOLD_ROWS = 2, 1024, 100_000
+#: Rows of a job in one fold of birch.
+FOLD_ROWS = 100_000
 
 
 def range_number(value: F.Column, cuts: list[int]) -> F.Column:
@@ -51,36 +52,6 @@ def _flat(features: DataFrame, dims: int, name: str) -> DataFrame:
     return features.select("job_id", "row_id", *(F.coalesce(F.get("v", F.lit(d)).cast("double"), F.lit(0.0)).alias(f"{name}{d}") for d in range(dims)))
 
 
-def _cells(name: str, dims: int, reach: float) -> list:
-    # a little wider than the reach, as quotients are rounded; bounded, as a cell has neighbours
-    wide = max(reach * (1 + 1e-6), 1e-12)
-    return [F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), F.col(f"{name}{d}") / wide))) for d in range(min(CELL_DIMS, dims))]
-
-
-def _far(dims: int):
-    return sum(((F.col(f"a{d}") - F.col(f"b{d}")) * (F.col(f"a{d}") - F.col(f"b{d}")) for d in range(dims)), F.lit(0.0))
-
-
-def near(left: DataFrame, right: DataFrame, dims: int, reach: float, more=None, how: str = "inner") -> DataFrame:
-    """Pairs of ``left`` (job_id, row_id, a0, ...) and ``right`` (job_id, other, b0, ...) within reach and with ``more``.
-
-    A cell's right rows are dealt to keys of some CELL_ROWS. With ``how`` "left_semi" a left row may come several times.
-    """
-    left, right = (reduce(lambda df, d: df.where(~F.isnan(f"{n}{d}")), range(dims), df) for df, n in ((left, "a"), (right, "b")))
-    right = right.withColumn("cell", F.array(*_cells("b", dims, reach)))
-    held = right.groupBy("job_id", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("keys"))
-    right = right.join(held, ["job_id", "cell"]).withColumn("key", F.pmod(F.xxhash64("other"), F.col("keys").cast("long"))).drop("keys")
-    for d, c in enumerate(_cells("a", dims, reach)):
-        left = left.withColumn(f"_c{d}", F.explode(F.array(c - 1, c, c + 1)))
-    names = [f"_c{d}" for d in range(min(CELL_DIMS, dims))]
-    left = left.withColumn("cell", F.array(*names)).drop(*names).join(held, ["job_id", "cell"])
-    left = left.withColumn("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("keys").cast("long") - 1))).drop("keys")
-    l, r = left.alias("l"), right.alias("r")
-    on = (F.col("l.job_id") == F.col("r.job_id")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.key") == F.col("r.key")) & (_far(dims) <= reach * reach)
-    out = l.join(r, on if more is None else on & more, how)
-    return out.select("l.*") if how == "left_semi" else out.drop(F.col("r.job_id"), F.col("r.cell"), F.col("r.key")).drop("cell", "key")
-
-
 def kmeans(features: DataFrame, dims: int, config) -> DataFrame:
     held = features.groupBy("job_id").agg(F.least(F.lit(one.K), F.count("*")).cast("long").alias("cluster_count"))
     return one.spread_kmeans(features).join(held, "job_id")
@@ -120,19 +91,20 @@ def dbscan(features: DataFrame, dims: int, config) -> DataFrame:
     In each round every open row without an earlier open one in reach is a seed, and closes those in its reach.
     """
     eps, rows = config.dbscan_eps, _flat(features, dims, "a")
+    leaves = Leaves(rows, dims)
     other = lambda df: df.select("job_id", F.col("row_id").alias("other"), *(F.col(f"a{d}").alias(f"b{d}") for d in range(dims)))
-    dense = near(rows, other(rows), dims, eps).groupBy("job_id", "row_id").agg(F.count("*").alias("n")).where(F.col("n") >= config.dbscan_min_samples)
+    dense = near(leaves, rows, other(rows), dims, eps).groupBy("job_id", "row_id").agg(F.count("*").alias("n")).where(F.col("n") >= config.dbscan_min_samples)
     left, found = staged(rows.join(dense.select("job_id", "row_id"), ["job_id", "row_id"])), []
     while not left.isEmpty():
-        later = near(left, other(left), dims, eps, F.col("other") < F.col("row_id"), "left_semi").select("job_id", "row_id").distinct()
+        later = near(leaves, left, other(left), dims, eps, F.col("other") < F.col("row_id"), "left_semi").select("job_id", "row_id").distinct()
         seeds = staged(left.join(later, ["job_id", "row_id"], "left_anti"))
-        closed = near(left, other(seeds), dims, eps, None, "left_semi").select("job_id", "row_id").distinct()
+        closed = near(leaves, left, other(seeds), dims, eps, None, "left_semi").select("job_id", "row_id").distinct()
         left = staged(left.join(closed, ["job_id", "row_id"], "left_anti"))
         found.append(seeds)
     if not found:
         return features.select("job_id", "row_id", F.lit(-1).alias("label"), F.lit(0).cast("long").alias("cluster_count"))
     seeds = staged(numbered(reduce(DataFrame.unionByName, found), "job_id", ["row_id"], "rank"))
-    first = near(rows, other(seeds).join(seeds.select("job_id", F.col("row_id").alias("other"), "rank"), ["job_id", "other"]), dims, eps, F.col("other") <= F.col("row_id"))
+    first = near(leaves, rows, other(seeds).join(seeds.select("job_id", F.col("row_id").alias("other"), "rank"), ["job_id", "other"]), dims, eps, F.col("other") <= F.col("row_id"))
     first = first.groupBy("job_id", "row_id").agg(F.min("rank").alias("rank"))
     counts = seeds.groupBy("job_id").agg(F.count("*").alias("cluster_count"))
     out = features.select("job_id", "row_id").join(first, ["job_id", "row_id"], "left").join(counts, "job_id", "left")
@@ -143,9 +115,10 @@ def mean_shift(features: DataFrame, dims: int, config) -> DataFrame:
     """Six joins with averages; then mode by mode, each the first later row that no mode before reaches."""
     reach, names = 2 * config.dbscan_eps, [f"a{d}" for d in range(dims)]
     points = _flat(features, dims, "a")
+    leaves = Leaves(points, dims)
     every = _flat(features, dims, "b").withColumnRenamed("row_id", "other")
     for _ in range(one.SHIFTS):
-        moved = near(points, every, dims, reach).groupBy("job_id", "row_id").agg(*(F.avg(f"b{d}").cast("float").cast("double").alias(f"m{d}") for d in range(dims)))
+        moved = near(leaves, points, every, dims, reach).groupBy("job_id", "row_id").agg(*(F.avg(f"b{d}").cast("float").cast("double").alias(f"m{d}") for d in range(dims)))
         points = staged(points.join(moved, ["job_id", "row_id"], "left").select("job_id", "row_id", *(F.coalesce(f"m{d}", f"a{d}").alias(f"a{d}") for d in range(dims))))
     modes = {r["job_id"]: [] for r in points.select("job_id").distinct().collect()}
 

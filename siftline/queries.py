@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from siftline.config import MAX_DIMENSIONS, Config
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number
-from siftline.staging import checkpoint_dir, staged
+from siftline.staging import checkpoint_dir, run_dir, staged
 from siftline.operators import profile as p
 from siftline.operators.clustering import cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors
@@ -20,6 +20,7 @@ from siftline.operators.report import donut_angles, heat_cells, svg_points
 from siftline.operators.spread import numbered
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.plans.analysis import Profile, analyze, result_json, status_json
+from siftline.sources.files import engine_file_lines, profiler_file_lines
 from siftline.sources.lines import dealt, engine_lines, json_lines, profiler_lines
 from siftline.streaming.jobs import payload_source, stream, windowed_counts
 
@@ -307,6 +308,31 @@ def line_measures(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("line_index"), line.alias("line")).select("line_index", F.octet_length("line").alias("bytes"), count_marks(F.col("line")).alias("marks"))
 
 
+def _written_lines(spark, d):
+    """The events' JSON lines as text files, every seventh line empty and every fifth of blanks, in a file for each event type."""
+    folder = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    line = F.when(F.col("line_index") % 7 == 0, "").when(F.col("line_index") % 5 == 0, "  ").otherwise(F.concat(F.col("line_index"), F.lit(" "), F.col("line")))
+    lines = event_lines(spark, d).select(F.get_json_object("line", "$.level").alias("level"), "line_index", line.alias("value"))
+    lines.repartition("level").sortWithinPartitions("level", "line_index").select("level", "value").write.partitionBy("level").text(folder)
+    return folder
+
+
+_FILE_LINES = f"WITH {_EVENTS}, l AS (SELECT level, line_index, row_number() OVER (PARTITION BY level ORDER BY line_index) - 1 AS n FROM e WHERE line_index % 7 <> 0{{}})"
+
+
+@query(_FILE_LINES.format("") + " SELECT level, n::BIGINT AS row_id, CASE WHEN line_index % 5 > 0 THEN line_index END::BIGINT AS event_id FROM l")
+def engine_file_rows(spark, d):
+    """Files read split by split; the level is in the file's name, the event's number at a line's begin."""
+    got = engine_file_lines(spark, _written_lines(spark, d))
+    return got.select(F.regexp_extract("file", "level=([^/]*)", 1).alias("level"), "row_id", F.regexp_extract("line", "^([0-9]+) ", 1).try_cast("long").alias("event_id"))
+
+
+@query(_FILE_LINES.format(" AND line_index % 5 <> 0") + " SELECT level, n::BIGINT AS line_index, line_index::BIGINT AS event_id FROM l")
+def profiler_file_rows(spark, d):
+    got = profiler_file_lines(spark, _written_lines(spark, d))
+    return got.select(F.regexp_extract("file", "level=([^/]*)", 1).alias("level"), "line_index", F.regexp_extract("line", "^([0-9]+) ", 1).try_cast("long").alias("event_id"))
+
+
 _FNV = "list_reduce(list_prepend(1469598103934665603::HUGEINT, [ord(c)::HUGEINT FOR c IN string_split({}, '')]), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616)"
 
 
@@ -358,22 +384,20 @@ def feature_summary(spark, d):
     return s.select("row_count", *(added(c).alias(c) for c in ("mean", "min", "max", "stddev")), r("entropy").alias("entropy"), (r("slope") + 0.0).alias("slope"), r("outlier_ratio").alias("outlier_ratio"), "trend")
 
 
-def _embedding_features(spark, d, components: int = MAX_DIMENSIONS):
-    """The first components of all embeddings, scaled; each label's vectors are a job."""
-    v = F.transform(F.slice("embedding", 1, components), lambda x: (x * 3).cast("float"))
+def _embedding_features(spark, d):
+    """The first eight components of all embeddings, as many as the engine takes, scaled; each label's vectors are a job."""
+    v = F.transform(F.slice("embedding", 1, MAX_DIMENSIONS), lambda x: (x * 3).cast("float"))
     rows_ = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("job_id"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return numbered(rows_, "job_id", ["vec_id", "v"], "row_id").select("job_id", "row_id", "v")
 
 
-#: Components of the queries with SQL, which says four.
-SQL_COMPONENTS = 4
-_POINTS = "p AS MATERIALIZED (SELECT label::BIGINT AS job, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:4]] AS v FROM embeddings)"
-_SQ = "list_sum([(a.v[i] - b.v[i]) ^ 2 FOR i IN [1, 2, 3, 4]])"
+_POINTS = "p AS MATERIALIZED (SELECT label::BIGINT AS job, count(*) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) - 1 AS r, [(x::DOUBLE * 3)::FLOAT::DOUBLE FOR x IN embedding[1:8]] AS v FROM embeddings)"
+_SQ = "list_sum([(a.v[i] - b.v[i]) ^ 2 FOR i IN [1, 2, 3, 4, 5, 6, 7, 8]])"
 
 
-def _named(name, components: int = MAX_DIMENSIONS):
+def _named(name):
     def run(spark, d):
-        return cluster(_embedding_features(spark, d, components), name, Config(dbscan_min_samples=3))
+        return cluster(_embedding_features(spark, d), name, Config(dbscan_min_samples=3))
 
     run.__name__ = f"cluster_{name.replace('++', '')}"
     return run
@@ -444,7 +468,16 @@ query(f"WITH {_kmeans_sql()} SELECT job AS job_id, r AS row_id, c::BIGINT AS lab
 query(_gmm_sql())(_named("gmm"))
 query(_birch_sql())(_named("birch"))
 query(_mean_shift_sql())(_named("mean_shift"))
-query()(_named("optics"))
+# neighbours are counted among the first 4096 rows; then every place in turn is exchanged with each later one that has more
+query(
+    f"""WITH RECURSIVE {_POINTS}, f AS (SELECT * FROM p WHERE r < 4096), h AS (SELECT a.job, a.r, count(*) AS c FROM f a JOIN f b USING (job) WHERE {_SQ} <= 0.54 ^ 2 GROUP BY a.job, a.r),
+  t AS (SELECT job, list(c ORDER BY r) AS c, count(*) AS n FROM h GROUP BY job), s(job, i, j, o) AS (
+    SELECT job, 1::BIGINT, 2::BIGINT, range(1, n + 1) FROM t UNION ALL
+    SELECT s.job, CASE WHEN j < n THEN i ELSE i + 1 END, CASE WHEN j < n THEN j + 1 ELSE i + 2 END, CASE WHEN c[o[j]] > c[o[i]] THEN [CASE k WHEN i THEN o[j] WHEN j THEN o[i] ELSE o[k] END FOR k IN range(1, n + 1)] ELSE o END
+    FROM s JOIN t USING (job) WHERE i < n),
+  b AS (SELECT job, unnest(o) - 1 AS r, (generate_subscripts(o, 1) - 1) // 3 AS label FROM s JOIN t USING (job) WHERE i = n)
+  SELECT p.job AS job_id, p.r AS row_id, coalesce(b.label, 0)::BIGINT AS label, (n // 3 + 1)::BIGINT AS cluster_count FROM p JOIN t USING (job) LEFT JOIN b ON b.job = p.job AND b.r = p.r"""
+)(_named("optics"))
 
 
 # seeds: dense rows with no earlier seed in reach; a row belongs to its first seed, if that isn't later than it
@@ -456,19 +489,19 @@ query(
   final AS (SELECT job, arg_max(seeds, last) AS seeds FROM s GROUP BY job), seed AS (SELECT job, unnest(seeds) AS i, unnest(range(len(seeds))) AS k FROM final)
   SELECT p.job AS job_id, p.r AS row_id, coalesce((SELECT min(k) FROM seed JOIN n ON n.job = seed.job AND n.i = seed.i WHERE seed.job = p.job AND n.j = p.r AND seed.i <= p.r), -1)::BIGINT AS label,
          (SELECT count(*) FROM seed WHERE seed.job = p.job)::BIGINT AS cluster_count FROM p"""
-)(_named("dbscan", SQL_COMPONENTS))
+)(_named("dbscan"))
 
 query(
     f"""WITH {_POINTS}, f AS (SELECT * FROM p WHERE r < 1024), n AS (SELECT job, count(*) AS n FROM f GROUP BY job),
   c AS (SELECT a.job, a.r AS i, b.r AS j FROM f a JOIN f b ON a.job = b.job AND a.r < b.r QUALIFY row_number() OVER (PARTITION BY a.job ORDER BY {_SQ}, a.r, b.r) = 1)
   SELECT p.job AS job_id, p.r AS row_id, (CASE WHEN p.r >= 1024 THEN 0 WHEN n.n <= 3 THEN p.r WHEN p.r = c.j THEN c.i WHEN p.r > c.j THEN p.r - 1 ELSE p.r END)::BIGINT AS label, (n.n - (n.n > 3)::INT)::BIGINT AS cluster_count
   FROM p JOIN n USING (job) LEFT JOIN c USING (job)"""
-)(_named("agglomerative", SQL_COMPONENTS))
+)(_named("agglomerative"))
 
 
-@query(f"WITH {_POINTS}, n AS (SELECT a.job, a.r, count(*) AS c FROM p a JOIN p b USING (job) WHERE a.r < 4096 AND b.r < 4096 AND sqrt({_SQ}) <= 0.54 GROUP BY a.job, a.r) SELECT job AS job_id, r AS row_id, ((row_number() OVER (PARTITION BY job ORDER BY c DESC, r) - 1) // 3)::BIGINT AS label FROM n")
+@query(f"WITH {_POINTS}, n AS (SELECT a.job, a.r, count(*) AS c FROM p a JOIN p b USING (job) WHERE a.r < 4096 AND b.r < 4096 AND sqrt({_SQ}) <= 0.54 GROUP BY a.job, a.r) SELECT job AS job_id, r AS row_id, ((row_number() OVER (PARTITION BY job ORDER BY c DESC, r) - 1) // 3)::BIGINT AS label FROM n UNION ALL SELECT job, r, 0 FROM p WHERE r >= 4096")
 def cluster_density_bands(spark, d):
-    return density_bands(_embedding_features(spark, d, SQL_COMPONENTS), 0.54, 3)
+    return density_bands(_embedding_features(spark, d), 0.54, 3)
 
 
 @query(f"WITH {_kmeans_sql()} SELECT job AS job_id, r AS row_id, c::BIGINT AS label FROM labels")
@@ -478,7 +511,7 @@ def cluster_kmeans_spread(spark, d):
 
 @query(f"WITH {_POINTS} SELECT a.job AS job_id, a.r AS row_id, round({_SQ}, 6) AS d FROM p a JOIN p b USING (job) WHERE b.r = 0")
 def distance_to_first(spark, d):
-    f = _embedding_features(spark, d, SQL_COMPONENTS)
+    f = _embedding_features(spark, d)
     return f.join(f.where("row_id = 0").select("job_id", F.col("v").alias("o")), "job_id").select("job_id", "row_id", distance_sq(F.col("v"), F.col("o")).alias("d"))
 
 

@@ -70,6 +70,6 @@ def dealt(table: DataFrame) -> DataFrame:
 
 
 def text_payloads(spark: SparkSession, path: str, name: str = "dbscan") -> DataFrame:
-    """Each file below ``path`` as one job; ids follow the file names."""
+    """Each file below ``path`` as one job and one row, for small files; ids follow the file names. ``sources.files`` reads large ones."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("payload"))
     return files.select(F.xxhash64("file").alias("job_id"), F.lit(algorithm(name)).alias("algorithm"), "payload", "file")

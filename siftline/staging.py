@@ -46,7 +46,7 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def _run_dir(spark: SparkSession) -> str:
+def run_dir(spark: SparkSession) -> str:
     """This application's folder below the shared one, named by when it began; it goes as a whole when the interpreter ends."""
     name = spark.sparkContext.applicationId
     if name not in _runs:
@@ -61,7 +61,7 @@ def staged(df: DataFrame) -> DataFrame:
     It cuts the lineage: a lost executor costs a read of files and no recomputation. Files go by ``unstage``, with the
     ``scratch`` around the call, or when the interpreter ends.
     """
-    path = f"{_run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{run_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_at = path
@@ -102,7 +102,7 @@ def keeping(into: list[DataFrame]) -> Iterator[None]:
 def staged_files(spark: SparkSession) -> list[str]:
     """Tables of this application that are still there."""
     jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(_run_dir(spark))
+    where = jvm.org.apache.hadoop.fs.Path(run_dir(spark))
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
 

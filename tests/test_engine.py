@@ -247,14 +247,14 @@ def test_config():
 
 @pytest.mark.parametrize("name", WANT)
 def test_large_jobs_are_spread_with_the_same_labels(spark, monkeypatch, name):
-    from siftline.operators import clustering, spread
+    from siftline.operators import clustering, neighbours, spread
 
     rng, config = np.random.default_rng(5), Config(dbscan_min_samples=4)
     made = {1: rng.normal(size=(150, 3)) * 0.6, 2: rng.normal(size=(110, 3)) * 2, 3: rng.normal(size=(20, 3))}
     made = {j: x.astype(np.float32) for j, x in made.items()}
     made[1][40:60] = made[1][7]
     made[2][5] = np.nan if name in ("dbscan", "mean_shift") else 0
-    for module, most in ((spread, {"CELL_ROWS": 16, "FOLD_ROWS": 40}), (clustering, {"BAND_ROWS": 64, "PAIR_ROWS": 32})):
+    for module, most in ((spread, {"FOLD_ROWS": 40}), (neighbours, {"LEAF_ROWS": 16, "KEY_ROWS": 8, "LEAF_SAMPLE": 2}), (clustering, {"BAND_ROWS": 64, "PAIR_ROWS": 32})):
         for k, v in most.items():
             monkeypatch.setattr(module, k, v)
     df = spark.createDataFrame([(j, i, [float(a) for a in v]) for j, x in made.items() for i, v in enumerate(x)], "job_id long, row_id long, v array<float>").repartition(3)
