@@ -1,4 +1,4 @@
-"""Charts and pages: point geometry as columns, assembly of SVG and HTML from small previews on the driver."""
+"""Charts and pages: point geometry as columns, assembly of SVG and HTML on the driver from what ``charts`` leaves to be drawn."""
 
 from __future__ import annotations
 
@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.config import Config
+from siftline.operators.charts import ACROSS, DOWN, cluster_cells, density_cells, line_columns
 from siftline.operators.profile import PALETTE
 
 # Plot margins of the cluster chart; fixed values.
 SIDE, EDGE = 72, 56
 INK, PALE, NIGHT, GRID = "#d6edf8", "#8fb5c8", "#07111a", "#86a7b9"
 FONT = "IBM Plex Sans, sans-serif"
-PREVIEW = 400
+#: Bars of a histogram, keys of a heat map and keys with boolean bars; a page says how many more there are.
+BARS, HEAT_KEYS, FLAGS = 64, 32, 64
 
 
 def compact_number(value: float) -> str:
@@ -52,14 +54,14 @@ def _frame(w: int, h: int, body: str) -> str:
 
 
 def cluster_svg(points: list, result: dict, config: Config = Config()) -> str:
-    """The cluster chart of at most PREVIEW points (cx, cy, r, color); every tag is closed whatever their number."""
+    """The cluster chart of points (cx, cy, r, color); every tag is closed whatever their number."""
     w, h = config.canvas_width, config.canvas_height
     if not points:
         return _frame(w, h, _text(w // 2, h // 2, "No data", 20, more=" text-anchor='middle'"))
     wide, tall = w - 2 * SIDE, h - 2 * EDGE
     grid = "".join(f"<path d='M{SIDE + wide * k / 10:.1f} {EDGE}v{tall}'/>" for k in range(11)) + "".join(f"<path d='M{SIDE} {EDGE + tall * k / 6:.1f}h{wide}'/>" for k in range(7))
     names = _text(SIDE + wide, h - EDGE + 22, "first dimension", 12, more=" text-anchor='end'") + _text(SIDE, EDGE - 10, "second dimension", 12)
-    dots = "".join(f"<circle cx='{p['cx']:.2f}' cy='{p['cy']:.2f}' r='{p['r']:.2f}' fill='{p['color']}' opacity='0.88'/>" for p in points[:PREVIEW])
+    dots = "".join(f"<circle cx='{p['cx']:.2f}' cy='{p['cy']:.2f}' r='{p['r']:.2f}' fill='{p['color']}' opacity='0.88'/>" for p in points)
     bands = range(min(result["clusters"], len(config.color_palette)))
     legend = "".join(f"<circle cx='{SIDE + 90 * c}' cy='{h - 20}' r='5' fill='{config.color_palette[c]}'/>" + _text(SIDE + 10 + 90 * c, h - 16, f"band {c}", 12, INK) for c in bands)
     title = _text(SIDE, 28, f"{result['rows']} rows in {result['clusters']} bands by {result['algorithm']}, {result['outlierRatio'] * 100:.1f} % outliers", 16, INK)
@@ -81,14 +83,14 @@ def report_page(result: dict, insights: list, svg: str) -> str:
 
 
 def rendered(results: DataFrame, told: DataFrame, drawn: DataFrame, config: Config = Config()) -> DataFrame:
-    """(job_id, body, svg, html): each job's chart and report fragment, made in the tasks from previews of bounded size.
+    """(job_id, body, svg, html): each job's chart and report fragment, made in the tasks from the chart's occupied cells.
 
     results: rows of ``analyze``; told: its insights; drawn: rows of ``svg_points``. body is the result as JSON.
     """
-    preview = drawn.where(F.col("row_id") < PREVIEW).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "cx", "cy", "r", "color"))).alias("points"))
+    shown = cluster_cells(drawn).groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "cx", "cy", "r", "color"))).alias("points"))
     notes = told.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct("pos", "title", "detail", "tone"))).alias("notes"))
     columns = ("job_id", "algorithm", "status", "error", "row_count", "cluster_count", "dimensions", "entropy", "slope", "trend", "outlier_ratio")
-    jobs = results.select(*columns).join(preview, "job_id", "left").join(notes, "job_id", "left")
+    jobs = results.select(*columns).join(shown, "job_id", "left").join(notes, "job_id", "left")
 
     def run(batches):
         for batch in batches:
@@ -122,12 +124,20 @@ def _scaled(values: list[float], low: float, high: float) -> list[float]:
     return [low + (v - least) / (span or 1.0) * (high - low) for v in values]
 
 
-def line_svg(title: str, values: list[float], color: str, w: int = 640, h: int = 320) -> str:
-    x, y = _scaled(list(range(len(values))), 40, w - 40), _scaled(values, h - 50, 60)
+def line_svg(title: str, values: list[float], color: str, at: list[int] | None = None, w: int = 640, h: int = 320) -> str:
+    """A line through values, at the places ``at`` or one after another."""
+    x, y = _scaled(list(range(len(values))) if at is None else at, 40, w - 40), _scaled(values, h - 50, 60)
     path = " ".join(f"{a:.2f},{b:.2f}" for a, b in zip(x, y, strict=True))
     return _frame(w, h, _text(24, 32, f"{title} {compact_number(min(values))} to {compact_number(max(values))}", 18, INK) + f"<polyline points='{path}' fill='none' stroke='{color}' stroke-width='2'/>")
 
 
+def density_svg(title: str, cells: list[tuple[int, int, int]], color: str, w: int = 640, h: int = 320) -> str:
+    """A scatter plot's occupied cells (cx, cy, n); fuller ones are more opaque."""
+    most = math.log1p(max((n for _, _, n in cells), default=1))
+    dot = lambda x, y, n: f"<circle cx='{40 + (x + 0.5) * (w - 80) / ACROSS:.2f}' cy='{h - 50 - (y + 0.5) * (h - 110) / DOWN:.2f}' r='4' fill='{color}' opacity='{0.3 + 0.7 * math.log1p(n) / most:.2f}'/>"
+    return _frame(w, h, _text(24, 32, f"{title}, {compact_number(sum(n for _, _, n in cells))} points", 18, INK) + "".join(dot(*c) for c in cells))
+
+
 def scatter_svg(title: str, xs: list[float], ys: list[float], color: str, w: int = 640, h: int = 320) -> str:
     dots = "".join(f"<circle cx='{a:.2f}' cy='{b:.2f}' r='4' fill='{color}'/>" for a, b in zip(_scaled(xs, 40, w - 40), _scaled(ys, h - 50, 60), strict=True))
     return _frame(w, h, _text(24, 32, title, 18, INK) + dots)
@@ -171,30 +181,44 @@ def donut_svg(title: str, arcs: list, size: int = 320) -> str:
     return _frame(size, size, body)
 
 
-def dashboard_page(profile, job_id: int = 1, points: int = PREVIEW) -> str:
-    """A job's profile as one page: counters, coverages, charts and statistics, each from a small preview."""
-    own = lambda df, n=64: [r.asDict() for r in df.where(F.col("job_id") == job_id).limit(n).collect()]
-    bars = lambda df: [(r["label"], r["value"]) for r in sorted(own(df), key=lambda r: r["pos"])]
+def dashboard_page(profile, job_id: int = 1) -> str:
+    """A job's profile as one page: counters, coverages, charts and statistics.
+
+    Charts show all rows: lines by their extremes in each column, scatter plots by their cells. Of a histogram the first
+    BARS bars stand alone and the others are one; a heat map has the first HEAT_KEYS keys, and says so.
+    """
+    job = lambda df: df.where(F.col("job_id") == job_id)
+    own = lambda df, *order: [r.asDict() for r in (job(df).orderBy(*order) if order else job(df)).collect()]
+
+    def bars(df: DataFrame) -> list[tuple]:
+        shown = [(r["label"], r["value"]) for r in job(df).where(F.col("pos") <= BARS).orderBy("pos").collect()]
+        more = job(df).where(F.col("pos") > BARS).agg(F.count("*").alias("n"), F.sum("value").alias("value")).first()
+        return [*shown, (f"{more['n']} others", more["value"])] if more["n"] else shown
+
     head = own(profile.counters)
     parts = [f"<p>{html.escape(' · '.join(f'{k} {v}' for k, v in (head[0] if head else {}).items() if k != 'job_id'))}</p>"]
     parts += [bars_svg(title, bars(df)) for title, df in (("Categories", profile.severity), ("Fields", profile.field_coverage), ("Shapes", profile.shape_coverage), ("Formats", profile.format_coverage), ("Null rate", profile.null_ratios))]
-    for what, draw in ((profile.series, line_svg), (profile.text_lengths, line_svg)):
+    for what in (profile.series, profile.text_lengths):
         groups: dict = {}
-        for r in sorted(own(what.where(F.col("line_index") < points), 8 * points), key=lambda r: r["line_index"]):
-            groups.setdefault((r["key"], r["color"]), []).append(r["value"])
-        parts += [draw(key, values, color) for (key, color), values in groups.items() if len(values) > 1]
+        for r in own(line_columns(job(what)), "key", "line_index"):
+            groups.setdefault((r["key"], r["color"]), []).append((r["line_index"], r["value"]))
+        parts += [line_svg(key, [v for _, v in some], color, [i for i, _ in some]) for (key, color), some in groups.items() if len(some) > 1]
     pairs: dict = {}
-    for r in own(profile.scatter.where(F.col("line_index") < points), 3 * points):
-        pairs.setdefault((r["key"], r["color"]), []).append((r["x"], r["y"]))
-    parts += [scatter_svg(key, *map(list, zip(*xy, strict=True)), color) for (key, color), xy in pairs.items() if len(xy) > 1]
-    cells = own(heat_cells(profile.correlations, profile.numeric_keys), 1024)
+    for r in own(density_cells(job(profile.scatter)), "key", "cx", "cy"):
+        pairs.setdefault((r["key"], r["color"]), []).append((r["cx"], r["cy"], r["n"]))
+    parts += [density_svg(key, cells, color) for (key, color), cells in pairs.items()]
+    keys = job(profile.numeric_keys)
+    cells, many = own(heat_cells(job(profile.correlations), keys.where(F.col("rank") < HEAT_KEYS)), "x", "y"), keys.count()
     parts += [heat_svg(cells)] if len({c["x"] for c in cells}) > 1 else []
+    parts += [f"<p>The heat map has the first {HEAT_KEYS} of {many} numeric keys.</p>"] if many > HEAT_KEYS else []
     arcs: dict = {}
-    for r in sorted(own(donut_angles(profile.donuts)), key=lambda r: r["pos"]):
+    for r in own(donut_angles(profile.donuts), "key", "pos"):
         arcs.setdefault(r["key"], []).append(r)
     parts += [donut_svg(key, a) for key, a in arcs.items()]
-    parts += [boolean_svg(r["key"], r["true_count"], r["false_count"]) for r in own(profile.booleans)]
-    for r in sorted(own(profile.stats_grid), key=lambda r: r["pos"]):
+    flags = own(profile.booleans, "key")
+    parts += [boolean_svg(r["key"], r["true_count"], r["false_count"]) for r in flags[:FLAGS]]
+    parts += [f"<p>{len(flags) - FLAGS} more boolean keys.</p>"] if len(flags) > FLAGS else []
+    for r in own(profile.stats_grid, "pos"):
         range_ = f"{r['min']:.2f} / {r['max']:.2f} / {r['mean']:.2f}" if r["min"] is not None else f"{compact_number(r['distinct_strings'])} different"
         parts.append(f"<article><code>{html.escape(r['key'])}</code> {r['dominant_type']} {range_} null {r['null_rate']:.1f}%</article>")
     return f"<!DOCTYPE html><html lang='en'><head><meta charset='utf-8'><title>Profile {job_id}</title></head><body>{''.join(parts)}</body></html>"

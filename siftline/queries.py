@@ -12,6 +12,7 @@ from siftline.config import MAX_DIMENSIONS, Config
 from siftline.functions.numbers import count_marks, distance_sq, fnv1a64, freeform_numbers, keyed_number
 from siftline.staging import checkpoint_dir, run_dir, staged
 from siftline.operators import profile as p
+from siftline.operators.charts import density_cells, line_columns
 from siftline.operators.clustering import cluster, density_bands, spread_kmeans
 from siftline.operators.features import feature_vectors
 from siftline.operators.fields import fields, parsed, rows
@@ -254,6 +255,25 @@ def scatter_points(spark, d):
     return Profile(event_lines(spark, d)).scatter.select("job_id", "key", "line_index", "x", "y")
 
 
+@query(
+    _LONG + """, c AS (SELECT key, line_index, num AS value, (line_index - min(line_index) OVER w) * 100 // (max(line_index) OVER w - min(line_index) OVER w + 1) AS c FROM f WHERE type = 'number' WINDOW w AS (PARTITION BY key)),
+  r AS (SELECT key, c, unnest([arg_min({'i': line_index, 'v': value}, line_index), arg_max({'i': line_index, 'v': value}, line_index), arg_min({'i': line_index, 'v': value}, {'v': value, 'i': line_index}), arg_min({'i': line_index, 'v': value}, {'v': -value, 'i': line_index})]) AS p FROM c GROUP BY key, c)
+  SELECT DISTINCT 1::BIGINT AS job_id, key, c::BIGINT AS "column", p.i AS line_index, round(p.v, 6) AS value FROM r"""
+)
+def series_columns(spark, d):
+    """Lines of a hundred columns."""
+    return line_columns(Profile(event_lines(spark, d)).series, 100).drop("color")
+
+
+@query(
+    _LONG + _KEYS + """, s AS (SELECT x.key || ' vs ' || y.key AS key, a.num AS x, b.num AS y FROM k x JOIN k y ON x.rank < y.rank JOIN f a ON a.key = x.key JOIN f b ON b.key = y.key AND b.line_index = a.line_index),
+  e AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM s WINDOW w AS (PARTITION BY key))
+  SELECT 1::BIGINT AS job_id, key, least(139, floor((x - lx) * 140 / (hx - lx)))::BIGINT AS cx, least(54, floor((y - ly) * 55 / (hy - ly)))::BIGINT AS cy, count(*)::BIGINT AS n FROM e GROUP BY ALL"""
+)
+def scatter_cells(spark, d):
+    return density_cells(Profile(event_lines(spark, d)).scatter).drop("color")
+
+
 @query("SELECT 1::BIGINT AS job_id, 'text length' AS key, conv_id * 1000 + turn AS line_index, len(text)::BIGINT AS value FROM conversations")
 def text_lengths(spark, d):
     turns = dealt(table(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))

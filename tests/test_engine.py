@@ -285,3 +285,25 @@ def test_rows_beyond_the_bands_have_label_0(spark, monkeypatch):
     df = spark.createDataFrame([(1, i, p) for i, p in enumerate(points)], "job_id long, row_id long, v array<float>")
     got = [r["label"] for r in density_bands(df, 0.54, 3).orderBy("row_id").collect()]
     assert got == clustering.optics(np.array(points), 0.54, 3, stable=True)[0].tolist() and got[7:] == [0] * 4
+
+
+def test_a_spike_in_the_last_row_is_drawn(spark):
+    from siftline.operators.charts import cluster_cells, density_cells, line_columns
+
+    points = spark.range(200_000).selectExpr("1L AS job_id", "'k' AS key", "'#fff' AS color", "id AS line_index", "if(id = 199999, 1e6, id % 10 + 0.5) AS value")
+    got = line_columns(points, 50).collect()
+    assert len(got) <= 4 * 50 and max(r["value"] for r in got) == 1e6 and {r["column"] for r in got} == set(range(50))
+    assert {0, 199_999} <= {r["line_index"] for r in got} and all(r["line_index"] * 50 // 200_000 == r["column"] for r in got)
+    dots = points.selectExpr("job_id", "key", "color", "value AS x", "1.0D AS y")
+    cells = {(r["cx"], r["cy"]): r["n"] for r in density_cells(dots).collect()}
+    assert cells == {(0, 0): 199_999, (139, 0): 1}
+    drawn = points.selectExpr("job_id", "line_index AS row_id", "line_index % 100 + 0.5D AS cx", "0.25D AS cy", "3.0D + line_index / 1e6 AS r", "color")
+    some = cluster_cells(drawn).collect()
+    assert sorted(r["row_id"] for r in some) == [0, 12, 24, 36, 48, 60, 72, 84, 96] and max(r["r"] for r in some) > 3.19
+
+
+def test_pages_show_all_rows_and_say_what_is_left_out(spark):
+    lines = "\n".join(f'{{"level":"L{i % 70}","v":{10_000 if i == 599 else i % 7},"w":{i % 5}}}' for i in range(600))
+    with Profile.of(jobs(spark, [lines])) as got:
+        page = dashboard_page(got)
+    assert "0 to 10K" in page and "6 others" in page and "v vs w, 600 points" in page
