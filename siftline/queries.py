@@ -24,6 +24,7 @@ from siftline.plans.analysis import Profile, analyze, result_json, status_json
 from siftline.sources.files import engine_file_lines, profiler_file_lines
 from siftline.sources.lines import dealt, engine_lines, json_lines, profiler_lines
 from siftline.streaming.jobs import payload_source, stream, windowed_counts
+from siftline.streaming.windows import late_rows, session_counts, sliding_counts, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -267,8 +268,8 @@ def series_columns(spark, d):
 
 @query(
     _LONG + _KEYS + """, s AS (SELECT x.key || ' vs ' || y.key AS key, a.num AS x, b.num AS y FROM k x JOIN k y ON x.rank < y.rank JOIN f a ON a.key = x.key JOIN f b ON b.key = y.key AND b.line_index = a.line_index),
-  e AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM s WINDOW w AS (PARTITION BY key))
-  SELECT 1::BIGINT AS job_id, key, least(139, floor((x - lx) * 140 / (hx - lx)))::BIGINT AS cx, least(54, floor((y - ly) * 55 / (hy - ly)))::BIGINT AS cy, count(*)::BIGINT AS n FROM e GROUP BY ALL"""
+  g AS (SELECT *, min(x) OVER w AS lx, max(x) OVER w AS hx, min(y) OVER w AS ly, max(y) OVER w AS hy FROM s WINDOW w AS (PARTITION BY key))
+  SELECT 1::BIGINT AS job_id, key, least(139, floor((x - lx) * 140 / (hx - lx)))::BIGINT AS cx, least(54, floor((y - ly) * 55 / (hy - ly)))::BIGINT AS cy, count(*)::BIGINT AS n FROM g GROUP BY ALL"""
 )
 def scatter_cells(spark, d):
     return density_cells(Profile(event_lines(spark, d)).scatter).drop("color")
@@ -623,3 +624,45 @@ def stream_results(spark, d):
 def windowed_severity(spark, d):
     rows_ = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.upper("event_type").alias("severity"))
     return windowed_counts(rows_, "1 day").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _arrivals(spark, d, columns: dict) -> tuple[str, DataFrame]:
+    """(folder, stream) of the events in three files, one a batch: those of the first half of days and, twice, every third of
+    them; the others; and then again the first hundred, too late."""
+    folder = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_id", *(c.alias(n) for n, c in columns.items()))
+    first = F.col("ts") < e.agg(F.min("ts") + (F.max("ts") - F.min("ts")) / 2).first()[0]
+    late = table(spark, d, "events").select("event_id").orderBy("ts", "event_id").limit(100)
+    # files are read in the order in which they were written
+    for part in (e.where(first).union(e.where(first & (F.col("event_id") % 3 == 0))), e.where(~first), e.join(late, "event_id").select(*e.columns)):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return folder, spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+@query(
+    """WITH e AS (SELECT ts::TIMESTAMP AS ts, upper(event_type) AS severity FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark FROM e),
+  w AS (SELECT time_bucket(INTERVAL 1 DAY, ts) - INTERVAL (k) DAY AS start, severity FROM e, (SELECT unnest([0, 1]) AS k))
+  SELECT start::TIMESTAMP AS start, (start + INTERVAL 2 DAY)::TIMESTAMP AS "end", severity, count(*)::BIGINT AS n, 100::BIGINT AS late FROM w, m WHERE start + INTERVAL 2 DAY <= mark GROUP BY start, severity"""
+)
+def stream_sliding(spark, d):
+    """Two days' windows every day through a stream: repeated events count once, late ones are dropped and counted."""
+    folder, rows_ = _arrivals(spark, d, {"severity": F.upper("event_type")})
+    q = written(sliding_counts(rows_, "2 days", "1 day", "1 day", ["event_id"]), f"{folder}/out", f"{folder}/state")
+    q.awaitTermination()
+    got = spark.read.parquet(f"{folder}/out").withColumn("late", F.lit(late_rows(q)))
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "severity", "n", "late")
+
+
+@query(
+    """WITH e AS (SELECT event_id, ts::TIMESTAMP AS ts, user_id FROM events), m AS (SELECT max(ts) - INTERVAL 1 DAY AS mark, min(ts) + (max(ts) - min(ts)) / 2 AS half FROM e),
+  a AS (SELECT ts, user_id FROM e UNION ALL SELECT ts, user_id FROM e, m WHERE ts < half AND event_id % 3 = 0),
+  b AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, true)::INT AS new FROM a WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  c AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM b)
+  SELECT min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS "end", user_id, count(*)::BIGINT AS n FROM c GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT mark FROM m)"""
+)
+def stream_sessions(spark, d):
+    """Users' sessions through a stream; repeated events count as often as they come, late ones don't."""
+    folder, rows_ = _arrivals(spark, d, {"user_id": F.col("user_id")})
+    written(session_counts(rows_, "6 hours", "1 day", "user_id"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = spark.read.parquet(f"{folder}/out")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
