@@ -7,14 +7,14 @@ compared for the words they have in common. Matches are extended to the left ins
 words before the kept positions, as far as the windows of that minimiser reach, and longer passages are the unions
 of their windows.
 
-Hashes choose positions and deal records; what matches is decided on the words themselves. Where very many documents
-share a head, its suffixes would all fall to one task: those are compared window by window instead, windows being
-dealt by the SHA-256 of their words.
+Where very many documents share a head, its suffixes would all fall to one task: those are dealt by the longest words
+that a window of theirs has, all of its own, a record for each window, and are sorted and compared like the others.
+
+Hashes choose positions and deal records; what matches is decided on the words themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ from siftline.llm.staging import fresh, shuffle_width, staged
 from siftline.llm.wordkeys import LOWER, SEPARATOR, Words, runs, slices
 
 #: Words of a suffix's head; words of a text in which places are told apart at once; records compared at once; the
-#: records from which a head is frequent; frequent heads up to this number (8 MB) go to every executor.
+#: records from which a head is frequent; frequent heads at most (8 MB, they go to every executor).
 ANCHOR_WORDS, SPAN, CHUNK, FREQUENT, BROADCAST_HEADS = 16, 1 << 25, 1 << 15, 1 << 11, 1_000_000
 
 
@@ -87,23 +87,17 @@ def _heads(docs: DataFrame, min_words: int) -> DataFrame:
     return docs.mapInArrow(run, "head long, doc long, place long, known boolean")
 
 
-def _matched(docs: DataFrame, min_words: int, frequent: int) -> tuple[DataFrame, bool]:
-    """(doc, places, frequent_places), whether there are any of the latter: each document's kept positions whose head another
-    document has too, those apart whose head stands in more than ``frequent`` places."""
+def _matched(docs: DataFrame, min_words: int, frequent: int) -> tuple[DataFrame, np.ndarray]:
+    """((doc, places), frequent heads): each document's kept positions whose head another document has too; the heads of more
+    than ``frequent`` places, or of as many more as leaves BROADCAST_HEADS of them, sorted."""
     heads = staged(_heads(docs, min_words))
-    shared = staged(heads.groupBy("head").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("many")).where("least < most").select("head", (F.col("many") > frequent).alias("often")))
-    often = shared.where("often")
-    many = often.count()
+    shared = staged(heads.groupBy("head").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count("*").alias("many")).where("least < most").select("head", "many"))
+    while shared.where(F.col("many") > frequent).count() > BROADCAST_HEADS:
+        frequent *= 2
+    often = shared.where(F.col("many") > frequent).select("head").toPandas()["head"].to_numpy(np.int64)
     # known rows have a lesser document in their task, so they are shared whatever the others say
-    known = heads.where("known")
-    if many:
-        known = known.join(F.broadcast(often) if many <= BROADCAST_HEADS else often, "head", "left")
-    else:
-        known = known.withColumn("often", F.lit(False))
-    looked_up = heads.where("not known").join(shared, "head").select("doc", "place", "often")
-    every = known.select("doc", "place", F.coalesce("often", F.lit(False)).alias("often")).union(looked_up)
-    found = every.groupBy("doc").agg(F.collect_set(F.when(~F.col("often"), F.col("place"))).alias("places"), F.collect_set(F.when(F.col("often"), F.col("place"))).alias("frequent_places"))
-    return found, many > 0
+    every = heads.where("known").select("doc", "place").union(heads.where("not known").join(shared.select("head"), "head").select("doc", "place"))
+    return every.groupBy("doc").agg(F.collect_set("place").alias("places")), np.sort(often)
 
 
 def _joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -120,13 +114,13 @@ _RECORD = "head long, after string, before string, doc long, place long, fewest
 _RUN = "doc long, start long, many long, later boolean"
 
 
-def _contexts(batch: pa.RecordBatch, min_words: int, column: str) -> Iterator[tuple]:
-    """For each part of a batch (text, first, last, kept, doc, place, most, fewest, head): its words as one text with their
-    bounds there, and the positions of ``column``, whose windows begin ``fewest`` to ``most`` words before."""
+def _contexts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
+    """For each part of a batch (text, first, last, kept, doc, place, most, fewest, heads, windows): its words as one text with
+    their bounds there, the positions in ``places``, whose windows begin ``fewest`` to ``most`` words before, and hashes of all windows."""
     for part, words, hashes in _rows(batch):
         starts, anchor, grams = anchors(words, hashes, min_words)
         wanted = np.zeros(len(hashes) + 1, bool)
-        for i, places in enumerate(part.column(column).to_pylist()):
+        for i, places in enumerate(part.column("places").to_pylist()):
             at = np.asarray(places, np.int64) + words.first[i]
             wanted[at[at < words.first[i + 1]]] = True
         begin = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]]) if len(anchor) else np.zeros(0, np.int64)
@@ -137,11 +131,12 @@ def _contexts(batch: pa.RecordBatch, min_words: int, column: str) -> Iterator[tu
             kept = anchor[begin]
             row = words.row[kept]
             text, first, last = _joined(words)
-            yield text, first.tolist(), last.tolist(), kept.tolist(), part.column("doc").to_numpy()[row].tolist(), (kept - words.first[row]).tolist(), (kept - starts[begin]).tolist(), (kept - starts[end]).tolist(), grams[kept].view(np.int64).tolist()
+            yield text, first.tolist(), last.tolist(), kept.tolist(), part.column("doc").to_numpy()[row].tolist(), (kept - words.first[row]).tolist(), (kept - starts[begin]).tolist(), (kept - starts[end]).tolist(), grams[kept].view(np.int64), runs(hashes, min_words).view(np.int64)
 
 
-def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
-    """A record for each matched position: the words after it and before it that its windows reach.
+def _suffixes(docs: DataFrame, min_words: int, often: np.ndarray) -> DataFrame:
+    """A record for each matched position: the words after it and before it that its windows reach; where its head is one of
+    ``often``, a record for each of its windows, dealt by all of the window's words.
 
     Records that agree in all of this inside a task become one, that of the least document, with ``several`` set; the
     others' windows are settled (``head`` null).
@@ -151,54 +146,27 @@ def _suffixes(docs: DataFrame, min_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for text, first, last, kept, doc, place, most, fewest, head in _contexts(batch, min_words, "places"):
-                groups: dict[tuple, list[int]] = {}
-                for i, (p, m, f) in enumerate(zip(kept, most, fewest, strict=True)):
-                    groups.setdefault((text[first[p - m] : last[p + min_words - f - 1]], m, f), []).append(i)
+            for text, first, last, kept, doc, place, most, fewest, heads, windows in _contexts(batch, min_words):
+                groups: dict[tuple, list[tuple[int, int]]] = {}
+                frequent = np.isin(heads, often, assume_unique=False).tolist()
+                for i, (p, m, f, h) in enumerate(zip(kept, most, fewest, heads.tolist(), strict=True)):
+                    for far, near, key in [(n, n, int(windows[p - n])) for n in range(f, m + 1)] if frequent[i] else [(m, f, h)]:
+                        groups.setdefault((text[first[p - far] : last[p + min_words - near - 1]], far, near), []).append((i, key))
                 rows = []
                 for (context, m, f), members in groups.items():
-                    least = min(doc[i] for i in members)
-                    several = any(doc[i] != least for i in members)
-                    cut = first[kept[members[0]]] - first[kept[members[0]] - m]
+                    least = min(doc[i] for i, _ in members)
+                    several = any(doc[i] != least for i, _ in members)
+                    cut = first[kept[members[0][0]]] - first[kept[members[0][0]] - m]
                     before, after = context[: max(0, cut - 1)].decode(), context[cut:].decode()
-                    for i in members:
+                    for i, key in members:
                         mine = doc[i] == least
-                        rows.append((head[i] if mine else None, after if mine else None, before if mine else None, doc[i], place[i], f, m, several))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        rows.append((key if mine else None, after if mine else None, before if mine else None, doc[i], place[i], f, m, several))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return docs.mapInArrow(run, _RECORD)
 
 
-def _frequent_windows(docs: DataFrame, min_words: int) -> DataFrame:
-    """Runs of repeated windows around positions whose head is frequent.
-
-    Here a window's words, as their SHA-256, are what is dealt, so windows that differ go to different tasks; those
-    that agree inside a task become one, that of the least document, the others being settled (``window`` null).
-    """
-    names, kinds = ("window", "doc", "start", "several"), (pa.binary(), pa.int64(), pa.int64(), pa.bool_())
-
-    def run(batches):
-        for batch in batches:
-            for text, first, last, kept, doc, place, most, fewest, _ in _contexts(batch, min_words, "frequent_places"):
-                groups: dict[bytes, list[tuple[int, int]]] = {}
-                for p, d, at, m, f in zip(kept, doc, place, most, fewest, strict=True):
-                    for n in range(f, m + 1):
-                        window = hashlib.sha256(text[first[p - n] : last[p - n + min_words - 1]]).digest()
-                        groups.setdefault(window, []).append((d, at - n))
-                rows = []
-                for window, members in groups.items():
-                    least = min(members)[0]
-                    several = any(d != least for d, _ in members)
-                    rows += [(window if d == least else None, d, start, several) for d, start in members]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    windows = staged(docs.mapInArrow(run, "window binary, doc long, start long, several boolean"))
-    least = windows.where("window is not null").groupBy("window").agg(F.min("doc").alias("least"), F.max("doc").alias("greatest"), F.max("several").alias("any")).where("least < greatest or any").select("window", "least")
-    met = windows.join(least, "window").select("doc", "start", (F.col("doc") > F.col("least")).alias("later"))
-    every = met.union(windows.where("window is null").select("doc", "start", F.lit(True)))
-    return every.select("doc", "start", F.lit(1).cast("long").alias("many"), "later")
-
-
 def _words_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, begins, ends): equal ids are equal words; where each record's words after its position begin, and where those before it end."""
     after, before = (pc.split_pattern(chunk.column(c).combine_chunks(), " ") for c in ("after", "before"))
@@ -305,14 +273,11 @@ def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK, f
     later: a document of smaller id has them.
     """
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
-    matched, any_frequent = _matched(docs, min_words, frequent)
-    joined = docs.join(staged(matched) if any_frequent else matched, "doc")
-    records = _suffixes(joined.where(F.size("places") > 0).drop("frequent_places"), min_words)
+    matched, often = _matched(docs, min_words, frequent)
+    records = _suffixes(docs.join(matched, "doc"), min_words, often)
     dealt = F.coalesce("head", F.xxhash64("doc", "place"))
     ordered = records.repartition(shuffle_width(docs.sparkSession), dealt).sortWithinPartitions("head", "after")
     found = _neighbours(ordered, min_words, chunk_rows)
-    if any_frequent:
-        found = found.union(_frequent_windows(joined.where(F.size("frequent_places") > 0).drop("places"), min_words))
     return found.groupBy("doc").agg(F.collect_list(F.struct("start", "many", "later")).alias("windows"))
 
 
@@ -342,7 +307,7 @@ def repeated_passages(docs: DataFrame, min_words: int = 50, chunk_rows: int = CH
     doc_id. Repetition within one document doesn't count, and rows that repeat a doc_id are one document whose
     spans are pooled. Null, empty and short texts, and rows with a null doc_id, have no spans; documents without
     spans have no row. Texts of any length are read whole. An empty table gives an empty table. Suffixes whose head
-    stands in more than ``frequent`` places are looked up by their windows, with the same result.
+    stands in more than ``frequent`` places are dealt window by window, with the same result.
     """
 
     def run(batches):
