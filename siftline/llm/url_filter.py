@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BROADCAST_ENTRIES = 200_000
 #: How specific a host entry and a prefix entry are at least; a domain entry has its number of labels.
 HOST_RANK, PREFIX_RANK = 1_000_000, 2_000_000
+#: An IPv4 address, which is one label, as an IPv6 address in its brackets is.
+IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 
 
 def validity(entries: DataFrame) -> DataFrame:
@@ -42,7 +44,7 @@ def _of_depths(depths: list[int], most: F.Column) -> F.Column:
 
 def _keys(host: F.Column, url: F.Column, label_depths: list[int], part_depths: list[int]) -> F.Column:
     """(pattern, how specific) of everything that can match a list whose entries have those depths, broad patterns first."""
-    labels = F.when(host.startswith("["), F.array(host)).otherwise(F.split(host, r"\."))
+    labels = F.when(host.startswith("[") | host.rlike(f"^{IPV4}$"), F.array(host)).otherwise(F.split(host, r"\."))
     n = F.size(labels)
     above = _of_depths(label_depths, n)
     domains = F.transform(above, lambda i: F.struct(F.concat(F.lit("domain:"), F.array_join(F.slice(labels, n - i + 1, i), ".")).alias("pattern"), i.alias("rank")))
@@ -58,12 +60,16 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     n_active counts the list entries that match the URL and held when it was fetched; pattern and action are the
     most specific one's (prefix over host over domain, the longer over the shorter), action "allow" where none
     holds. A null or malformed URL has no host and, like a null time, no active entry. Repeated rows each come
-    back. An empty list allows all; an empty table gives an empty table.
+    back. An empty list allows all; an empty table gives an empty table. Other columns, of any name, are ignored.
+
+    Hosts and paths are compared in lower case and as they are written: a percent code or a name in punycode is not the
+    character it stands for. An IP address is one label, so a domain entry meets the whole address only. URLs of any
+    length are read whole.
     """
     listed = validity(entries)
     # the depths of the list's entries, a few dozen numbers, say what to look up
     deep = lambda kind, mark: F.collect_set(F.when(F.col("pattern").startswith(f"{kind}:"), mark))
-    labels = F.when(F.col("pattern").startswith("domain:["), 1).otherwise(F.size(F.split("pattern", r"\.")))
+    labels = F.when(F.col("pattern").startswith("domain:[") | F.col("pattern").rlike(f"^domain:{IPV4}$"), 1).otherwise(F.size(F.split("pattern", r"\.")))
     entries_, labels, parts = listed.agg(F.count("*"), deep("domain", labels), deep("prefix", F.size(F.split("pattern", "/")) - 1)).first()
     listed = F.broadcast(listed) if entries_ <= BROADCAST_ENTRIES else listed
     host = F.coalesce(host_of(F.col("url")), F.lit(""))

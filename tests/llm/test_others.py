@@ -540,3 +540,14 @@ def test_url_filter_of_deep_entries(spark):
     told = lambda listed: [(r["n_active"], r["action"]) for r in filter_urls(rows, listed).orderBy("capture_id").collect()]
     assert told(entries) == [(1, "block"), (2, "allow"), (1, "block"), (0, "allow"), (2, "block")]
     assert told(entries.where("kind = 'host'")) == [(0, "allow")] * 4 + [(1, "block")]
+
+
+def test_an_address_is_one_label(spark):
+    from datetime import date
+
+    day = date(2024, 1, 1)
+    listed = spark.createDataFrame([("domain", "0.1", "block", day), ("domain", "10.0.0.2", "block", day), ("domain", "1.2.3", "watch", day)], "kind string, pattern string, action string, listed_at date")
+    urls = ["http://10.0.0.1/a", "http://10.0.0.2:80/", "http://1.2.3/", "http://x.1.2.3/", "http://a.10.0.0.2/", "http://10.0.0.2/" + "p/" * 20_000]
+    rows = spark.createDataFrame([(i, u, day, "x") for i, u in enumerate(urls)], "capture_id long, url string, fetched_at date, host string")
+    got = {r["capture_id"]: r["action"] for r in filter_urls(rows, listed).collect()}
+    assert got == {0: "allow", 1: "block", 2: "watch", 3: "watch", 4: "allow", 5: "block"}
