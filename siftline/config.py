@@ -7,6 +7,7 @@ import os
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
+# Names of algorithms and of a job's states; fixed values.
 ALGORITHMS = ("kmeans++", "dbscan", "birch", "mean_shift", "optics", "gmm", "agglomerative")
 STATUSES = ("queued", "batching", "analyzing", "rendering", "ready", "failed")
 MAX_DIMENSIONS, MAX_KEYS, MAX_ROWS, MAX_BATCH_JOBS = 8, 16, 2_000_000, 256

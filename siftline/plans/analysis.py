@@ -90,7 +90,8 @@ class Profile:
     cached; ``close``, or the end of a ``with`` block, removes all of it.
     """
 
-    def __init__(self, lines: DataFrame):
+    def __init__(self, lines: DataFrame, config: Config = Config()):
+        self.config = config
         self._own: list[DataFrame] = []
         self.parsed = self._staged(parsed(lines))
         self.rows = rows(self.parsed)
@@ -101,8 +102,8 @@ class Profile:
             return staged(df)
 
     @classmethod
-    def of(cls, jobs: DataFrame) -> Profile:
-        return cls(profiler_lines(jobs))
+    def of(cls, jobs: DataFrame, config: Config = Config()) -> Profile:
+        return cls(profiler_lines(jobs), config)
 
     def __enter__(self) -> Profile:
         return self
@@ -130,7 +131,7 @@ class Profile:
 
     schemas = cached_property(lambda self: p.schemas(self.fields, self.key_counts))
     samples = cached_property(lambda self: p.samples(self.fields))
-    correlations = cached_property(lambda self: p.correlations(self.parsed, self.numeric_keys))
+    correlations = cached_property(lambda self: p.correlations(self.parsed, self.numeric_keys.where(F.lit(self.config.enable_correlation_matrix))))
     series = cached_property(lambda self: p.numeric_series(self.parsed, self.numeric_keys))
     scatter_pairs = cached_property(lambda self: p.scatter_pairs(self.correlations, self.numeric_keys))
     booleans = cached_property(lambda self: p.boolean_histogram(self.fields))

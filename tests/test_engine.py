@@ -307,3 +307,10 @@ def test_pages_show_all_rows_and_say_what_is_left_out(spark):
     with Profile.of(jobs(spark, [lines])) as got:
         page = dashboard_page(got)
     assert "0 to 10K" in page and "6 others" in page and "v vs w, 600 points" in page
+
+
+def test_the_settings_switch_correlations_off(spark):
+    work = jobs(spark, ["\n".join(f'{{"a":{i},"b":{i * i}}}' for i in range(9))])
+    with Profile.of(work, Config(enable_correlation_matrix=False)) as off, Profile.of(work) as on:
+        assert off.correlations.count() == 0 and on.correlations.count() == 1
+        assert off.counters.first()["correlations"] == 0 and off.scatter_pairs.count() == 1
