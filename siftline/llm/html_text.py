@@ -53,15 +53,17 @@ _BLANK = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    """``shown``: what the element's own visibility says, None where it says nothing and the parent's holds."""
+    """``shown``: what the element's own visibility says, None where it says nothing and the parent's holds. ``start``, ``value``
+    and ``back`` number lists; ``span`` and ``down`` say how many columns and rows a cell takes."""
 
-    __slots__ = ("children", "hidden", "name", "open", "shown", "span", "start")
+    __slots__ = ("back", "children", "down", "hidden", "name", "open", "shown", "span", "start", "value")
 
     def __init__(self, name: str):
-        self.name, self.children, self.hidden, self.open, self.shown, self.start, self.span = name, [], False, False, None, 1, 1
+        self.name, self.children, self.hidden, self.open, self.shown, self.span, self.down = name, [], False, False, None, 1, 1
+        self.start, self.value, self.back = None, None, False
 
 
-def _number(value: str | None, default: int) -> int:
+def _number(value: str | None, default: int | None) -> int | None:
     return int(value) if value and re.fullmatch(r"-?\d{1,6}", value.strip()) else default
 
 
@@ -72,8 +74,9 @@ def _described(node: Node, source: str) -> None:
     seen = _VISIBILITY.findall(found.get("style", ""))
     node.shown = seen[-1].lower() == "visible" if seen else None
     node.open = "open" in found
-    node.start = _number(found.get("start") or found.get("value"), 1)
+    node.start, node.value, node.back = _number(found.get("start"), None), _number(found.get("value"), None), "reversed" in found
     node.span = max(1, min(100, _number(found.get("colspan"), 1)))
+    node.down = _number(found.get("rowspan"), 1)
     if node.name == "img" and found.get("alt"):
         node.children.append(found["alt"])
     if node.name == "input" and found.get("type", "text").lower() in ("text", "submit", "button", "reset", "search", "email", "url", "tel", "number") and found.get("value"):
@@ -300,6 +303,32 @@ def _strays(table: Node) -> list:
     return out
 
 
+def _on_grid(rows: list[list[Node]]) -> list[list[Node]]:
+    """``rows`` with an empty cell for each column that a cell above still takes, before the cells that stand after it.
+
+    Where that would be far more cells than the table has, rows stay as they are.
+    """
+    left, most = {}, PADDING + PADDING_PER_CHARACTER * sum(map(len, rows))
+    out = []
+    for row in rows:
+        taken, c, laid = dict(left), 0, []
+        for cell in row:
+            while taken.get(c, 0) > 0:
+                laid.append(Node("td"))
+                c += 1
+            laid.append(cell)
+            if cell.down != 1:
+                left |= {c + i: cell.down if cell.down > 1 else len(rows) for i in range(cell.span)}
+            c += cell.span
+        most -= len(laid)
+        if most < 0:
+            return rows
+        out.append(laid)
+        left = {i: n - 1 for i, n in left.items() if n > 1}
+        most -= len(left)
+    return out
+
+
 #: Blanks that aligning a table's columns may add: so many, and so many for each character of its cells.
 PADDING, PADDING_PER_CHARACTER = 400, 4
 
@@ -389,12 +418,14 @@ def render(node: Node, nested: int = 0, shown: bool = True) -> str:
             if children and isinstance(children[0], str) and children[0].startswith("\n"):
                 children = [children[0][1:], *children[1:]]
         elif name in LISTS:
-            lists.append([name == "ol", x.start])
+            items = sum(isinstance(c, Node) and c.name == "li" for c in children)
+            lists.append([name == "ol", x.start if x.start is not None else items if x.back else 1, -1 if x.back else 1])
             after.append(lists.pop)
         elif name == "li":
-            kind = lists[-1] if lists else [False, 1]
+            kind = lists[-1] if lists else [False, 1, 1]
+            kind[1] = x.value if x.value is not None else kind[1]
             page.marker = f"{kind[1]}. " if kind[0] else "- "
-            kind[1] += 1
+            kind[1] += kind[2]
             deeper = max(2, len(page.marker))
             page.indent += deeper
             after.append(lambda d=deeper: (setattr(page, "indent", page.indent - d), setattr(page, "marker", "")))
@@ -411,7 +442,7 @@ def render(node: Node, nested: int = 0, shown: bool = True) -> str:
         elif name == "table" and nested < _MOST_NESTED_TABLES:
             captions, rows = _table_rows(x)
             inherited = seen[-1]
-            cells = [[(render_children(c, nested + 1, inherited if c.shown is None else c.shown).split("\n"), c.span) for c in row] for row in rows]
+            cells = [[(render_children(c, nested + 1, inherited if c.shown is None else c.shown).split("\n"), c.span) for c in row] for row in _on_grid(rows)]
             lines = _aligned(cells)
 
             def show(lines=lines):

@@ -361,6 +361,11 @@ def test_scores_beyond_doubles_are_exact(spark):
         ("<ol start=9><li>a<li>b</ol>", "9. a\n10. b"),
         ("<table><tr><th>name<th>n<tr><td>long one<td>7</table>", "name     | n\nlong one | 7"),
         ("<table><tr><td colspan=2>wide<tr><td>a<td>b</table>", "wide\na | b"),
+        ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+        ("<table><tr><td>a<td rowspan=3 colspan=2>b<td>c<tr><td>d<td>e<tr><td>f<tr><td>g<td>h</table>", "a | b    | c\nd |   |  | e\nf\ng | h"),
+        ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tr><td>d</table>", "a | b\n  | c\n  | d"),
+        ("<ol><li>a<li value=5>b<li>c</ol>", "1. a\n5. b\n6. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol><ol reversed start=9><li>x<li>y</ol>", "3. a\n2. b\n1. c\n\n9. x\n8. y"),
         ("<table>stray<tr><td>a<br>b<td>c</table>", "stray\na | c\nb |"),
         ("<style>p{}</style><script>var a='</p>'</script><p hidden>no</p><p style='display: none'>no</p><b>yes", "yes"),
         ("<title>t</title><body>a<!-- x --> b<br>c", "a b\nc"),
@@ -551,3 +556,11 @@ def test_an_address_is_one_label(spark):
     rows = spark.createDataFrame([(i, u, day, "x") for i, u in enumerate(urls)], "capture_id long, url string, fetched_at date, host string")
     got = {r["capture_id"]: r["action"] for r in filter_urls(rows, listed).collect()}
     assert got == {0: "allow", 1: "block", 2: "watch", 3: "watch", 4: "allow", 5: "block"}
+
+
+def test_many_cells_that_take_rows_below_are_read_in_linear_time():
+    import time
+
+    begin = time.perf_counter()
+    text = visible_text("<table><tr>" + "<td rowspan=60000>x" * 1500 + "<tr><td>y" * 6000 + "</table>")
+    assert text.count("x") == 1500 and text.count("y") == 6000 and time.perf_counter() - begin < 20
