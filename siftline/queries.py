@@ -21,9 +21,11 @@ from siftline.operators.report import donut_angles, heat_cells, svg_points
 from siftline.operators.spread import numbered
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.plans.analysis import Profile, analyze, result_json, status_json
+from siftline.sources.admission import admitted, spool
 from siftline.sources.files import engine_file_lines, profiler_file_lines
 from siftline.sources.lines import dealt, engine_lines, json_lines, profiler_lines
 from siftline.streaming.jobs import payload_source, stream, windowed_counts
+from siftline.streaming.states import announce, events, job_states, kept, registry
 from siftline.streaming.windows import late_rows, session_counts, sliding_counts, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -666,3 +668,48 @@ def stream_sessions(spark, d):
     written(session_counts(rows_, "6 hours", "1 day", "user_id"), f"{folder}/out", f"{folder}/state").awaitTermination()
     got = spark.read.parquet(f"{folder}/out")
     return got.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
+def _jobs_in_order(spark, d):
+    """(job_id, algorithm, payload): a job for each user, numbered from 1 on, its events' ids as lines."""
+    lines = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: F.concat(F.lit("id="), x))
+    users = table(spark, d, "events").groupBy("user_id").agg(F.concat_ws("\n", lines).alias("payload"))
+    users = numbered(users.withColumn("all", F.lit(1)), "all", ["user_id"], "before")
+    return users.select((F.col("before") + 1).alias("job_id"), F.lit("dbscan").alias("algorithm"), "payload")
+
+
+@query(
+    """WITH RECURSIVE j AS (SELECT row_number() OVER (ORDER BY user_id) AS id, sum(len(event_id::VARCHAR) + 4) - 1 AS b FROM events GROUP BY user_id),
+  g AS (SELECT id, 0 AS batch, 1 AS n, b AS size FROM j WHERE id = 1
+    UNION ALL SELECT j.id, CASE WHEN n = 256 OR size >= 65536 THEN batch + 1 ELSE batch END, CASE WHEN n = 256 OR size >= 65536 THEN 1 ELSE n + 1 END, CASE WHEN n = 256 OR size >= 65536 THEN b ELSE size + b END FROM g JOIN j ON j.id = g.id + 1)
+  SELECT id::BIGINT AS job_id, batch::BIGINT AS batch, n::BIGINT AS place, size::BIGINT AS size FROM g"""
+)
+def stream_admission(spark, d):
+    """The batch that each job is admitted to, its place there and the bytes so far; all jobs wait when the stream starts."""
+    folder = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    spool(_jobs_in_order(spark, d), f"{folder}/in")
+    sized = lambda df, n: df.select("job_id", F.octet_length("payload").alias("bytes")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+    q = admitted(spark, f"{folder}/in", CONFIG).writeStream.foreachBatch(sized).option("checkpointLocation", f"{folder}/state").start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    # at most 256 jobs a batch
+    within = Window.partitionBy("batch").orderBy("job_id")
+    return spark.read.parquet(f"{folder}/out").select("job_id", F.col("batch").cast("long").alias("batch"), F.row_number().over(within).alias("place"), F.sum("bytes").over(within).alias("size"))
+
+
+@query(
+    """WITH j AS (SELECT row_number() OVER (ORDER BY user_id) AS id, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))
+  SELECT id::BIGINT AS job_id, CASE id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'failed' ELSE 'queued' END AS status, CASE WHEN id % 3 = 1 THEN 'lost' ELSE '' END AS error FROM j WHERE id % 3 = 2 OR id > n - 64"""
+)
+def stream_states(spark, d):
+    """States of a job for each user in 64 slots, through a stream that is started again from its checkpoint: all are queued, and
+    in the second run a third is ready, a third has failed; the finished ones are forgotten but for the last 64 jobs'."""
+    folder = f"{run_dir(spark)}/{uuid.uuid4().hex}"
+    jobs_ = staged(_jobs_in_order(spark, d).select("job_id"))
+    third = F.col("job_id") % 3
+    for some in (jobs_.select("job_id", F.lit("queued").alias("status"), F.lit("").alias("error")), jobs_.where(third != 2).select("job_id", F.when(third == 0, "ready").otherwise("failed").alias("status"), F.when(third == 1, "lost").alias("error"))):
+        announce(some, f"{folder}/events")
+        kept(job_states(events(spark, f"{folder}/events"), slots=64), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
+    return registry(spark.read.parquet(f"{folder}/out")).select("job_id", "status", "error")

@@ -17,15 +17,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.config import MAX_BATCH_JOBS, MAX_JOBS, MAX_WAITING, Config, algorithm
+from siftline.config import MAX_BATCH_JOBS, MAX_JOBS, MAX_WAITING, SATURATED, UNSCHEDULED, Config, algorithm
 from siftline.operators.report import rendered, report_page, svg_points
 from siftline.plans.analysis import Analysis, analyze
 from siftline.staging import checkpoint_dir
+from siftline.streaming.states import announce
 
 log = logging.getLogger("siftline")
 
-# What a failed job says; fixed values.
-SATURATED, UNSCHEDULED = "ingress queue is saturated", "failed to schedule analysis task"
 RESULT = "job_id long, algorithm string, status string, error string, cluster_count long, row_count long, dimensions long, mean array<double>, min array<double>, max array<double>, stddev array<double>, entropy double, slope double, outlier_ratio double, trend string, batch_id long, updated_ms long"
 _COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 _KINDS = dict(c.split() for c in RESULT.split(", "))
@@ -46,23 +45,38 @@ def pages_of(found: Analysis, config: Config) -> DataFrame:
     return rendered(found.results, found.insights, drawn, config)
 
 
-def stream(payloads: DataFrame, out: str, checkpoint: str, config: Config = Config(), once: bool = False, pages: str | None = None) -> StreamingQuery:
+def stream(payloads: DataFrame, out: str, checkpoint: str, config: Config = Config(), once: bool = False, pages: str | None = None, events: str | None = None) -> StreamingQuery:
     """Analyse a stream of (job_id, algorithm, payload); each batch's results are one folder below ``out``, and its
-    charts and report fragments one below ``pages``, where that is given.
+    charts and report fragments one below ``pages``, where that is given. What happens to its jobs is added to the folder
+    ``events``, for ``states.job_states``.
 
     A batch that is run again replaces its own folders, so results are there once. What a batch staged is removed.
     """
 
-    def batch(df: DataFrame, number: int) -> None:
+    def told(jobs: DataFrame, *state: str) -> None:
+        if events:
+            announce(jobs, events, *state)
+
+    def analysed(df: DataFrame, number: int) -> None:
+        told(df, "analyzing")
         found = analyze(df, config)
         try:
             if pages:
+                told(df, "rendering")
                 pages_of(found, config).write.mode("overwrite").parquet(f"{pages}/batch={number}")
             _results(found, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            told(found.results)
         finally:
             found.close()
         log.info("batch %d is written", number)
 
+    def batch(df: DataFrame, number: int) -> None:
+        try:
+            analysed(df, number)
+        except Exception:
+            told(df, "failed", UNSCHEDULED)
+            raise
+
     writer = payloads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{config.aggregation_window_ms} milliseconds")).start()
 

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from siftline.config import MAX_JOBS, STATUSES
-from siftline.streaming.jobs import UNSCHEDULED
+from siftline.config import MAX_JOBS, STATUSES, UNSCHEDULED
 
 EVENT = "job_id long, status string, error string"
 STATE = "job_id long, status string, error string, updated_ms long"

@@ -4,10 +4,11 @@ import time
 
 import pytest
 
-from siftline.config import Config
+from siftline.config import UNSCHEDULED, Config
 from siftline.sources.admission import SpoolReader, admitted, spool
-from siftline.streaming.jobs import UNSCHEDULED
-from siftline.streaming.states import FORGOTTEN, announce, events, job_states, kept, registry
+from siftline.streaming.feed import Feed
+from siftline.streaming.jobs import stream
+from siftline.streaming.states import FORGOTTEN, STATE, announce, events, job_states, kept, registry
 
 JOBS = "job_id long, algorithm string, payload string"
 
@@ -94,16 +95,16 @@ def test_consumed_files_go_where_they_are_not_kept(spark, tmp_path):
     assert [a for a, _, _ in SpoolReader({"path": f"{tmp_path}/in"})._scan()] == [5]
 
 
-def run(spark, folder, *rows, once=True, **more):
+def run(spark, folder, *rows, once=True, out="out", **more):
     announce(spark.createDataFrame(list(rows), "job_id long, status string, error string"), f"{folder}/events")
-    q = kept(job_states(events(spark, f"{folder}/events"), **more), f"{folder}/out", f"{folder}/cp", once=once)
+    q = kept(job_states(events(spark, f"{folder}/events"), **more), f"{folder}/{out}", f"{folder}/cp", once=once)
     if once:
         q.awaitTermination()
     return q
 
 
-def known(spark, folder, **more):
-    return sorted((r["job_id"], r["status"], r["error"]) for r in registry(spark.read.parquet(f"{folder}/out"), **more).collect())
+def known(spark, folder, out="out", **more):
+    return sorted((r["job_id"], r["status"], r["error"]) for r in registry(spark.read.parquet(f"{folder}/{out}"), **more).collect())
 
 
 def test_states_move_forward_and_outlive_a_restart(spark, tmp_path):
@@ -134,3 +135,28 @@ def test_silent_jobs_fail_and_old_ones_are_forgotten(spark, tmp_path):
         q.stop()
     assert known(spark, tmp_path) == [(1, "failed", UNSCHEDULED), (2, "ready", "")]
     assert known(spark, tmp_path, keep_ms=1000, now_ms=int(time.time() * 1000) + 2000) == []
+
+
+def test_a_streams_jobs_go_from_admission_to_the_feed(spark, tmp_path):
+    spool(spark.createDataFrame([(1, "kmeans++", "a=1\na=2"), (2, "dbscan", "\n"), (3, "dbscan", "b=5")], JOBS), f"{tmp_path}/in")
+    with Feed(spark) as feed:
+        q = stream(admitted(spark, f"{tmp_path}/in", most=2), f"{tmp_path}/out", f"{tmp_path}/stream", events=f"{tmp_path}/events")
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        run(spark, tmp_path, (4, "queued", ""), out="states")
+        assert known(spark, tmp_path, out="states") == [(1, "ready", ""), (2, "failed", "no analyzable rows found"), (3, "ready", ""), (4, "queued", "")]
+        feed.jobs(spark.readStream.schema(STATE).parquet(f"{tmp_path}/states"), f"{tmp_path}/told").awaitTermination()
+        seen = list(feed.read(wait=2))
+    assert {(e["job"], e["status"]) for e in seen if e["kind"] == "job"} >= {(1, "ready"), (2, "failed"), (3, "ready"), (4, "queued")}
+    assert [e["batch"] for e in seen if e["kind"] == "batch" and e["query"] == str(q.id) and e["read"]] == [0, 1]
+    assert [e["kind"] for e in seen if e["kind"] != "job" and e["query"] == str(q.id)][-1] == "ended"
+    assert feed.lost == 0
+
+
+def test_a_full_feed_loses_its_oldest_and_counts_them(spark):
+    feed = Feed(spark, most=2)
+    for i in range(5):
+        feed.push({"kind": "job", "job": i})
+    assert [e["job"] for e in feed.read(wait=0)] == [3, 4] and feed.lost == 3
