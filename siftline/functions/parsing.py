@@ -77,6 +77,15 @@ def whole_pairs(line: F.Column) -> F.Column:
     return F.when(line.contains("\\") & F.lower(line).contains("\\ud"), mended).otherwise(line)
 
 
+def json_sql(line: str) -> str:
+    """``json_fields`` as SQL."""
+    # what follows an object can't close both an array and an object around it; mostly the object's first brace closes it
+    ends = f"(locate('}}', {line}) = length({line}) OR (json_array_length(concat('[', {line}, ']')) = 1 AND size(json_object_keys(concat('{{\"x\":', {line}, '}}'))) = 1))"
+    plain = lambda whole: f"transform({_members(line, 0, whole)}, m -> {_typed('m')})"
+    found = f"CASE WHEN locate('{{', {line}, 2) > 0 THEN {_last(_flattened(line))} WHEN contains({line}, '[') THEN {plain(True)} ELSE {plain(False)} END"
+    return f"CASE WHEN startswith({line}, '{{') AND endswith({line}, '}}') AND {ends} THEN {found} END"
+
+
 def json_fields(line: str) -> F.Column:
     """The fields of a column of lines that are JSON objects, null for anything else: variants tell the values' types.
 
@@ -84,11 +93,7 @@ def json_fields(line: str) -> F.Column:
     equal keys the last value counts, in the first one's place, where the session lets variants have them, as
     ``session.prepared`` does. A number beyond all doubles is infinite, inside other values the string Infinity.
     """
-    # what follows an object can't close both an array and an object around it; mostly the object's first brace closes it
-    ends = f"(locate('}}', {line}) = length({line}) OR (json_array_length(concat('[', {line}, ']')) = 1 AND size(json_object_keys(concat('{{\"x\":', {line}, '}}'))) = 1))"
-    plain = lambda whole: f"transform({_members(line, 0, whole)}, m -> {_typed('m')})"
-    found = f"CASE WHEN locate('{{', {line}, 2) > 0 THEN {_last(_flattened(line))} WHEN contains({line}, '[') THEN {plain(True)} ELSE {plain(False)} END"
-    return F.expr(f"CASE WHEN startswith({line}, '{{') AND endswith({line}, '}}') AND {ends} THEN {found} END")
+    return F.expr(json_sql(line))
 
 
 def _iso(text: F.Column) -> F.Column:

@@ -19,6 +19,7 @@ from siftline.operators.fields import fields, parsed, rows
 from siftline.operators.insights import insights
 from siftline.operators.report import donut_angles, heat_cells, svg_points
 from siftline.operators.spread import numbered
+from siftline.functions.sql import register
 from siftline.operators.summary import balance, cluster_density, cluster_sizes, summary
 from siftline.plans.analysis import Profile, analyze, result_json, status_json
 from siftline.sources.admission import admitted, spool
@@ -713,3 +714,10 @@ def stream_states(spark, d):
         announce(some, f"{folder}/events")
         kept(job_states(events(spark, f"{folder}/events"), slots=64), f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
     return registry(spark.read.parquet(f"{folder}/out")).select("job_id", "status", "error")
+
+
+@query(_LONG + " SELECT line_index, field_pos::BIGINT AS pos, key, type, str, round(num, 6) AS num, b AS bool FROM f")
+def sql_json_fields(spark, d):
+    """Fields of JSON lines in SQL alone."""
+    register(spark)
+    return spark.sql("SELECT line_index, pos, f.key, f.type, f.str, f.num, f.bool FROM (SELECT line_index, json_fields(line) AS fields FROM {lines}), LATERAL posexplode(fields) AS x(pos, f)", lines=event_lines(spark, d))
