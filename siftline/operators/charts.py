@@ -22,15 +22,16 @@ def line_columns(points: DataFrame, width: int = COLUMNS) -> DataFrame:
     by = ["job_id", "key", "color"]
     ends = points.groupBy(*by).agg(F.min("line_index").alias("_low"), F.max("line_index").alias("_high"))
     column = F.floor((F.col("line_index") - F.col("_low")) * width / (F.col("_high") - F.col("_low") + 1))
-    point = F.struct("line_index", "value")
-    found = points.join(ends, by).groupBy(*by, column.alias("column")).agg(
-        F.array_distinct(
-            F.array(
-                F.min_by(point, "line_index"), F.max_by(point, "line_index"),
-                F.min_by(point, F.struct("value", "line_index")), F.min_by(point, F.struct(-F.col("value"), F.col("line_index"))),
-            )
-        ).alias("points")
+    placed = points.join(F.broadcast(ends), by).select(*by, column.alias("column"), "line_index", "value")
+    # numbers only, since the minimum of a struct would sort all points of a task: first the values, then where they stand
+    held = placed.groupBy(*by, "column").agg(F.min("value").alias("_least"), F.max("value").alias("_most"))
+    at = lambda c: F.min(F.when(F.col("value") == F.col(c), F.col("line_index")))
+    places = placed.join(F.broadcast(held), [*by, "column"]).groupBy(*by, "column").agg(
+        F.min("line_index").alias("_a"), F.min_by("value", "line_index").alias("_va"), F.max("line_index").alias("_b"), F.max_by("value", "line_index").alias("_vb"),
+        at("_least").alias("_c"), F.min("_least").alias("_vc"), at("_most").alias("_d"), F.max("_most").alias("_vd"),
     )
+    point = lambda c: F.struct(F.col(f"_{c}").alias("line_index"), F.col(f"_v{c}").alias("value"))
+    found = places.select(*by, "column", F.array_distinct(F.array(*map(point, "abcd"))).alias("points"))
     return found.select(*by, "column", F.explode("points").alias("p")).select(*by, "column", "p.line_index", "p.value")
 
 

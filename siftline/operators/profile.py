@@ -27,7 +27,9 @@ def _own(fields: DataFrame) -> DataFrame:
 
 
 def _seen() -> F.Column:
-    return F.min(F.struct("line_index", "field_pos")).alias("first_seen")
+    """The least line and field position, as one number: the minimum of a struct would sort all rows of a task."""
+    place = F.col("line_index").cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("field_pos").cast("decimal(10,0)")
+    return F.min(place).alias("first_seen")
 
 
 def _top(counted: DataFrame, limit: int, *by) -> DataFrame:
@@ -35,10 +37,16 @@ def _top(counted: DataFrame, limit: int, *by) -> DataFrame:
     return counted.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= limit)
 
 
-def coverage(rows: DataFrame, column: str, limit: int = 1 << 30) -> DataFrame:
-    """(job_id, pos, label, value): how often each value of ``column`` occurs, most frequent first."""
+def coverage(rows: DataFrame, column: str, limit: int = 1 << 30, without: tuple[str, ...] = ()) -> DataFrame:
+    """(job_id, pos, label, value): how often each value of ``column`` occurs, most frequent first; null and those in ``without`` not, where that is given.
+
+    What is left out comes last and is cut off there: a filter of labels would go below the grouping, and compute each twice.
+    """
     counted = rows.groupBy("job_id", F.col(column).alias("label")).agg(F.count("*").alias("value"), F.min("line_index").alias("seen"))
-    return _top(counted, limit, F.desc("value"), "seen").select("job_id", "pos", "label", "value")
+    if not without:
+        return _top(counted, limit, F.desc("value"), "seen").select("job_id", "pos", "label", "value")
+    shown = ~F.coalesce(F.col("label").isin(*without), F.lit(True))
+    return _top(counted, limit, F.desc(shown), F.desc("value"), "seen").where(shown).select("job_id", "pos", "label", "value")
 
 
 def format_coverage(rows: DataFrame) -> DataFrame:
@@ -54,7 +62,7 @@ def severity_histogram(rows: DataFrame) -> DataFrame:
 
 
 def entity_histogram(rows: DataFrame) -> DataFrame:
-    return coverage(rows.where("entity not in ('unknown', 'unstructured')"), "entity")
+    return coverage(rows, "entity", without=("unknown", "unstructured"))
 
 
 def field_coverage(fields: DataFrame, limit: int = 8) -> DataFrame:
@@ -255,10 +263,16 @@ def stats_grid(schema: DataFrame, limit: int = 8) -> DataFrame:
     return schema.where(F.col("pos") <= limit).select("job_id", "pos", "key", F.filter(kinds, lambda k: k["n"] == most)[0]["t"].alias("dominant_type"), "min", "max", "mean", "distinct_strings", (F.col("nulls") / F.greatest(total, F.lit(1)) * 100).alias("null_rate"))
 
 
+def _first_key(fields: DataFrame, keys: tuple[str, ...], name: str) -> DataFrame:
+    """(job_id, name): of ``keys`` the first that has a string. Places are grouped, since the minimum of a text would sort all rows."""
+    order = F.array(*map(F.lit, keys))
+    place = fields.where(F.col("key").isin(*keys)).where("type = 'string'").groupBy("job_id").agg(F.min(F.array_position(order, F.col("key"))).alias("at"))
+    return place.select("job_id", F.element_at(order, F.col("at").cast("int")).alias(name))
+
+
 def category(fields: DataFrame, rows: DataFrame) -> DataFrame:
     """(job_id, category_key): the severity key that names the category histogram; every row has a severity."""
-    order = F.array_position(F.array(*map(F.lit, SEVERITY_KEYS)), F.col("key"))
-    found = fields.where(F.col("key").isin(*SEVERITY_KEYS)).where("type = 'string'").groupBy("job_id").agg(F.min_by("key", order).alias("category_key"))
+    found = _first_key(fields, SEVERITY_KEYS, "category_key")
     return totals(rows).select("job_id").join(found, "job_id", "left").select("job_id", F.coalesce("category_key", F.lit("severity")).alias("category_key"))
 
 
@@ -276,8 +290,7 @@ def category_histogram(severities: DataFrame, entities: DataFrame, few: DataFram
 
 
 def entity_key(fields: DataFrame) -> DataFrame:
-    order = F.array_position(F.array(*map(F.lit, ENTITY_KEYS)), F.col("key"))
-    return fields.where(F.col("key").isin(*ENTITY_KEYS)).where("type = 'string'").groupBy("job_id").agg(F.min_by("key", order).alias("entity_key"))
+    return _first_key(fields, ENTITY_KEYS, "entity_key")
 
 
 def counters(rows: DataFrame, schema: DataFrame, keys: DataFrame, correlated: DataFrame) -> DataFrame:
