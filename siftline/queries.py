@@ -69,13 +69,13 @@ def event_lines(spark: SparkSession, d: str) -> DataFrame:
         "note": F.when(e("event_id") % 4 != 0, F.concat(F.lit("n"), e("event_id") % 3)),
         "props": F.from_json("props", "k int"),
     }
-    return json_lines(dealt(table(spark, d, "events")), "event_id", columns)
+    return json_lines(dealt(table(spark, d, "events"), "event_id"), "event_id", columns)
 
 
 def kv_lines(spark: SparkSession, d: str) -> DataFrame:
     """Events as key-value lines."""
     line = F.format_string("ts=%s level=%s, user=%d ok=%s; hex=0x%s note='a b'", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), F.col("event_type"), F.col("user_id"), F.when(F.col("user_id") % 3 == 0, "TRUE").otherwise("false"), F.lower(F.hex(F.col("user_id"))))
-    return dealt(table(spark, d, "events")).select(F.lit(1).cast("long").alias("job_id"), F.col("event_id").alias("line_index"), line.alias("line"))
+    return dealt(table(spark, d, "events"), "event_id").select(F.lit(1).cast("long").alias("job_id"), F.col("event_id").alias("line_index"), line.alias("line"))
 
 
 def mixed_lines(spark: SparkSession, d: str) -> DataFrame:
@@ -217,7 +217,7 @@ def category_histogram(spark, d):
 
 def _line_items(spark, d):
     """Line items as JSON lines; discounts are left out where the tax is high, prices where quantities are."""
-    item = dealt(table(spark, d, "lineitem")).withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    item = dealt(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").withColumn("id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
     columns = {"quantity": F.col("l_quantity"), "price": F.when(F.col("l_quantity") < 40, F.col("l_extendedprice")), "discount": F.when(F.col("l_tax") < 0.06, F.col("l_discount")), "tax": F.col("l_tax")}
     return json_lines(item, "id", columns)
 
@@ -280,7 +280,7 @@ def scatter_cells(spark, d):
 
 @query("SELECT 1::BIGINT AS job_id, 'text length' AS key, conv_id * 1000 + turn AS line_index, len(text)::BIGINT AS value FROM conversations")
 def text_lengths(spark, d):
-    turns = dealt(table(spark, d, "conversations")).withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    turns = dealt(table(spark, d, "conversations"), "conv_id", "turn").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     return Profile(json_lines(turns, "id", {"role": F.col("role"), "text": F.col("text")})).text_lengths.where("key = 'text length'").select("job_id", "key", "line_index", "value")
 
 

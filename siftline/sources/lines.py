@@ -63,10 +63,17 @@ def json_lines(table: DataFrame, index: str, columns: dict, job_id: int = 1) ->
     return table.select(F.lit(job_id).cast("long").alias("job_id"), F.col(index).cast("long").alias("line_index"), body.alias("line"))
 
 
-def dealt(table: DataFrame) -> DataFrame:
-    """A stored table over all cores, where its files give fewer tasks than there are: a small one may be a single task."""
+#: Rows of a dealt table in one task, about.
+TASK_ROWS = 250_000
+
+
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A stored table over tasks of about TASK_ROWS rows by the hash of ``keys``, which tell rows apart; one task for each core at least.
+
+    A file's splits say little of where its rows are: those of one row group are one task's. Rows are counted from the files' footers.
+    """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(max(cores, -(-table.count() // TASK_ROWS)), *keys)
 
 
 def text_payloads(spark: SparkSession, path: str, name: str = "dbscan") -> DataFrame:
