@@ -50,7 +50,8 @@ def _read(text: str, values: str) -> str:
 def _members(text: str, level: int, whole: bool) -> str:
     """(key, kind, value as a variant, text of what is no scalar) of an object's text, in order."""
     e, i, s = (f"{c}{level}" for c in "eis")
-    kind = f"CASE substring(schema_of_variant({e}.value), 1, 2) WHEN 'ST' THEN 'string' WHEN 'BO' THEN 'boolean' WHEN 'AR' THEN 'array' WHEN 'OB' THEN 'object' WHEN 'VO' THEN 'null' ELSE 'number' END"
+    # bound, since each branch of a CASE computes its operand again
+    kind = _bound(f"substring(schema_of_variant({e}.value), 1, 2)", f"k{level}", f"CASE k{level} WHEN 'ST' THEN 'string' WHEN 'BO' THEN 'boolean' WHEN 'AR' THEN 'array' WHEN 'OB' THEN 'object' WHEN 'VO' THEN 'null' ELSE 'number' END")
     each = lambda more: f"transform(map_entries({_read(text, 'variant')}), ({e}, {i}) -> named_struct('key', {e}.key, 'kind', {kind}, 'v', {e}.value, 's', {more}))"
     return _last(_bound(f"map_values({_read(text, 'string')})", s, each(f"get({s}, {i})")) if whole else each("cast(NULL AS string)"))
 
