@@ -179,7 +179,9 @@ def near(leaves: Leaves, left: DataFrame, right: DataFrame, dims: int, reach: fl
     left = leaves.looked_into(left, [f"a{d}" for d in range(dims)], reach)
     right = leaves.keyed(right, [f"b{d}" for d in range(dims)], "other")
     far = sum(((F.col(f"a{d}") - F.col(f"b{d}")) * (F.col(f"a{d}") - F.col(f"b{d}")) for d in range(dims)), F.lit(0.0))
-    l, r = left.alias("l"), right.alias("r")
+    # what looks into many leaves is far larger than the table that it is made of, whose size the planner goes by: without the
+    # hint it would broadcast that through the driver
+    l, r = left.alias("l"), right.hint("shuffle_hash").alias("r")
     on = (F.col("l.job_id") == F.col("r.job_id")) & (F.col("l.cell") == F.col("r.cell")) & (F.col("l.key") == F.col("r.key")) & (far <= reach * reach)
     out = l.join(r, on if more is None else on & more, how)
     return out.select("l.*") if how == "left_semi" else out.drop(F.col("r.job_id"), F.col("r.cell"), F.col("r.key")).drop("cell", "key")

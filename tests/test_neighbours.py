@@ -43,3 +43,14 @@ def test_few_of_all_pairs_are_compared(spark):
     held = counted(leaves.keyed(right, b, "other"))
     pairs = counted(leaves.looked_into(left, a, 0.45)).join(held.withColumnRenamed("n", "m"), ["job_id", "cell", "key"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0]
     assert held.agg(F.sum("n"), F.max("n")).first()[0] == n and pairs < n * n / 10
+
+
+def test_near_broadcasts_nothing(spark, tmp_path):
+    spark.range(300).selectExpr("1L AS job_id", "id AS row_id", "id / 10 AS a0").write.parquet(str(tmp_path / "p"))
+    rows = spark.read.parquet(str(tmp_path / "p"))
+    leaves = Leaves(rows, 1)
+    other = rows.selectExpr("job_id", "row_id AS other", "a0 AS b0")
+    for more in ((), (None, "left_semi")):
+        found = near(leaves, rows, other, 1, 0.55, *more)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert near(leaves, rows, other, 1, 0.55).count() == 300 + 2 * sum(300 - k for k in range(1, 6))
