@@ -110,8 +110,21 @@ def _joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), begin, begin + size
 
 
-_RECORD = "head long, after string, before string, doc long, place long, fewest long, most long, several boolean"
-_RUN = "doc long, start long, many long, later boolean"
+_RECORD = "head long, after string, before string, doc long, places array<long>, many array<long>, fewest long, most long, several boolean"
+_RUNS = "doc long, runs array<struct<start: long, many: long, later: boolean>>"
+
+
+def _united(group: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(groups, starts, lengths) of the unions of each group's runs, sorted; starts and lengths are below 2**31."""
+    if not len(group):
+        return group, start, many
+    order = np.lexsort((start, group))
+    group, start, many = group[order], start[order], many[order]
+    new = np.r_[True, group[1:] != group[:-1]]
+    base = np.cumsum(new) << 33
+    end = np.maximum.accumulate(base + start + many)
+    edge = np.flatnonzero(new | np.r_[True, (base + start)[1:] > end[:-1]])
+    return group[edge], start[edge], (end - base)[np.r_[edge[1:], len(group)] - 1] - start[edge]
 
 
 def _contexts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
@@ -136,13 +149,14 @@ def _contexts(batch: pa.RecordBatch, min_words: int) -> Iterator[tuple]:
 
 def _suffixes(docs: DataFrame, min_words: int, often: np.ndarray) -> DataFrame:
     """A record for each matched position: the words after it and before it that its windows reach; where its head is one of
-    ``often``, a record for each of its windows, dealt by all of the window's words.
+    ``often``, a record for each of its windows, dealt by all of the window's words. A document's positions that agree in all
+    of this are one record with their ``places``, however often it repeats a phrase.
 
-    Records that agree in all of this inside a task become one, that of the least document, with ``several`` set; the
-    others' windows are settled (``head`` null).
+    Records that agree inside a task become one, that of the least document, with ``several`` set; the others' windows are
+    settled: a row for each document (``head`` null) has their runs, ``places`` where these begin and ``many`` windows in each.
     """
     names = [c.split()[0] for c in _RECORD.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.bool_()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.list_(pa.int64())] * 2, *[pa.int64()] * 2, pa.bool_()]
 
     def run(batches):
         for batch in batches:
@@ -152,15 +166,19 @@ def _suffixes(docs: DataFrame, min_words: int, often: np.ndarray) -> DataFrame:
                 for i, (p, m, f, h) in enumerate(zip(kept, most, fewest, heads.tolist(), strict=True)):
                     for far, near, key in [(n, n, int(windows[p - n])) for n in range(f, m + 1)] if frequent[i] else [(m, f, h)]:
                         groups.setdefault((text[first[p - far] : last[p + min_words - near - 1]], far, near), []).append((i, key))
-                rows = []
+                rows, settled = [], []
                 for (context, m, f), members in groups.items():
                     least = min(doc[i] for i, _ in members)
                     several = any(doc[i] != least for i, _ in members)
                     cut = first[kept[members[0][0]]] - first[kept[members[0][0]] - m]
                     before, after = context[: max(0, cut - 1)].decode(), context[cut:].decode()
-                    for i, key in members:
-                        mine = doc[i] == least
-                        rows.append((key if mine else None, after if mine else None, before if mine else None, doc[i], place[i], f, m, several))
+                    rows.append((members[0][1], after, before, least, [place[i] for i, _ in members if doc[i] == least], None, f, m, several))
+                    settled += [(doc[i], place[i] - m, m - f + 1) for i, _ in members if doc[i] != least]
+                if settled:
+                    owner, start, many = _united(*np.array(settled, np.int64).T)
+                    edge = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]).tolist()
+                    for a, b in zip(edge, [*edge[1:], len(owner)], strict=True):
+                        rows.append((None, None, None, int(owner[a]), start[a:b].tolist(), many[a:b].tolist(), 0, 0, True))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
@@ -225,31 +243,44 @@ def compared(chunk: pa.Table, min_words: int) -> tuple[np.ndarray, np.ndarray]:
     return found[back], later[back]
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, found: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
-    """Rows (doc, start, many, later) of neighbouring windows of one kind; column n of the tables is the window n words before place."""
+def _runs(doc: np.ndarray, places: pa.ListArray, found: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, start, many, later) of neighbouring windows of one kind at each place; column n of the tables is the window n words before a place."""
     kind = (found.astype(np.int8) + (found & later))[:, ::-1]
     edged = np.pad(kind, ((0, 0), (1, 1)))
     row, begin = np.nonzero((edged[:, 1:] != edged[:, :-1])[:, :-1] & (kind > 0))
     row_, end = np.nonzero((edged[:, 1:] != edged[:, :-1])[:, 1:] & (kind > 0))
-    start = place[row] - (kind.shape[1] - 1 - begin)
-    return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(start), pa.array(end - begin + 1), pa.array(kind[row, begin] > 1)], names=["doc", "start", "many", "later"])
+    place, offset = places.values.to_numpy(), places.offsets.to_numpy().astype(np.int64)
+    size = np.diff(offset)[row]
+    run = np.repeat(np.arange(len(row)), size)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(size) - size, size) + offset[row[run]]
+    start = place[at] - (kind.shape[1] - 1 - begin[run])
+    return doc[row[run]], start, (end - begin + 1)[run], kind[row, begin][run] > 1
+
+
+def _by_document(doc: np.ndarray, start: np.ndarray, many: np.ndarray, later: np.ndarray) -> pa.RecordBatch:
+    """A row (doc, runs) for each document: the unions of its runs, those of one kind apart from the other."""
+    names, number = np.unique(doc, return_inverse=True)
+    group, start, many = _united(2 * number.astype(np.int64) + later, start.astype(np.int64), many.astype(np.int64))
+    runs_ = pa.StructArray.from_arrays([pa.array(start), pa.array(many), pa.array(group % 2 == 1)], names=["start", "many", "later"])
+    offsets = np.searchsorted(group // 2, np.arange(len(names) + 1)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(names), pa.ListArray.from_arrays(pa.array(offsets), runs_)], names=["doc", "runs"])
 
 
 def _neighbours(records: DataFrame, min_words: int, chunk_rows: int) -> DataFrame:
-    """Runs of repeated windows, by comparing the sorted records of each head, some heads at a time."""
+    """Runs of repeated windows, by comparing the sorted records of each head, some heads at a time; a row for each document of these."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         found, later = compared(table, min_words)
-        return _runs(table.column("doc").to_numpy(), table.column("place").to_numpy(), found, later)
+        return _by_document(*_runs(table.column("doc").to_numpy(), pa.concat_arrays(table.column("places").chunks), found, later))
 
     def run(batches):
         held = None
         for batch in batches:
             known = batch.filter(pc.is_null(batch.column("head")))
             if known.num_rows:  # every window of theirs stands in a lesser document too
-                many = pc.add(pc.subtract(known.column("most"), known.column("fewest")), 1)
-                start = pc.subtract(known.column("place"), known.column("most"))
-                yield pa.RecordBatch.from_arrays([known.column("doc"), start, many, pa.array(np.ones(known.num_rows, bool))], names=["doc", "start", "many", "later"])
+                start, many = known.column("places"), known.column("many")
+                doc = np.repeat(known.column("doc").to_numpy(), np.diff(start.offsets.to_numpy()))
+                yield _by_document(doc, start.flatten().to_numpy(), many.flatten().to_numpy(), np.ones(len(doc), bool))
                 batch = batch.filter(pc.is_valid(batch.column("head")))
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
@@ -264,7 +295,7 @@ def _neighbours(records: DataFrame, min_words: int, chunk_rows: int) -> DataFram
         if held is not None and held.num_rows:
             yield settle(held)
 
-    return records.mapInArrow(run, _RUN)
+    return records.mapInArrow(run, _RUNS)
 
 
 def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK, frequent: int = FREQUENT) -> DataFrame:
@@ -275,10 +306,10 @@ def repeated_windows(docs: DataFrame, min_words: int, chunk_rows: int = CHUNK, f
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     matched, often = _matched(docs, min_words, frequent)
     records = _suffixes(docs.join(matched, "doc"), min_words, often)
-    dealt = F.coalesce("head", F.xxhash64("doc", "place"))
+    dealt = F.coalesce("head", F.xxhash64("doc"))
     ordered = records.repartition(shuffle_width(docs.sparkSession), dealt).sortWithinPartitions("head", "after")
     found = _neighbours(ordered, min_words, chunk_rows)
-    return found.groupBy("doc").agg(F.collect_list(F.struct("start", "many", "later")).alias("windows"))
+    return found.groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("windows"))
 
 
 def _spans(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:

@@ -257,3 +257,21 @@ def test_passage_edges(spark, docs):
     assert [(r["doc_id"], r["text"].split()[0], len(r["text"].split())) for r in left] == [(1, "w0", 60), (3, "a", 2)]
     long = "x y " * 200_000
     assert repeated_passages(docs([(1, long), (2, long)])).count() == 2
+
+
+@pytest.mark.parametrize("frequent", [2048, 5])
+def test_rows_of_passages_follow_documents_not_places(spark, docs, frequent):
+    """Documents that repeat one phrase give a row for each of its windows in one of them, not for each place in all."""
+    from pyspark.sql import functions as F
+
+    from siftline.llm.suffix_dedup import _matched, _neighbours, _suffixes
+
+    phrase = " ".join(f"w{i}" for i in range(10))
+    rows = [(i, f"a{i} " + f"{phrase} " * 200 + f"b{i}") for i in range(12)]
+    table = docs(rows).select(F.col("doc_id").alias("doc"), "text").coalesce(1)
+    matched, often = _matched(table, 20, frequent)
+    records = _suffixes(table.join(matched, "doc").coalesce(1), 20, often).cache()
+    found = _neighbours(records.repartition(3, F.coalesce("head", F.xxhash64("doc"))).sortWithinPartitions("head", "after"), 20, 1000)
+    assert records.count() <= 60 and found.count() <= 3 * 12
+    got = {(r["doc_id"], r["start_word"], r["end_word"], r["first_holder"]) for r in repeated_passages(docs(rows), 20, 1000, frequent).collect()}
+    assert got == {(i, 1, 2001, i == 0) for i in range(12)}
