@@ -11,6 +11,8 @@ A first search over a slice of the candidates gives each query a floor, which al
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -18,9 +20,11 @@ from pyspark.sql import functions as F
 
 from siftline.llm.staging import staged
 
-#: Candidates of a block, queries whose reading depths are looked up together, queries sent to the executors at once
+#: Components of a block's candidates, queries whose reading depths are looked up together, queries sent to the executors at once
 #: (64 dimensions: 16 MB), candidates of the first slice, about.
-BLOCK, GROUP, CHUNK, SLICE = 8192, 256, 32_768, 4096
+BLOCK, GROUP, CHUNK, SLICE = 1 << 20, 256, 32_768, 4096
+#: Sums below half of it are read together with the number of their parts; both fit a double's 53 bits.
+PACKED = 2.0**32
 #: Shares of all entries that have been read, about, after each step.
 STEPS = (0.125, 0.25, 0.375, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.8, 0.9, 1.0)
 
@@ -34,9 +38,12 @@ class Lists:
     def __init__(self, x: np.ndarray):
         self.n, self.dims = x.shape
         self.x = x
-        self.order = np.argsort(-x, axis=0, kind="stable").T.astype(np.int32).copy()
+        self.order = np.argsort(-x, axis=0, kind="stable").T.copy()
         self.value = np.take_along_axis(x.T, self.order, 1)
         self.rising = self.value[:, ::-1].copy()
+        self.most = np.abs(x).max(initial=0)
+        #: What a step reads, at most; held, as memory that is new each time costs more than reading.
+        self.room = np.empty(x.size, np.intp), np.empty(x.size)
         self.entries = 0
 
     def depths(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,15 +63,23 @@ class Lists:
 
     def read(self, q: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the entries from depth a to depth b of each list add: (sum of contributions, number of entries) by candidate."""
-        ids, parts = [], []
-        for d in np.flatnonzero(b > a):
-            s = slice(a[d], b[d]) if q[d] > 0 else slice(self.n - b[d], self.n - a[d])
-            ids.append(self.order[d, s])
-            parts.append(self.value[d, s] * q[d])
-        if not ids:
+        ids, parts, at = *self.room, 0
+        for d, (v, a_, b_) in enumerate(zip(q.tolist(), a.tolist(), b.tolist(), strict=True)):
+            if b_ > a_:
+                begin, end, to = *((a_, b_) if v > 0 else (self.n - b_, self.n - a_)), at + b_ - a_
+                ids[at:to] = self.order[d, begin:end]
+                np.multiply(self.value[d, begin:end], v, out=parts[at:to])
+                at = to
+        if not at:
             return np.zeros(self.n), np.zeros(self.n, np.int64)
-        ids, parts = np.concatenate(ids), np.concatenate(parts)
-        self.entries += len(ids)
+        ids, parts = ids[:at], parts[:at]
+        self.entries += at
+        if self.most * np.abs(q).max() * self.dims < PACKED / 2 and self.dims < 2**20:
+            # sums of whole numbers and their numbers in one pass: each is the other's rest by PACKED
+            parts += PACKED
+            both = np.bincount(ids, parts, self.n)
+            count = np.rint(both / PACKED)
+            return both - count * PACKED, count.astype(np.int64)
         return np.bincount(ids, parts, self.n), np.bincount(ids, minlength=self.n)
 
     def search(self, q: np.ndarray, theta: np.ndarray, depth: np.ndarray, floor: float, k: int, own: np.ndarray) -> np.ndarray:
@@ -100,6 +115,14 @@ def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(row, q, strict=True)) for row in x], object)
 
 
+def _largest(score: np.ndarray, names: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(-score, name) of the k largest scores and all that equal the kth."""
+    if len(score) > k and score.dtype != object:
+        kept = score >= np.partition(score, len(score) - k)[len(score) - k]
+        score, names = score[kept], names[kept]
+    return [(-int(v), int(c)) for v, c in zip(score, names, strict=True)]
+
+
 def _matrix(lists, dims: int) -> np.ndarray:
     out = np.zeros((len(lists), dims))
     for i, v in enumerate(lists):
@@ -107,26 +130,39 @@ def _matrix(lists, dims: int) -> np.ndarray:
     return out
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The batches' rows, ``rows`` at a time: lists are worth their reading when they are long, and Spark's batches may be short."""
+    held, waiting = [], 0
+    for batch in batches:
+        held.append(batch)
+        waiting += batch.num_rows
+        while waiting >= rows:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, rows)
+            held = table.slice(rows).to_batches()
+            waiting -= rows
+    if waiting:
+        yield pa.Table.from_batches(held)
+
+
 def _top_of_chunk(candidates: DataFrame, ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, k: int) -> DataFrame:
     """Each task's k best candidates that reach the query's floor; the queries are at most CHUNK or so."""
     dims = queries.shape[1]
 
     def run(batches):
         floor, best = floors.copy(), [[] for _ in ids]
-        for batch in batches:
-            for s in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(s, BLOCK)
-                names = part.column("vec_id").to_numpy()
-                lists = Lists(_matrix(part.column("x").to_pylist(), dims))
-                for g in range(0, len(ids), GROUP):
-                    theta, depth = lists.depths(queries[g : g + GROUP])
-                    for q in range(g, min(g + GROUP, len(ids))):
-                        found = lists.search(queries[q], theta[q - g], depth[q - g], floor[q], k, np.flatnonzero(names == ids[q]))
-                        if len(found):
-                            score = _exact(lists.x[found], queries[q])
-                            best[q] = sorted([*best[q], *((-int(v), int(c)) for v, c in zip(score, names[found], strict=True))])[:k]
-                            if len(best[q]) == k:
-                                floor[q] = max(floor[q], float(-best[q][-1][0]))
+        for part in _blocks(batches, max(1, BLOCK // max(1, dims))):
+            names = part.column("vec_id").to_numpy()
+            lists = Lists(_matrix(part.column("x").to_pylist(), dims))
+            for g in range(0, len(ids), GROUP):
+                theta, depth = lists.depths(queries[g : g + GROUP])
+                for q in range(g, min(g + GROUP, len(ids))):
+                    found = lists.search(queries[q], theta[q - g], depth[q - g], floor[q], k, np.flatnonzero(names == ids[q]))
+                    if len(found):
+                        score = _exact(lists.x[found], queries[q])
+                        best[q] = sorted([*best[q], *_largest(score, names[found], k)])[:k]
+                        if len(best[q]) == k:
+                            floor[q] = max(floor[q], float(-best[q][-1][0]))
         rows = [(q, int(ids[q]), c, -s) for q, kept in enumerate(best) for s, c in kept]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["asked", "query_id", "vec_id", "score"])

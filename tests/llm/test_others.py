@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -336,6 +337,27 @@ def test_lists_stop_early_and_lose_nothing(dims, share):
         assert lists.entries < share * x.size
 
 
+def test_short_batches_make_long_lists(monkeypatch):
+    """Lists are made over a block of candidates, whatever the size of Spark's batches; results are as by brute force."""
+    from siftline.llm import topk
+
+    built = []
+    monkeypatch.setattr(topk, "Lists", lambda x: built.append(len(x)) or Lists(x))
+    monkeypatch.setattr(topk, "BLOCK", 400 * 8)
+
+    class Table:
+        def mapInArrow(self, run, schema):  # noqa: N802
+            return run
+
+    r = np.random.default_rng(6)
+    x, ids = r.integers(-200, 200, (1000, 8)).astype(float), np.arange(0, 1000, 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.arange(i, i + 30)[: 1000 - i]), pa.array(x[i : i + 30].tolist())], names=["vec_id", "x"]) for i in range(0, 1000, 30)]
+    got = [b.to_pydict() for b in topk._top_of_chunk(Table(), ids, x[ids], np.full(len(ids), -np.inf), 5)(iter(batches))]
+    assert built == [400, 400, 200]
+    want = {(q, c, int(x[q] @ x[c])) for q in ids.tolist() for c in sorted((c for c in range(1000) if c != q), key=lambda c: (-(x[q] @ x[c]), c))[:5]}
+    assert {(q, c, s) for b in got for q, c, s in zip(b["query_id"], b["vec_id"], b["score"], strict=True)} == want
+
+
 def test_scores_beyond_doubles_are_exact(spark):
     """Products of over 2**53, and two different vectors under the query's own id."""
     big = [1.0e6 + 1 / 256, 1.0, 2.0]
