@@ -689,8 +689,8 @@ def stream_admission(spark, d):
     """The batch that each job is admitted to, its place there and the bytes so far; all jobs wait when the stream starts."""
     folder = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     spool(_jobs_in_order(spark, d), f"{folder}/in")
-    sized = lambda df, n: df.select("job_id", F.octet_length("payload").alias("bytes")).write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    q = admitted(spark, f"{folder}/in", CONFIG).writeStream.foreachBatch(sized).option("checkpointLocation", f"{folder}/state").start()
+    sized = lambda df, n: df.select("job_id", "batch", F.octet_length("payload").alias("bytes")).write.mode("overwrite").parquet(f"{folder}/out/taken={n}")
+    q = admitted(spark, f"{folder}/in", CONFIG, batches=1024).writeStream.foreachBatch(sized).option("checkpointLocation", f"{folder}/state").start()
     try:
         q.processAllAvailable()
     finally:

@@ -12,6 +12,7 @@ import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
@@ -30,22 +31,26 @@ def spool(jobs: DataFrame, folder: str) -> None:
     sized.repartitionByRange(width, "job_id").sortWithinPartitions("job_id").write.mode("append").parquet(folder)
 
 
-def admitted(spark: SparkSession, folder: str, config: Config = Config(), most: int = MAX_BATCH_JOBS, keep: bool = True) -> DataFrame:
+def admitted(spark: SparkSession, folder: str, config: Config = Config(), most: int = MAX_BATCH_JOBS, keep: bool = True, batches: int = 1) -> DataFrame:
     """A stream of a spool's jobs (job_id, algorithm, payload). A batch has ``most`` jobs, or as many as reach the settings'
     batch size, or what came within the settings' window after its first job. Without ``keep``, files go when all their jobs
-    are in finished batches."""
+    are in finished batches. With ``batches`` over 1, Spark takes as many closed batches at once, and a job has its batch's
+    number, from 0 on, as ``batch``: each of Spark's own batches costs time, however small."""
     spark.dataSource.register(Spool)
-    reader = spark.readStream.format("siftline_spool").option("path", folder).option("jobs", str(most)).option("keep", str(keep))
+    reader = spark.readStream.format("siftline_spool").option("path", folder).option("jobs", str(most)).option("keep", str(keep)).option("batches", str(batches))
     return reader.option("bytes", str(config.min_batch_size_kb * 1024)).option("windowMs", str(config.aggregation_window_ms)).load()
 
 
 @dataclass
 class Piece(InputPartition):
-    """Jobs after ``start`` up to ``end``, in one file; no file where none has them."""
+    """Jobs after ``start`` up to ``end``, in one file; no file where none has them. ``ends`` has the last jobs of batches, of
+    which the first is number ``first``, where jobs are to have theirs."""
 
     start: int
     end: int
     path: str | None
+    first: int = 0
+    ends: tuple[int, ...] | None = None
 
 
 class Spool(DataSource):
@@ -54,7 +59,7 @@ class Spool(DataSource):
         return "siftline_spool"
 
     def schema(self) -> str:
-        return JOBS
+        return JOBS + ", batch long" if int(self.options.get("batches", 1)) > 1 else JOBS
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return SpoolReader(self.options)
@@ -67,13 +72,15 @@ class SpoolReader(DataSourceStreamReader):
             raise ValueError("a spool is an absolute path that the driver and all executors share")
         self.most, self.bytes = int(options.get("jobs", MAX_BATCH_JOBS)), int(options.get("bytes", 65536))
         self.window, self.keep = int(options.get("windowMs", 20)) / 1000, options.get("keep", "True").lower() == "true"
-        self.at: int | None = None
+        self.batches = int(options.get("batches", 1))
+        #: The last offset: its last job and, where Spark takes several batches, how many there were and the last jobs of those it took.
+        self.last: dict | None = None
         #: First and last id by file, and of the row group read last its first id and its jobs' bytes.
         self.files: dict[str, tuple[int, int]] = {}
         self.group: tuple[str, int, list[int]] = ("", 0, [])
 
     def initialOffset(self) -> dict:
-        return {"job": 0}
+        return {"job": 0} if self.batches == 1 else {"job": 0, "batch": 0, "ends": []}
 
     def _scan(self) -> list[tuple[int, int, str]]:
         """(first, last, path) of the files, in order; files that are being written have other names."""
@@ -116,23 +123,35 @@ class SpoolReader(DataSourceStreamReader):
         return end, size, count
 
     def latestOffset(self) -> dict:
-        if self.at is None:
-            self.at = 0
-        end, size, count = self._taken(self.at, 0, 0)
-        closes = time.monotonic() + self.window
-        while count and count < self.most and size < self.bytes and (left := closes - time.monotonic()) > 0:
-            time.sleep(min(left, 0.01))
-            end, size, count = self._taken(end, size, count)
-        self.at = end
-        return {"job": end}
+        if self.last is None:
+            self.last = self.initialOffset()
+        end, ends = self.last["job"], []
+        while len(ends) < self.batches:
+            last, size, count = self._taken(end, 0, 0)
+            closes = time.monotonic() + self.window
+            # what isn't full waits for its window alone
+            while not ends and count and count < self.most and size < self.bytes and (left := closes - time.monotonic()) > 0:
+                time.sleep(min(left, 0.01))
+                last, size, count = self._taken(last, size, count)
+            full = count >= self.most or size >= self.bytes
+            if count and (full or not ends):
+                end = last
+                ends.append(end)
+            if not full:
+                break
+        if ends:
+            self.last = {"job": end} if self.batches == 1 else {"job": end, "batch": self.last["batch"] + len(ends), "ends": ends}
+        return self.last
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         # after a restart Spark plans the last batch of its log first: that is where admission goes on
-        self.at = max(self.at or 0, end["job"])
+        if self.last is None or self.last["job"] < end["job"]:
+            self.last = end
+        of = (end["batch"] - len(end["ends"]), tuple(end["ends"])) if self.batches > 1 else ()
         pieces, at = [], start["job"]
         for first, last, path in self._scan():
             if at < end["job"] and first <= at + 1 <= last:
-                pieces.append(Piece(at, min(last, end["job"]), path))
+                pieces.append(Piece(at, min(last, end["job"]), path, *of))
                 at = pieces[-1].end
         return pieces if at == end["job"] else [*pieces, Piece(at, end["job"], None)]
 
@@ -141,7 +160,11 @@ class SpoolReader(DataSourceStreamReader):
             raise FileNotFoundError(f"no file has the jobs after {partition.start} up to {partition.end}")
         columns = ["job_id", "algorithm", "payload"]
         some = [("job_id", ">", partition.start), ("job_id", "<=", partition.end)]
-        yield from pq.read_table(partition.path, columns=columns, filters=some, partitioning=None).to_batches(max_chunksize=64)
+        table = pq.read_table(partition.path, columns=columns, filters=some, partitioning=None)
+        if partition.ends is not None:
+            number = np.searchsorted(np.array(partition.ends), table.column("job_id").to_numpy()) + partition.first
+            table = table.append_column("batch", pa.array(number, pa.int64()))
+        yield from table.to_batches(max_chunksize=64)
 
     def commit(self, end: dict) -> None:
         if not self.keep:

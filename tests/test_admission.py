@@ -44,6 +44,26 @@ def test_jobs_and_bytes_close_batches(spark, tmp_path):
     assert batches(spark, tmp_path, checkpoint="cp2") == [[1, 2, 3, 4, 5, 6, 7], [8], [9]]
 
 
+def test_spark_takes_several_batches_at_once(spark, tmp_path):
+    """Jobs have the batches they would have one by one, over a restart; few of Spark's own batches are needed."""
+    waiting(spark, f"{tmp_path}/in", 1, [10] * 5 + [60_000, 10_000, 70_000, 1])
+    took = []
+
+    def run_all():
+        jobs = admitted(spark, f"{tmp_path}/in", most=3, batches=4)
+        q = jobs.writeStream.foreachBatch(lambda df, n: took.append([(r["batch"], r["job_id"]) for r in df.collect()])).option("checkpointLocation", f"{tmp_path}/cp").start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+        return [sorted(t) for t in took if t]
+
+    first = [[(0, 1), (0, 2), (0, 3), (1, 4), (1, 5), (1, 6), (2, 7), (2, 8)], [(3, 9)]]
+    assert run_all() == first
+    waiting(spark, f"{tmp_path}/in", 10, [1] * 4)
+    assert run_all() == [*first, [(4, 10), (4, 11), (4, 12)], [(5, 13)]]
+
+
 def test_the_window_closes_a_batch(spark, tmp_path):
     waiting(spark, f"{tmp_path}/in", 1, [1, 1])
     reader, began = SpoolReader({"path": f"{tmp_path}/in", "windowMs": "300"}), time.monotonic()
