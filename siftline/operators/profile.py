@@ -6,6 +6,8 @@ appears first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -276,17 +278,23 @@ def category(fields: DataFrame, rows: DataFrame) -> DataFrame:
     return totals(rows).select("job_id").join(found, "job_id", "left").select("job_id", F.coalesce("category_key", F.lit("severity")).alias("category_key"))
 
 
-def category_histogram(severities: DataFrame, entities: DataFrame, few: DataFrame, formats: DataFrame) -> DataFrame:
-    """(job_id, label, value): the first of these histograms that has anything for the job: severities, entities, the
-    least key of low cardinality, formats."""
-    least = few.groupBy("job_id").agg(F.min("key").alias("key"))
-    choices = (severities, entities, few.join(least, ["job_id", "key"]), formats)
+def category_histogram(jobs: DataFrame, *choices: Callable[[], DataFrame]) -> DataFrame:
+    """(job_id, label, value): the first of these histograms that has anything for the job. A later one is made only where
+    jobs are left without bars, which is looked up while the frame is built."""
     every = None
-    for place, bars in enumerate(choices):
-        part = bars.select("job_id", F.lit(place).alias("place"), "label", "value")
+    for choice in choices:
+        bars = choice().select("job_id", "label", "value")
+        part = staged(bars if every is None else bars.join(left, "job_id", "left_semi"))
         every = part if every is None else every.union(part)
-    chosen = every.groupBy("job_id").agg(F.min("place").alias("place"))
-    return every.join(chosen, ["job_id", "place"]).select("job_id", "label", "value")
+        left = staged(jobs.select("job_id").distinct().join(every, "job_id", "left_anti"))
+        if left.isEmpty():
+            break
+    return every
+
+
+def least_key(few: DataFrame) -> DataFrame:
+    """Of ``low_cardinality`` each job's least key."""
+    return few.join(few.groupBy("job_id").agg(F.min("key").alias("key")), ["job_id", "key"])
 
 
 def entity_key(fields: DataFrame) -> DataFrame:

@@ -129,6 +129,11 @@ class Profile:
         with keeping(self._own):
             return p.scatter(self.parsed, self._staged(self.scatter_pairs))
 
+    @cached_property
+    def category_histogram(self) -> DataFrame:
+        with keeping(self._own):
+            return p.category_histogram(self.parsed, lambda: self.severity, lambda: self.entity, lambda: p.least_key(self.low_cardinality), lambda: self.format_coverage)
+
     schemas = cached_property(lambda self: p.schemas(self.fields, self.key_counts))
     samples = cached_property(lambda self: p.samples(self.fields))
     correlations = cached_property(lambda self: p.correlations(self.parsed, self.numeric_keys.where(F.lit(self.config.enable_correlation_matrix))))
@@ -145,7 +150,6 @@ class Profile:
     entity = cached_property(lambda self: p.entity_histogram(self.rows))
     low_cardinality = cached_property(lambda self: p.low_cardinality(self.fields, self.schemas, self.rows))
     category = cached_property(lambda self: p.category(self.fields, self.rows))
-    category_histogram = cached_property(lambda self: p.category_histogram(self.severity, self.entity, self.low_cardinality, self.format_coverage))
     totals = cached_property(lambda self: p.totals(self.rows))
     donuts = cached_property(lambda self: p.donuts(self.fields, self.schemas))
     stats_grid = cached_property(lambda self: p.stats_grid(self.schemas))

@@ -48,6 +48,19 @@ def test_entities_are_computed_once(read):
     assert [(r["pos"], r["label"], r["value"]) for r in found.collect()] == [(1, "s", 133)]
 
 
+def test_later_category_histograms_are_made_only_where_needed(spark):
+    """A job with severities needs no other histogram; a job without goes on to the next one."""
+    from siftline.plans.analysis import Profile
+
+    jobs_ = spark.createDataFrame([(1,), (1,), (2,)], "job_id long")
+    bars = lambda *rows_: lambda: spark.createDataFrame(list(rows_), "job_id long, label string, value long")
+    got = p.category_histogram(jobs_, bars((1, "a", 2)), bars((1, "b", 1), (2, "c", 1)), lambda: pytest.fail("not needed"))
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a", 2), (2, "c", 1)]
+    profile = Profile(spark.createDataFrame([(1, 0, '{"level":"warn","v":1}')], "job_id long, line_index long, line string"))
+    assert [(r["label"], r["value"]) for r in profile.category_histogram.collect()] == [("WARN", 1)]
+    assert not {"entity", "low_cardinality", "schemas", "key_counts", "format_coverage"} & profile.__dict__.keys()
+
+
 def test_dealt_by_rows(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
     spark.range(1000).coalesce(1).write.parquet(path)
