@@ -21,7 +21,7 @@ LEAF_ROWS, KEY_ROWS, LEAF_SAMPLE, SAMPLE_ROWS = 256, 1024, 16, 1 << 20
 
 @dataclass
 class Tree:
-    """Inner nodes (dim, value, children) and leaves, numbered by -1 - leaf among the children; lows, highs and keys of leaves."""
+    """Inner nodes (dim, value, children) and leaves, numbered by -1 - leaf among the children; lows, highs, keys and rows of leaves."""
 
     dim: np.ndarray
     value: np.ndarray
@@ -30,6 +30,7 @@ class Tree:
     low: np.ndarray | None = None
     high: np.ndarray | None = None
     keys: np.ndarray | None = None
+    rows: np.ndarray | None = None
 
     @classmethod
     def built(cls, x: np.ndarray, leaf_sample: int = LEAF_SAMPLE) -> Tree:
@@ -105,11 +106,11 @@ class Leaves:
         edges = [f(n).alias(f"{k}_{n}") for n in names for k, f in (("low", F.min), ("high", F.max))]
         for tree in self.trees.values():  # leaves that no row is in are out of everyone's reach
             tree.low, tree.high = np.full((tree.leaves, dims), np.inf), np.full((tree.leaves, dims), -np.inf)
-            tree.keys = np.ones(tree.leaves, np.int64)
+            tree.keys, tree.rows = np.ones(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
         for r in self.placed(fine, names).groupBy("job_id", "cell").agg(F.count("*").alias("n"), *edges).collect():
             tree, leaf = self.trees[r["job_id"]], r["cell"]
             tree.low[leaf], tree.high[leaf] = [r[f"low_{n}"] for n in names], [r[f"high_{n}"] for n in names]
-            tree.keys[leaf] = -(-r["n"] // KEY_ROWS)
+            tree.keys[leaf], tree.rows[leaf] = -(-r["n"] // KEY_ROWS), r["n"]
 
     def placed(self, rows: DataFrame, names: list[str]) -> DataFrame:
         """``rows`` with the leaf, ``cell``, that each is in."""
@@ -163,6 +164,27 @@ class Leaves:
 
         return placed.mapInArrow(run, _ddl(placed))
 
+    def blocked(self, rows: DataFrame, names: list[str], number: str, size: int) -> DataFrame:
+        """``rows`` with ``cell`` and ``block``: leaves that follow each other make a block of about ``size`` rows of a job, a
+        larger leaf is dealt to several, by ``number``. Blocks of all jobs are numbered from 0 on."""
+        first, many, used = {}, {}, 0
+        for job, tree in sorted(self.trees.items()):
+            first[job] = used + (np.cumsum(tree.rows) - tree.rows) // size
+            many[job] = np.maximum(1, -(-tree.rows // size))
+            used = int((first[job] + many[job]).max())
+        placed = self.placed(rows, names).withColumn("block", F.xxhash64(number))
+
+        def run(batches):
+            for batch in batches:
+                jobs, cell, block = (batch.column(c).to_numpy() for c in ("job_id", "cell", "block"))
+                at = np.zeros(len(jobs), np.int64)
+                for job in np.unique(jobs):
+                    own = jobs == job
+                    at[own] = first[job][cell[own]] + block[own] % many[job][cell[own]]
+                yield batch.set_column(batch.schema.get_field_index("block"), "block", pa.array(at))
+
+        return placed.mapInArrow(run, _ddl(placed))
+
 
 def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -1,8 +1,9 @@
 """Clusterings of jobs too large for one group: a job's rows stay spread over tasks, with ``clustering``'s semantics.
 
 Each function takes features (job_id, row_id, v) that are cheap to read again and gives (job_id, row_id, label,
-cluster_count). The driver holds a job's centres, modes or leaders, and the trees of ``neighbours``, only. Neighbours come
-from a join over k-d leaves within reach; pairs that are in reach are all made, so a dense place costs the square of its rows.
+cluster_count). The driver holds a job's centres, modes or leaders, and the trees of ``neighbours``, only. dbscan's
+neighbours come from a join over k-d leaves within reach, where pairs in reach are all made; mean shift adds up what is in
+reach over blocks of rows. Either costs a dense place the square of its rows.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftline.staging import shuffle_width, staged
+from siftline.staging import shuffle_width, staged, unstage
 from siftline.operators import clustering as one
+from siftline.operators.averages import finite, moved, packed, pieces, unpacked
 from siftline.operators.neighbours import Leaves, near
 
 #: Rows of a job in one fold of birch.
@@ -112,14 +114,17 @@ def dbscan(features: DataFrame, dims: int, config) -> DataFrame:
 
 
 def mean_shift(features: DataFrame, dims: int, config) -> DataFrame:
-    """Six joins with averages; then mode by mode, each the first later row that no mode before reaches."""
+    """Six steps over blocks of rows (``averages``); then mode by mode, each the first later row that no mode before reaches."""
     reach, names = 2 * config.dbscan_eps, [f"a{d}" for d in range(dims)]
     points = _flat(features, dims, "a")
-    leaves = Leaves(points, dims)
-    every = _flat(features, dims, "b").withColumnRenamed("row_id", "other")
+    blocks = staged(packed(points, dims))
+    parts, tasks = staged(pieces(blocks, dims)), max(1, blocks.count())
     for _ in range(one.SHIFTS):
-        moved = near(leaves, points, every, dims, reach).groupBy("job_id", "row_id").agg(*(F.avg(f"b{d}").cast("float").cast("double").alias(f"m{d}") for d in range(dims)))
-        points = staged(points.join(moved, ["job_id", "row_id"], "left").select("job_id", "row_id", *(F.coalesce(f"m{d}", f"a{d}").alias(f"a{d}") for d in range(dims))))
+        before, blocks = blocks, staged(moved(blocks, parts, dims, reach, tasks))
+        unstage(before)
+    points = staged(unpacked(blocks, dims).unionByName(points.where(~finite(dims))))
+    unstage(blocks)
+    unstage(parts)
     modes = {r["job_id"]: [] for r in points.select("job_id").distinct().collect()}
 
     def hit() -> DataFrame:
